@@ -1 +1,104 @@
-"""placeholder"""
+"""Preparation queries (W5/M5, M1-M4, A23, A25) over ``churn_features``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from churnscope.functions.stats import stable
+from churnscope.operators import prepare
+from churnscope.operators.eda import unpivot_columns
+from churnscope.plans.registry import register
+from churnscope.plans.sqltext import long_sql
+from churnscope.sources.fixtures import churn_features, sql_with
+from churnscope.spec import CHURN_SPEC
+
+S = CHURN_SPEC
+V = ["churn_features", "churn_split"]
+
+
+def split_frame(spark, sf_dir):
+    """churn_features with the portable-order split (SQL-reproducible)."""
+    return prepare.stratified_split(churn_features(spark, sf_dir), S, order="portable")
+
+
+def fitted(spark, sf_dir):
+    df = split_frame(spark, sf_dir)
+    return df, prepare.fit_preparation(df.where(F.col("split") == "train"), S)
+
+
+@register("stratified_split", sql_with(V, "SELECT * FROM churn_split"), ("W5", "M5"))
+def q_stratified_split(spark, sf_dir):
+    return split_frame(spark, sf_dir).select("customer_id", "target", "split")
+
+
+@register("class_weights", sql_with(V, """
+WITH c AS (SELECT target, COUNT(*) AS count FROM churn_split WHERE split = 'train' GROUP BY target)
+SELECT target, count, CAST(SUM(count) OVER () AS DOUBLE) / (COUNT(*) OVER () * count) AS weight FROM c"""), ("A25",))
+def q_class_weights(spark, sf_dir):
+    df = split_frame(spark, sf_dir)
+    return prepare.class_weights(df.where(F.col("split") == "train"), S)
+
+
+_TRAIN = """j AS (SELECT c.*, s.split FROM churn_features c JOIN churn_split s ON c.customer_id = s.customer_id),
+st AS (SELECT AVG(CAST(age AS DOUBLE)) AS ma, STDDEV_POP(CAST(age AS DOUBLE)) AS sa,
+              AVG(CAST(services AS DOUBLE)) AS ms, STDDEV_POP(CAST(services AS DOUBLE)) AS ss FROM j WHERE split = 'train')"""
+
+_SCALED = """ROUND((age - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END, 9) AS age,
+       ROUND((services - ms) / CASE WHEN ss = 0 THEN 1 ELSE ss END, 9) AS services"""
+
+
+@register("scaled_features", sql_with(V, f"""
+WITH {_TRAIN}
+SELECT customer_id, split, {_SCALED} FROM j, st"""), ("M1",))
+def q_scaled_features(spark, sf_dir):
+    df, prep = fitted(spark, sf_dir)
+    return df.select("customer_id", "split", *[stable(prep.scaled(c)).alias(c) for c in S.numeric])
+
+
+_CATS = f"""lt AS ({long_sql('j', S.categorical, ('customer_id', 'split'), 'VARCHAR')}),
+cats AS (SELECT variable, value, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY value) AS vo
+         FROM (SELECT DISTINCT variable, value FROM lt WHERE split = 'train' AND value IS NOT NULL))"""
+
+
+@register("one_hot", sql_with(V, f"""
+WITH {_TRAIN}, {_CATS}
+SELECT l.customer_id, c.variable || '_' || c.value AS feature, CASE WHEN l.value = c.value THEN 1.0 ELSE 0.0 END AS x
+FROM lt l JOIN cats c ON l.variable = c.variable WHERE c.vo > 1"""), ("M2",))
+def q_one_hot(spark, sf_dir):
+    df, prep = fitted(spark, sf_dir)
+    wide = prep.transform(df, keep=["customer_id"], vector=None)
+    enc = [n for c in prep.categorical for n in prep.encoded[c]]
+    return unpivot_columns(wide, enc, ["customer_id"], "double", var="feature", val="x")
+
+
+@register("feature_matrix", sql_with(V, f"""
+WITH {_TRAIN}, {_CATS},
+num AS (SELECT customer_id, split, {_SCALED} FROM j, st)
+SELECT customer_id, split, 'age' AS feature, 0 AS feature_ord, age AS x FROM num UNION ALL
+SELECT customer_id, split, 'services', 1, services FROM num UNION ALL
+SELECT l.customer_id, l.split, c.variable || '_' || c.value,
+       1 + CAST(DENSE_RANK() OVER (ORDER BY CASE c.variable WHEN 'frequent_buyer' THEN 0 WHEN 'income_class' THEN 1
+                                  WHEN 'has_urgent' THEN 2 ELSE 3 END, c.value) AS INTEGER),
+       CASE WHEN l.value = c.value THEN 1.0 ELSE 0.0 END
+FROM lt l JOIN cats c ON l.variable = c.variable WHERE c.vo > 1"""), ("M3",))
+def q_feature_matrix(spark, sf_dir):
+    df, prep = fitted(spark, sf_dir)
+    wide = prep.transform(df, keep=["customer_id", "split"], vector=None)
+    names = prep.feature_names
+    items = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("feature_ord"),
+                               (stable(F.col(f"`{n}`")) if n in S.numeric else F.col(f"`{n}`")).alias("x"))
+                      for i, n in enumerate(names)])
+    return (wide.select("customer_id", "split", F.explode(items).alias("f"))
+            .select("customer_id", "split", "f.feature", "f.feature_ord", "f.x"))
+
+
+@register("category_info", sql_with(V, f"""
+WITH {_TRAIN}, {_CATS}
+SELECT CASE variable WHEN 'frequent_buyer' THEN 0 WHEN 'income_class' THEN 1 WHEN 'has_urgent' THEN 2 ELSE 3 END AS var_ord,
+       variable, MIN(value) AS reference_category, string_agg(value, ', ' ORDER BY value) AS all_categories,
+       COALESCE(string_agg(CASE WHEN vo > 1 THEN variable || '_' || value END, ', ' ORDER BY value), '') AS encoded_columns,
+       CAST(COUNT(*) AS INTEGER) AS n_values
+FROM cats GROUP BY variable"""), ("A23", "M4", "F5", "F7"))
+def q_category_info(spark, sf_dir):
+    _, prep = fitted(spark, sf_dir)
+    return prep.category_info(spark)

@@ -269,7 +269,22 @@ WITH long AS (
 SELECT customer_id, feature, ROUND(w * (x - AVG(x) OVER (PARTITION BY feature)), 6) AS contribution FROM long""",
 }
 
+VIEW_SQL["churn_split"] = """
+WITH cnt AS (SELECT target, COUNT(*) AS n_class FROM churn_features GROUP BY target),
+a AS (SELECT target, n_class, SUM(n_class) OVER () AS total FROM cnt),
+b AS (SELECT *, total - CEIL(CAST(0.2 AS DOUBLE) * total) AS n_train FROM a),
+c AS (SELECT *, CAST(n_class AS DOUBLE) / total * n_train AS cont FROM b),
+d AS (SELECT *, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem FROM c),
+e AS (SELECT *, n_train - SUM(fl) OVER () AS lft, ROW_NUMBER() OVER (ORDER BY rem DESC, target) AS rk FROM d),
+alloc AS (SELECT target, n_class - (fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END) AS n_test FROM e),
+r AS (SELECT customer_id, target,
+             ROW_NUMBER() OVER (PARTITION BY target ORDER BY (customer_id * 2654435761) % 1000003, customer_id) AS rnk
+      FROM churn_features)
+SELECT r.customer_id, r.target, CASE WHEN r.rnk <= alloc.n_test THEN 'test' ELSE 'train' END AS split
+FROM r JOIN alloc ON r.target = alloc.target"""
+
 VIEW_DEPS = {
+    "churn_split": ("churn_features",),
     "churn_features": (),
     "line_returns": (),
     "scored": ("churn_features",),

@@ -40,7 +40,7 @@ def rows_of(pdf):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and os.path.isdir(sys.argv[1]) else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if not os.path.isdir(a)]
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    spark = get_spark("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
     reg = load_all()
     con = duckdb.connect()
     for t in DRIVER_TABLES:
