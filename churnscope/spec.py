@@ -38,6 +38,8 @@ class RoleSpec:
     # (display name, column, {value: code} or None) for the correlation matrix
     corr_columns: tuple = ()
     target_display: str = "Churn"
+    # column -> the reference's column it stands for (business rules are written for those)
+    analog: dict = field(default_factory=dict)
     extra: dict = field(default_factory=dict)
 
     @property
@@ -84,6 +86,8 @@ CHURN_SPEC = RoleSpec(
         ("income_class", "income_class", INCOME_CODES),
     ),
     target_display="churn",
+    analog={"age": "Ages", "frequent_buyer": "FrequentFlyer", "income_class": "AnnualIncomeClass",
+            "services": "ServicesOpted", "has_urgent": "AccountSyncedToSocialMedia", "has_pending": "BookedHotelOrNot"},
 )
 
 # The reference's own 954-row table, with ``Ages`` renamed ``Age`` as its EDA does.
@@ -106,6 +110,15 @@ GOLDEN_SPEC = RoleSpec(
         ("BookedHotel", "BookedHotelOrNot", YES_NO_CODES),
         ("IncomeClass", "AnnualIncomeClass", INCOME_CODES),
     ),
+    analog={"Age": "Ages"},
+)
+
+# The reference's prepared features (``Ages`` keeps its name there).
+PREP_SPEC = RoleSpec(
+    key="row_id",
+    target="Target",
+    numeric=("Ages", "ServicesOpted"),
+    categorical=("FrequentFlyer", "AnnualIncomeClass", "AccountSyncedToSocialMedia", "BookedHotelOrNot"),
 )
 
 # The benchmark view ``line_returns``: one row per line item.

@@ -20,6 +20,12 @@ from churnscope.sources.tables import DRIVER_TABLES  # noqa: E402
 def norm(v):
     if v is None:
         return None
+    try:
+        import pandas as pd
+        if v is pd.NA or v is pd.NaT:
+            return None
+    except ImportError:
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
