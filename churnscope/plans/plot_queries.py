@@ -1 +1,93 @@
-"""placeholder"""
+"""Chart-data queries (A37-A41, W6) over ``churn_features``."""
+
+from __future__ import annotations
+
+from churnscope.operators import plots
+from churnscope.plans.registry import register
+from churnscope.plans.sqltext import long_sql
+from churnscope.sources.fixtures import churn_features, sql_with
+from churnscope.spec import CHURN_SPEC
+
+S = CHURN_SPEC
+CF = "churn_features"
+SERVICE_BINS = {"services": (1, 7, 6)}  # bins=range(1, 8) in the reference's services chart
+
+_H = f"""long AS ({long_sql(CF, S.numeric, ('target',))}),
+h AS (SELECT variable, target, value, COUNT(*) AS n FROM long GROUP BY variable, target, value)"""
+
+
+@register("histogram", sql_with([CF], f"""
+WITH {_H},
+st AS (SELECT variable, COUNT(*) AS nn, MIN(value) AS lo0, MAX(value) AS hi0,
+              quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+       FROM long GROUP BY variable),
+bw AS (SELECT *, (hi0 - lo0) / (LOG2(nn) + 1.0) AS sturges, 2.0 * (q3 - q1) * POW(nn, -1.0 / 3.0) AS fd FROM st),
+lay AS (SELECT variable,
+               CASE WHEN variable = 'services' THEN 1.0 WHEN hi0 <= lo0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+               CASE WHEN variable = 'services' THEN 7.0 WHEN hi0 <= lo0 THEN hi0 + 0.5 ELSE hi0 END AS hi,
+               CASE WHEN variable = 'services' THEN 6 WHEN hi0 <= lo0 THEN 1
+                    ELSE CAST(CEIL((hi0 - lo0) / CASE WHEN fd > 0 THEN LEAST(fd, sturges) ELSE sturges END) AS INTEGER) END AS n_bins
+        FROM bw),
+cnt AS (SELECT h.variable, CAST(LEAST(FLOOR((h.value - l.lo) / (l.hi - l.lo) * l.n_bins), l.n_bins - 1) AS INTEGER) AS bin_ord,
+               h.target, SUM(h.n) AS c
+        FROM h JOIN lay l ON h.variable = l.variable WHERE h.value >= l.lo AND h.value <= l.hi
+        GROUP BY 1, 2, 3),
+dom AS (SELECT l.variable, CAST(b.bin_ord AS INTEGER) AS bin_ord, t.target, l.lo, l.hi, l.n_bins
+        FROM lay l, LATERAL (SELECT UNNEST(range(0, l.n_bins)) AS bin_ord) b,
+             (SELECT DISTINCT variable, target FROM h) t WHERE t.variable = l.variable)
+SELECT d.variable, d.bin_ord, ROUND(d.lo + d.bin_ord * ((d.hi - d.lo) / d.n_bins), 9) AS bin_lo,
+       ROUND(d.lo + (d.bin_ord + 1) * ((d.hi - d.lo) / d.n_bins), 9) AS bin_hi, d.target,
+       CAST(COALESCE(c.c, 0) AS BIGINT) AS count
+FROM dom d LEFT JOIN cnt c ON d.variable = c.variable AND d.bin_ord = c.bin_ord AND d.target = c.target"""), ("A37",))
+def q_histogram(spark, sf_dir):
+    return plots.histogram(churn_features(spark, sf_dir), S, fixed=SERVICE_BINS)
+
+
+@register("density_curve", sql_with([CF], f"""
+WITH {_H},
+rng AS (SELECT variable, MIN(value) AS g_lo, MAX(value) AS g_hi FROM h GROUP BY variable),
+cls AS (SELECT variable, target, SUM(n) AS n_class, SUM(n * value) / SUM(n) AS m, SUM(n * value * value) AS s2
+        FROM h GROUP BY variable, target),
+bw AS (SELECT c.variable, c.target, c.n_class,
+              SQRT(GREATEST((s2 - n_class * m * m) / (n_class - 1), 0.0)) * POW(n_class, -0.2) AS bandwidth, r.g_lo, r.g_hi
+       FROM cls c JOIN rng r ON c.variable = r.variable),
+g AS (SELECT b.*, CAST(gi.grid_ord AS INTEGER) AS grid_ord, b.g_lo + gi.grid_ord * ((b.g_hi - b.g_lo) / 199.0) AS gx
+      FROM bw b, LATERAL (SELECT UNNEST(range(0, 200)) AS grid_ord) gi WHERE b.bandwidth > 0)
+SELECT g.variable, g.target, g.grid_ord, ROUND(g.gx, 9) AS grid_x,
+       ROUND(SUM(h.n * EXP(-0.5 * ((g.gx - h.value) / g.bandwidth) * ((g.gx - h.value) / g.bandwidth)))
+             / (g.n_class * g.bandwidth * SQRT(2 * PI())), 9) AS density
+FROM g JOIN h ON g.variable = h.variable AND g.target = h.target
+GROUP BY g.variable, g.target, g.grid_ord, g.gx, g.n_class, g.bandwidth"""), ("A38",))
+def q_density_curve(spark, sf_dir):
+    return plots.density_curve(churn_features(spark, sf_dir), S)
+
+
+@register("boxplot_stats", sql_with([CF], f"""
+WITH long AS ({long_sql(CF, S.numeric, ('target',))}),
+q AS (SELECT variable, target, ROUND(quantile_cont(value, 0.25), 9) AS q1, ROUND(quantile_cont(value, 0.5), 9) AS median,
+             ROUND(quantile_cont(value, 0.75), 9) AS q3 FROM long GROUP BY variable, target),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT f.variable, f.target, f.q1, f.median, f.q3, f.iqr,
+       MIN(CASE WHEN l.value >= f.lf AND l.value <= f.uf THEN l.value END) AS whisker_low,
+       MAX(CASE WHEN l.value >= f.lf AND l.value <= f.uf THEN l.value END) AS whisker_high,
+       CAST(SUM(CASE WHEN l.value >= f.lf AND l.value <= f.uf THEN 0 ELSE 1 END) AS BIGINT) AS n_fliers
+FROM f JOIN long l ON f.variable = l.variable AND f.target = l.target
+GROUP BY f.variable, f.target, f.q1, f.median, f.q3, f.iqr"""), ("A39",))
+def q_boxplot_stats(spark, sf_dir):
+    return plots.boxplot_stats(churn_features(spark, sf_dir), S)
+
+
+@register("stacked_share", sql_with([CF], f"""
+WITH long AS ({long_sql(CF, S.categorical, ('target',), 'VARCHAR', val='category')}),
+ct AS (SELECT variable, category,
+              CAST(SUM(CASE WHEN target = 0 THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS share_0,
+              CAST(SUM(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS share_1
+       FROM long GROUP BY variable, category),
+seg AS (SELECT variable, category, 0 AS target, share_0 AS share FROM ct
+        UNION ALL SELECT variable, category, 1, share_1 FROM ct),
+b AS (SELECT *, COALESCE(SUM(share) OVER (PARTITION BY variable, category ORDER BY target
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS bottom FROM seg)
+SELECT variable, category, target, share, bottom, bottom + share / 2 AS label_y, share > 0.05 AS show_label FROM b"""),
+          ("A41", "W6"))
+def q_stacked_share(spark, sf_dir):
+    return plots.stacked_share(churn_features(spark, sf_dir), S)
