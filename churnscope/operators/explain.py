@@ -157,7 +157,8 @@ def top_factors(attr: DataFrame, meta: DataFrame, key: str = "customer_id", k: i
     """Per record: contributions by |value| desc (feature order on ties), first k, with
     display name and direction. The window is partitioned by the record key: each
     partition holds one row per feature."""
-    j = attr.join(F.broadcast(meta.select("feature", "feature_ord", "simplified_name")), "feature", "left")
+    j = attr.select(key, "feature", "contribution").join(
+        F.broadcast(meta.select("feature", "feature_ord", "simplified_name")), "feature", "left")
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "feature_ord")
     return (j.withColumn("factor_rank", F.row_number().over(w)).where(F.col("factor_rank") <= k)
             .select(key, "factor_rank", "feature", F.coalesce("simplified_name", "feature").alias("simplified_name"),

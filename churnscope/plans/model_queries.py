@@ -1 +1,134 @@
-"""placeholder"""
+"""Fitted-model queries (M6-M16, S10-S12, X2-X4, P18, R12, R13) over ``churn_features``.
+
+Not SQL-expressible (trained models, seeded sampling): registered without oracle SQL;
+their properties are tested in tests/test_models.py.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from churnscope.operators import models as M
+from churnscope.operators import prepare
+from churnscope.operators.evaluate import leaderboard
+from churnscope.operators.explain import top_features
+from churnscope.operators.score import score_records
+from churnscope.plans.registry import register
+from churnscope.session import ensure_checkpoint_dir
+from churnscope.sources.fixtures import churn_features, raw_records
+from churnscope.spec import CHURN_SPEC
+
+S = CHURN_SPEC
+_BENCHES: dict = {}
+
+
+def benchmark(spark, sf_dir, names=M.MODEL_NAMES) -> M.Benchmark:
+    """Split, prepare (written once to the checkpoint folder) and fit the models; the
+    fitted state is kept per session and input folder, so the queries below share it."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    bench = _BENCHES.get(key)
+    if bench is None:
+        split = prepare.stratified_split(churn_features(spark, sf_dir), S)
+        prep, data = M.prepare_frame(split, S)
+        bench = M.Benchmark(S, prep, data)
+        _BENCHES[key] = bench
+    return M.fit_models(bench, names)
+
+
+def _metrics(spark, sf_dir):
+    bench = benchmark(spark, sf_dir)
+    return M.model_metrics(M.predictions(bench)), bench
+
+
+def best_model(spark, sf_dir) -> tuple:
+    """Name and accuracy of the model with the highest F1 (first in benchmark order on
+    ties; one row per model, so the pick is a tiny collect)."""
+    metrics, bench = _metrics(spark, sf_dir)
+    rows = metrics.orderBy(F.desc("f1"), "model_ord").select("model", "accuracy", "f1").collect()
+    best = next((r for r in rows if r.f1 > 0), rows[0])
+    return best.model, best.accuracy, bench
+
+
+@register("train_logistic", None, ("M6", "M12"))
+def q_train_logistic(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, (M.LR,))
+    return M.model_importance(spark, M.LR, bench.models[M.LR], bench.prep.feature_names)
+
+
+@register("train_forest", None, ("M7", "M13"))
+def q_train_forest(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, (M.RF,))
+    return M.model_importance(spark, M.RF, bench.models[M.RF], bench.prep.feature_names)
+
+
+@register("train_gbt", None, ("M8", "M13"))
+def q_train_gbt(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, (M.GB,))
+    return M.model_importance(spark, M.GB, bench.models[M.GB], bench.prep.feature_names)
+
+
+@register("train_mlp", None, ("M9", "S12"))
+def q_train_mlp(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, (M.NN,))
+    rows = M.training_history(bench.models[M.NN], M.NN)
+    return spark.createDataFrame(rows, "model string, iteration int, loss double")
+
+
+@register("permutation_importance", None, ("M10", "A35"))
+def q_permutation_importance(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, (M.NN,))
+    return M.permutation_importance(bench, M.NN)
+
+
+@register("predictions", None, ("M14", "J4"))
+def q_predictions(spark, sf_dir):
+    return M.predictions(benchmark(spark, sf_dir))
+
+
+@register("model_benchmark", None, ("M15", "A26", "A27", "A28", "T7"))
+def q_model_benchmark(spark, sf_dir):
+    metrics, _ = _metrics(spark, sf_dir)
+    return leaderboard(metrics)
+
+
+@register("model_registry", None, ("M16", "R13", "S9", "T3", "T5"))
+def q_model_registry(spark, sf_dir):
+    """Per model: metrics, top-5 features and artifact path; the best model flagged.
+    Models are also saved with MLlib's writer under the checkpoint folder (S10, S11)."""
+    metrics, bench = _metrics(spark, sf_dir)
+    imp = None
+    for n in bench.models:
+        part = (M.permutation_importance(bench, n) if n == M.NN
+                else M.model_importance(spark, n, bench.models[n], bench.prep.feature_names))
+        part = part.select("model", "feature", "importance", "importance_type")
+        imp = part if imp is None else imp.unionByName(part)
+    top5 = (top_features(imp, 5, ["model"], order_col="importance")
+            .groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top_rank", "feature"))),
+                                                           lambda s: s.getField("feature")), ", ").alias("top_features")))
+    root = os.path.join(ensure_checkpoint_dir(spark), "models")
+    M.save_models(bench, root)
+    path = F.concat(F.lit(root + "/"), F.lower(F.regexp_replace("model", " ", "_")), F.lit("/model"))
+    lb = leaderboard(metrics)
+    best_rank = F.min(F.when(F.col("f1") > 0, F.col("rank"))).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())
+    return (lb.join(top5, "model", "left").withColumn("model_path", path)
+            .withColumn("is_best", F.col("rank") == best_rank))
+
+
+@register("shapley_attribution", None, ("X2", "X3", "X4", "X12"))
+def q_shapley_attribution(spark, sf_dir):
+    name, _, bench = best_model(spark, sf_dir)
+    return M.shapley_attribution(bench, name).withColumn("model", F.lit(name))
+
+
+@register("explain_sample", None, ("P18",))
+def q_explain_sample(spark, sf_dir):
+    bench = benchmark(spark, sf_dir, ())
+    return M.explain_sample(bench.test, S.key, 200).select(S.key, "label")
+
+
+@register("score_batch", None, ("R12", "S14", "F15", "F16"))
+def q_score_batch(spark, sf_dir):
+    name, acc, bench = best_model(spark, sf_dir)
+    return score_records(raw_records(spark, sf_dir), bench, name, acc)
