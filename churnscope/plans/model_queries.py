@@ -132,3 +132,22 @@ def q_explain_sample(spark, sf_dir):
 def q_score_batch(spark, sf_dir):
     name, acc, bench = best_model(spark, sf_dir)
     return score_records(raw_records(spark, sf_dir), bench, name, acc)
+
+
+@register("stream_score", None, ("ST1",))
+def q_stream_score(spark, sf_dir):
+    """The raw records written as JSON files to a fresh folder under the checkpoint
+    folder, scored by the streaming query (available-now trigger), read back."""
+    import uuid
+
+    from churnscope.streaming.scorer import read_output, start_scorer
+    name, acc, bench = best_model(spark, sf_dir)
+    root = os.path.join(ensure_checkpoint_dir(spark), "stream", uuid.uuid4().hex)
+    raw_records(spark, sf_dir).write.mode("overwrite").json(os.path.join(root, "in"))
+    q = start_scorer(spark, bench, name, os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt"),
+                     acc)
+    q.awaitTermination()
+    scored, rejected = read_output(spark, os.path.join(root, "out"))
+    return scored.drop("batch_id").unionByName(
+        rejected.drop("batch_id").select("customer_id", F.lit(False).alias("is_valid"), "errors"),
+        allowMissingColumns=True)
