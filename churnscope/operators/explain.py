@@ -86,7 +86,7 @@ def global_importance(attr: DataFrame) -> DataFrame:
     per = attr.groupBy("feature").agg(stable(F.avg(F.abs("contribution"))).alias("shap_importance"))
     # one row per feature from here on (bounded by the feature count)
     w_all = Window.partitionBy()
-    share = stable(F.col("shap_importance") / F.sum("shap_importance").over(w_all) * 100.0)
+    share = stable(F.try_divide(F.col("shap_importance"), F.sum("shap_importance").over(w_all)) * 100.0)
     return (per.withColumn("shap_importance_normalized", share)
             .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("shap_importance"), "feature"))))
 
@@ -172,8 +172,8 @@ def contrib_split(attr: DataFrame, key: str = "customer_id") -> DataFrame:
     """Sum of positive and of negative contributions per record (0 when none)."""
     c = F.col("contribution")
     return attr.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0)).alias("total_positive"),
-        F.coalesce(F.sum(F.when(c < 0, c)), F.lit(0.0)).alias("total_negative"),
+        stable(F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0))).alias("total_positive"),
+        stable(F.coalesce(F.sum(F.when(c < 0, c)), F.lit(0.0))).alias("total_negative"),
         F.sum(F.when(c > 0, 1).otherwise(0)).cast("long").alias("n_increasing"),
         F.sum(F.when(c < 0, 1).otherwise(0)).cast("long").alias("n_decreasing"))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
+from churnscope.functions.stats import stable
 from churnscope.session import ensure_checkpoint_dir
 from churnscope.spec import RoleSpec
 
@@ -244,8 +245,10 @@ def shapley_attribution(bench: Benchmark, name: str, rows: DataFrame | None = No
                      F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, w_in[size - 1])
                      .otherwise(-w_in[size]).alias("c")) for i, n in enumerate(names)]
     terms = v.select(key, "mask", "v", F.explode(F.array(*coef)).alias("t"))
-    phi = terms.groupBy(key, "t.feature", "t.feature_ord").agg(F.sum(F.col("v") * F.col("t.c")).alias("contribution"))
-    base = v.where(F.col("mask") == 0).select(key, F.col("v").alias("expected_value"))
+    # rounded to STAT_DIGITS so the values do not depend on the summation order (the
+    # same rows give the same attribution whatever the partitioning, batch or stream)
+    phi = terms.groupBy(key, "t.feature", "t.feature_ord").agg(stable(F.sum(F.col("v") * F.col("t.c"))).alias("contribution"))
+    base = v.where(F.col("mask") == 0).select(key, stable(F.col("v")).alias("expected_value"))
     return phi.join(base, key).select(key, "feature", "feature_ord", "contribution", "expected_value")
 
 

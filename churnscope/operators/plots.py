@@ -90,8 +90,8 @@ def density_curve(df: DataFrame, spec: RoleSpec, columns=None, grid_size: int =
            .agg(F.sum("n").alias("n_class"),
                 (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_m"),
                 F.sum(F.col("n") * F.col("value") * F.col("value")).alias("_s2"))
-           .withColumn("_var", (F.col("_s2") - F.col("n_class") * F.col("_m") * F.col("_m")) / (F.col("n_class") - 1))
-           .withColumn("bandwidth", F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))) * F.pow(F.col("n_class"), F.lit(-0.2)))
+           .withColumn("_var", F.try_divide(F.col("_s2") - F.col("n_class") * F.col("_m") * F.col("_m"), F.col("n_class") - 1))
+           .withColumn("bandwidth", F.sqrt(F.greatest(F.coalesce(F.col("_var"), F.lit(0.0)), F.lit(0.0))) * F.pow(F.col("n_class"), F.lit(-0.2)))
            .join(rng, "variable")
            .select("variable", "target", "n_class", "bandwidth", "g_lo", "g_hi"))
     step = (F.col("g_hi") - F.col("g_lo")) / F.lit(grid_size - 1)
