@@ -53,6 +53,28 @@ def validate_records(raw: DataFrame, spec: RoleSpec, fields=None) -> DataFrame:
         F.get(arr, 0).alias("first_error"), F.array_join(arr, "; ").alias("errors"))
 
 
+# ---- P20: factor rows from alternative layouts ------------------------------------------------------
+
+def normalize_factors(df: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Accept factor rows under the alternative field names the scoring page accepts
+    (name / display_name / value / explanation): the first present field wins, then a
+    default."""
+    cols = set(df.columns)
+
+    def pick(names, default):
+        present = [F.col(n) for n in names if n in cols]
+        return F.coalesce(*present, default) if present else default
+
+    contribution = pick(["contribution", "value"], F.lit(0.0)).cast("double")
+    return df.select(
+        key, pick(["factor_rank"], F.lit(None).cast("int")).alias("factor_rank"),
+        pick(["feature", "name"], F.lit("unknown")).alias("feature"),
+        pick(["simplified_name", "display_name", "feature"], F.lit("unknown")).alias("simplified_name"),
+        contribution.alias("contribution"),
+        pick(["abs_contribution"], F.abs(contribution)).alias("abs_contribution"),
+        pick(["reason", "explanation"], F.lit("")).alias("reason"))
+
+
 # ---- R8: impact strength ---------------------------------------------------------------------------
 
 def impact_strength(abs_c: Column) -> Column:

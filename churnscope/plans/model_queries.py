@@ -76,7 +76,7 @@ def q_train_mlp(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, iteration int, loss double")
 
 
-@register("permutation_importance", None, ("M10", "A35"))
+@register("permutation_importance", None, ("M10", "A35", "D3"))
 def q_permutation_importance(spark, sf_dir):
     bench = benchmark(spark, sf_dir, (M.NN,))
     return M.permutation_importance(bench, M.NN)
@@ -93,7 +93,7 @@ def q_model_benchmark(spark, sf_dir):
     return leaderboard(metrics)
 
 
-@register("model_registry", None, ("M16", "R13", "S9", "T3", "T5"))
+@register("model_registry", None, ("M16", "R13", "S9", "S10", "S11", "T3", "T5"))
 def q_model_registry(spark, sf_dir):
     """Per model: metrics, top-5 features and artifact path; the best model flagged.
     Models are also saved with MLlib's writer under the checkpoint folder (S10, S11)."""
@@ -116,7 +116,7 @@ def q_model_registry(spark, sf_dir):
             .withColumn("is_best", F.col("rank") == best_rank))
 
 
-@register("shapley_attribution", None, ("X2", "X3", "X4", "X12"))
+@register("shapley_attribution", None, ("X2", "X3", "X4", "X12", "D3"))
 def q_shapley_attribution(spark, sf_dir):
     name, _, bench = best_model(spark, sf_dir)
     return M.shapley_attribution(bench, name).withColumn("model", F.lit(name))

@@ -38,6 +38,6 @@ def load_all() -> dict[str, Query]:
     """Import every query module so its ``register`` calls run."""
     from churnscope.plans import (  # noqa: F401
         eda_queries, evaluate_queries, explain_queries, model_queries, plot_queries, prepare_queries,
-        profile_queries, rule_queries,
+        profile_queries, report_queries, rule_queries,
     )
     return REGISTRY
