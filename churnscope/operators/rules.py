@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions import texts as TX
+from churnscope.functions.stats import stable
 from churnscope.spec import SIGNIFICANT_FACTOR, RoleSpec
 
 
@@ -118,8 +119,8 @@ def key_takeaways(top: DataFrame, key: str = "customer_id") -> DataFrame:
     """Up to five takeaways per record from its factor list."""
     c = F.col("contribution")
     per = top.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(c > 0, F.col("abs_contribution"))), F.lit(0.0)).alias("total_risk"),
-        F.coalesce(F.sum(F.when(c < 0, F.abs(c))), F.lit(0.0)).alias("total_protection"),
+        stable(F.coalesce(F.sum(F.when(c > 0, F.col("abs_contribution"))), F.lit(0.0))).alias("total_risk"),
+        stable(F.coalesce(F.sum(F.when(c < 0, F.abs(c))), F.lit(0.0))).alias("total_protection"),
         F.min(F.when(c > 0, F.struct("factor_rank", "simplified_name"))).alias("_top_risk"),
         F.min(F.when(c < 0, F.struct("factor_rank", "simplified_name"))).alias("_top_prot"),
         F.sum(F.when(F.col("abs_contribution") > SIGNIFICANT_FACTOR, 1).otherwise(0)).cast("long").alias("n_significant"),

@@ -90,8 +90,8 @@ def q_factor_explanations(spark, sf_dir):
 WITH {FEAT}, {_TF},
 per AS (
   SELECT customer_id,
-         COALESCE(SUM(CASE WHEN contribution > 0 THEN abs_contribution END), 0.0) AS total_risk,
-         COALESCE(SUM(CASE WHEN contribution < 0 THEN ABS(contribution) END), 0.0) AS total_protection,
+         ROUND(COALESCE(SUM(CASE WHEN contribution > 0 THEN abs_contribution END), 0.0), 9) AS total_risk,
+         ROUND(COALESCE(SUM(CASE WHEN contribution < 0 THEN ABS(contribution) END), 0.0), 9) AS total_protection,
          arg_min(CASE WHEN contribution > 0 THEN simplified_name END, CASE WHEN contribution > 0 THEN factor_rank END) AS top_risk,
          arg_min(CASE WHEN contribution < 0 THEN simplified_name END, CASE WHEN contribution < 0 THEN factor_rank END) AS top_prot,
          CAST(SUM(CASE WHEN abs_contribution > 0.02 THEN 1 ELSE 0 END) AS BIGINT) AS n_significant,
@@ -114,12 +114,7 @@ SELECT p.customer_id, p.total_risk, p.total_protection, p.n_significant,
 FROM per p JOIN ranked r ON p.customer_id = r.customer_id AND r.rn <= 5
 GROUP BY p.customer_id, p.total_risk, p.total_protection, p.n_significant"""), ("R10", "A34", "F9"))
 def q_key_takeaways(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from churnscope.functions.stats import stable
-    kt = rules.key_takeaways(top_factor_frame(spark, sf_dir))
-    return kt.withColumn("total_risk", stable(F.col("total_risk"))).withColumn(
-        "total_protection", stable(F.col("total_protection")))
+    return rules.key_takeaways(top_factor_frame(spark, sf_dir))
 
 
 # ---- R3 / R4 / R5 --------------------------------------------------------------------------------------------
