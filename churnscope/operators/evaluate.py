@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.ranking import exclusive_running_sum
 from churnscope.functions.stats import count_where
-from churnscope.session import shuffle_partitions
+from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 
 THRESHOLD = 0.5
 
@@ -55,7 +55,7 @@ def classification_metrics(df: DataFrame, group_cols=(), label: str = "target",
 
 
 def roc_auc(df: DataFrame, group_cols=(), label: str = "target", score: str = "score",
-            n_buckets: int | None = None) -> DataFrame:
+            n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Area under the ROC curve per group = P(score+ > score-) + P(tie)/2.
 
     0.5 when all scores are equal (the reference's guard); null when one class is
@@ -65,6 +65,11 @@ def roc_auc(df: DataFrame, group_cols=(), label: str = "target", score: str = "s
     gc = list(group_cols)
     y = F.col(label)
     hist = df.groupBy(*gc, score).agg(count_where(y == 1).alias("pos"), count_where(y == 0).alias("neg"))
+    if materialize:
+        # the histogram feeds three passes (bounds, bucket totals, running sums): write
+        # it once (it has one row per distinct score, at most as many as the input)
+        ensure_checkpoint_dir(df.sparkSession)
+        hist = hist.checkpoint(eager=True)
     nb = n_buckets or shuffle_partitions(df.sparkSession)
     run = exclusive_running_sum(hist, gc, score, ["neg"], nb)
     pairs = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + 0.5 * F.col("neg"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions.ranking import global_row_number
-from churnscope.session import shuffle_partitions
+from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 from churnscope.spec import SPLIT_SEED, SPLIT_TEST_SIZE, RoleSpec
 
 MAX_CATEGORIES = 1000
@@ -55,11 +55,19 @@ def split_allocation(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
 
 
 def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED,
-                     order: str = "hash", n_buckets: int | None = None) -> DataFrame:
+                     order: str = "hash", n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``split`` ('train'/'test'): per class, the first n_test rows in the seeded
     order are test. Ranks come from ``global_row_number`` (range buckets + offsets), so
-    no class is ever held in one task; the allocation table has one row per class."""
+    no class is ever held in one task; the allocation table has one row per class.
+
+    The input is read by four passes (class counts, bucket bounds, bucket counts, the
+    ranking itself); with ``materialize`` it is written once to the checkpoint folder
+    first, so an expensive input (e.g. features aggregated from all orders) is computed
+    once and a lost executor re-reads it rather than recomputing it."""
     nb = n_buckets or shuffle_partitions(df.sparkSession)
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     alloc = split_allocation(df, spec, test_size)
     ranked = global_row_number(df.withColumn("_ord", split_order(spec, seed, order)), [spec.target],
                                ["_ord", spec.key], nb, out="_rank")
