@@ -12,7 +12,7 @@ Values are returned unrounded; ``present`` applies the reference's table roundin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.binning import add_bin, bin_domain, bin_ordinal, right_closed_bin
@@ -24,9 +24,10 @@ def target_label(t: Column) -> Column:
     return F.when(t == 0, TARGET_LABELS[0]).when(t == 1, TARGET_LABELS[1])
 
 
-def _all_window() -> Window:
-    # Only ever applied to already-aggregated tables (a few rows per domain value).
-    return Window.partitionBy()
+def _grand_total(agg: DataFrame, col: str = "count") -> Column:
+    """The table's total as a scalar subquery (one value, broadcast by Spark), so a
+    share never needs a window that pulls every group into one task."""
+    return agg.select(F.sum(col)).scalar()
 
 
 def present(df: DataFrame, digits: dict) -> DataFrame:
@@ -48,7 +49,7 @@ def target_distribution(df: DataFrame, spec: RoleSpec) -> DataFrame:
     """Count and share of each target value, most frequent first (value_counts)."""
     t = spec.target
     agg = df.groupBy(F.col(t).alias("churn")).agg(F.count(F.lit(1)).alias("count"))
-    return (agg.withColumn("percentage", share_pct(F.col("count"), F.sum("count").over(_all_window())))
+    return (agg.withColumn("percentage", share_pct(F.col("count"), _grand_total(agg)))
             .withColumn("churn_label", target_label(F.col("churn")))
             .orderBy(F.desc("count"), "churn"))
 
@@ -56,7 +57,7 @@ def target_distribution(df: DataFrame, spec: RoleSpec) -> DataFrame:
 def value_frequency(df: DataFrame, column: str) -> DataFrame:
     """Count and share of each value, in value order (value_counts().sort_index())."""
     agg = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return (agg.withColumn("percentage", share_pct(F.col("count"), F.sum("count").over(_all_window())))
+    return (agg.withColumn("percentage", share_pct(F.col("count"), _grand_total(agg)))
             .orderBy("value"))
 
 
