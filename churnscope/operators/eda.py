@@ -172,6 +172,29 @@ def combined_category_churn_union(df: DataFrame, spec: RoleSpec, columns=None) -
     return out.orderBy("var_ord", "category")
 
 
+def category_churn_from_counts(counts: DataFrame, columns, n: str = "n", s: str = "s", s2: str = "s2",
+                               z: str = "z") -> DataFrame:
+    """A11 from pre-aggregated rows ``(categories..., n, s, s2, z)`` with n = rows,
+    s = sum(target), s2 = sum(target^2), z = rows with target 0. Lets a caller reduce a
+    fact table by its join keys before joining dimensions (eager aggregation); counts
+    and sums are decomposable, so the result equals aggregating the joined rows."""
+    cols = list(columns)
+    order = {c: i for i, c in enumerate(cols)}
+    items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("category")) for c in cols])
+    long = counts.select(F.explode(items).alias("_u"), n, s, s2, z).select("_u.variable", "_u.category", n, s, s2, z)
+    agg = long.groupBy("variable", "category").agg(
+        F.sum(n).cast("long").alias("count"), F.sum(s).cast("long").alias("churned"),
+        F.sum(z).cast("long").alias("not_churned"), F.sum(s).alias("_s"), F.sum(s2).alias("_s2"))
+    mean = F.col("_s") / F.col("count")
+    var = F.greatest(F.col("_s2") / F.col("count") - mean * mean, F.lit(0.0))
+    var_ord = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(order[c]))])
+    return (agg.select("variable", "category", "count", "churned", "not_churned", mean.alias("churn_rate"),
+                       stable(F.sqrt(var) / F.sqrt(F.col("count"))).alias("std_error"))
+            .withColumn("churn_rate_pct", F.col("churn_rate") * 100.0)
+            .withColumn("var_ord", var_ord[F.col("variable")])
+            .orderBy("var_ord", "category"))
+
+
 def value_churn(df: DataFrame, spec: RoleSpec, column: str) -> DataFrame:
     """Count, churned, rate and rate % per integer value."""
     t = F.col(spec.target)

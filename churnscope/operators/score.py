@@ -16,7 +16,7 @@ from churnscope.operators.models import Benchmark, positive_probability, shapley
 from churnscope.operators.rules import recommendations, validate_records
 
 RESPONSE_COLUMNS = ("customer_id", "is_valid", "errors", "probability", "predicted_class", "risk_level",
-                    "recommendation", "n_recommendations", "recommendations", "response_json")
+                    "recommendation", "n_recommendations", "recommendations", "response_json", "scored_at")
 
 
 def typed_records(checked: DataFrame, spec) -> DataFrame:
@@ -72,6 +72,9 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
         .alias("model_info"))
     scored_rows = body.select(key, "probability", "predicted_class", "risk_level", "recommendation",
                               "n_recommendations", "recommendations", F.to_json(response).alias("response_json"))
+    # the response time stamp is kept out of the JSON body so that equal inputs give
+    # equal bodies (batch = stream); ISO text as the reference returns it
     return (checked.select(key, "is_valid", "errors").join(scored_rows, key, "left")
-            .select(*RESPONSE_COLUMNS))
+            .withColumn("scored_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+            .select(key, *RESPONSE_COLUMNS[1:]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from churnscope.operators import eda
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import bins_case, case_map, lit, long_sql, mode_sql, values_table
-from churnscope.sources.fixtures import churn_features, line_returns, sql_with
+from churnscope.sources.fixtures import churn_features, line_category_counts, line_returns, sql_with
 from churnscope.spec import AGE_EDGES, AGE_LABELS, CHURN_SPEC, LINE_SPEC, SERVICE_EDGES, SERVICE_LABELS
 
 S = CHURN_SPEC
@@ -126,7 +126,8 @@ def q_combined_category_union(spark, sf_dir):
 @register("line_category_churn", sql_with(["line_returns"], _combined_sql("line_returns", LINE_SPEC.categorical)),
           ("A11",))
 def q_line_category_churn(spark, sf_dir):
-    return eda.combined_category_churn(line_returns(spark, sf_dir), LINE_SPEC)
+    counts = line_category_counts(spark, sf_dir)
+    return eda.category_churn_from_counts(counts, LINE_SPEC.categorical)
 
 
 # ---- A10 ---------------------------------------------------------------------------------------
@@ -222,7 +223,16 @@ SELECT 0 AS pair_ord, 'supplier_region x priority' AS interaction, supplier_regi
        priority AS second_value, AVG(target) AS churn_rate, COUNT(*) AS count
 FROM line_returns GROUP BY supplier_region, priority"""), ("A19",))
 def q_line_interaction_rates(spark, sf_dir):
-    return eda.interaction_rates(line_returns(spark, sf_dir), LINE_SPEC)
+    # from the eagerly aggregated line counts: the supplier join sees one row per
+    # supplier and category pair, not every line item
+    from pyspark.sql import functions as F
+    counts = line_category_counts(spark, sf_dir)
+    a, b = LINE_SPEC.interactions[0]
+    return (counts.groupBy(a, b).agg(F.sum("n").alias("count"), F.sum("s").alias("_s"))
+            .select(F.lit(0).alias("pair_ord"), F.lit(f"{a} x {b}").alias("interaction"),
+                    F.col(a).alias("first_value"), F.col(b).alias("second_value"),
+                    (F.col("_s") / F.col("count")).alias("churn_rate"), "count")
+            .orderBy("first_value", "second_value"))
 
 
 # ---- A21 / A22 / A40 / P5 / P8 ----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnscope.operators import models as M
@@ -111,7 +112,8 @@ def q_model_registry(spark, sf_dir):
     M.save_models(bench, root)
     path = F.concat(F.lit(root + "/"), F.lower(F.regexp_replace("model", " ", "_")), F.lit("/model"))
     lb = leaderboard(metrics)
-    best_rank = F.min(F.when(F.col("f1") > 0, F.col("rank"))).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())
+    # one row per model: a global window over it is bounded
+    best_rank = F.min(F.when(F.col("f1") > 0, F.col("rank"))).over(Window.partitionBy())
     return (lb.join(top5, "model", "left").withColumn("model_path", path)
             .withColumn("is_best", F.col("rank") == best_rank))
 
