@@ -99,7 +99,7 @@ WITH s AS (SELECT model, model_ord, target, score, CASE WHEN score > 0.5 THEN 1
 c AS (SELECT model, model_ord, {_CM} FROM s GROUP BY model, model_ord),
 m AS (SELECT *, {_METRICS} FROM c),
 {_auc_sql('model_scores', 'model')},
-board AS (SELECT m.*, auc2.roc_auc, ROW_NUMBER() OVER (ORDER BY m.f1 DESC, m.model_ord) AS rank
+board AS (SELECT m.*, auc2.roc_auc, CAST(ROW_NUMBER() OVER (ORDER BY m.f1 DESC, m.model_ord) AS INTEGER) AS rank
           FROM m JOIN auc2 ON m.model = auc2.model)"""
 
 

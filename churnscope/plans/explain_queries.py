@@ -70,7 +70,7 @@ FEAT = _feat_sql()
 
 _IMP = """imp AS (SELECT feature, ROUND(AVG(ABS(contribution)), 9) AS shap_importance FROM attributions GROUP BY feature),
 gi AS (SELECT feature, shap_importance, ROUND(shap_importance / SUM(shap_importance) OVER () * 100.0, 9) AS shap_importance_normalized,
-              ROW_NUMBER() OVER (ORDER BY shap_importance DESC, feature) AS rank FROM imp),
+              CAST(ROW_NUMBER() OVER (ORDER BY shap_importance DESC, feature) AS INTEGER) AS rank FROM imp),
 dirn AS (SELECT feature, mean_shap,
                 CASE WHEN mean_shap > GREATEST(1e-6, MAX(ABS(mean_shap)) OVER () * 0.01) THEN 'increases churn'
                      WHEN mean_shap < -GREATEST(1e-6, MAX(ABS(mean_shap)) OVER () * 0.01) THEN 'reduces churn'
@@ -78,7 +78,7 @@ dirn AS (SELECT feature, mean_shap,
          FROM (SELECT feature, ROUND(AVG(contribution), 9) AS mean_shap FROM attributions GROUP BY feature))"""
 
 _TF = """tf_all AS (SELECT a.customer_id,
-                  ROW_NUMBER() OVER (PARTITION BY a.customer_id ORDER BY ABS(a.contribution) DESC, f.feature_ord) AS factor_rank,
+                  CAST(ROW_NUMBER() OVER (PARTITION BY a.customer_id ORDER BY ABS(a.contribution) DESC, f.feature_ord) AS INTEGER) AS factor_rank,
                   a.feature, COALESCE(f.simplified_name, a.feature) AS simplified_name, a.contribution,
                   ABS(a.contribution) AS abs_contribution,
                   CASE WHEN a.contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction

@@ -62,7 +62,7 @@ cats AS (SELECT variable, value, ROW_NUMBER() OVER (PARTITION BY variable ORDER
 
 @register("one_hot", sql_with(V, f"""
 WITH {_TRAIN}, {_CATS}
-SELECT l.customer_id, c.variable || '_' || c.value AS feature, CASE WHEN l.value = c.value THEN 1.0 ELSE 0.0 END AS x
+SELECT l.customer_id, c.variable || '_' || c.value AS feature, CAST(CASE WHEN l.value = c.value THEN 1.0 ELSE 0.0 END AS DOUBLE) AS x
 FROM lt l JOIN cats c ON l.variable = c.variable WHERE c.vo > 1"""), ("M2",))
 def q_one_hot(spark, sf_dir):
     df, prep = fitted(spark, sf_dir)

@@ -77,7 +77,7 @@ def _text_sql(risk: bool) -> str:
 @register("factor_explanations", sql_with(["attributions"], f"""
 WITH {FEAT}, {_TF},
 s AS (SELECT *, CASE WHEN contribution > 0 THEN 'increasing' ELSE 'decreasing' END AS side FROM tf WHERE contribution <> 0),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id, side ORDER BY factor_rank) AS side_rank FROM s)
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY customer_id, side ORDER BY factor_rank) AS INTEGER) AS side_rank FROM s)
 SELECT customer_id, side, side_rank, feature, simplified_name, contribution, {_STRENGTH} AS impact_strength,
        CASE WHEN side = 'increasing' THEN {_text_sql(True)} ELSE {_text_sql(False)} END AS explanation
 FROM r WHERE side_rank <= 5"""), ("R9", "J6", "P19", "P20", "W3", "F1", "F5"))
