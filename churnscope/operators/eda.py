@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.binning import add_bin, bin_domain, bin_ordinal, right_closed_bin
 from churnscope.functions.stats import count_where, mode_lowest, quantile, share_pct, stable, std_error_pop
+from churnscope.sources.tables import require_columns
 from churnscope.spec import OUTLIER_K, TARGET_LABELS, BinSpec, RoleSpec
 
 
@@ -38,6 +39,7 @@ def present(df: DataFrame, digits: dict) -> DataFrame:
 def unpivot_columns(df: DataFrame, columns, keep, value_type: str | None = None,
                     var: str = "variable", val: str = "value") -> DataFrame:
     """Long form: one row per input row and listed column (a generator, no join)."""
+    require_columns(df, list(columns) + list(keep), "input table")
     vals = [F.col(c) if value_type is None else F.col(c).cast(value_type) for c in columns]
     items = F.array(*[F.struct(F.lit(c).alias(var), v.alias(val)) for c, v in zip(columns, vals)])
     return df.select(*keep, F.explode(items).alias("_u")).select(*keep, f"_u.{var}", f"_u.{val}")

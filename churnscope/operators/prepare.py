@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.ranking import global_row_number
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
+from churnscope.sources.tables import require_columns
 from churnscope.spec import SPLIT_SEED, SPLIT_TEST_SIZE, RoleSpec
 
 MAX_CATEGORIES = 1000
@@ -64,6 +65,7 @@ def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
     ranking itself); with ``materialize`` it is written once to the checkpoint folder
     first, so an expensive input (e.g. features aggregated from all orders) is computed
     once and a lost executor re-reads it rather than recomputing it."""
+    require_columns(df, [spec.key, spec.target], "stratified_split input")
     nb = n_buckets or shuffle_partitions(df.sparkSession)
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
@@ -169,6 +171,7 @@ def distinct_values(df: DataFrame, columns, max_categories: int = MAX_CATEGORIES
 def fit_preparation(train: DataFrame, spec: RoleSpec, max_categories: int = MAX_CATEGORIES) -> Preparation:
     """Means and population deviations of the numeric features (one aggregate row) and
     sorted category values of the categorical ones, from the training rows only."""
+    require_columns(train, spec.features, "training rows")
     aggs = []
     for c in spec.numeric:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions import texts as TX
 from churnscope.functions.stats import stable
+from churnscope.sources.tables import require_columns
 from churnscope.spec import SIGNIFICANT_FACTOR, RoleSpec
 
 
@@ -28,6 +29,9 @@ def validate_records(raw: DataFrame, spec: RoleSpec, fields=None) -> DataFrame:
     listed in check order; ``first_error`` is what a one-error check would report."""
     by_ref = {spec.analog.get(c, c): c for c in spec.features}
     fields = list(fields or [by_ref.get(r, r) for r in TX.REQUIRED_FIELDS])
+    # a missing column is a contract error before any job runs; a missing value is a
+    # per-record error reported in the output
+    require_columns(raw, [spec.key] + fields, "scoring records")
     age_c, svc_c, ffl_c = by_ref.get("Ages"), by_ref.get("ServicesOpted"), by_ref.get("FrequentFlyer")
     errs = []
     for f in fields:

@@ -4,6 +4,7 @@ metadata as a JSON document read back (S4-S7, P1, P10, P12, M4)."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from churnscope.operators import eda, prepare
 from churnscope.plans.registry import register
 from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources import sinks
-from churnscope.sources.fixtures import churn_features
-from churnscope.sources.tables import rename_if_present
+from churnscope.sources.fixtures import churn_features, sql_with
+from churnscope.sources.tables import read_csv, rename_if_present
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -81,3 +82,13 @@ def q_prep_metadata(spark, sf_dir):
     path = os.path.join(ensure_checkpoint_dir(spark), "metadata", sinks.run_stamp() + "_" + str(os.getpid()))
     sinks.write_json_document(doc, path)
     return sinks.read_json(spark, path)
+
+
+@register("csv_scan", sql_with(["churn_features"], "SELECT * FROM churn_features"), ("S1", "S6"))
+def q_csv_scan(spark, sf_dir):
+    """The customer view written as CSV with a header (distributed, one file per task)
+    and read back with its declared schema (no inference pass)."""
+    cf = churn_features(spark, sf_dir)
+    path = os.path.join(ensure_checkpoint_dir(spark), "csv", sinks.run_stamp() + "_" + uuid.uuid4().hex[:8])
+    sinks.write_table(cf, os.path.dirname(path), os.path.basename(path), "csv", single_file=False)
+    return read_csv(spark, path, cf.schema)

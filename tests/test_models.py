@@ -107,3 +107,16 @@ def test_stream_equals_batch(spark, bench):
     got = sorted(tuple(r) for r in scored.select(*cols).collect())
     assert got == want
     assert rejected.count() == batch.where("NOT is_valid").count()
+
+
+def test_shapley_with_sampled_background_is_efficient(bench):
+    """With k background rows, v(S) averages over them; efficiency holds against the
+    mean prediction over the background."""
+    bg = M.background_rows(bench, k=3)
+    assert len(bg) == 3
+    rows = bench.test.limit(5)
+    phi = M.shapley_attribution(bench, M.RF, rows=rows, background=bg)
+    tot = phi.groupBy(S.key).agg(F.sum("contribution").alias("s"), F.first("expected_value").alias("e"))
+    f = M.positive_probability(bench.models[M.RF], rows).select(S.key, "probability_1")
+    bad = tot.join(f, S.key).where(F.abs(F.col("s") + F.col("e") - F.col("probability_1")) > 1e-8)
+    assert bad.count() == 0

@@ -148,3 +148,21 @@ def test_sample_customer_recommendations(spark):
                     "Reward with frequent flyer loyalty points and travel upgrades",
                     "Engage through social media exclusive offers and referral program",
                     "Promote hotel booking packages with special discounts"]
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    df = _skewed(spark).withColumn("target", F.col("y"))
+    spec = RoleSpec(key="id", target="target", numeric=("v",), categorical=("g",))
+    exact = {r.target: r for r in eda.stats_by_target(df, spec).collect()}
+    approx = {r.target: r for r in eda.stats_by_target(df, spec, approx=True).collect()}
+    for t in exact:
+        for c in ("median", "q1", "q3"):
+            assert abs(exact[t][c] - approx[t][c]) <= 0.5  # values are on a 0.25 grid over 0..100
+
+
+def test_missing_column_fails_before_any_job(spark):
+    df = spark.createDataFrame([(1, 0)], "id int, target int")
+    with pytest.raises(ValueError, match="missing required columns"):
+        eda.stats_by_target(df, ONE)
+    with pytest.raises(ValueError, match="missing required columns"):
+        prepare.fit_preparation(df, ONE)
