@@ -16,53 +16,58 @@ from pyspark.sql import functions as F
 
 _BOUNDS = "_rk_bounds"
 _BUCKET = "_rk_bucket"
-_ALL = "_rk_all"
 
 
-def _with_buckets(df: DataFrame, partition_cols: list, order_col: str, n_buckets: int):
-    """Add a bucket id that is monotone in ``order_col`` within each partition group."""
-    pc = list(partition_cols)
-    if not pc:
-        df = df.withColumn(_ALL, F.lit(0))
-        pc = [_ALL]
+def _with_buckets(df: DataFrame, pc: list, order_col: str, n_buckets: int) -> DataFrame:
+    """Add a bucket id that is monotone in ``order_col`` within each partition group.
+
+    Bucket bounds are ``n_buckets - 1`` approximate quantiles of the order column per
+    group: one small row per group, broadcast by the group key (or, with no group, a
+    scalar subquery)."""
     n_buckets = max(1, int(n_buckets))
     if n_buckets == 1:
-        return df.withColumn(_BUCKET, F.lit(0)), pc
+        return df.withColumn(_BUCKET, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*pc).agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias(_BOUNDS))
-    # bounds: one row per partition group, n_buckets-1 numbers each
-    b = df.join(F.broadcast(bounds), pc)
+    sketch = F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias(_BOUNDS)
+    if pc:
+        b = df.join(F.broadcast(df.groupBy(*pc).agg(sketch)), pc)
+    else:
+        b = df.withColumn(_BOUNDS, df.agg(sketch).scalar())
     bucket = F.size(F.filter(F.col(_BOUNDS), lambda q: q < F.col(order_col).cast("double")))
-    return b.withColumn(_BUCKET, bucket).drop(_BOUNDS), pc
+    return b.withColumn(_BUCKET, bucket).drop(_BOUNDS)
+
+
+def _offset_window(pc: list):
+    # over per-bucket totals: groups x buckets rows, bounded by the bucket count
+    w = Window.partitionBy(*pc) if pc else Window.partitionBy()
+    return w.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def global_row_number(df: DataFrame, partition_cols, order_cols, n_buckets: int, out: str = "rank") -> DataFrame:
     """1-based row number within ``partition_cols`` ordered by ``order_cols`` (the first
     one decides the bucket; later ones only break ties)."""
+    pc = list(partition_cols)
     order_cols = list(order_cols)
-    b, pc = _with_buckets(df, list(partition_cols), order_cols[0], n_buckets)
+    b = _with_buckets(df, pc, order_cols[0], n_buckets)
     counts = b.groupBy(*pc, _BUCKET).agg(F.count(F.lit(1)).alias("_rk_n"))
-    w_off = Window.partitionBy(*pc).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*pc, _BUCKET, F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"))
+    offsets = counts.select(*pc, _BUCKET, F.coalesce(F.sum("_rk_n").over(_offset_window(pc)), F.lit(0)).alias("_rk_off"))
     w_loc = Window.partitionBy(*pc, _BUCKET).orderBy(*order_cols)
-    res = (b.join(F.broadcast(offsets), pc + [_BUCKET])
-           .withColumn(out, F.col("_rk_off") + F.row_number().over(w_loc))
-           .drop("_rk_off", _BUCKET))
-    return res.drop(_ALL) if _ALL in res.columns else res
+    return (b.join(F.broadcast(offsets), pc + [_BUCKET])
+            .withColumn(out, F.col("_rk_off") + F.row_number().over(w_loc))
+            .drop("_rk_off", _BUCKET))
 
 
 def exclusive_running_sum(df: DataFrame, partition_cols, order_col: str, sum_cols, n_buckets: int,
                           suffix: str = "_before") -> DataFrame:
     """For each row, the sum of ``sum_cols`` over rows of its group with a smaller
     ``order_col``. Order values must be distinct within a group (aggregate first)."""
-    b, pc = _with_buckets(df, list(partition_cols), order_col, n_buckets)
+    pc = list(partition_cols)
+    b = _with_buckets(df, pc, order_col, n_buckets)
     tot = b.groupBy(*pc, _BUCKET).agg(*[F.sum(c).alias(f"_rk_t_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*pc).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*pc, _BUCKET, *[F.coalesce(F.sum(f"_rk_t_{c}").over(w_off), F.lit(0)).alias(f"_rk_o_{c}")
-                                         for c in sum_cols])
+    offsets = tot.select(*pc, _BUCKET, *[F.coalesce(F.sum(f"_rk_t_{c}").over(_offset_window(pc)), F.lit(0))
+                                         .alias(f"_rk_o_{c}") for c in sum_cols])
     w_loc = Window.partitionBy(*pc, _BUCKET).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     res = b.join(F.broadcast(offsets), pc + [_BUCKET])
     for c in sum_cols:
         res = res.withColumn(c + suffix, F.col(f"_rk_o_{c}") + F.coalesce(F.sum(c).over(w_loc), F.lit(0)))
-    res = res.drop(_BUCKET, *[f"_rk_o_{c}" for c in sum_cols])
-    return res.drop(_ALL) if _ALL in res.columns else res
+    return res.drop(_BUCKET, *[f"_rk_o_{c}" for c in sum_cols])

@@ -89,7 +89,9 @@ def evaluate_scores(df: DataFrame, group_cols=(), label: str = "target", score:
     pred = df.withColumn("predicted", predict_at(F.col(score), threshold))
     m = classification_metrics(pred, gc, label, "predicted")
     a = roc_auc(df, gc, label, score).select(*gc, "roc_auc")
-    return m.join(a, gc) if gc else m.withColumn("_k", F.lit(0)).join(a.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    if gc:
+        return m.join(a, gc)  # one row per group on both sides
+    return m.withColumn("roc_auc", a.select("roc_auc").scalar())
 
 
 def classification_report(df: DataFrame, group_cols=(), label: str = "target", pred: str = "predicted") -> DataFrame:

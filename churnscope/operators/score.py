@@ -14,6 +14,7 @@ from churnscope.operators.evaluate import risk_columns
 from churnscope.operators.explain import contrib_split, feature_metadata, top_factors
 from churnscope.operators.models import Benchmark, positive_probability, shapley_attribution
 from churnscope.operators.rules import recommendations, validate_records
+from churnscope.session import ensure_checkpoint_dir
 
 RESPONSE_COLUMNS = ("customer_id", "is_valid", "errors", "probability", "predicted_class", "risk_level",
                     "recommendation", "n_recommendations", "recommendations", "response_json", "scored_at")
@@ -35,16 +36,27 @@ def typed_records(checked: DataFrame, spec) -> DataFrame:
 
 
 def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accuracy: float | None = None,
-                  background: list | None = None) -> DataFrame:
-    """One output row per input record; invalid records carry their errors and no score."""
+                  background: list | None = None, materialize: bool = True) -> DataFrame:
+    """One output row per input record; invalid records carry their errors and no score.
+
+    The checked records and the attributions (2^F model evaluations per record, the
+    expensive step) each feed several branches of the output (scores, factor lists,
+    totals, recommendations, response); with ``materialize`` both are written once to
+    the checkpoint folder, partitioned by the record key, so nothing is recomputed and
+    the joins on the key find both sides already partitioned by it."""
     spec = bench.spec
     key = spec.key
     spark = raw.sparkSession
-    checked = validate_records(raw, spec)
+    checked = validate_records(raw, spec).repartition(key)
+    if materialize:
+        ensure_checkpoint_dir(spark)
+        checked = checked.checkpoint(eager=True)
     good = typed_records(checked, spec)
     feats = bench.prep.transform(good, keep=[key])
     scored = positive_probability(bench.models[model_name], feats).select(key, F.col("probability_1").alias("score"))
     attr = shapley_attribution(bench, model_name, rows=feats, background=background)
+    if materialize:
+        attr = attr.checkpoint(eager=True)
     meta = feature_metadata(spark, spec, bench.prep.categories)
     top = top_factors(attr, meta, key)
     recs = recommendations(good, scored, top, spec)
