@@ -208,8 +208,33 @@ def value_churn(df: DataFrame, spec: RoleSpec, column: str) -> DataFrame:
 
 # --- A16 / A17: Tukey fences -----------------------------------------------------------------
 
+def value_histogram(long: DataFrame, group_cols=("variable",)) -> DataFrame:
+    """(group..., value, n): one pass over the rows with map-side combine; its size is
+    the number of distinct values, whatever the row count or skew."""
+    return long.groupBy(*group_cols, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fences_from_hist(h: DataFrame) -> DataFrame:
+    """Tukey fences and summary statistics per variable from the value histogram
+    (frequency-weighted exact quantiles; mode = most frequent, lowest on ties)."""
+    v, n = F.col("value"), F.col("n")
+
+    def q(p):
+        return stable(F.percentile(v, F.lit(p), n).cast("double"))
+
+    return (h.groupBy("variable")
+            .agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.sum(n).alias("n"), F.min(v).alias("min_value"),
+                 F.max(v).alias("max_value"), stable(F.sum(v * n) / F.sum(n)).alias("mean"), q(0.5).alias("median"),
+                 F.min(F.struct((-n).alias("_neg_n"), v.alias("_v"))).getField("_v").alias("mode"))
+            .withColumn("iqr", F.col("q3") - F.col("q1"))
+            .withColumn("lower_fence", F.col("q1") - OUTLIER_K * F.col("iqr"))
+            .withColumn("upper_fence", F.col("q3") + OUTLIER_K * F.col("iqr")))
+
+
 def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
     v = F.col("value")
+    if not approx:
+        return _fences_from_hist(value_histogram(long))
     return (long.groupBy("variable")
             .agg(quantile(v, 0.25, approx).alias("q1"), quantile(v, 0.75, approx).alias("q3"),
                  F.count(v).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
@@ -221,14 +246,21 @@ def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
 
 def outlier_summary(df: DataFrame, spec: RoleSpec, columns=None, approx: bool = False) -> DataFrame:
     """Q1, Q3, IQR, fences, outlier count and %, min, max, mean, median, mode per
-    numeric column. Pass 1 fits the fences (one row per column, broadcast); pass 2
-    counts the rows outside them."""
+    numeric column. The rows are read once, into a per-variable value histogram; the
+    fences (one row per variable) and the outlier counts come from the histogram."""
     cols = list(columns or spec.numeric)
     long = unpivot_columns(df, cols, [], "double")
-    fences = _fences(long, approx)
     outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    counts = (long.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
-              .groupBy("variable").agg(count_where(outside).alias("outlier_count")))
+    if approx:
+        fences = _fences(long, approx)
+        counts = (long.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
+                  .groupBy("variable").agg(count_where(outside).alias("outlier_count")))
+    else:
+        h = value_histogram(long)
+        fences = _fences_from_hist(h)
+        counts = (h.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
+                  .groupBy("variable").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).cast("long")
+                                           .alias("outlier_count")))
     return (fences.join(counts, "variable")
             .withColumn("outlier_percentage", F.col("outlier_count") / F.col("n") * 100.0)
             .select("variable", "q1", "q3", "iqr", "lower_fence", "upper_fence", "outlier_count",

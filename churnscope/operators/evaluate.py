@@ -54,23 +54,23 @@ def classification_metrics(df: DataFrame, group_cols=(), label: str = "target",
     return metrics_from_confusion(confusion(df, group_cols, label, pred))
 
 
-def roc_auc(df: DataFrame, group_cols=(), label: str = "target", score: str = "score",
-            n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
-    """Area under the ROC curve per group = P(score+ > score-) + P(tie)/2.
-
-    0.5 when all scores are equal (the reference's guard); null when one class is
-    absent (undefined). The score histogram has one row per distinct score; each row
-    needs the number of negatives scored lower, an exact distributed running sum.
-    """
-    gc = list(group_cols)
+def score_histogram(df: DataFrame, group_cols=(), label: str = "target", score: str = "score",
+                    materialize: bool = True) -> DataFrame:
+    """(group..., score, pos, neg): positives and negatives per distinct score, one pass
+    over the scored rows. Both the confusion matrix at any threshold and the AUC are
+    functions of it. With ``materialize`` it is written once to the checkpoint folder
+    (it feeds several passes: bounds, bucket totals, running sums, confusion)."""
     y = F.col(label)
-    hist = df.groupBy(*gc, score).agg(count_where(y == 1).alias("pos"), count_where(y == 0).alias("neg"))
+    hist = df.groupBy(*group_cols, score).agg(count_where(y == 1).alias("pos"), count_where(y == 0).alias("neg"))
     if materialize:
-        # the histogram feeds three passes (bounds, bucket totals, running sums): write
-        # it once (it has one row per distinct score, at most as many as the input)
         ensure_checkpoint_dir(df.sparkSession)
         hist = hist.checkpoint(eager=True)
-    nb = n_buckets or shuffle_partitions(df.sparkSession)
+    return hist
+
+
+def auc_from_histogram(hist: DataFrame, group_cols=(), score: str = "score", n_buckets: int | None = None) -> DataFrame:
+    gc = list(group_cols)
+    nb = n_buckets or shuffle_partitions(hist.sparkSession)
     run = exclusive_running_sum(hist, gc, score, ["neg"], nb)
     pairs = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + 0.5 * F.col("neg"))
     agg = run.groupBy(*gc).agg(F.sum(pairs).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
@@ -82,13 +82,36 @@ def roc_auc(df: DataFrame, group_cols=(), label: str = "target", score: str = "s
                       F.col("n_neg").cast("long").alias("n_neg"))
 
 
+def confusion_from_histogram(hist: DataFrame, group_cols=(), score: str = "score",
+                             threshold: float = THRESHOLD) -> DataFrame:
+    above = F.col(score) > F.lit(threshold)
+    return hist.groupBy(*group_cols).agg(
+        F.sum(F.when(~above, F.col("neg")).otherwise(0)).cast("long").alias("tn"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("long").alias("fn"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("long").alias("tp"))
+
+
+def roc_auc(df: DataFrame, group_cols=(), label: str = "target", score: str = "score",
+            n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
+    """Area under the ROC curve per group = P(score+ > score-) + P(tie)/2.
+
+    0.5 when all scores are equal (the reference's guard); null when one class is
+    absent (undefined). The score histogram has one row per distinct score; each row
+    needs the number of negatives scored lower, an exact distributed running sum.
+    """
+    hist = score_histogram(df, group_cols, label, score, materialize)
+    return auc_from_histogram(hist, group_cols, score, n_buckets)
+
+
 def evaluate_scores(df: DataFrame, group_cols=(), label: str = "target", score: str = "score",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """Metrics + AUC per group, from probability scores."""
+    """Metrics + AUC per group from one pass over the scored rows (via the score
+    histogram)."""
     gc = list(group_cols)
-    pred = df.withColumn("predicted", predict_at(F.col(score), threshold))
-    m = classification_metrics(pred, gc, label, "predicted")
-    a = roc_auc(df, gc, label, score).select(*gc, "roc_auc")
+    hist = score_histogram(df, gc, label, score)
+    m = metrics_from_confusion(confusion_from_histogram(hist, gc, score, threshold))
+    a = auc_from_histogram(hist, gc, score).select(*gc, "roc_auc")
     if gc:
         return m.join(a, gc)  # one row per group on both sides
     return m.withColumn("roc_auc", a.select("roc_auc").scalar())
