@@ -39,7 +39,9 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [a for a in sys.argv[1:]] or list(HEADLINE)
-    spark = get_spark(f"local[{cpus}]", app_name="churnscope-bench", shuffle_partitions=max(8, 2 * cpus),
+    # one shuffle partition per core at this size; on a cluster size it to the data
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = get_spark(f"local[{cpus}]", app_name="churnscope-bench", shuffle_partitions=parts,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
                              "spark.ui.showConsoleProgress": "false"})
     reg = load_all()
