@@ -153,3 +153,42 @@ def q_stream_score(spark, sf_dir):
     return scored.drop("batch_id").unionByName(
         rejected.drop("batch_id").select("customer_id", F.lit(False).alias("is_valid"), "errors"),
         allowMissingColumns=True)
+
+
+@register("shap_summary", None, ("X9", "X6", "X7", "T4", "S5", "S4"))
+def q_shap_summary(spark, sf_dir):
+    """The attribution summary document of the best model: its name, feature count,
+    the three most important features of the concise business table, the reference
+    categories and the dependence-plot list; written as JSON and read back."""
+    from churnscope.operators.explain import business_interpretation, dependence_list, feature_metadata
+    from churnscope.sources import sinks
+
+    name, _, bench = best_model(spark, sf_dir)
+    attr = M.shapley_attribution(bench, name).select(S.key, "feature", "contribution")
+    attr = attr.checkpoint(eager=True)  # three aggregates read it
+    meta = feature_metadata(spark, S, bench.prep.categories)
+    concise = ("rank", "feature", "business_interpretation", "feature_type", "impact_direction", "mean_shap",
+               "shap_importance", "shap_importance_normalized", "recommended_action")
+    top3 = (business_interpretation(attr, meta).where(F.col("rank") <= 3)
+            .agg(F.array_sort(F.collect_list(F.struct(*concise))).alias("v")))
+    deps = (dependence_list(attr)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("plot_rank", "file_name"))),
+                             lambda s: s.getField("file_name")).alias("v")))
+    refs = [(c, v[0], ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in bench.prep.categories.items()]
+    ref_arr = F.array(*[F.struct(F.lit(a).alias("categorical_feature"), F.lit(b).alias("reference_category"),
+                                 F.lit(c).alias("all_categories"), F.lit(d).alias("encoded_features_in_model"))
+                        for a, b, c, d in refs])
+    # every part is one row: scalar subqueries put them side by side without a join
+    doc = spark.range(1).select(
+        F.lit(name).alias("model_name"), F.lit(len(bench.prep.feature_names)).alias("total_features"),
+        top3.select("v").scalar().alias("top_3_features"), ref_arr.alias("reference_categories"),
+        F.array(F.lit("shap_summary_bar.png")).alias("visualization_files"),
+        deps.select("v").scalar().alias("dependence_plots"))
+    path = os.path.join(ensure_checkpoint_dir(spark), "shap_results", uuid_hex())
+    sinks.write_json_document(doc, path)
+    return sinks.read_json(spark, path)
+
+
+def uuid_hex() -> str:
+    import uuid
+    return uuid.uuid4().hex

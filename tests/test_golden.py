@@ -215,3 +215,17 @@ def test_logistic_regression_confusion_matches_reference(spark):
     r = evaluate.confusion(p.withColumn("target", F.col("target").cast("int"))).first()
     assert (r.tn, r.fp, r.fn, r.tp) == (118, 28, 11, 34)
     assert not math.isnan(bench.models[M.LR].intercept)
+
+
+def test_random_forest_quality_floor_on_reference_split(spark):
+    """Forests use a different random generator than the reference, so parity is a
+    floor, not equality (reference: F1 0.755, recall 0.822 on the same 191 rows)."""
+    from churnscope.operators import models as M
+    train = _positional(spark, "X_train_raw.csv", "y_train_raw.csv").withColumn("split", F.lit("train"))
+    test = _positional(spark, "X_test_raw.csv", "y_test_raw.csv").withColumn("split", F.lit("test"))
+    prep, data = M.prepare_frame(train.unionByName(test.withColumn("row_id", F.col("row_id") + 100000)), PREP_SPEC)
+    bench = M.fit_models(M.Benchmark(PREP_SPEC, prep, data), (M.RF,))
+    p = M.positive_probability(bench.models[M.RF], bench.test).withColumn("target", F.col("label").cast("int"))
+    m = evaluate.evaluate_scores(p.select("target", F.col("probability_1").alias("score"))).first()
+    assert m.n_samples == 191
+    assert m.f1 >= 0.70 and m.recall >= 0.75 and m.roc_auc >= 0.90
