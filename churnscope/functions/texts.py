@@ -21,9 +21,10 @@ GLOSSARY = {
 }
 GLOSSARY_DEFAULT = "Feature related to customer behaviour"
 
-# Rule-based action per feature: (name part, action if increases churn, action otherwise,
-# action if 'reduces churn' only). Checked in this order; the first name part
-# contained in the feature name decides.
+# Rule-based action per feature: (name part, first action, second action). Checked in
+# this order; the first name part contained in the feature name decides. Which of the
+# two actions applies (direction, or 'Low' in the name for income) is in
+# ``operators/explain.recommended_action``.
 ACTION_RULES = (
     ("ServicesOpted", "Offer targeted upsell bundle or 30-day free trial to increase engagement",
      "Highlight existing service benefits in retention messaging"),
@@ -88,8 +89,8 @@ IMPACT_LEVELS = ((0.1, "HIGH"), (0.05, "MEDIUM"), (0.01, "LOW"))
 IMPACT_DEFAULT = "MINIMAL"
 
 # Explanation texts: (key contained in the lower-cased display name, risk text, protective text).
-RISK_TEXT_AGE_SIG = "Older age groups show significantly higher churn rates"
-RISK_TEXT_AGE = "Older age groups show higher churn rates"
+RISK_TEXT_AGE_TEMPLATE = "Older age groups show {}higher churn rates"
+RISK_TEXT_AGE_SIGNIFICANT_WORD = "significantly "
 EXPLANATIONS = (
     ("age", None, "Age group shows lower churn propensity"),
     ("frequent flyer", "Frequent flyers are more likely to explore competitor offers",
@@ -106,6 +107,8 @@ EXPLANATIONS = (
 RISK_TEXT_DEFAULT = "This feature significantly impacts churn prediction"
 PROTECTIVE_TEXT_DEFAULT = "This feature reduces churn risk probability"
 AGE_SIGNIFICANT = 0.05
+RISK_TEXT_AGE_SIG = RISK_TEXT_AGE_TEMPLATE.format(RISK_TEXT_AGE_SIGNIFICANT_WORD)
+RISK_TEXT_AGE = RISK_TEXT_AGE_TEMPLATE.format("")
 
 # Key takeaways.
 TAKEAWAY_RISKY = "Customer has significantly more risk factors than protective factors"

@@ -356,9 +356,15 @@ def correlation_matrix(df: DataFrame, spec: RoleSpec) -> DataFrame:
     (var_a, var_b, ord_a, ord_b, r); all pairs in one aggregate over one scan."""
     enc = encoded_columns(df, spec)
     names = [n for n, _, _ in spec.corr_columns]
-    # covariance over the product of deviations; try_divide gives null (not an ANSI
-    # division error) when a column is constant
-    aggs = [stable(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"{i}_{j}")
+    # covariance over the product of deviations, all three over the rows where both
+    # values are present (pairwise, as pandas and SQL CORR); try_divide gives null (not an
+    # ANSI division error) when a column is constant
+    def pearson(a, b):
+        x = F.when(F.col(b).isNotNull(), F.col(a))
+        y = F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    aggs = [stable(pearson(a, b)).alias(f"{i}_{j}")
             for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
     wide = enc.agg(*aggs)
     items = []

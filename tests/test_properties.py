@@ -166,3 +166,17 @@ def test_missing_column_fails_before_any_job(spark):
         eda.stats_by_target(df, ONE)
     with pytest.raises(ValueError, match="missing required columns"):
         prepare.fit_preparation(df, ONE)
+
+
+def test_correlation_is_pairwise_with_nulls(spark):
+    rows = [(1.0, 2.0), (2.0, None), (3.0, 5.0), (None, 1.0), (5.0, 4.0), (6.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("target", F.lit(0))
+    spec = RoleSpec(key="a", target="target", numeric=(), categorical=(),
+                    corr_columns=(("a", "a", None), ("b", "b", None)), target_display="b")
+    got = {(r.var_a, r.var_b): r.r for r in eda.correlation_matrix(df, spec).collect()}
+    pairs = [(x, y) for x, y in rows if x is not None and y is not None]
+    n = len(pairs)
+    mx, my = sum(x for x, _ in pairs) / n, sum(y for _, y in pairs) / n
+    cov = sum((x - mx) * (y - my) for x, y in pairs)
+    want = cov / (sum((x - mx) ** 2 for x, _ in pairs) ** 0.5 * sum((y - my) ** 2 for _, y in pairs) ** 0.5)
+    assert got[("a", "b")] == pytest.approx(want, abs=1e-9)
