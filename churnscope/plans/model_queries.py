@@ -192,3 +192,40 @@ def q_shap_summary(spark, sf_dir):
 def uuid_hex() -> str:
     import uuid
     return uuid.uuid4().hex
+
+
+@register("shap_importance_table", None, ("X6", "X7", "X8", "A31", "A32", "W1"))
+def q_shap_importance_table(spark, sf_dir):
+    """The enriched business table (every feature) over the best model's Shapley values
+    for the test rows: rank, type, interpretation, meaning, direction, signed mean,
+    importance and share, confidence and the recommended action."""
+    from churnscope.operators.explain import business_interpretation, feature_metadata
+
+    name, _, bench = best_model(spark, sf_dir)
+    attr = M.shapley_attribution(bench, name).select(S.key, "feature", "contribution").checkpoint(eager=True)
+    return business_interpretation(attr, feature_metadata(spark, S, bench.prep.categories)) \
+        .withColumn("model", F.lit(name))
+
+
+@register("prepared_outputs", None, ("S6", "S7", "M1", "M2", "M3", "P2"))
+def q_prepared_outputs(spark, sf_dir):
+    """The preparation outputs as files: processed and raw feature matrices and targets
+    of both splits (distributed CSV writes, one folder each, run-stamped); returns the
+    index with row counts read back."""
+    from churnscope.sources import sinks
+
+    bench = benchmark(spark, sf_dir, ())
+    names = bench.prep.feature_names
+    split = prepare.stratified_split(churn_features(spark, sf_dir), S)
+    folder = sinks.run_folder(os.path.join(ensure_checkpoint_dir(spark), "prepared"), "prepared_data")
+    tables = {}
+    for part in ("train", "test"):
+        proc = bench.data.where(F.col("split") == part)
+        tables[f"X_{part}_processed"] = proc.select(*[F.col(f"`{n}`") for n in names])
+        tables[f"y_{part}_raw"] = proc.select(F.col("label").cast("int").alias("Target"))
+        tables[f"X_{part}_raw"] = split.where(F.col("split") == part).select(*S.features)
+    rows = []
+    for t, df in tables.items():
+        path = sinks.write_table(df, folder, t, "csv", single_file=False)
+        rows.append((t, path, spark.read.option("header", True).csv(path).count()))
+    return spark.createDataFrame(rows, "table_name string, path string, rows long")
