@@ -244,6 +244,21 @@ def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
             .withColumn("upper_fence", F.col("q3") + OUTLIER_K * F.col("iqr")))
 
 
+def outlier_summary_from_histogram(h: DataFrame) -> DataFrame:
+    """A16 from a (variable, value, n) histogram built by the caller (e.g. eagerly
+    aggregated below a join)."""
+    fences = _fences_from_hist(h)
+    outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
+    counts = (h.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
+              .groupBy("variable").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).cast("long")
+                                       .alias("outlier_count")))
+    return (fences.join(counts, "variable")
+            .withColumn("outlier_percentage", F.col("outlier_count") / F.col("n") * 100.0)
+            .select("variable", "q1", "q3", "iqr", "lower_fence", "upper_fence", "outlier_count",
+                    "outlier_percentage", "min_value", "max_value", "mean", "median", "mode")
+            .orderBy("variable"))
+
+
 def outlier_summary(df: DataFrame, spec: RoleSpec, columns=None, approx: bool = False) -> DataFrame:
     """Q1, Q3, IQR, fences, outlier count and %, min, max, mean, median, mode per
     numeric column. The rows are read once, into a per-variable value histogram; the
@@ -256,11 +271,7 @@ def outlier_summary(df: DataFrame, spec: RoleSpec, columns=None, approx: bool =
         counts = (long.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
                   .groupBy("variable").agg(count_where(outside).alias("outlier_count")))
     else:
-        h = value_histogram(long)
-        fences = _fences_from_hist(h)
-        counts = (h.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")
-                  .groupBy("variable").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).cast("long")
-                                           .alias("outlier_count")))
+        return outlier_summary_from_histogram(value_histogram(long))
     return (fences.join(counts, "variable")
             .withColumn("outlier_percentage", F.col("outlier_count") / F.col("n") * 100.0)
             .select("variable", "q1", "q3", "iqr", "lower_fence", "upper_fence", "outlier_count",

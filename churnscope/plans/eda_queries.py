@@ -5,7 +5,7 @@ from __future__ import annotations
 from churnscope.operators import eda
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import bins_case, case_map, lit, long_sql, mode_sql, values_table
-from churnscope.sources.fixtures import churn_features, line_category_counts, line_returns, sql_with
+from churnscope.sources.fixtures import churn_features, line_category_counts, line_returns, line_value_histogram, sql_with
 from churnscope.spec import AGE_EDGES, AGE_LABELS, CHURN_SPEC, LINE_SPEC, SERVICE_EDGES, SERVICE_LABELS
 
 S = CHURN_SPEC
@@ -171,7 +171,7 @@ def q_outlier_summary(spark, sf_dir):
 @register("line_outlier_summary", sql_with(["line_returns"], _outlier_summary_sql("line_returns", LINE_SPEC.numeric)),
           ("A16",))
 def q_line_outlier_summary(spark, sf_dir):
-    return eda.outlier_summary(line_returns(spark, sf_dir), LINE_SPEC)
+    return eda.outlier_summary_from_histogram(line_value_histogram(spark, sf_dir, LINE_SPEC.numeric))
 
 
 @register("outlier_detail", sql_with([CF], f"""

@@ -120,6 +120,30 @@ def line_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("line_status", "supplier_region", "priority", "n", "s", "s2", "z"))
 
 
+def line_value_histogram(spark: SparkSession, sf_dir: str, columns=("quantity", "discount")) -> DataFrame:
+    """(variable, value, n) over ``line_returns`` for its numeric columns, aggregated
+    eagerly: after the order join (a semi join here: the order's columns are not
+    needed), line items are grouped by (supplier, variable, value) with grouping sets
+    and map-side combine, so the supplier join sees at most one row per supplier and
+    distinct value per task. Exact: the supplier join's multiplicity carries through n.
+    """
+    exprs = {"quantity": F.col("l_quantity").cast("int").cast("double"), "discount": F.col("l_discount").cast("double")}
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey")
+    supp = (read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+            .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("s_suppkey"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount")
+    kept = li.join(orders, li.l_orderkey == orders.o_orderkey, "left_semi")
+    items = F.array(*[F.struct(F.lit(c).alias("variable"), exprs[c].alias("value")) for c in columns])
+    long = kept.select("l_suppkey", F.explode(items).alias("u")).select("l_suppkey", "u.variable", "u.value")
+    pre = long.groupBy("l_suppkey", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    return (pre.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy("variable", "value").agg(F.sum("n").alias("n")))
+
+
 def score_expr(df: DataFrame) -> Column:
     """The integer-point scorecard of the ``scored`` view (no exp: exact in any engine)."""
     pts = (
