@@ -86,12 +86,16 @@ def density_curve(df: DataFrame, spec: RoleSpec, columns=None, grid_size: int =
     cols = list(columns or spec.numeric)
     h = _hist(df, spec, cols)
     rng = h.groupBy("variable").agg(F.min("value").alias("g_lo"), F.max("value").alias("g_hi"))
-    cls = (h.groupBy("variable", "target")
-           .agg(F.sum("n").alias("n_class"),
-                (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_m"),
-                F.sum(F.col("n") * F.col("value") * F.col("value")).alias("_s2"))
-           .withColumn("_var", F.try_divide(F.col("_s2") - F.col("n_class") * F.col("_m") * F.col("_m"), F.col("n_class") - 1))
-           .withColumn("bandwidth", F.sqrt(F.greatest(F.coalesce(F.col("_var"), F.lit(0.0)), F.lit(0.0))) * F.pow(F.col("n_class"), F.lit(-0.2)))
+    # sample variance in two passes over the (small) histogram: mean first, then the
+    # sum of squared deviations (no cancellation for large values)
+    means = h.groupBy("variable", "target").agg(F.sum("n").alias("n_class"),
+                                                (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("_m"))
+    dev = F.col("value") - F.col("_m")
+    cls = (h.join(F.broadcast(means), ["variable", "target"])  # one row per (variable, class)
+           .groupBy("variable", "target", "n_class")
+           .agg(F.sum(F.col("n") * dev * dev).alias("_ss"))
+           .withColumn("_var", F.try_divide(F.col("_ss"), F.col("n_class") - 1))
+           .withColumn("bandwidth", F.sqrt(F.coalesce(F.col("_var"), F.lit(0.0))) * F.pow(F.col("n_class"), F.lit(-0.2)))
            .join(rng, "variable")
            .select("variable", "target", "n_class", "bandwidth", "g_lo", "g_hi"))
     step = (F.col("g_hi") - F.col("g_lo")) / F.lit(grid_size - 1)

@@ -46,10 +46,12 @@ def q_histogram(spark, sf_dir):
 @register("density_curve", sql_with([CF], f"""
 WITH {_H},
 rng AS (SELECT variable, MIN(value) AS g_lo, MAX(value) AS g_hi FROM h GROUP BY variable),
-cls AS (SELECT variable, target, SUM(n) AS n_class, SUM(n * value) / SUM(n) AS m, SUM(n * value * value) AS s2
-        FROM h GROUP BY variable, target),
+mu AS (SELECT variable, target, SUM(n) AS n_class, SUM(n * value) / SUM(n) AS m FROM h GROUP BY variable, target),
+cls AS (SELECT mu.variable, mu.target, mu.n_class, SUM(h.n * (h.value - mu.m) * (h.value - mu.m)) AS ss
+        FROM h JOIN mu ON h.variable = mu.variable AND h.target = mu.target
+        GROUP BY mu.variable, mu.target, mu.n_class),
 bw AS (SELECT c.variable, c.target, c.n_class,
-              SQRT(GREATEST((s2 - n_class * m * m) / (n_class - 1), 0.0)) * POW(n_class, -0.2) AS bandwidth, r.g_lo, r.g_hi
+              SQRT(CASE WHEN n_class > 1 THEN ss / (n_class - 1) ELSE 0.0 END) * POW(n_class, -0.2) AS bandwidth, r.g_lo, r.g_hi
        FROM cls c JOIN rng r ON c.variable = r.variable),
 g AS (SELECT b.*, CAST(gi.grid_ord AS INTEGER) AS grid_ord, b.g_lo + gi.grid_ord * ((b.g_hi - b.g_lo) / 199.0) AS gx
       FROM bw b, LATERAL (SELECT UNNEST(range(0, 200)) AS grid_ord) gi WHERE b.bandwidth > 0)
