@@ -5,7 +5,7 @@ from __future__ import annotations
 from churnscope.operators import eda
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import bins_case, case_map, lit, long_sql, mode_sql, values_table
-from churnscope.sources.fixtures import churn_features, line_category_counts, line_returns, line_value_histogram, sql_with
+from churnscope.sources.fixtures import churn_features, line_category_counts, line_value_histogram, sql_with
 from churnscope.spec import AGE_EDGES, AGE_LABELS, CHURN_SPEC, LINE_SPEC, SERVICE_EDGES, SERVICE_LABELS
 
 S = CHURN_SPEC
