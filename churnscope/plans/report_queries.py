@@ -54,7 +54,7 @@ def q_eda_report(spark, sf_dir):
     }
     tables = {k: eda.present(v, DIGITS.get(k, {})) for k, v in tables.items()}
     folder = sinks.run_folder(os.path.join(ensure_checkpoint_dir(spark), "reports"))
-    idx = sinks.write_tables(tables, folder)
+    idx = sinks.write_tables(tables, folder, row_level=("outliers_detail",))
     counts = [(r.table_name, spark.read.option("header", True).csv(r.path).count()) for r in idx.collect()]
     return idx.join(spark.createDataFrame(counts, "table_name string, rows long"), "table_name")
 

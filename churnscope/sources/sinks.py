@@ -36,12 +36,14 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "csv", single_
     return path
 
 
-def write_tables(tables: dict, folder: str, fmt: str = "csv") -> DataFrame:
-    """Write every table and return an index (table, rows, path) of what was written."""
+def write_tables(tables: dict, folder: str, fmt: str = "csv", row_level=()) -> DataFrame:
+    """Write every table and return an index (table, path) of what was written.
+    Aggregate tables are written as one file; tables named in ``row_level`` (their size
+    grows with the data) keep one file per task."""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in tables.items():
-        path = write_table(df, folder, name, fmt)
+        path = write_table(df, folder, name, fmt, single_file=name not in row_level)
         rows.append((name, path))
     idx = spark.createDataFrame(rows, "table_name string, path string")
     return idx
