@@ -18,7 +18,7 @@ from churnscope.session import get_spark  # noqa: E402
 
 HEADLINE = (
     # exploratory tables over line items (the largest derived table)
-    "line_category_churn", "line_outlier_summary", "line_interaction_rates",
+    "line_category_churn", "line_outlier_summary", "line_interaction_rates", "line_stats_by_target",
     # exploratory tables over customers
     "combined_category_churn", "stats_by_target", "outlier_summary", "interaction_rates", "correlation_matrix",
     "age_band_churn", "histogram", "density_curve",

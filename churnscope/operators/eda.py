@@ -94,6 +94,30 @@ def stats_by_target(df: DataFrame, spec: RoleSpec, columns=None, approx: bool =
             .orderBy("variable", "target"))
 
 
+def stats_from_histogram(h: DataFrame, group_cols=("variable", "target")) -> DataFrame:
+    """The nine statistics of ``stats_by_target`` from a (group..., value, n) histogram:
+    frequency-weighted exact quantiles, mode (lowest on ties), and the sample standard
+    deviation in two passes over the histogram (mean first, then squared deviations)."""
+    gc = list(group_cols)
+    v, n = F.col("value"), F.col("n")
+
+    def q(p):
+        return stable(F.percentile(v, F.lit(p), n).cast("double"))
+
+    base = h.groupBy(*gc).agg(
+        F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("_m"), q(0.5).alias("median"),
+        F.min(F.struct((-n).alias("_neg_n"), v.alias("_v"))).getField("_v").cast("double").alias("mode"),
+        F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
+        q(0.25).alias("q1"), q(0.75).alias("q3"))
+    dev = F.col("value") - F.col("_m")
+    ss = (h.join(F.broadcast(base.select(*gc, "_m")), gc)  # one row per group: bounded
+          .groupBy(*gc).agg(F.sum(F.col("n") * dev * dev).alias("_ss")))
+    return (base.join(ss, gc)
+            .select(*gc, "count", stable(F.col("_m")).alias("mean"), "median", "mode",
+                    stable(F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))).alias("std"),
+                    "min", "max", "q1", "q3"))
+
+
 def overall_stats(df: DataFrame, spec: RoleSpec, columns=None, approx: bool = False) -> DataFrame:
     """The same nine statistics over the whole table, long form (variable, statistic, value)."""
     cols = list(columns or spec.numeric)

@@ -55,6 +55,18 @@ def q_stats_by_target(spark, sf_dir):
     return eda.stats_by_target(churn_features(spark, sf_dir), S)
 
 
+@register("line_stats_by_target", sql_with(["line_returns"], _stats_sql("line_returns", LINE_SPEC.numeric, True).replace(
+    "SELECT l.*,", f"SELECT l.*, {LABEL_SQL.format(t='l.target')} AS target_label,")), ("A6", "A14", "A15"))
+def q_line_stats_by_target(spark, sf_dir):
+    """A6 over the line-item view from an eagerly aggregated (variable, target, value)
+    histogram: the rows are read once and reduced below the supplier join."""
+    from pyspark.sql import functions as F
+    h = line_value_histogram(spark, sf_dir, LINE_SPEC.numeric, by_target=True)
+    return (eda.stats_from_histogram(h)
+            .withColumn("target_label", eda.target_label(F.col("target")))
+            .orderBy("variable", "target"))
+
+
 _STAT_ORDER = ("count", "mean", "median", "mode", "std", "min", "max", "q1", "q3")
 _STAT_LABELS = ("Count", "Mean", "Median", "Mode", "Std", "Min", "Max", "Q1", "Q3")
 _overall_body = _stats_sql(CF, S.numeric, False) + "\n"

@@ -120,7 +120,8 @@ def line_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("line_status", "supplier_region", "priority", "n", "s", "s2", "z"))
 
 
-def line_value_histogram(spark: SparkSession, sf_dir: str, columns=("quantity", "discount")) -> DataFrame:
+def line_value_histogram(spark: SparkSession, sf_dir: str, columns=("quantity", "discount"),
+                         by_target: bool = False) -> DataFrame:
     """(variable, value, n) over ``line_returns`` for its numeric columns, aggregated
     eagerly: after the order join (a semi join here: the order's columns are not
     needed), line items are grouped by (supplier, variable, value) with grouping sets
@@ -135,13 +136,16 @@ def line_value_histogram(spark: SparkSession, sf_dir: str, columns=("quantity",
             .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_discount",
+                                                      "l_returnflag")
     kept = li.join(orders, li.l_orderkey == orders.o_orderkey, "left_semi")
     items = F.array(*[F.struct(F.lit(c).alias("variable"), exprs[c].alias("value")) for c in columns])
-    long = kept.select("l_suppkey", F.explode(items).alias("u")).select("l_suppkey", "u.variable", "u.value")
-    pre = long.groupBy("l_suppkey", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["variable", "target", "value"] if by_target else ["variable", "value"]
+    t = F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("target")
+    long = kept.select("l_suppkey", t, F.explode(items).alias("u")).select("l_suppkey", "target", "u.variable", "u.value")
+    pre = long.groupBy("l_suppkey", *keys).agg(F.count(F.lit(1)).alias("n"))
     return (pre.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("variable", "value").agg(F.sum("n").alias("n")))
+            .groupBy(*keys).agg(F.sum("n").alias("n")))
 
 
 def score_expr(df: DataFrame) -> Column:
