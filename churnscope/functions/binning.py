@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from churnscope.sources.tables import literal_frame
 from churnscope.spec import BinSpec
 
 
@@ -37,5 +37,5 @@ def add_bin(df: DataFrame, spec: BinSpec) -> DataFrame:
 
 def bin_domain(spark: SparkSession, spec: BinSpec) -> DataFrame:
     """All bins of a spec, observed or not (a handful of rows fixed by the spec)."""
-    schema = T.StructType([T.StructField(spec.name, T.StringType()), T.StructField("bin_ord", T.IntegerType())])
-    return spark.createDataFrame([(label, i) for i, label in enumerate(spec.labels)], schema)
+    return literal_frame(spark, [(label, i) for i, label in enumerate(spec.labels)],
+                         [(spec.name, "string"), ("bin_ord", "int")])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions import texts as TX
 from churnscope.functions.stats import stable
+from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
 
 META_SCHEMA = ("feature_ord int, feature string, feature_type string, variable string, value string, "
@@ -44,7 +45,8 @@ def feature_rows(spec: RoleSpec, categories: dict) -> list:
 
 
 def feature_metadata(spark: SparkSession, spec: RoleSpec, categories: dict) -> DataFrame:
-    return spark.createDataFrame(feature_rows(spec, categories), META_SCHEMA)
+    return literal_frame(spark, feature_rows(spec, categories),
+                         [tuple(c.strip().split(" ", 1)) for c in META_SCHEMA.split(",")])
 
 
 # ---- X1 / X12: linear attribution -------------------------------------------------------------

@@ -26,6 +26,7 @@ from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
 from churnscope.functions.stats import stable
 from churnscope.session import ensure_checkpoint_dir
+from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
 
 # Benchmark order (first model wins an F1 tie) and artifact names.
@@ -141,7 +142,8 @@ def model_importance(spark: SparkSession, name: str, model: Model, feature_names
     else:
         raise ValueError(f"{name} has no built-in importance; use permutation_importance")
     rows = [(name, f, v, IMPORTANCE_TYPE[name]) for f, v in zip(feature_names, vals)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double, importance_type string")
+    return literal_frame(spark, rows, [("model", "string"), ("feature", "string"), ("importance", "double"),
+                                       ("importance_type", "string")])
 
 
 def training_history(model: Model, name: str) -> list:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.ranking import global_row_number
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
-from churnscope.sources.tables import require_columns
+from churnscope.sources.tables import literal_frame, require_columns
 from churnscope.spec import SPLIT_SEED, SPLIT_TEST_SIZE, RoleSpec
 
 MAX_CATEGORIES = 1000
@@ -136,9 +136,9 @@ class Preparation:
     def category_info(self, spark) -> DataFrame:
         rows = [(i, c, vals[0], ", ".join(vals), ", ".join(self.encoded[c]), len(vals))
                 for i, (c, vals) in enumerate(self.categories.items())]
-        return spark.createDataFrame(
-            rows, "var_ord int, variable string, reference_category string, all_categories string, "
-                  "encoded_columns string, n_values int")
+        return literal_frame(spark, rows, [("var_ord", "int"), ("variable", "string"), ("reference_category", "string"),
+                                           ("all_categories", "string"), ("encoded_columns", "string"),
+                                           ("n_values", "int")])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.functions.stats import mode_lowest
+from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -63,8 +64,8 @@ def infer_roles(df: DataFrame, spec: RoleSpec) -> DataFrame:
         else:
             role = "other"
         rows.append((i, f.name, portable_type(f.dataType), role))
-    schema = "column_ord int, column_name string, data_type string, role string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal_frame(df.sparkSession, rows, [("column_ord", "int"), ("column_name", "string"),
+                                                 ("data_type", "string"), ("role", "string")])
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list:

@@ -11,6 +11,7 @@ from churnscope.operators.prepare import distinct_values
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import case_map, lit, long_sql
 from churnscope.sources.fixtures import ATTRIBUTION_WEIGHTS, attributions, churn_features, sql_with
+from churnscope.sources.tables import literal_frame
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -152,8 +153,8 @@ FROM cats GROUP BY variable, ref"""), ("X9", "F7", "P4"))
 def q_reference_categories(spark, sf_dir):
     cats = distinct_values(churn_features(spark, sf_dir), list(S.categorical))
     rows = [(c, v[0], ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in cats.items()]
-    return spark.createDataFrame(rows, "categorical_feature string, reference_category string, all_categories string, "
-                                       "encoded_features_in_model string")
+    return literal_frame(spark, rows, [("categorical_feature", "string"), ("reference_category", "string"),
+                                       ("all_categories", "string"), ("encoded_features_in_model", "string")])
 
 
 @register("contrib_split", sql_with(V, """

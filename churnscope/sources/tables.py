@@ -67,3 +67,13 @@ def require_columns(df: DataFrame, columns, what: str = "input") -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{what} is missing required columns: {missing}")
+
+
+def literal_frame(spark: SparkSession, rows, columns) -> DataFrame:
+    """A small table of literal rows built inside the JVM plan (``inline`` of an array
+    of structs): no Python worker and no local-data transfer. ``columns`` is a list of
+    (name, SQL type). For bounded metadata only (band domains, feature metadata)."""
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in columns))
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, columns)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
