@@ -32,8 +32,12 @@ def _grand_total(agg: DataFrame, col: str = "count") -> Column:
 
 
 def present(df: DataFrame, digits: dict) -> DataFrame:
-    """Round selected columns half-to-even, as the reference's tables are."""
-    return df.select(*[F.bround(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+    """Round selected columns half-to-even, as the reference's tables are. As there, a
+    rate in percent is derived from the already rounded rate."""
+    out = df.select(*[F.bround(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+    if "churn_rate_pct" in digits and "churn_rate" in digits:
+        out = out.withColumn("churn_rate_pct", F.bround(F.col("churn_rate") * 100.0, digits["churn_rate_pct"]))
+    return out
 
 
 def unpivot_columns(df: DataFrame, columns, keep, value_type: str | None = None,

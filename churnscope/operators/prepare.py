@@ -126,9 +126,20 @@ class Preparation:
                 cols.append(F.when(F.col(c) == F.lit(v), 1.0).otherwise(0.0).alias(f"{c}_{v}"))
         return cols
 
-    def transform(self, df: DataFrame, keep=(), vector: str | None = "features") -> DataFrame:
-        """Scaled numerics first, then one-hot columns; optionally a ``features`` vector."""
-        out = df.select(*keep, *self.feature_columns())
+    def unknown_flag(self) -> Column:
+        """True when a categorical value was not seen in fitting (it encodes like the
+        reference category, as in the reference; the flag makes that visible)."""
+        flags = [F.col(c).isNotNull() & ~F.col(c).isin(*self.categories[c]) for c in self.categorical]
+        out = F.lit(False)
+        for f in flags:
+            out = out | f
+        return out
+
+    def transform(self, df: DataFrame, keep=(), vector: str | None = "features", flag_unknown: bool = False) -> DataFrame:
+        """Scaled numerics first, then one-hot columns; optionally a ``features`` vector
+        and an ``unknown_category`` flag."""
+        extra = [self.unknown_flag().alias("unknown_category")] if flag_unknown else []
+        out = df.select(*keep, *self.feature_columns(), *extra)
         if vector:
             out = VectorAssembler(inputCols=self.feature_names, outputCol=vector).transform(out)
         return out

@@ -17,7 +17,8 @@ from churnscope.operators.rules import recommendations, validate_records
 from churnscope.session import ensure_checkpoint_dir
 
 RESPONSE_COLUMNS = ("customer_id", "is_valid", "errors", "probability", "predicted_class", "risk_level",
-                    "recommendation", "n_recommendations", "recommendations", "response_json", "scored_at")
+                    "recommendation", "n_recommendations", "recommendations", "unknown_category", "response_json",
+                    "scored_at")
 
 
 def typed_records(checked: DataFrame, spec) -> DataFrame:
@@ -52,7 +53,7 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
         ensure_checkpoint_dir(spark)
         checked = checked.checkpoint(eager=True)
     good = typed_records(checked, spec)
-    feats = bench.prep.transform(good, keep=[key])
+    feats = bench.prep.transform(good, keep=[key], flag_unknown=True)
     scored = positive_probability(bench.models[model_name], feats).select(key, F.col("probability_1").alias("score"))
     attr = shapley_attribution(bench, model_name, rows=feats, background=background)
     if materialize:
@@ -66,6 +67,7 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
     p = F.col("probability")
     _level, color, _action, _alert = risk_columns(p)
     body = (recs.join(split, key, "left").join(contrib, key, "left").join(good, key, "left")
+            .join(feats.select(key, "unknown_category"), key, "left")
             .withColumn("predicted_class", (p > 0.5).cast("int"))
             .withColumn("risk_color", color))
     by_ref = {spec.analog.get(c, c): c for c in spec.features}
@@ -83,7 +85,8 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
         F.struct(F.lit(model_name).alias("name"), F.lit(model_accuracy).cast("double").alias("accuracy"))
         .alias("model_info"))
     scored_rows = body.select(key, "probability", "predicted_class", "risk_level", "recommendation",
-                              "n_recommendations", "recommendations", F.to_json(response).alias("response_json"))
+                              "n_recommendations", "recommendations", "unknown_category",
+                              F.to_json(response).alias("response_json"))
     # the response time stamp is kept out of the JSON body so that equal inputs give
     # equal bodies (batch = stream); ISO text as the reference returns it
     return (checked.select(key, "is_valid", "errors").join(scored_rows, key, "left")

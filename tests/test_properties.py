@@ -180,3 +180,18 @@ def test_correlation_is_pairwise_with_nulls(spark):
     cov = sum((x - mx) * (y - my) for x, y in pairs)
     want = cov / (sum((x - mx) ** 2 for x, _ in pairs) ** 0.5 * sum((y - my) ** 2 for _, y in pairs) ** 0.5)
     assert got[("a", "b")] == pytest.approx(want, abs=1e-9)
+
+
+def test_unknown_category_is_flagged(spark):
+    train = spark.createDataFrame([(1, 1.0, "a", 0), (2, 2.0, "b", 1)], "id int, x double, c string, target int")
+    test = spark.createDataFrame([(3, 1.5, "c", 0), (4, 1.0, "b", 1), (5, 1.0, None, 0)],
+                                 "id int, x double, c string, target int")
+    prep = prepare.fit_preparation(train, ONE)
+    got = {r.id: r.unknown_category for r in prep.transform(test, keep=["id"], vector=None, flag_unknown=True).collect()}
+    assert got == {3: True, 4: False, 5: False}
+
+
+def test_presented_rate_percent_comes_from_rounded_rate(spark):
+    df = spark.createDataFrame([(0.0675, 6.75)], "churn_rate double, churn_rate_pct double")
+    r = eda.present(df, {"churn_rate": 3, "churn_rate_pct": 1}).first()
+    assert r.churn_rate == 0.068 and r.churn_rate_pct == 6.8
