@@ -48,6 +48,18 @@ DIRECTION_NEUTRAL = "neutral"
 
 # Display names of numeric features and of categorical variables.
 DISPLAY_NUMERIC = {"Ages": "Age", "ServicesOpted": "Services Opted"}
+# Display names of encoded columns. An entry whose "(vs X)" names a category value that
+# is not the variable's reference category is not used (the name is built from the
+# category metadata instead).
+DISPLAY_FEATURE = {
+    "FrequentFlyer_No": "Not a Frequent Flyer (vs Yes)",
+    "FrequentFlyer_No Record": "No Frequent Flyer Record (vs Yes)",
+    "FrequentFlyer_Yes": "Frequent Flyer",
+    "AnnualIncomeClass_High Income": "High Income (vs Low Income)",
+    "AnnualIncomeClass_Middle Income": "Middle Income (vs Low Income)",
+    "AccountSyncedToSocialMedia_Yes": "Social Media Connected (vs Not Connected)",
+    "BookedHotelOrNot_Yes": "Booked Hotel (vs Not Booked)",
+}
 DISPLAY_VARIABLE = {
     "FrequentFlyer": "Frequent Flyer",
     "AnnualIncomeClass": "Income Class",

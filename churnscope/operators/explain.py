@@ -12,6 +12,8 @@ from the fitted category values and broadcast.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ META_SCHEMA = ("feature_ord int, feature string, feature_type string, variable s
                "simplified_name string, business_interpretation string, business_meaning string")
 
 
+def _vs_value(text: str):
+    m = re.search(r"\(vs (.+)\)$", text)
+    return m.group(1) if m else None
+
+
+def display_name(analog_variable: str, value: str, values: list, ref: str) -> str:
+    """Friendly name of an encoded column: the fixed display name when its comparison
+    is consistent with the data's reference category, else '<variable>: <value> (vs <ref>)'."""
+    fixed = TX.DISPLAY_FEATURE.get(f"{analog_variable}_{value}")
+    vs = _vs_value(fixed) if fixed else None
+    if fixed and not (vs is not None and vs in values and vs != ref):
+        return fixed
+    base = TX.DISPLAY_VARIABLE.get(analog_variable, analog_variable)
+    return f"{base}: {value} (vs {ref})"
+
+
 def feature_rows(spec: RoleSpec, categories: dict) -> list:
     """Per-feature metadata rows (numeric features first, then each categorical
     variable's non-reference values in sorted order, the one-hot layout)."""
@@ -37,9 +55,8 @@ def feature_rows(spec: RoleSpec, categories: dict) -> list:
         vals = categories[c]
         ref = vals[0]
         a = spec.analog.get(c, c)
-        base = TX.DISPLAY_VARIABLE.get(a, a)
         for v in vals[1:]:
-            rows.append([f"{c}_{v}", "categorical", c, v, ref, a, f"{c}: {v} vs {ref}", f"{base}: {v} (vs {ref})",
+            rows.append([f"{c}_{v}", "categorical", c, v, ref, a, f"{c}: {v} vs {ref}", display_name(a, v, vals, ref),
                          f"When {c} is '{v}' (vs '{ref}')", TX.GLOSSARY.get(a, TX.GLOSSARY_DEFAULT)])
     return [tuple([i] + r) for i, r in enumerate(rows)]
 

@@ -33,6 +33,26 @@ def top_factor_frame(spark, sf_dir, cf=None):
 
 # ---- shared SQL pieces --------------------------------------------------------------------------
 
+def _display_sql(built: str) -> str:
+    """The fixed display name of an encoded column unless its '(vs X)' names a category
+    value of the variable other than the reference; else the built name."""
+    from churnscope.operators.explain import _vs_value
+    by_analog = {S.analog.get(c, c): c for c in S.categorical}
+    whens = []
+    for key, text in TX.DISPLAY_FEATURE.items():
+        var_a, value = key.split("_", 1)
+        if var_a not in by_analog:
+            continue
+        var = by_analog[var_a]
+        cond = f"variable = {lit(var)} AND value = {lit(value)}"
+        vs = _vs_value(text)
+        if vs is not None:
+            cond += (f" AND (ref = {lit(vs)} OR NOT EXISTS (SELECT 1 FROM cats c2 WHERE c2.variable = {lit(var)} "
+                     f"AND c2.value = {lit(vs)}))")
+        whens.append(f"WHEN {cond} THEN {lit(text)}")
+    return f"CASE {' '.join(whens)} ELSE {built} || ': ' || value || ' (vs ' || ref || ')' END"
+
+
 def _feat_sql() -> str:
     """CTEs ``cats`` and ``feat``: per-feature metadata computed from the data."""
     var_ord = case_map("variable", {c: i for i, c in enumerate(S.categorical)})
@@ -62,7 +82,7 @@ feat AS (
   UNION ALL
   SELECT CAST({n_num - 1} + ROW_NUMBER() OVER (ORDER BY var_ord, value) AS INTEGER), variable || '_' || value,
          'categorical', variable, value, ref, {analog}, variable || ': ' || value || ' vs ' || ref,
-         {display} || ': ' || value || ' (vs ' || ref || ')',
+         {_display_sql(display)},
          'When ' || variable || ' is ''' || value || ''' (vs ''' || ref || ''')', {gloss}
   FROM cats WHERE vo > 1)"""
 
