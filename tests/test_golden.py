@@ -229,3 +229,41 @@ def test_random_forest_quality_floor_on_reference_split(spark):
     m = evaluate.evaluate_scores(p.select("target", F.col("probability_1").alias("score"))).first()
     assert m.n_samples == 191
     assert m.f1 >= 0.70 and m.recall >= 0.75 and m.roc_auc >= 0.90
+
+
+def test_histogram_bins_match_numpy_auto(df):
+    """The chart-data histogram uses numpy's 'auto' bin rule on the whole column
+    (common bins for both classes), so its counts equal numpy.histogram per class."""
+    import numpy as np
+
+    from churnscope.operators import plots
+    rows = df.select("Age", "Target").collect()
+    ages = np.array([r.Age for r in rows], dtype=float)
+    edges = np.histogram_bin_edges(ages, bins="auto")
+    got = plots.histogram(df, G, ["Age"]).collect()
+    assert len({r.bin_ord for r in got}) == len(edges) - 1
+    for t in (0, 1):
+        want, _ = np.histogram(ages[np.array([r.Target for r in rows]) == t], bins=edges)
+        have = [r["count"] for r in sorted((r for r in got if r.target == t), key=lambda r: r.bin_ord)]
+        assert have == list(want)
+    lo = [r.bin_lo for r in sorted(got, key=lambda r: (r.bin_ord, r.target)) if r.target == 0]
+    assert lo == pytest.approx(list(edges[:-1]), abs=1e-9)
+
+
+def test_density_matches_scott_kde_in_numpy(df):
+    """Gaussian KDE with Scott's factor n^(-1/5) on the sample deviation (the
+    gaussian_kde default), evaluated on the 200-point grid over the column's range."""
+    import numpy as np
+
+    from churnscope.operators import plots
+    rows = df.select("Age", "Target").collect()
+    ages = np.array([r.Age for r in rows], dtype=float)
+    tgt = np.array([r.Target for r in rows])
+    grid = np.linspace(ages.min(), ages.max(), 200)
+    got = plots.density_curve(df, G, ["Age"]).collect()
+    for t in (0, 1):
+        x = ages[tgt == t]
+        h = x.std(ddof=1) * len(x) ** (-0.2)
+        want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+        have = [r.density for r in sorted((r for r in got if r.target == t), key=lambda r: r.grid_ord)]
+        assert np.allclose(have, want, atol=1e-8)
