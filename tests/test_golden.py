@@ -267,3 +267,39 @@ def test_density_matches_scott_kde_in_numpy(df):
         want = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
         have = [r.density for r in sorted((r for r in got if r.target == t), key=lambda r: r.grid_ord)]
         assert np.allclose(have, want, atol=1e-8)
+
+
+def test_boxplot_numbers_match_numpy(df):
+    import numpy as np
+
+    from churnscope.operators import plots
+    rows = df.select("Age", "ServicesOpted", "Target").collect()
+    got = {(r.variable, r.target): r for r in plots.boxplot_stats(df, G).collect()}
+    for var in ("Age", "ServicesOpted"):
+        for t in (0, 1):
+            x = np.array([r[var] for r in rows if r.Target == t], dtype=float)
+            q1, med, q3 = np.percentile(x, [25, 50, 75])
+            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            inside = x[(x >= lo) & (x <= hi)]
+            r = got[(var, t)]
+            assert (r.q1, r.median, r.q3) == pytest.approx((q1, med, q3))
+            assert (r.whisker_low, r.whisker_high) == (inside.min(), inside.max())
+            assert r.n_fliers == len(x) - len(inside)
+
+
+def test_stacked_shares_match_pandas_crosstab(df):
+    import pandas as pd
+
+    from churnscope.operators import plots
+    pdf = df.select(*G.categorical, "Target").toPandas()
+    got = {(r.variable, r.category, r.target): r for r in plots.stacked_share(df, G).collect()}
+    for var in G.categorical:
+        ct = pd.crosstab(pdf[var], pdf["Target"], normalize="index")
+        for cat, row in ct.iterrows():
+            acc = 0.0
+            for t in (0, 1):
+                r = got[(var, cat, t)]
+                assert r.share == pytest.approx(row[t], abs=1e-12)
+                assert r.bottom == pytest.approx(acc, abs=1e-12)
+                assert r.show_label == (row[t] > 0.05)
+                acc += row[t]
