@@ -11,6 +11,8 @@ exact because buckets are contiguous ranges of the order value.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +23,30 @@ _BUCKET = "_rk_bucket"
 def _with_buckets(df: DataFrame, pc: list, order_col: str, n_buckets: int) -> DataFrame:
     """Add a bucket id that is monotone in ``order_col`` within each partition group.
 
-    Bucket bounds are ``n_buckets - 1`` approximate quantiles of the order column per
-    group: one small row per group, broadcast by the group key (or, with no group, a
-    scalar subquery)."""
-    n_buckets = max(1, int(n_buckets))
-    if n_buckets == 1:
+    Bucket bounds are 2^k - 1 approximate quantiles of the order column per group (2^k
+    = ``n_buckets`` rounded up to a power of two): one small row per group, broadcast
+    by the group key (or, with no group, a scalar subquery). Each row finds its bucket
+    by binary search over the bounds: k compare-and-step projections (code-generated
+    column expressions), so the cost per row grows with log of the bucket count."""
+    k = max(0, math.ceil(math.log2(max(1, int(n_buckets)))))
+    if k == 0:
         return df.withColumn(_BUCKET, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias(_BOUNDS)
+    nb = 2 ** k
+    probs = [i / nb for i in range(1, nb)]
+    v = F.col(order_col).cast("double")
+    sketch = F.percentile_approx(v, probs, 10000).alias(_BOUNDS)
     if pc:
         b = df.join(F.broadcast(df.groupBy(*pc).agg(sketch)), pc)
     else:
         b = df.withColumn(_BOUNDS, df.agg(sketch).scalar())
-    bucket = F.size(F.filter(F.col(_BOUNDS), lambda q: q < F.col(order_col).cast("double")))
-    return b.withColumn(_BUCKET, bucket).drop(_BOUNDS)
+    # bucket = number of bounds below the value; bounds are sorted
+    b = b.withColumn(_BUCKET, F.lit(0))
+    half = nb // 2
+    while half >= 1:
+        step = F.col(_BUCKET) + F.lit(half)
+        b = b.withColumn(_BUCKET, F.when(F.element_at(F.col(_BOUNDS), step) < v, step).otherwise(F.col(_BUCKET)))
+        half //= 2
+    return b.drop(_BOUNDS)
 
 
 def _offset_window(pc: list):
