@@ -215,6 +215,17 @@ def test_logistic_regression_confusion_matches_reference(spark):
     r = evaluate.confusion(p.withColumn("target", F.col("target").cast("int"))).first()
     assert (r.tn, r.fp, r.fn, r.tp) == (118, 28, 11, 34)
     assert not math.isnan(bench.models[M.LR].intercept)
+    # |coefficient| importances close to the reference's (liblinear also penalises the
+    # intercept, MLlib does not, so equality is not expected)
+    with open(reference_file("models", "logistic_regression", "feature_importance.csv"), newline="") as f:
+        want = {w["feature"]: float(w["importance"]) for w in csv.DictReader(f)}
+    got = {r.feature: r.importance for r in
+           M.model_importance(spark, M.LR, bench.models[M.LR], prep.feature_names).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert abs(got[k] - v) < 0.02, (k, got[k], v)
+    order = sorted(want, key=want.get, reverse=True)
+    assert sorted(got, key=got.get, reverse=True)[:3] == order[:3]
 
 
 def test_random_forest_quality_floor_on_reference_split(spark):
