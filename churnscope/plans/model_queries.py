@@ -229,3 +229,17 @@ def q_prepared_outputs(spark, sf_dir):
         path = sinks.write_table(df, folder, t, "csv", single_file=False)
         rows.append((t, path, spark.read.option("header", True).csv(path).count()))
     return spark.createDataFrame(rows, "table_name string, path string, rows long")
+
+
+@register("score_json_lines", None, ("S14", "R12", "F15"))
+def q_score_json_lines(spark, sf_dir):
+    """Customer records as JSON text lines (as a request body or a message value would
+    carry them): written to a fresh folder under the checkpoint folder, read as text,
+    parsed with ``from_json`` and scored by the batch scorer."""
+    import uuid
+
+    from churnscope.streaming.scorer import parse_records
+    name, acc, bench = best_model(spark, sf_dir)
+    path = os.path.join(ensure_checkpoint_dir(spark), "json_lines", uuid.uuid4().hex)
+    raw_records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return score_records(parse_records(spark.read.text(path), S), bench, name, acc)

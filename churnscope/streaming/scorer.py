@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.operators.models import Benchmark
@@ -25,6 +26,13 @@ def record_schema(spec) -> T.StructType:
     return T.StructType([T.StructField(spec.key, key_type)] + [T.StructField(c, T.StringType()) for c in spec.features])
 
 
+def parse_records(df: DataFrame, spec, value_col: str = "value") -> DataFrame:
+    """Records that arrive as JSON text (a file line, a message value) parsed with
+    ``from_json`` against the declared record schema; a line that is not JSON gives
+    null fields, which validation reports as missing."""
+    return df.select(F.from_json(F.col(value_col), record_schema(spec)).alias("r")).select("r.*")
+
+
 def write_batch(out: DataFrame, out_dir: str, epoch_id: int) -> None:
     part = f"batch_id={epoch_id}"
     out.where("is_valid").write.mode("overwrite").parquet(os.path.join(out_dir, "scored", part))

@@ -120,3 +120,14 @@ def test_shapley_with_sampled_background_is_efficient(bench):
     f = M.positive_probability(bench.models[M.RF], rows).select(S.key, "probability_1")
     bad = tot.join(f, S.key).where(F.abs(F.col("s") + F.col("e") - F.col("probability_1")) > 1e-8)
     assert bad.count() == 0
+
+
+def test_json_lines_equal_typed_records(spark, bench):
+    from churnscope.streaming.scorer import parse_records
+    raw = raw_records(spark, SF_SMALL)
+    lines = raw.select(F.to_json(F.struct("*")).alias("value"))
+    parsed = parse_records(lines, S)
+    cols = ["customer_id", "is_valid", "errors", "probability", "recommendations", "response_json"]
+    a = sorted(tuple(r) for r in score_records(raw, bench, M.RF, 0.5).select(*cols).collect())
+    b = sorted(tuple(r) for r in score_records(parsed, bench, M.RF, 0.5).select(*cols).collect())
+    assert a == b
