@@ -403,7 +403,8 @@ def correlation_matrix(df: DataFrame, spec: RoleSpec) -> DataFrame:
         y = F.when(F.col(a).isNotNull(), F.col(b))
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
-    aggs = [stable(pearson(a, b)).alias(f"{i}_{j}")
+    # the diagonal is 1 for any column that varies (null for a constant one)
+    aggs = [(stable(pearson(a, b)) if i < j else F.when(F.stddev_pop(a) > 0, F.lit(1.0))).alias(f"{i}_{j}")
             for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
     wide = enc.agg(*aggs)
     items = []
