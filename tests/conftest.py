@@ -28,3 +28,24 @@ def reference_file(*parts):
     if not os.path.exists(p):
         pytest.skip(f"reference data file not available: {p}")
     return p
+
+
+def golden_input():
+    """The reference's input table: the one CSV at the top of its folder whose header
+    has the target column (found by content, not by name)."""
+    import glob
+    for p in sorted(glob.glob(os.path.join(REFERENCE, "*.csv"))):
+        with open(p) as f:
+            if "Target" in f.readline():
+                return p
+    pytest.skip("reference input table not available")
+
+
+def golden_tables_dir():
+    """The run folder of the reference's exploratory tables with the most tables (older
+    runs hold only one)."""
+    import glob
+    runs = glob.glob(os.path.join(REFERENCE, "data", "*", "tables"))
+    if not runs:
+        pytest.skip("reference tables not available")
+    return max(runs, key=lambda d: (len(os.listdir(d)), d))

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from churnscope.operators import eda, evaluate, prepare
 from churnscope.sources.tables import read_csv, read_golden
 from churnscope.spec import GOLDEN_SPEC, PREP_SPEC
-from conftest import reference_file
+from conftest import golden_input, golden_tables_dir, reference_file
 
 G = GOLDEN_SPEC
-TABLES = ("data", "eda_output_20251213_135037", "tables")
+
+
+def table_file(name):
+    return reference_file(golden_tables_dir(), name)
 
 
 def golden_rows(name):
-    with open(reference_file(*TABLES, name), newline="") as f:
+    with open(table_file(name), newline="") as f:
         return list(csv.DictReader(f))
 
 
@@ -30,7 +33,7 @@ def num(x):
 
 @pytest.fixture(scope="module")
 def df(spark):
-    return read_golden(spark, reference_file("Customertravel.csv")).cache()
+    return read_golden(spark, golden_input()).cache()
 
 
 def test_target_summary(df):
@@ -137,7 +140,7 @@ def test_interactions(df):
 def test_correlations(df):
     m = eda.correlation_matrix(df, G)
     got = {(r.var_a, r.var_b): r.r for r in m.collect()}
-    with open(reference_file(*TABLES, "7_correlation_matrix.csv"), newline="") as f:
+    with open(table_file("7_correlation_matrix.csv"), newline="") as f:
         rows = list(csv.reader(f))
     header = rows[0][1:]
     for row in rows[1:]:
