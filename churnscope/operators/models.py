@@ -254,10 +254,13 @@ def shapley_attribution(bench: Benchmark, name: str, rows: DataFrame | None = No
     return phi.join(base, key).select(key, "feature", "feature_ord", "contribution", "expected_value")
 
 
-def explain_sample(df: DataFrame, key: str, k: int = 200, seed: int = SEED) -> DataFrame:
-    """A deterministic k-row sample (seeded hash order; top-k per partition, then a
-    final merge), the reference's 'first 200 rows' without relying on file order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+def explain_sample(df: DataFrame, key: str, k: int = 200, seed: int = SEED, order: str = "hash") -> DataFrame:
+    """A deterministic k-row sample (seeded hash order, or the portable order of the
+    split; top-k per partition, then a final merge), the reference's 'first 200 rows'
+    without relying on file order."""
+    k_col = F.col(key)
+    o = (k_col * F.lit(2654435761)) % F.lit(1000003) if order == "portable" else F.xxhash64(F.lit(seed), k_col)
+    return df.orderBy(o, key).limit(k)
 
 
 # ---- S10 / S11: persistence ---------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ from churnscope.operators.explain import top_features
 from churnscope.operators.score import score_records
 from churnscope.plans.registry import register
 from churnscope.session import ensure_checkpoint_dir
-from churnscope.sources.fixtures import churn_features, raw_records
+from churnscope.sources.fixtures import churn_features, raw_records, sql_with
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -124,10 +124,15 @@ def q_shapley_attribution(spark, sf_dir):
     return M.shapley_attribution(bench, name).withColumn("model", F.lit(name))
 
 
-@register("explain_sample", None, ("P18",))
+@register("explain_sample", sql_with(["churn_features", "churn_split"], """
+SELECT customer_id, target FROM churn_split WHERE split = 'test'
+ORDER BY (customer_id * 2654435761) % 1000003, customer_id LIMIT 200"""), ("P18",))
 def q_explain_sample(spark, sf_dir):
-    bench = benchmark(spark, sf_dir, ())
-    return M.explain_sample(bench.test, S.key, 200).select(S.key, "label")
+    """The 200-row explanation sample of the test rows (portable order, so the same
+    rows can be picked in SQL)."""
+    split = prepare.stratified_split(churn_features(spark, sf_dir), S, order="portable")
+    return M.explain_sample(split.where(F.col("split") == "test"), S.key, 200, order="portable") \
+        .select(S.key, "target")
 
 
 @register("score_batch", None, ("R12", "S14", "F15", "F16"))
