@@ -53,7 +53,7 @@ def feature_rows(spec: RoleSpec, categories: dict) -> list:
                      TX.GLOSSARY.get(a, TX.GLOSSARY_DEFAULT)])
     for c in spec.categorical:
         vals = categories[c]
-        ref = vals[0]
+        ref = vals[0] if vals else None  # an all-null column has no encoded columns
         a = spec.analog.get(c, c)
         for v in vals[1:]:
             rows.append([f"{c}_{v}", "categorical", c, v, ref, a, f"{c}: {v} vs {ref}", display_name(a, v, vals, ref),

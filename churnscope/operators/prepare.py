@@ -145,7 +145,7 @@ class Preparation:
         return out
 
     def category_info(self, spark) -> DataFrame:
-        rows = [(i, c, vals[0], ", ".join(vals), ", ".join(self.encoded[c]), len(vals))
+        rows = [(i, c, vals[0] if vals else None, ", ".join(vals), ", ".join(self.encoded[c]), len(vals))
                 for i, (c, vals) in enumerate(self.categories.items())]
         return literal_frame(spark, rows, [("var_ord", "int"), ("variable", "string"), ("reference_category", "string"),
                                            ("all_categories", "string"), ("encoded_columns", "string"),

@@ -172,7 +172,7 @@ SELECT variable AS categorical_feature, ref AS reference_category, MIN(all_value
 FROM cats GROUP BY variable, ref"""), ("X9", "F7", "P4"))
 def q_reference_categories(spark, sf_dir):
     cats = distinct_values(churn_features(spark, sf_dir), list(S.categorical))
-    rows = [(c, v[0], ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in cats.items()]
+    rows = [(c, v[0] if v else None, ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in cats.items()]
     return literal_frame(spark, rows, [("categorical_feature", "string"), ("reference_category", "string"),
                                        ("all_categories", "string"), ("encoded_features_in_model", "string")])
 

@@ -179,7 +179,7 @@ def q_shap_summary(spark, sf_dir):
     deps = (dependence_list(attr)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("plot_rank", "file_name"))),
                              lambda s: s.getField("file_name")).alias("v")))
-    refs = [(c, v[0], ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in bench.prep.categories.items()]
+    refs = [(c, v[0] if v else None, ", ".join(v), ", ".join(f"{c}_{x}" for x in v[1:])) for c, v in bench.prep.categories.items()]
     ref_arr = F.array(*[F.struct(F.lit(a).alias("categorical_feature"), F.lit(b).alias("reference_category"),
                                  F.lit(c).alias("all_categories"), F.lit(d).alias("encoded_features_in_model"))
                         for a, b, c, d in refs])

@@ -69,7 +69,7 @@ def q_prep_metadata(spark, sf_dir):
     nf = len(prep.feature_names)
     info = F.create_map(*[x for c in prep.categorical for x in (
         F.lit(c), F.struct(F.array(*[F.lit(v) for v in prep.categories[c]]).alias("original_values"),
-                           F.lit(prep.categories[c][0]).alias("reference_category"),
+                           F.lit(prep.categories[c][0] if prep.categories[c] else None).cast("string").alias("reference_category"),
                            F.array(*[F.lit(e) for e in prep.encoded[c]]).alias("encoded_columns")))])
     doc = spark.range(1).select(
         F.array(*[F.lit(n) for n in prep.feature_names]).alias("feature_names"),

@@ -195,3 +195,12 @@ def test_presented_rate_percent_comes_from_rounded_rate(spark):
     df = spark.createDataFrame([(0.0675, 6.75)], "churn_rate double, churn_rate_pct double")
     r = eda.present(df, {"churn_rate": 3, "churn_rate_pct": 1}).first()
     assert r.churn_rate == 0.068 and r.churn_rate_pct == 6.8
+
+
+def test_all_null_categorical_has_no_encoded_columns(spark):
+    from churnscope.operators.explain import feature_metadata
+    df = spark.createDataFrame([(1, 1.0, None, 0), (2, 2.0, None, 1)], "id int, x double, c string, target int")
+    prep = prepare.fit_preparation(df, ONE)
+    assert prep.feature_names == ["x"]
+    assert prep.category_info(spark).first().reference_category is None
+    assert feature_metadata(spark, ONE, prep.categories).count() == 1
