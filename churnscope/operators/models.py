@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
+from churnscope.operators.profile import fit_imputer, null_audit
 from churnscope.functions.stats import stable
 from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources.tables import literal_frame
@@ -83,11 +84,22 @@ class Benchmark:
 
 
 def prepare_frame(split_df: DataFrame, spec: RoleSpec, prep: Preparation | None = None,
-                  fit_on: str = "train") -> tuple:
-    """Prepared rows for training and evaluation, written once to the checkpoint folder."""
+                  fit_on: str = "train", impute: bool = True) -> tuple:
+    """Prepared rows for training and evaluation, written once to the checkpoint folder.
+
+    Columns with nulls are imputed first (median / most frequent value, 'Unknown' for an
+    all-null text column) with values fitted on the training rows (``fit_on='all'``
+    fits them, and the scaler, on every row as the reference's preparation did)."""
     ensure_checkpoint_dir(split_df.sparkSession)
     train_rows = split_df.where(F.col("split") == "train") if fit_on == "train" else split_df
-    prep = prep or fit_preparation(train_rows, spec)
+    if prep is None:
+        fills = {}
+        if impute:
+            with_nulls = {r.column_name for r in null_audit(split_df.select(*spec.features)).collect()}
+            if with_nulls:
+                fills = fit_imputer(train_rows, [c for c in spec.numeric if c in with_nulls],
+                                    [c for c in spec.categorical if c in with_nulls])
+        prep = fit_preparation(train_rows, spec, fills=fills)
     weights = class_weights(split_df.where(F.col("split") == "train"), spec)  # one row per class
     rows = with_class_weight(split_df, spec, weights)
     data = prep.transform(rows, keep=[spec.key, F.col(spec.target).cast("double").alias("label"), "weight", "split"])

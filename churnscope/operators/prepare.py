@@ -10,7 +10,7 @@ state is a few numbers and strings. ``transform`` is pure column expressions.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -104,6 +104,7 @@ class Preparation:
     means: dict
     stds: dict
     categories: dict
+    fills: dict = field(default_factory=dict)  # imputation values of columns that had nulls
 
     @property
     def encoded(self) -> dict:
@@ -139,6 +140,9 @@ class Preparation:
         """Scaled numerics first, then one-hot columns; optionally a ``features`` vector
         and an ``unknown_category`` flag."""
         extra = [self.unknown_flag().alias("unknown_category")] if flag_unknown else []
+        fills = {c: v for c, v in self.fills.items() if c in df.columns}
+        if fills:
+            df = df.fillna(fills)
         out = df.select(*keep, *self.feature_columns(), *extra)
         if vector:
             out = VectorAssembler(inputCols=self.feature_names, outputCol=vector).transform(out)
@@ -179,10 +183,14 @@ def distinct_values(df: DataFrame, columns, max_categories: int = MAX_CATEGORIES
     return out
 
 
-def fit_preparation(train: DataFrame, spec: RoleSpec, max_categories: int = MAX_CATEGORIES) -> Preparation:
+def fit_preparation(train: DataFrame, spec: RoleSpec, max_categories: int = MAX_CATEGORIES,
+                    fills: dict | None = None) -> Preparation:
     """Means and population deviations of the numeric features (one aggregate row) and
-    sorted category values of the categorical ones, from the training rows only."""
+    sorted category values of the categorical ones, from the training rows only (after
+    applying ``fills``, the imputation values, if any)."""
     require_columns(train, spec.features, "training rows")
+    if fills:
+        train = train.fillna(fills)
     aggs = []
     for c in spec.numeric:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
@@ -190,4 +198,4 @@ def fit_preparation(train: DataFrame, spec: RoleSpec, max_categories: int = MAX_
     means = {c: float(row[f"m_{c}"]) for c in spec.numeric}
     stds = {c: float(row[f"s_{c}"] or 0.0) for c in spec.numeric}
     cats = distinct_values(train, list(spec.categorical), max_categories)
-    return Preparation(list(spec.numeric), list(spec.categorical), means, stds, cats)
+    return Preparation(list(spec.numeric), list(spec.categorical), means, stds, cats, dict(fills or {}))

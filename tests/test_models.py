@@ -131,3 +131,17 @@ def test_json_lines_equal_typed_records(spark, bench):
     a = sorted(tuple(r) for r in score_records(raw, bench, M.RF, 0.5).select(*cols).collect())
     b = sorted(tuple(r) for r in score_records(parsed, bench, M.RF, 0.5).select(*cols).collect())
     assert a == b
+
+
+def test_training_frame_imputes_nulls(spark):
+    rows = [(i, None if i % 5 == 0 else float(i % 7), None if i % 4 == 0 else ("a" if i % 2 else "b"), i % 2)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, target int")
+    from churnscope.spec import RoleSpec
+    spec = RoleSpec(key="id", target="target", numeric=("x",), categorical=("c",))
+    split = prepare.stratified_split(df, spec, n_buckets=2)
+    prep, data = M.prepare_frame(split, spec)
+    assert set(prep.fills) == {"x", "c"}
+    assert data.where(F.col("x").isNull()).count() == 0
+    b = M.fit_models(M.Benchmark(spec, prep, data), (M.LR,))
+    assert M.positive_probability(b.models[M.LR], b.test).count() == b.test.count()
