@@ -33,10 +33,10 @@ def parse_records(df: DataFrame, spec, value_col: str = "value") -> DataFrame:
     return df.select(F.from_json(F.col(value_col), record_schema(spec)).alias("r")).select("r.*")
 
 
-def write_batch(out: DataFrame, out_dir: str, epoch_id: int) -> None:
+def write_batch(out: DataFrame, out_dir: str, epoch_id: int, key: str = "customer_id") -> None:
     part = f"batch_id={epoch_id}"
     out.where("is_valid").write.mode("overwrite").parquet(os.path.join(out_dir, "scored", part))
-    out.where("NOT is_valid").select("customer_id", "errors").write.mode("overwrite") \
+    out.where("NOT is_valid").select(key, "errors").write.mode("overwrite") \
         .parquet(os.path.join(out_dir, "rejected", part))
 
 
@@ -51,7 +51,7 @@ def start_scorer(spark: SparkSession, bench: Benchmark, model_name: str, source_
     stream = reader.json(source_dir)
 
     def process(batch_df: DataFrame, epoch_id: int) -> None:
-        write_batch(score_records(batch_df, bench, model_name, model_accuracy), out_dir, epoch_id)
+        write_batch(score_records(batch_df, bench, model_name, model_accuracy), out_dir, epoch_id, bench.spec.key)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
