@@ -145,3 +145,20 @@ def test_training_frame_imputes_nulls(spark):
     assert data.where(F.col("x").isNull()).count() == 0
     b = M.fit_models(M.Benchmark(spec, prep, data), (M.LR,))
     assert M.positive_probability(b.models[M.LR], b.test).count() == b.test.count()
+
+
+def test_stream_resumes_from_its_checkpoint(spark, bench):
+    """A restarted scorer with the same checkpoint scores only the new files: no record
+    twice, none lost."""
+    raw = raw_records(spark, SF_SMALL)
+    ids = [r.customer_id for r in raw.select("customer_id").orderBy("customer_id").collect()]
+    half = ids[len(ids) // 2]
+    root = os.path.join(ensure_checkpoint_dir(spark), "test-resume", uuid.uuid4().hex)
+    src, out, ckpt = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt")
+    raw.where(F.col("customer_id") < half).write.json(os.path.join(src, "part1"))
+    start_scorer(spark, bench, M.RF, os.path.join(src, "*"), out, ckpt, 0.5).awaitTermination()
+    raw.where(F.col("customer_id") >= half).write.json(os.path.join(src, "part2"))
+    start_scorer(spark, bench, M.RF, os.path.join(src, "*"), out, ckpt, 0.5).awaitTermination()
+    scored, rejected = read_output(spark, out)
+    seen = [r.customer_id for r in scored.select("customer_id").union(rejected.select("customer_id")).collect()]
+    assert sorted(seen) == ids
