@@ -7,7 +7,10 @@ and several columns are handled in one pass by unpivoting them into
 ``(variable, value)`` rows instead of one scan per column. Small fitted results that
 feed a second step (fences, per-variable bounds) are a handful of rows, broadcast.
 
-Values are returned unrounded; ``present`` applies the reference's table rounding.
+Values are returned unrounded, except statistics whose last bits depend on the
+summation order (std, correlation, interpolated quantiles, means of doubles), which are
+rounded to 9 digits so results do not depend on partitioning; ``present`` applies the
+reference's table rounding.
 """
 
 from __future__ import annotations
