@@ -38,6 +38,17 @@ def confusion(df: DataFrame, group_cols=(), label: str = "target", pred: str = "
         count_where((y == 1) & (p == 0)).alias("fn"), count_where((y == 1) & (p == 1)).alias("tp"))
 
 
+def confusion_table(cm: DataFrame, group_cols=()) -> DataFrame:
+    """The confusion counts as the 2 x 2 table of the reference's output (rows = actual
+    class, columns = predicted class)."""
+    rows = F.array(
+        F.struct(F.lit("Actual Negative").alias("actual"), F.lit(0).alias("row_ord"),
+                 F.col("tn").alias("predicted_negative"), F.col("fp").alias("predicted_positive")),
+        F.struct(F.lit("Actual Positive").alias("actual"), F.lit(1).alias("row_ord"),
+                 F.col("fn").alias("predicted_negative"), F.col("tp").alias("predicted_positive")))
+    return cm.select(*group_cols, F.explode(rows).alias("r")).select(*group_cols, "r.*")
+
+
 def metrics_from_confusion(cm: DataFrame) -> DataFrame:
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp

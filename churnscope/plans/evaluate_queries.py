@@ -46,6 +46,16 @@ def q_confusion(spark, sf_dir):
     return ev.confusion(_pred(spark, sf_dir))
 
 
+@register("confusion_table", sql_with(["scored"], f"""
+WITH s AS (SELECT target, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS p FROM scored),
+c AS (SELECT {_CM} FROM s)
+SELECT 'Actual Negative' AS actual, 0 AS row_ord, tn AS predicted_negative, fp AS predicted_positive FROM c
+UNION ALL
+SELECT 'Actual Positive', 1, fn, tp FROM c"""), ("A26",))
+def q_confusion_table(spark, sf_dir):
+    return ev.confusion_table(ev.confusion(_pred(spark, sf_dir)))
+
+
 @register("classification_metrics", sql_with(["scored"], f"""
 WITH s AS (SELECT target, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS p FROM scored),
 c AS (SELECT {_CM} FROM s)

@@ -331,3 +331,14 @@ def test_boosting_and_perceptron_quality_floors_on_reference_split(spark):
     for name in (M.GB, M.NN):
         assert m[name].n_samples == 191
         assert m[name].f1 >= 0.65 and m[name].roc_auc >= 0.90, (name, m[name].f1, m[name].roc_auc)
+
+
+def test_confusion_table_matches_reference_csv(spark):
+    p = read_csv(spark, reference_file("models", "best_model_predictions.csv"), None).select(
+        F.col("true_label").cast("int").alias("target"), F.col("predicted_label").cast("int").alias("predicted"))
+    got = {r.actual: (r.predicted_negative, r.predicted_positive)
+           for r in evaluate.confusion_table(evaluate.confusion(p)).collect()}
+    with open(reference_file("models", "best_model_confusion_matrix.csv"), newline="") as f:
+        rows = list(csv.reader(f))
+    want = {r[0]: (int(r[1]), int(r[2])) for r in rows[1:]}
+    assert got == want
