@@ -69,16 +69,19 @@ def global_row_number(df: DataFrame, partition_cols, order_cols, n_buckets: int,
             .drop("_rk_off", _BUCKET))
 
 
-def exclusive_running_sum(df: DataFrame, partition_cols, order_col: str, sum_cols, n_buckets: int,
+def exclusive_running_sum(df: DataFrame, partition_cols, order_col, sum_cols, n_buckets: int,
                           suffix: str = "_before") -> DataFrame:
-    """For each row, the sum of ``sum_cols`` over rows of its group with a smaller
-    ``order_col``. Order values must be distinct within a group (aggregate first)."""
+    """For each row, the sum of ``sum_cols`` over rows of its group that come earlier in
+    ``order_col`` (a column or a list: the first decides the bucket, later ones break
+    ties). The order must be a total order within a group (aggregate first)."""
     pc = list(partition_cols)
+    order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
+    order_col = order_cols[0]
     b = _with_buckets(df, pc, order_col, n_buckets)
     tot = b.groupBy(*pc, _BUCKET).agg(*[F.sum(c).alias(f"_rk_t_{c}") for c in sum_cols])
     offsets = tot.select(*pc, _BUCKET, *[F.coalesce(F.sum(f"_rk_t_{c}").over(_offset_window(pc)), F.lit(0))
                                          .alias(f"_rk_o_{c}") for c in sum_cols])
-    w_loc = Window.partitionBy(*pc, _BUCKET).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    w_loc = Window.partitionBy(*pc, _BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     res = b.join(F.broadcast(offsets), pc + [_BUCKET])
     for c in sum_cols:
         res = res.withColumn(c + suffix, F.col(f"_rk_o_{c}") + F.coalesce(F.sum(c).over(w_loc), F.lit(0)))

@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.ranking import global_row_number
+from churnscope.functions.ranking import exclusive_running_sum, global_row_number
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 from churnscope.sources.tables import literal_frame, require_columns
 from churnscope.spec import SPLIT_SEED, SPLIT_TEST_SIZE, RoleSpec
@@ -56,7 +56,8 @@ def split_allocation(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
 
 
 def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED,
-                     order: str = "hash", n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
+                     order: str = "hash", n_buckets: int | None = None, materialize: bool = True,
+                     unique_key: bool = True) -> DataFrame:
     """Add ``split`` ('train'/'test'): per class, the first n_test rows in the seeded
     order are test. Ranks come from ``global_row_number`` (range buckets + offsets), so
     no class is ever held in one task; the allocation table has one row per class.
@@ -64,13 +65,20 @@ def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
     The input is read by four passes (class counts, bucket bounds, bucket counts, the
     ranking itself); with ``materialize`` it is written once to the checkpoint folder
     first, so an expensive input (e.g. features aggregated from all orders) is computed
-    once and a lost executor re-reads it rather than recomputing it."""
+    once and a lost executor re-reads it rather than recomputing it.
+
+    ``unique_key=False`` is for tables where one key may hold many rows (even a third
+    of them): see ``_split_by_key_groups``."""
     require_columns(df, [spec.key, spec.target], "stratified_split input")
     nb = n_buckets or shuffle_partitions(df.sparkSession)
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
+    elif not unique_key:
+        raise ValueError("unique_key=False needs materialize=True (row ids of a written input)")
     alloc = split_allocation(df, spec, test_size)
+    if not unique_key:
+        return _split_by_key_groups(df, spec, alloc, seed, order, nb)
     ranked = global_row_number(df.withColumn("_ord", split_order(spec, seed, order)), [spec.target],
                                ["_ord", spec.key], nb, out="_rank")
     return (ranked.join(F.broadcast(alloc.select(spec.target, "n_test")), spec.target)
@@ -78,6 +86,31 @@ def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
             .drop("_ord", "_rank", "n_test"))
 
 
+def _split_by_key_groups(df: DataFrame, spec: RoleSpec, alloc: DataFrame, seed: int, order: str,
+                         nb: int) -> DataFrame:
+    """Exact split when keys repeat. Order = (seeded key order, seeded row order), so
+    the rows of a key are contiguous. Keys are counted (one row per key and class after
+    map-side combine) and their starting rank is an exclusive running sum over keys;
+    every key then lies wholly in test or in train, except at most one key per class
+    that straddles the boundary, whose rows alone are ranked (bucketed, so even a key
+    with a third of the rows is spread over tasks). Row ids come from the written input
+    and are stable; with unique keys the result equals the unique-key path."""
+    t, key = spec.target, spec.key
+    rows = df.withColumn("_ord", split_order(spec, seed, order)).withColumn("_row", F.monotonically_increasing_id())
+    keys = rows.groupBy(t, key, "_ord").agg(F.count(F.lit(1)).alias("_n"))
+    before = exclusive_running_sum(keys, [t], ["_ord", key], ["_n"], nb).select(t, key, "_n", "_n_before")
+    n_test = F.broadcast(alloc.select(t, "n_test"))
+    j = rows.join(before, [t, key]).join(n_test, t)  # skewed keys: AQE splits the large side
+    lo, hi = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+    whole = (j.where((hi <= F.col("n_test")) | (lo >= F.col("n_test")))
+             .withColumn("split", F.when(hi <= F.col("n_test"), "test").otherwise("train")))
+    cut = j.where((lo < F.col("n_test")) & (hi > F.col("n_test")))
+    cut = global_row_number(cut.withColumn("_h2", F.xxhash64(F.lit(seed), F.col(key), F.col("_row"))), [t],
+                            ["_h2", "_row"], nb, out="_r")
+    cut = cut.withColumn("split", F.when(lo + F.col("_r") <= F.col("n_test"), "test").otherwise("train")).drop("_h2", "_r")
+    return whole.unionByName(cut).drop("_ord", "_row", "_n", "_n_before", "n_test")
+
+
 # ---- A25: balanced class weights ---------------------------------------------------------------
 
 def class_weights(df: DataFrame, spec: RoleSpec) -> DataFrame:

@@ -204,3 +204,25 @@ def test_all_null_categorical_has_no_encoded_columns(spark):
     assert prep.feature_names == ["x"]
     assert prep.category_info(spark).first().reference_category is None
     assert feature_metadata(spark, ONE, prep.categories).count() == 1
+
+
+def test_split_with_a_hot_key_is_exact_and_keeps_keys_together(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i}", (i // 3) % 2 if i % 3 == 0 else i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid int, key string, target int")
+    spec = RoleSpec(key="key", target="target", numeric=(), categorical=())
+    s = prepare.stratified_split(df, spec, n_buckets=8, unique_key=False)
+    assert s.count() == 3000 and s.select("rid").distinct().count() == 3000
+    alloc = {r.target: r.n_test for r in prepare.split_allocation(df, spec).collect()}
+    got = {r.target: r["count"] for r in s.where("split = 'test'").groupBy("target").count().collect()}
+    assert got == alloc
+    mixed = (s.groupBy("target", "key").agg(F.countDistinct("split").alias("k")).where("k > 1")
+             .groupBy("target").count().collect())
+    assert all(r["count"] <= 1 for r in mixed)  # at most one key per class straddles
+
+
+def test_split_group_path_equals_unique_path_for_unique_keys(spark):
+    df = _skewed(spark).withColumn("target", F.col("y"))
+    spec = RoleSpec(key="id", target="target", numeric=("v",), categorical=("g",))
+    a = {r.id: r.split for r in prepare.stratified_split(df, spec, n_buckets=4).collect()}
+    b = {r.id: r.split for r in prepare.stratified_split(df, spec, n_buckets=4, unique_key=False).collect()}
+    assert a == b
