@@ -52,7 +52,10 @@ def q_eda_report(spark, sf_dir):
         "correlation_matrix": m,
         "correlations_with_target": eda.corr_with_target(cf, S, m),
     }
-    tables = {k: eda.present(v, DIGITS.get(k, {})) for k, v in tables.items()}
+    for c in S.categorical:  # one table per categorical column, as well as the combined one
+        tables[f"{c}_churn_stats"] = eda.category_churn(cf, S, c)
+    tables = {k: eda.present(v, DIGITS.get(k, DIGITS["combined_categorical_analysis"] if k.endswith("_churn_stats")
+                                           else {})) for k, v in tables.items()}
     folder = sinks.run_folder(os.path.join(ensure_checkpoint_dir(spark), "reports"))
     idx = sinks.write_tables(tables, folder, row_level=("outliers_detail",))
     counts = [(r.table_name, spark.read.option("header", True).csv(r.path).count()) for r in idx.collect()]

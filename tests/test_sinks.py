@@ -14,6 +14,7 @@ REG = load_all()
 def test_eda_report_writes_rounded_tables(spark):
     idx = {r.table_name: r for r in REG["eda_report"].run(spark, SF_SMALL).collect()}
     assert idx["correlation_matrix"].rows == 49
+    assert len(idx) == 16 and idx["frequent_buyer_churn_stats"].rows >= 2
     assert idx["target_summary"].rows == 2
     folder = os.path.dirname(idx["target_summary"].path)
     assert os.path.basename(os.path.dirname(folder)).startswith("eda_output_")
