@@ -29,6 +29,10 @@ HEADLINE = (
 )
 
 
+# fitted-model queries (training four estimators dominates); opt in with BENCH_MODELS=1
+MODELS = ("model_benchmark", "shapley_attribution", "score_batch")
+
+
 def run(name, q, spark, sf_dir) -> float:
     t0 = time.time()
     q.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -38,7 +42,7 @@ def run(name, q, spark, sf_dir) -> float:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    names = [a for a in sys.argv[1:]] or list(HEADLINE)
+    names = [a for a in sys.argv[1:]] or list(HEADLINE) + (list(MODELS) if os.environ.get("BENCH_MODELS") else [])
     # one shuffle partition per core at this size; on a cluster size it to the data
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
     spark = get_spark(f"local[{cpus}]", app_name="churnscope-bench", shuffle_partitions=parts,
