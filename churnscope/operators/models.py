@@ -56,11 +56,15 @@ def build_estimator(name: str, n_features: int, weight_sum: float | None = None,
         return LogisticRegression(weightCol="weight", regParam=1.0 / (weight_sum or 1.0), elasticNetParam=0.0,
                                   standardization=False, maxIter=1000, tol=1e-8, fitIntercept=True, **common)
     if name == RF:
+        # node ids cached and checkpointed (every 10 iterations, to spark.checkpoint.dir):
+        # deep trees then read the training rows once per level, with short lineage
         return RandomForestClassifier(weightCol="weight", numTrees=100, maxDepth=10, minInstancesPerNode=2,
-                                      featureSubsetStrategy="sqrt", bootstrap=True, seed=seed, **common)
+                                      featureSubsetStrategy="sqrt", bootstrap=True, seed=seed,
+                                      cacheNodeIds=True, checkpointInterval=10, **common)
     if name == GB:
         return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=2, subsamplingRate=0.8,
-                             featureSubsetStrategy="sqrt", seed=seed, **common)
+                             featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=10,
+                             **common)
     if name == NN:
         return MultilayerPerceptronClassifier(layers=[n_features, mlp_hidden, 2], maxIter=mlp_iter, blockSize=128,
                                               seed=seed, **common)
