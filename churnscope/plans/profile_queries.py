@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from churnscope.operators import profile
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import values_table
-from churnscope.sources.fixtures import churn_features, sql_with, with_nulls
+from churnscope.sources.fixtures import churn_features, line_returns, sql_with, with_nulls
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -69,3 +69,17 @@ def q_impute_median(spark, sf_dir):
     df = with_nulls(spark, sf_dir)
     return profile.impute_nulls(df, S).select("customer_id", F.col("age").cast("double").alias("age"), "services",
                                               "target")
+
+
+_LR_TYPES = [("l_orderkey", "bigint"), ("l_linenumber", "integer"), ("quantity", "integer"), ("discount", "double"),
+             ("line_status", "string"), ("supplier_region", "string"), ("priority", "string"), ("target", "integer")]
+
+
+@register("line_scan_profile", sql_with(["line_returns"], f"""
+SELECT t.column_ord, t.column_name, t.data_type, (SELECT COUNT(*) FROM line_returns) AS row_count,
+       CAST(0 AS BIGINT) AS null_count
+FROM {values_table([(i, c, d) for i, (c, d) in enumerate(_LR_TYPES)], ['column_ord', 'column_name', 'data_type'])} t"""),
+          ("S2",))
+def q_line_scan_profile(spark, sf_dir):
+    """Profile of the line-item view (the generic five-table join)."""
+    return profile.scan_profile(line_returns(spark, sf_dir))
