@@ -226,3 +226,11 @@ def test_split_group_path_equals_unique_path_for_unique_keys(spark):
     a = {r.id: r.split for r in prepare.stratified_split(df, spec, n_buckets=4).collect()}
     b = {r.id: r.split for r in prepare.stratified_split(df, spec, n_buckets=4, unique_key=False).collect()}
     assert a == b
+
+
+def test_ranks_with_more_buckets_than_distinct_values(spark):
+    rows = [(i, i % 2, float(i % 5)) for i in range(300)]  # 5 distinct order values, 64 buckets
+    df = spark.createDataFrame(rows, "id int, g int, v double")
+    got = global_row_number(df, ["g"], ["v", "id"], n_buckets=64, out="rk")
+    want = df.withColumn("rk2", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    assert got.join(want, "id").where(F.col("rk") != F.col("rk2")).count() == 0
