@@ -94,7 +94,7 @@ def q_model_benchmark(spark, sf_dir):
     return leaderboard(metrics)
 
 
-@register("model_registry", None, ("M16", "R13", "S9", "S10", "S11", "T3", "T5"))
+@register("model_registry", None, ("M16", "R13", "S5", "S9", "S10", "S11", "T3", "T5"))
 def q_model_registry(spark, sf_dir):
     """Per model: metrics, top-5 features and artifact path; the best model flagged.
     Models are also saved with MLlib's writer under the checkpoint folder (S10, S11)."""
@@ -114,8 +114,12 @@ def q_model_registry(spark, sf_dir):
     lb = leaderboard(metrics)
     # one row per model: a global window over it is bounded
     best_rank = F.min(F.when(F.col("f1") > 0, F.col("rank"))).over(Window.partitionBy())
-    return (lb.join(top5, "model", "left").withColumn("model_path", path)
-            .withColumn("is_best", F.col("rank") == best_rank))
+    out = (lb.join(top5, "model", "left").withColumn("model_path", path)
+           .withColumn("is_best", F.col("rank") == best_rank))
+    # the consolidated results next to the saved models, one JSON line per model
+    from churnscope.sources import sinks
+    sinks.write_table(out, root, "all_model_results", "json")
+    return out
 
 
 @register("shapley_attribution", None, ("X2", "X3", "X4", "X12", "D3"))
