@@ -21,7 +21,8 @@ PATTERNS = {
 }
 SKIP_MODEL = {"train_logistic", "train_forest", "train_gbt", "train_mlp", "permutation_importance", "predictions",
               "model_benchmark", "model_registry", "shapley_attribution", "explain_sample", "score_batch",
-              "stream_score", "eda_report", "prep_metadata"}
+              "stream_score", "eda_report", "prep_metadata", "prepared_outputs", "shap_summary",
+              "shap_importance_table", "score_json_lines"}
 
 
 def main():
