@@ -5,10 +5,9 @@ digests of its distinct pieces go into a sketch of TABLES x CELLS cells of (coun
 XOR of check hashes), one cell in each table. The sketch is the fingerprint. Two versions are
 compared by subtracting their sketches and peeling: a cell with count +1 or -1 whose check hash fits
 holds one differing digest, which is taken out of its other cells, until nothing is left. When a
-sketch is too small to be emptied, the two versions are sketched again in as many parts as their
-digests need (parts by digest hash, PART digests each), and a part that fails is retried with
-twice the cells, up to RETRIES times. The number of digests on either side gives the likeness
-(digests in both / digests in either).
+sketch is too small to be emptied, the comparison is retried with a larger one, ROOM cells for each
+digest of the two versions in each table, of which only the cells in use are kept. The number of
+digests on either side gives the likeness (digests in both / digests in either).
 
 DataFrame functions only. Defined results: a null or empty text has no pieces; two empty texts have
 likeness 1; a null id sorts first; repeated ids are taken in the order of their texts' hashes; the
@@ -26,8 +25,9 @@ from churnscope.functions.ranking import _BUCKET, _with_buckets
 TABLES = 3
 CELLS = 6
 ROUNDS = 5
-PART = 8
-RETRIES = 5
+#: cells a digest in each table of the larger sketch
+ROOM = 16
+RETRIES = 6
 PIECE = 128
 _PATTERN = r"(?s)[^\n.!?]{1,%d}[\n.!?]*|[\n.!?]+" % PIECE
 _CELL = "struct<n:int,key:bigint,chk:bigint>"
@@ -52,14 +52,17 @@ def _cells(items: Column, cells: int, add) -> Column:
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
 
     def table(t: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)),
-                           lambda j: F.aggregate(F.filter(items, lambda x: _cell_of(x["d"], t, cells) == j), empty, add))
+        placed = F.transform(items, lambda x: F.struct(_cell_of(x["d"], t, cells).alias("j"), x["s"].alias("s"), x["d"].alias("d"), _check(x["d"]).alias("k")))
+        # bound as a lambda variable: each item's cell is found once
+        return F.transform(F.array(placed), lambda p: F.transform(
+            F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")),
+            lambda j: F.aggregate(F.filter(p, lambda x: x["j"] == j), empty, add)))[0]
 
     return F.concat(*[table(t) for t in range(TABLES)])
 
 
 def _added(c: Column, x: Column) -> Column:
-    return F.struct((c["n"] + x["s"]).alias("n"), c["key"].bitwiseXOR(x["d"]).alias("key"), c["chk"].bitwiseXOR(_check(x["d"])).alias("chk"))
+    return F.struct((c["n"] + x["s"]).alias("n"), c["key"].bitwiseXOR(x["d"]).alias("key"), c["chk"].bitwiseXOR(x["k"]).alias("chk"))
 
 
 def sketch(digs: Column, cells: int = CELLS) -> Column:
@@ -95,6 +98,11 @@ def peel(diff: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column:
                        lambda s: F.when(F.forall(s["cells"], zero), F.struct(s["a"].alias("only_a"), s["b"].alias("only_b"))))
 
 
+def _peel_if_sparse(diff: Column) -> Column:
+    """peel(), unless every cell is in use: so full a sketch can't be emptied."""
+    return F.transform(F.array(diff), lambda d: F.when(F.exists(d, lambda c: (c["n"] == 0) & (c["key"] == 0)), peel(d)))[0]
+
+
 def _without(cells: Column, found: Column, size: int) -> Column:
     def cell(c: Column, i: Column) -> Column:
         mine = F.filter(found, lambda x: F.when(i < size, _cell_of(x["d"], 0, size)).when(i < 2 * size, _cell_of(x["d"], 1, size) + size)
@@ -109,20 +117,62 @@ def likeness(n_a: Column, only_a: Column, only_b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def larger(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, only_a, only_b) for digest arrays ``a`` and ``b``: sketches in parts, retried larger on failure.
-    Aggregates by ``keys`` and the part; rows that are already dealt out by some of the keys aren't moved."""
-    signed = F.concat(F.transform(a, lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"))),
-                      F.transform(b, lambda d: F.struct(F.lit(-1).alias("s"), d.alias("d"))))
-    parts = F.ceil((F.size(a) + F.size(b)) / F.lit(float(PART)))
-    x = rows.select(*keys, parts.alias("_parts"), F.explode(signed).alias("x"))
-    x = x.withColumn("_sub", F.pmod(F.xxhash64(F.col("x.d"), F.lit("part")), F.col("_parts")))
-    x = x.groupBy(*keys, "_sub").agg(F.collect_list("x").alias("items"))  # about PART digests
-    tries = [peel(_cells(F.col("items"), CELLS << i, _added), CELLS << i, ROUNDS + 3 * i) for i in range(RETRIES)]
-    x = x.withColumn("_r", F.coalesce(*tries))
-    # a part that no sketch empties counts as different
-    lost = lambda s: F.size(F.filter("items", lambda i: i["s"] == s))
-    return x.groupBy(*keys).agg(F.sum(F.coalesce("_r.only_a", lost(1))).alias("only_a"), F.sum(F.coalesce("_r.only_b", lost(-1))).alias("only_b"))
+def _place(d: Column, t: Column, m: Column) -> Column:
+    """Cell number of a digest in table t (0 to TABLES - 1) of a sketch with m cells a table."""
+    return F.pmod(F.xxhash64(d, t, F.lit("roomy")), m) * 4 + t
+
+
+def larger(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """(keys, pair, only_a, only_b) for pairs of digest columns, by sketches of ROOM cells a digest in each table.
+
+    Only cells that aren't empty are kept, as rows. Cells that hold one digest give it up at once; where the
+    digests so found don't add up to the whole difference, they are taken out of the other cells and peeling
+    goes on. Aggregates by ``keys`` and more, so rows that are dealt out by some of the keys aren't moved."""
+    x = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)])).alias("p"))
+    signed = F.concat(F.transform("p.a", lambda d: F.struct(F.lit(1).alias("s"), d.alias("d"))),
+                      F.transform("p.b", lambda d: F.struct(F.lit(-1).alias("s"), d.alias("d"))))
+    m = F.lit(ROOM) * (F.size("p.a") + F.size("p.b")).cast("long")
+    x = x.select(*keys, F.col("p.pair").alias("pair"), m.alias("m"), F.explode(signed).alias("x"))
+    x = x.select(*keys, "pair", "m", F.col("x.s").alias("s"), F.col("x.d").alias("d"), F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("t"))
+    x = x.withColumns({"cell": _place(F.col("d"), F.col("t"), F.col("m")), "chk": _check(F.col("d"))})
+    keys = [*keys, "pair", "m"]
+    cells = x.groupBy(*keys, "cell").agg(F.sum("s").alias("n"), F.bit_xor("d").alias("key"), F.bit_xor("chk").alias("chk"))
+    cells = cells.where("n != 0 OR key != 0 OR chk != 0")
+    pure = (F.abs("n") == 1) & (_check(F.col("key")) == F.col("chk"))
+    cells = cells.withColumn("pure", pure).withColumn("id", F.when(F.col("pure"), F.col("key")).otherwise(F.col("cell")))
+    first = F.bit_xor(F.when(F.pmod("cell", F.lit(4)) == 0, F.col("key")).otherwise(F.lit(0).cast("long")))
+    # the cells that hold the same single digest become one row; a cell of several stays a row
+    g = cells.groupBy(*keys, "pure", "id").agg(F.max("n").alias("n"), first.alias("z"), F.max("key").alias("key"), F.max("chk").alias("chk"))
+    is_pure = F.col("pure")
+    g = g.groupBy(*keys).agg(
+        F.bit_xor("z").alias("all"), F.bit_xor(F.when(is_pure, F.col("id")).otherwise(F.lit(0).cast("long"))).alias("got"),
+        F.collect_list(F.when(is_pure, F.struct(F.col("n").alias("s"), F.col("id").alias("d")))).alias("found"),
+        F.collect_list(F.when(~is_pure, F.struct(F.col("id").alias("cell"), "n", "key", "chk"))).alias("rest"))
+    found = lambda c, s: F.size(F.filter(c, lambda x: x["s"] == s))
+    more = F.when(F.col("all") != F.col("got"), _peel_rest(F.col("found"), F.col("rest"), F.col("m")))
+    g = g.withColumn("more", more)
+    return g.select(*keys[:-1], (found("found", 1) + F.coalesce("more.a", F.lit(0))).alias("only_a"), (found("found", -1) + F.coalesce("more.b", F.lit(0))).alias("only_b"))
+
+
+def _peel_rest(found: Column, rest: Column, m: Column) -> Column:
+    """struct(a, b): digests of either side that further rounds of peeling find in the cells of several digests."""
+
+    def taken(cell: Column, new: Column) -> Column:
+        t = F.pmod(cell["cell"], F.lit(4)).cast("int")
+        return F.aggregate(F.filter(new, lambda x: _place(x["d"], t, m) == cell["cell"]), cell, lambda c, x: F.struct(
+            c["cell"].alias("cell"), (c["n"] - x["s"]).alias("n"), c["key"].bitwiseXOR(x["d"]).alias("key"), c["chk"].bitwiseXOR(_check(x["d"])).alias("chk")))
+
+    def one(state: Column, _: Column) -> Column:
+        left = F.transform(state["rest"], lambda c: taken(c, state["new"]))
+        return F.transform(F.array(left), lambda cells: F.transform(F.array(F.array_distinct(F.transform(
+            F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["chk"])),
+            lambda c: F.struct(c["n"].alias("s"), c["key"].alias("d"))))), lambda new: F.struct(
+                cells.alias("rest"), new.alias("new"),
+                (state["a"] + F.size(F.filter(new, lambda x: x["s"] == 1))).alias("a"),
+                (state["b"] + F.size(F.filter(new, lambda x: x["s"] == -1))).alias("b")))[0])[0]
+
+    start = F.struct(rest.alias("rest"), found.alias("new"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, one, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
 
 
 def with_next(docs: DataFrame, partitions: int, key: str = "doc_id") -> DataFrame:
@@ -160,13 +210,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q))
     d = d.withColumn("edited", edited).withColumn("edited_digests", digests(F.col("edited")))
     keys = ["_part", "_row"]
-    again = [larger(d.select(*keys, "digests", x), keys, "digests", x).withColumnsRenamed({"only_a": f"a{i}", "only_b": f"b{i}"})
-             for i, x in enumerate(("edited_digests", "next_digests"))]
+    again = larger(d.select(*keys, "digests", "edited_digests", "next_digests"), keys, [("digests", "edited_digests"), ("digests", "next_digests")])
+    again = again.groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == i, F.col(f"only_{x}"))).alias(f"{x}{i}") for i in (0, 1) for x in "ab"])
     cells = d.withColumns({"_c": sketch(F.col("digests")), "_e": sketch(F.col("edited_digests")), "_x": sketch(F.col("next_digests"))})
     out = cells.select(*keys, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.size("digests").alias("_size"),
                        encoded(F.col("_c")).alias("fingerprint"), encoded(F.col("_e")).alias("edited_fingerprint"),
-                       peel(subtract(F.col("_c"), F.col("_e"))).alias("_p0"), peel(subtract(F.col("_c"), F.col("_x"))).alias("_p1"))
-    for x in again:
-        out = out.join(x, keys, "left")
+                       _peel_if_sparse(subtract(F.col("_c"), F.col("_e"))).alias("_p0"), _peel_if_sparse(subtract(F.col("_c"), F.col("_x"))).alias("_p1"))
+    out = out.join(again, keys, "left")
     near = lambda i: likeness(F.col("_size"), F.coalesce(f"_p{i}.only_a", f"a{i}", F.lit(0)), F.coalesce(f"_p{i}.only_b", f"b{i}", F.lit(0)))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(0).alias("near_edited"), near(1).alias("near_next"))
