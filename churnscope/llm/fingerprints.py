@@ -210,7 +210,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q))
     d = d.withColumn("edited", edited).withColumn("edited_digests", digests(F.col("edited")))
     keys = ["_part", "_row"]
-    again = larger(d.select(*keys, "digests", "edited_digests", "next_digests"), keys, [("digests", "edited_digests"), ("digests", "next_digests")])
+    # doc_id is a key here only so that both uses of ``d`` read the same columns: its texts are dealt out once
+    again = larger(d, [*keys, "doc_id"], [("digests", "edited_digests"), ("digests", "next_digests")])
     again = again.groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == i, F.col(f"only_{x}"))).alias(f"{x}{i}") for i in (0, 1) for x in "ab"])
     cells = d.withColumns({"_c": sketch(F.col("digests")), "_e": sketch(F.col("edited_digests")), "_x": sketch(F.col("next_digests"))})
     out = cells.select(*keys, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.size("digests").alias("_size"),
