@@ -17,10 +17,12 @@ id and text don't come along.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnscope.functions.ranking import _BUCKET, _with_buckets
+from churnscope.llm.store import written
 
 TABLES = 3
 CELLS = 6
@@ -175,6 +177,14 @@ def _peel_rest(found: Column, rest: Column, m: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, one, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
 
 
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """Number of bounds below a value, by binary search over a constant array."""
+    n = 1 << math.ceil(math.log2(len(bounds) + 1))
+    b = F.array(*[F.lit(x).cast("long") for x in bounds + [(1 << 63) - 1] * (n - 1 - len(bounds))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length() - 1))]) if n > 1 else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, h: F.when(F.element_at(b, at + h) < value, at + h).otherwise(at))
+
+
 def with_next(docs: DataFrame, partitions: int, key: str = "doc_id") -> DataFrame:
     """(_part, _row, doc_id, text, digests, next_text, next_digests): each document beside the next one by id.
 
@@ -182,11 +192,15 @@ def with_next(docs: DataFrame, partitions: int, key: str = "doc_id") -> DataFram
     range is also put at the end of the range before (of the last range for the very first)."""
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    d = _with_buckets(d.withColumn("_k", k), [], "_k", partitions).withColumnRenamed(_BUCKET, "_part")
+    d = d.withColumn("_k", k)
+    n = 1 << max(0, math.ceil(math.log2(partitions)))
+    bounds = d.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [0]
+    # the plan holds the bounds as a constant, so all uses of the result are the same plan and share its exchange
+    d = d.withColumn("_part", _range_of(F.col("_k"), bounds))
     firsts = d.groupBy("_part").agg(F.min("_k").alias("_k"))  # one row a range
     w = Window.partitionBy(F.lit(1)).orderBy("_part")
     far = F.max("_part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select(F.col("_k").alias("_first"), F.coalesce(F.lag("_part").over(w), far).alias("_before"))
+    firsts = written(firsts.select(F.col("_k").alias("_first"), F.coalesce(F.lag("_part").over(w), far).alias("_before")), "range-firsts")
     d = d.join(F.broadcast(firsts), F.col("_k") == F.col("_first"), "left")
     places = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("e")))
     places = F.when(F.col("_before").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("_before").alias("p"), F.lit(1).alias("e")))))
