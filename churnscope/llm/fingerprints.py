@@ -204,7 +204,9 @@ def with_next(docs: DataFrame, partitions: int, key: str = "doc_id") -> DataFram
     d = d.join(F.broadcast(firsts), F.col("_k") == F.col("_first"), "left")
     places = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("e")))
     places = F.when(F.col("_before").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("_before").alias("p"), F.lit(1).alias("e")))))
-    d = d.select("doc_id", "text", "_k", F.explode(places).alias("_at")).select("doc_id", "text", "_k", F.col("_at.p").alias("_part"), F.col("_at.e").alias("_extra"))
+    d = d.select("doc_id", "text", "_k", F.explode(places).alias("_at")).select("doc_id", "text", "_k", 
+                                                                          # never null: joins by it then push no filter below the exchange
+                                                                          F.coalesce("_at.p", F.lit(0)).alias("_part"), F.coalesce("_at.e", F.lit(0)).alias("_extra"))
     d = d.repartition("_part")
     d = d.withColumn("digests", digests(F.col("text")))
     w = Window.partitionBy("_part").orderBy("_extra", "_k", F.xxhash64("text"))
