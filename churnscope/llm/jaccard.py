@@ -38,28 +38,26 @@ from churnscope.llm.components import components
 from churnscope.llm.store import written
 
 N = 5
-KEY_BITS = 27
+KEY_BITS = 26
 LEVELS = 12
 #: n-grams of one block
 BLOCK = 1 << 21
 PIVOTS = 32
 #: a table of (class, component) is broadcast up to this many rows
 SMALL = 500_000
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 
 
 def gram_sets(texts, n: int = N):
-    """For each text the sorted array of its distinct n-grams (64-bit hashes)."""
-    out = []
-    for _, buf, offs in X.chunks(texts):
+    """Yield (first row, sets) of runs of texts; a set is the sorted array of a text's distinct n-grams (64-bit hashes)."""
+    for lo, buf, offs in X.chunks(texts):
         low = X.LOWER[buf]
         s, e, doc = X.word_spans(buf, offs, X.SPACED_WORD)
         h = X.word_hashes(low, s, e)
         g = X.grams(h, n)
         first = np.searchsorted(doc, np.arange(len(offs)))
-        for a, b in zip(first[:-1], first[1:]):
-            out.append(np.unique(g[a:b - n + 1]) if b - a >= n else X.grams(h[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64))
-    return out
+        yield lo, [np.unique(g[a:b - n + 1]) if b - a >= n else X.grams(h[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+                   for a, b in zip(first[:-1], first[1:])]
 
 
 def _signature(u: np.ndarray) -> int:
@@ -88,16 +86,17 @@ def frequency_bitmaps(docs: DataFrame, n: int = N) -> list[np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array([k[cut[i]:ends[i]].tobytes() for i in b], pa.binary())], names=["bucket", "keys"])
 
         for batch in batches:
-            for u in gram_sets(batch.column(0), n):
-                sig = _signature(u)
-                if sig in seen or not len(u):
-                    continue  # a copy within the task
-                seen.add(sig)
-                held.append(_keys(u))
-                size += len(u)
-                if size >= _FLUSH:
-                    yield flush()
-                    held, size = [], 0
+            for _, sets in gram_sets(batch.column(0), n):
+                for u in sets:
+                    sig = _signature(u)
+                    if sig in seen or not len(u):
+                        continue  # a copy within the task
+                    seen.add(sig)
+                    held.append(_keys(u))
+                    size += len(u)
+                    if size >= _FLUSH:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -159,9 +158,9 @@ def incidence(docs: DataFrame, n: int = N) -> DataFrame:
 
     def rows(batches):
         maps, seen = shared.value, set()
-        for b in batches:
+        for b, lo, sets in ((b, lo, sets) for b in batches for lo, sets in gram_sets(b.column(1), n)):
             size, sigs, prefix, grams = [], [], [], []
-            for u in gram_sets(b.column(1), n):
+            for u in sets:
                 sig = _signature(u)
                 p = g = u[:0]
                 if sig not in seen and len(u):
@@ -177,7 +176,7 @@ def incidence(docs: DataFrame, n: int = N) -> DataFrame:
                 grams.append(g.view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)),
                                               pa.array(np.concatenate([*c, np.zeros(0, np.int64)]))) for c in (prefix, grams)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sigs, pa.int64()), *lists], names=["doc_id", "n", "sig", "prefix", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sets)), pa.array(size, pa.int64()), pa.array(sigs, pa.int64()), *lists], names=["doc_id", "n", "sig", "prefix", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(

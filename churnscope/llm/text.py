@@ -30,7 +30,7 @@ SPACED_WORD = ~((_b == 32) | ((_b >= 9) & (_b <= 13)))
 def _pow(n: int):
     """Powers of the hash base and of its inverse, at least ``n`` of each."""
     if _powers["n"] < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + 1)
         for key, base in (("up", _B), ("down", _B_INV)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
@@ -52,11 +52,13 @@ def chunks(arr):
     """Yield (first row, bytes as uint8, int64 offsets of the rows) of consecutive runs of whole documents."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    arr = arr.cast(pa.large_string()).fill_null("")
+    if arr.null_count:
+        arr = arr.fill_null("")
     n = len(arr)
     if not n:
         return
-    offs = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(arr.type) else np.int32
+    offs = np.frombuffer(arr.buffers()[1], dtype=width)[arr.offset:arr.offset + n + 1].astype(np.int64)
     data = arr.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
