@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
+from churnscope.llm.store import bounded_batches, written
 
 K = 7
 WINDOW = 13
@@ -170,7 +171,6 @@ def _covered(starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 def blocks(benchmark: DataFrame, k: int, window: int, block_rows: int):
     """The benchmark's windows in broadcast blocks of about ``block_rows`` rows, by fingerprint hash."""
-    from churnscope.llm.store import written
     spark = benchmark.sparkSession
     rows = written(benchmark_windows(benchmark, k, window), "benchmark-windows")
     n = max(1, -(-rows.count() // block_rows))
@@ -183,6 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
                   block_rows: int = BLOCK_ROWS, min_share: float = 0.05) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids as sorted strings) and contaminated (n_hit > 0 and at least
     ``min_share`` of the words)."""
+    bounded_batches(docs.sparkSession)
     d = docs
     names = []
     for i, shared in enumerate(blocks(benchmark, k, window, block_rows)):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from churnscope.llm import text as X
 from churnscope.llm.components import components
-from churnscope.llm.store import written
+from churnscope.llm.store import bounded_batches, written
 
 N = 5
 KEY_BITS = 26
@@ -326,6 +326,7 @@ def _large(big: DataFrame, block: int) -> list[DataFrame]:
 def groups(docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id): one row for each row of ``docs``; component_id is the smallest
     doc_id that links reach, its own for an empty set."""
+    bounded_batches(docs.sparkSession)
     inc = written(incidence(docs, n), "incidence")
     lab = components(links(inc, block)).withColumnsRenamed({"v": "sig"})
     classes = inc.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("c0"))

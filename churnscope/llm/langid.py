@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
-from churnscope.llm.store import written
+from churnscope.llm.store import bounded_batches, written
 
 ORDER = 4
 SLOT_BITS = 20
@@ -189,6 +189,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Fit on all (lang, text) rows; rows without a language are left out."""
+    bounded_batches(docs.sparkSession)
     counts = gram_counts(docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     probs, gammas = kneser_ney(counts)
     langs = [r.lang for r in probs[1].select("lang").distinct().orderBy("lang").collect()]
@@ -231,6 +232,7 @@ def identify(docs: DataFrame, model: Model, learned: Column) -> DataFrame:
     """All columns but the text, with lang_pred, score, cross_entropy and accepted; ``learned`` says which rows
     calibrate the limits."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     d = docs.withColumn("_ce", entropies(F.col("text").cast("string"), shared)).drop("text", "lang_pred", "score", "cross_entropy", "accepted")
     best = F.array_min("_ce")

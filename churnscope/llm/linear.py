@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
-from churnscope.llm.store import written
+from churnscope.llm.store import bounded_batches, written
 
 BITS = 18
 DIM = 1 << BITS
@@ -76,6 +76,7 @@ def features(text: Column, shape: bool = False) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, grade) of the documents of at most ``rows`` labelled ids, those with the lowest hash among the
     ids that ``learn`` allows. An id with several labels takes the largest."""
+    bounded_batches(docs.sparkSession)
     ids = (labels.select("doc_id", grade.alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & learn)
            .groupBy("doc_id").agg(F.max("grade").alias("grade"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))

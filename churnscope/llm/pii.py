@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
+from churnscope.llm.store import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BINS = 4096
@@ -39,6 +40,8 @@ ROUNDS = 6
 UNSEEN = 0.95
 #: pseudo-count of look-alikes that have the same label
 AGREE = 50.0
+#: a repeat speaks louder than the features of the single token
+SKIP_WEIGHT = 2.5
 MIN_MARGINAL = 0.9
 _K = len(KINDS) + 1  # 0: none
 
@@ -200,7 +203,7 @@ class Field:
         own[seen, g.label[seen]] = 0.0
         pairs = np.concatenate([g.chain, g.skip])
         kind = np.repeat([0, 1], [len(g.chain), len(g.skip)])
-        factor = np.stack([0.5 * self.chain, self.skip])
+        factor = np.stack([0.5 * self.chain, SKIP_WEIGHT * self.skip])
         src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         f = factor[np.concatenate([kind, kind])]
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
@@ -252,6 +255,7 @@ def fit(docs: DataFrame) -> Field:
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "n"])
 
+    bounded_batches(docs.sparkSession)
     total = np.zeros((BINS + 2 * _K + 1, _K))
     src = docs.select(F.col("text").cast("string").alias("text"))
     for r in src.mapInArrow(rows, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
@@ -261,6 +265,7 @@ def fit(docs: DataFrame) -> Field:
 
 def find(docs: DataFrame, field: Field, min_marginal: float = MIN_MARGINAL) -> DataFrame:
     """``docs`` with base_spans and added_spans: arrays of (kind from 1 as in KINDS, start, end), by kind, then start."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 

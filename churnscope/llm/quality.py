@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import linear
+from churnscope.llm.store import bounded_batches
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, learn: Column, rows: int = linear.SAMPLE_ROWS) -> linear.Model:
@@ -25,6 +26,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, learn: C
 
 def grade(docs: DataFrame, model: linear.Model) -> DataFrame:
     """``docs`` with tails (P(grade >= 1), ...), expected_grade and grade_pred (the most likely grade)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = len(model.thresholds)
     d = docs.withColumn("tails", linear.tails(F.col("text").cast("string"), shared, shape=True))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
+from churnscope.llm.store import bounded_batches, written
 
 #: rule -> (version, pattern, smallest length of the group, group)
 RULES = {
@@ -91,6 +92,7 @@ def update(versions: DataFrame, ledger: str, versions_of_rules: dict[str, int] |
 
     versions: DataFrame with a ``text`` column, one row for each version of each path."""
     spark = versions.sparkSession
+    bounded_batches(spark)
     rules = {k: (versions_of_rules or {}).get(k, RULES[k][0]) for k in KINDS}
     blobs = versions.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blobs = blobs.select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
@@ -132,7 +134,6 @@ def findings(versions: DataFrame, ledger: str) -> DataFrame:
     hits = (update(versions, ledger).where(F.size("spans") > 0)
             .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("rule")].alias("kind"), s["end"].alias("end"))).alias("s"))
             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("secrets")))
-    from churnscope.llm.store import written
     hits = written(hits, "secret-hits")  # only blobs with findings: at most one row for each rule met here
     n = hits.count()
     d = versions.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import linear
+from churnscope.llm.store import bounded_batches
 
 #: Families of identity terms; a term is swapped for the next one of its family.
 FAMILIES = (
@@ -63,6 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
 def score(docs: DataFrame, model: linear.Model) -> DataFrame:
     """``docs`` with score (P(toxic)) and predicted (1 from 0.5 on)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return (docs.withColumn("score", linear.tails(F.col("text").cast("string"), shared)[0])
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
