@@ -124,7 +124,7 @@ def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataF
     for n in range(1, ORDER + 1):
         one, two = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") == 2).cast("double"))
         # one row a language
-        d = levels[n].groupBy("lang").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.coalesce(one / (one + 2 * two), F.lit(0.5)))).alias("d"))
+        d = levels[n].groupBy("lang").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.coalesce(F.try_divide(one, one + 2 * two), F.lit(0.5)))).alias("d"))
         t = levels[n].withColumn("h", F.shiftrightunsigned("g", 16))
         ctx = (t.groupBy("lang", "h").agg(F.sum("c").cast("double").alias("t"), F.count(F.lit(1)).alias("n1"))
                .join(F.broadcast(d), "lang"))

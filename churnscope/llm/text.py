@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd: invertible modulo 2**64
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
