@@ -111,9 +111,11 @@ def stats_from_histogram(h: DataFrame, group_cols=("variable", "target")) -> Dat
     def q(p):
         return stable(F.percentile(v, F.lit(p), n).cast("double"))
 
+    # nulls count in no statistic, as in the exact path
+    known = F.sum(F.when(v.isNotNull(), n))
     base = h.groupBy(*gc).agg(
-        F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("_m"), q(0.5).alias("median"),
-        F.min(F.struct((-n).alias("_neg_n"), v.alias("_v"))).getField("_v").cast("double").alias("mode"),
+        F.coalesce(known, F.lit(0)).alias("count"), F.try_divide(F.sum(v * n), known).alias("_m"), q(0.5).alias("median"),
+        F.min(F.when(v.isNotNull(), F.struct((-n).alias("_neg_n"), v.alias("_v")))).getField("_v").cast("double").alias("mode"),
         F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
         q(0.25).alias("q1"), q(0.75).alias("q3"))
     dev = F.col("value") - F.col("_m")
@@ -255,8 +257,10 @@ def _fences_from_hist(h: DataFrame) -> DataFrame:
 
     return (h.groupBy("variable")
             .agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.sum(n).alias("n"), F.min(v).alias("min_value"),
-                 F.max(v).alias("max_value"), stable(F.sum(v * n) / F.sum(n)).alias("mean"), q(0.5).alias("median"),
-                 F.min(F.struct((-n).alias("_neg_n"), v.alias("_v"))).getField("_v").alias("mode"))
+                 F.max(v).alias("max_value"), q(0.5).alias("median"),
+                 # nulls count in no statistic; the outlier share is one of all rows
+                 stable(F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))).alias("mean"),
+                 F.min(F.when(v.isNotNull(), F.struct((-n).alias("_neg_n"), v.alias("_v")))).getField("_v").alias("mode"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - OUTLIER_K * F.col("iqr"))
             .withColumn("upper_fence", F.col("q3") + OUTLIER_K * F.col("iqr")))
@@ -268,7 +272,7 @@ def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
         return _fences_from_hist(value_histogram(long))
     return (long.groupBy("variable")
             .agg(quantile(v, 0.25, approx).alias("q1"), quantile(v, 0.75, approx).alias("q3"),
-                 F.count(v).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
+                 F.count(F.lit(1)).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
                  stable(F.avg(v)).alias("mean"), quantile(v, 0.5, approx).alias("median"), mode_lowest(v).alias("mode"))
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - OUTLIER_K * F.col("iqr"))

@@ -275,7 +275,7 @@ def explain_sample(df: DataFrame, key: str, k: int = 200, seed: int = SEED, orde
     split; top-k per partition, then a final merge), the reference's 'first 200 rows'
     without relying on file order."""
     k_col = F.col(key)
-    o = (k_col * F.lit(2654435761)) % F.lit(1000003) if order == "portable" else F.xxhash64(F.lit(seed), k_col)
+    o = ((k_col % F.lit(1000003)) * F.lit(2654435761 % 1000003)) % F.lit(1000003) if order == "portable" else F.xxhash64(F.lit(seed), k_col)
     return df.orderBy(o, key).limit(k)
 
 

@@ -22,7 +22,7 @@ GRID_SIZE = 200
 
 
 def _hist(df: DataFrame, spec: RoleSpec, columns) -> DataFrame:
-    long = unpivot_columns(df, list(columns), [spec.target], "double")
+    long = unpivot_columns(df, list(columns), [spec.target], "double").where("value IS NOT NULL")
     return long.groupBy("variable", F.col(spec.target).alias("target"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 

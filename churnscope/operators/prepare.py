@@ -28,10 +28,11 @@ MAX_CATEGORIES = 1000
 
 def split_order(spec: RoleSpec, seed: int = SPLIT_SEED, order: str = "hash") -> Column:
     """Row order inside a stratum. 'hash': xxhash64 of (seed, key), uniform over the
-    long range. 'portable': (key * 2654435761) % 1000003, reproducible in any SQL engine."""
+    long range. 'portable': (key * 2654435761) % 1000003, reproducible in any SQL engine; the factors are
+    reduced first, so no key overflows."""
     k = F.col(spec.key)
     if order == "portable":
-        return (k * F.lit(2654435761)) % F.lit(1000003)
+        return ((k % F.lit(1000003)) * F.lit(2654435761 % 1000003)) % F.lit(1000003)
     return F.xxhash64(F.lit(seed), k)
 
 

@@ -335,7 +335,7 @@ d AS (SELECT *, FLOOR(cont) AS fl, cont - FLOOR(cont) AS rem FROM c),
 e AS (SELECT *, n_train - SUM(fl) OVER () AS lft, ROW_NUMBER() OVER (ORDER BY rem DESC, target) AS rk FROM d),
 alloc AS (SELECT target, n_class - (fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END) AS n_test FROM e),
 r AS (SELECT customer_id, target,
-             ROW_NUMBER() OVER (PARTITION BY target ORDER BY (customer_id * 2654435761) % 1000003, customer_id) AS rnk
+             ROW_NUMBER() OVER (PARTITION BY target ORDER BY ((customer_id % 1000003) * 427799) % 1000003, customer_id) AS rnk
       FROM churn_features)
 SELECT r.customer_id, r.target, CASE WHEN r.rnk <= alloc.n_test THEN 'test' ELSE 'train' END AS split
 FROM r JOIN alloc ON r.target = alloc.target"""
