@@ -7,12 +7,14 @@ scorer, so stream output equals batch output by construction.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import risk_columns
 from churnscope.operators.explain import contrib_split, feature_metadata, top_factors
-from churnscope.operators.models import Benchmark, positive_probability, shapley_attribution
+from churnscope.operators.models import Benchmark, background_rows, positive_probability, shapley_attribution
 from churnscope.operators.rules import recommendations, validate_records
 from churnscope.session import ensure_checkpoint_dir
 
@@ -20,6 +22,8 @@ RESPONSE_COLUMNS = ("customer_id", "is_valid", "errors", "probability", "predict
                     "recommendation", "n_recommendations", "recommendations", "unknown_category", "response_json",
                     "scored_at")
 
+RECORD = "_record"
+
 
 def typed_records(checked: DataFrame, spec) -> DataFrame:
     """Valid records with numeric fields as integers."""
@@ -43,10 +47,16 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
     The checked records and the attributions (2^F model evaluations per record, the
     expensive step) each feed several branches of the output (scores, factor lists,
     totals, recommendations, response); with ``materialize`` both are written once to
-    the checkpoint folder, partitioned by the record key, so nothing is recomputed and
+    the checkpoint folder, partitioned by the record's id, so nothing is recomputed and
     the joins on the key find both sides already partitioned by it."""
-    spec = bench.spec
-    key = spec.key
+    outer = bench.spec.key
+    if background is None:
+        background = background_rows(bench)
+    # a record is known by its own id, not by its customer: one customer may send many records,
+    # and a malformed line has no customer at all
+    raw = raw.withColumn(RECORD, F.struct(F.col(outer).alias("key"), F.monotonically_increasing_id().alias("record")))
+    bench = replace(bench, spec=replace(bench.spec, key=RECORD))
+    spec, key = bench.spec, RECORD
     spark = raw.sparkSession
     checked = validate_records(raw, spec).repartition(key)
     if materialize:
@@ -91,5 +101,5 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
     # equal bodies (batch = stream); ISO text as the reference returns it
     return (checked.select(key, "is_valid", "errors").join(scored_rows, key, "left")
             .withColumn("scored_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-            .select(key, *RESPONSE_COLUMNS[1:]))
+            .select(F.col(f"{key}.key").alias(outer), *RESPONSE_COLUMNS[1:]))
 

@@ -162,3 +162,19 @@ def test_stream_resumes_from_its_checkpoint(spark, bench):
     scored, rejected = read_output(spark, out)
     seen = [r.customer_id for r in scored.select("customer_id").union(rejected.select("customer_id")).collect()]
     assert sorted(seen) == ids
+
+
+def test_records_of_one_customer_are_scored_one_by_one(spark, bench):
+    """Two valid records and an invalid one of one customer: three rows, own scores, none for the invalid one."""
+    from churnscope.sources.fixtures import raw_records
+    by_ref = {bench.spec.analog.get(c, c): c for c in bench.spec.features}
+    rows = score_records(raw_records(spark, SF_SMALL), bench, M.RF, 0.5).where("is_valid").orderBy("probability", "customer_id").collect()
+    low, high = rows[0].customer_id, rows[-1].customer_id
+    raw = raw_records(spark, SF_SMALL)
+    one = raw.where(F.col("customer_id") == low).withColumn("customer_id", F.lit(1))
+    two = raw.where(F.col("customer_id") == high).withColumn("customer_id", F.lit(1))
+    bad = two.withColumn(by_ref["Ages"], F.lit("7"))
+    got = score_records(one.unionByName(two).unionByName(bad.select(one.columns)), bench, M.RF, 0.5).collect()
+    assert len(got) == 3 and {r.customer_id for r in got} == {1}
+    assert sorted(r.probability for r in got if r.is_valid) == pytest.approx([rows[0].probability, rows[-1].probability])
+    assert [r.probability for r in got if not r.is_valid] == [None]
