@@ -131,11 +131,11 @@ b AS (SELECT item_id, {_words('text', '[0-9a-z' + chr(92) + 'x{80}-' + chr(92) +
 bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS s FROM b WHERE len(w) > 0),
 dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m),
 hit AS (SELECT dw.doc_id, dw.i, dw.m, bw.item_id FROM (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s FROM dw) dw JOIN bw ON bw.s = dw.s AND bw.m = dw.m),
-at AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+ii AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
-FROM d LEFT JOIN at USING (doc_id) LEFT JOIN it USING (doc_id)
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN ii USING (doc_id)
 """
 
 _RUNS = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_langid, op5_toxicity, op6_jaccard, op7_urls, op8_mixing, op9_fingerprints, op10_decontam)}
