@@ -19,14 +19,15 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
 from churnscope.operators.profile import fit_imputer, null_audit
+from churnscope.functions.ranking import global_row_number
 from churnscope.functions.stats import stable
-from churnscope.session import ensure_checkpoint_dir
+from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
 
@@ -173,33 +174,28 @@ def training_history(model: Model, name: str) -> list:
 # ---- M10: permutation importance --------------------------------------------------------------------------
 
 def permutation_importance(bench: Benchmark, name: str, repeats: int = 10, seed: int = SEED,
-                           rows: DataFrame | None = None, block_rows: int = 100_000) -> DataFrame:
+                           rows: DataFrame | None = None, n_buckets: int | None = None) -> DataFrame:
     """Increase of the squared error of P(class 1) when one feature's values are
     shuffled across rows, mean and population std over ``repeats`` shuffles.
 
-    The shuffle of feature j in repeat r is a random permutation within random
-    blocks: rows get a block by hash, and inside a block the k-th row by one hash
-    order takes the value of the k-th row by another. Each block holds about
-    ``block_rows`` rows, so no window ever sees the whole table.
+    Repeat r is one random permutation of the whole table: the k-th row by one hash
+    order is paired with the k-th row by another (``global_row_number``, so no window
+    sees a whole repeat). Each pair carries the partner's features; after the join a
+    generator makes one variant per feature that takes this feature from the partner.
     """
     spark = bench.data.sparkSession
     key = bench.spec.key
     names = bench.prep.feature_names
+    nb = n_buckets or shuffle_partitions(spark)
     base = (rows if rows is not None else bench.test).select(key, "label", *[F.col(f"`{n}`") for n in names])
-    n_rows = base.count()
-    n_blocks = max(1, math.ceil(n_rows / block_rows))
     model = bench.models[name]
-    jobs = F.array(*[F.struct(F.lit(n).alias("pf"), F.lit(r).alias("rep")) for n in names for r in range(repeats)])
-    ex = base.select("*", F.explode(jobs).alias("j")).select("*", "j.pf", "j.rep").drop("j")
-    h = lambda tag: F.xxhash64(F.lit(seed), F.lit(tag), F.col("pf"), F.col("rep"), F.col(key))
-    ex = ex.withColumn("_blk", F.pmod(h("block"), F.lit(n_blocks)))
-    w_a = Window.partitionBy("pf", "rep", "_blk").orderBy(h("a"), key)
-    w_b = Window.partitionBy("pf", "rep", "_blk").orderBy(h("b"), key)
-    value_of = F.coalesce(*[F.when(F.col("pf") == n, F.col(f"`{n}`")) for n in names])
-    left = ex.withColumn("_k", F.row_number().over(w_a))
-    right = ex.select("pf", "rep", "_blk", F.row_number().over(w_b).alias("_k"), value_of.alias("_pv"))
-    shuffled = left.join(right, ["pf", "rep", "_blk", "_k"])
-    cols = [F.when(F.col("pf") == n, F.col("_pv")).otherwise(F.col(f"`{n}`")).alias(f"_x{i}") for i, n in enumerate(names)]
+    ex = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    h = lambda tag: F.xxhash64(F.lit(seed), F.lit(tag), F.col("rep"), F.col(key))
+    left = global_row_number(ex.withColumn("_a", h("a")), ["rep"], ["_a", key], nb, out="_k")
+    right = ex.select("rep", key, h("b").alias("_b"), F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("_partner"))
+    right = global_row_number(right, ["rep"], ["_b", key], nb, out="_k").select("rep", "_k", "_partner")
+    shuffled = left.join(right, ["rep", "_k"]).withColumn("pf", F.explode(F.array(*[F.lit(n) for n in names])))
+    cols = [F.when(F.col("pf") == n, F.col("_partner")[i]).otherwise(F.col(f"`{n}`")).alias(f"_x{i}") for i, n in enumerate(names)]
     vec = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(names))], outputCol="features") \
         .transform(shuffled.select(key, "label", "pf", "rep", *cols))
     perm = positive_probability(model, vec)

@@ -40,8 +40,12 @@ def split_allocation(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
     """Rows per class in the test split: n_test = ceil(test_size * n); the training
     size is shared out over the classes by largest remainder and each class's test
     share is what is left of it. One row per class (computed on the class counts)."""
-    t = spec.target
-    counts = df.groupBy(F.col(t).alias("_cls")).agg(F.count(F.lit(1)).alias("n_class"))
+    return _allocated(df.groupBy(spec.target).agg(F.count(F.lit(1)).alias("n_class")), spec.target, test_size)
+
+
+def _allocated(counts: DataFrame, t: str, test_size: float) -> DataFrame:
+    """``split_allocation`` from (class, n_class) rows."""
+    counts = counts.withColumnRenamed(t, "_cls")
     w_all = Window.partitionBy()
     total = F.sum("n_class").over(w_all)
     n_test = F.ceil(F.lit(test_size) * total)
@@ -57,34 +61,56 @@ def split_allocation(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TES
 
 
 def stratified_split(df: DataFrame, spec: RoleSpec, test_size: float = SPLIT_TEST_SIZE, seed: int = SPLIT_SEED,
-                     order: str = "hash", n_buckets: int | None = None, materialize: bool = True,
-                     unique_key: bool = True) -> DataFrame:
+                     order: str = "hash", n_buckets: int | None = None, unique_key: bool = True) -> DataFrame:
     """Add ``split`` ('train'/'test'): per class, the first n_test rows in the seeded
-    order are test. Ranks come from ``global_row_number`` (range buckets + offsets), so
-    no class is ever held in one task; the allocation table has one row per class.
+    order (ties by key) are test. Rows without a class are left out.
 
-    The input is read by four passes (class counts, bucket bounds, bucket counts, the
-    ranking itself); with ``materialize`` it is written once to the checkpoint folder
-    first, so an expensive input (e.g. features aggregated from all orders) is computed
-    once and a lost executor re-reads it rather than recomputing it.
+    No row is ranked or moved: the place of each class's last test row is found first
+    (``_last_test_places``, one row per class), and every row is compared with it. The
+    input is read by three passes, two of them over key and class alone; a caller that
+    uses the result several times writes it itself.
 
-    ``unique_key=False`` is for tables where one key may hold many rows (even a third
-    of them): see ``_split_by_key_groups``."""
+    The key must be unique in a class around that place; a repeated key there ends the
+    job with a message. ``unique_key=False`` is for tables where one key may hold many
+    rows (even a third of them): see ``_split_by_key_groups``."""
     require_columns(df, [spec.key, spec.target], "stratified_split input")
-    nb = n_buckets or shuffle_partitions(df.sparkSession)
-    if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    elif not unique_key:
-        raise ValueError("unique_key=False needs materialize=True (row ids of a written input)")
-    alloc = split_allocation(df, spec, test_size)
+    t = spec.target
     if not unique_key:
-        return _split_by_key_groups(df, spec, alloc, seed, order, nb)
-    ranked = global_row_number(df.withColumn("_ord", split_order(spec, seed, order)), [spec.target],
-                               ["_ord", spec.key], nb, out="_rank")
-    return (ranked.join(F.broadcast(alloc.select(spec.target, "n_test")), spec.target)
-            .withColumn("split", F.when(F.col("_rank") <= F.col("n_test"), "test").otherwise("train"))
-            .drop("_ord", "_rank", "n_test"))
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)  # row ids of a written input are stable
+        nb = n_buckets or shuffle_partitions(df.sparkSession)
+        return _split_by_key_groups(df, spec, split_allocation(df, spec, test_size), seed, order, nb)
+    df = df.where(F.col(t).isNotNull())
+    o = split_order(spec, seed, order)
+    last = _last_test_places(df.select(t, F.struct(o.alias("ord"), F.col(spec.key).alias("key")).alias("_place")),
+                             t, test_size, order)
+    return (df.join(F.broadcast(last), t, "left")
+            .withColumn("split", F.when(F.struct(o.alias("ord"), F.col(spec.key).alias("key")) <= F.col("_last"), "test")
+                        .otherwise("train"))
+            .drop("_last"))
+
+
+def _last_test_places(rows: DataFrame, t: str, test_size: float, order: str) -> DataFrame:
+    """(class, _last): the n_test-th smallest place of each class that has test rows.
+
+    Places are counted in at most 2^16 bins of the (uniform) order per class; only the
+    rows of the one bin that holds the n_test-th place are ranked."""
+    first = F.col("_place.ord")
+    # the top 16 bits of a hash; 16 neighbouring values of the portable order (a null key comes first)
+    bin_ = F.shiftright(first, 48) if order == "hash" else F.coalesce(F.floor(first / 16), F.lit(-(1 << 62)))
+    rows = rows.withColumn("_bin", bin_)
+    hist = rows.groupBy(t, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    alloc = _allocated(hist.groupBy(t).agg(F.sum("_n").alias("n_class")), t, test_size)
+    upto = F.sum("_n").over(Window.partitionBy(t).orderBy("_bin"))  # at most 2^16 rows a class
+    cut = (hist.withColumn("_upto", upto).join(F.broadcast(alloc.select(t, "n_test")), t)
+           .withColumn("_need", F.col("n_test") - F.col("_upto") + F.col("_n"))
+           .where((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select(t, "_bin", "_need"))
+    w = Window.partitionBy(t).orderBy("_place")
+    near = (rows.join(F.broadcast(cut), [t, "_bin"])
+            .withColumn("_next", F.lead("_place").over(w)).withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") == F.col("_need")))
+    repeated = F.raise_error("a repeated key lies on both sides of the split: use unique_key=False")
+    return near.select(t, F.when(F.col("_next") == F.col("_place"), repeated).otherwise(F.col("_place")).alias("_last"))
 
 
 def _split_by_key_groups(df: DataFrame, spec: RoleSpec, alloc: DataFrame, seed: int, order: str,

@@ -22,7 +22,7 @@ def split_frame(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    df = split_frame(spark, sf_dir)
+    df = split_frame(spark, sf_dir).checkpoint(eager=True)  # read by several passes of the fit
     return df, prepare.fit_preparation(df.where(F.col("split") == "train"), S)
 
 

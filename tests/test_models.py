@@ -88,7 +88,7 @@ def test_importances_and_persistence(bench, spark):
 
 
 def test_permutation_importance_shape(bench):
-    r = M.permutation_importance(bench, M.LR, repeats=3, block_rows=50).collect()
+    r = M.permutation_importance(bench, M.LR, repeats=3, n_buckets=4).collect()
     assert {x.feature for x in r} == set(bench.prep.feature_names)
     assert all(x.importance_std >= 0 for x in r)
 

@@ -234,3 +234,32 @@ def test_ranks_with_more_buckets_than_distinct_values(spark):
     got = global_row_number(df, ["g"], ["v", "id"], n_buckets=64, out="rk")
     want = df.withColumn("rk2", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
     assert got.join(want, "id").where(F.col("rk") != F.col("rk2")).count() == 0
+
+
+def test_split_stops_at_a_key_on_both_sides(spark):
+    df = spark.createDataFrame([(7, 0)] * 10, "id int, target int")
+    spec = RoleSpec(key="id", target="target", numeric=(), categorical=())
+    with pytest.raises(Exception, match="unique_key=False"):
+        prepare.stratified_split(df, spec).collect()
+    assert prepare.stratified_split(df, spec, unique_key=False).where("split = 'test'").count() == 2
+
+
+def test_split_has_no_window_over_the_rows(spark):
+    """Only the key, class and place are dealt out; other columns never meet an exchange."""
+    df = _skewed(spark).withColumn("target", F.col("y"))
+    spec = RoleSpec(key="id", target="target", numeric=("v",), categorical=("g",))
+    big = df.withColumn("wide", F.concat(F.lit("wide"), F.col("id").cast("string")))
+    plan = prepare.stratified_split(big, spec)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("wide" in line or " v#" in line for line in windows)
+
+
+def test_permutation_pairs_the_whole_table(spark):
+    """One permutation a repeat: every row gives its features away once and takes another's once."""
+    rows = [(i, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    h = lambda tag: F.xxhash64(F.lit(1), F.lit(tag), F.col("id"))
+    a = global_row_number(df.withColumn("_a", h("a")), [], ["_a", "id"], 8, out="_k")
+    b = global_row_number(df.select(F.col("v").alias("pv"), "id", h("b").alias("_b")), [], ["_b", "id"], 8, out="_k")
+    got = a.join(b.select("_k", "pv"), "_k").collect()
+    assert sorted(r.pv for r in got) == [v for _, v in rows] and any(r.pv != r.v for r in got)
