@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators import evaluate as ev
 from churnscope.plans.registry import register
+from churnscope.plans.sqltext import tiers
 from churnscope.sources.fixtures import model_scores, scored, sql_with
 
 _CM = """CAST(SUM(CASE WHEN target = 0 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
@@ -91,14 +92,12 @@ def q_classification_report(spark, sf_dir):
     return ev.classification_report(_pred(spark, sf_dir))
 
 
-@register("risk_tiers", sql_with(["scored"], """
+@register("risk_tiers", sql_with(["scored"], f"""
 SELECT customer_id, score AS probability, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS predicted_class,
-       CASE WHEN score >= 0.8 THEN 'VERY HIGH' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-       CASE WHEN score >= 0.8 THEN '#dc3545' WHEN score >= 0.6 THEN '#fd7e14' WHEN score >= 0.4 THEN '#ffc107' ELSE '#28a745' END AS risk_color,
-       CASE WHEN score >= 0.6 THEN 'Immediate action required. Contact customer within 24 hours.'
-            WHEN score >= 0.4 THEN 'Proactive outreach recommended. Schedule call within 48 hours.'
-            ELSE 'Monitor customer. Include in next retention campaign.' END AS recommendation,
-       CASE WHEN score >= 0.8 THEN 'danger' WHEN score >= 0.6 THEN 'warning' WHEN score >= 0.4 THEN 'info' ELSE 'success' END AS alert_type
+       {tiers("score", [(t[0], t[1]) for t in ev.RISK_TIERS], ev.RISK_LOW[0])} AS risk_level,
+       {tiers("score", [(t[0], t[2]) for t in ev.RISK_TIERS], ev.RISK_LOW[1])} AS risk_color,
+       {tiers("score", ev.ACTION_TEXT, ev.ACTION_DEFAULT)} AS recommendation,
+       {tiers("score", [(t[0], ev.ALERT_TYPE[t[1]]) for t in ev.RISK_TIERS], ev.ALERT_TYPE[ev.RISK_LOW[0]])} AS alert_type
 FROM scored"""), ("R1", "R2", "R11", "F11"))
 def q_risk_tiers(spark, sf_dir):
     return ev.risk_tiers(scored(spark, sf_dir))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from churnscope.functions import texts as TX
+from churnscope.operators import evaluate as ev
 from churnscope.operators import rules
 from churnscope.plans.explain_queries import FEAT, _TF, top_factor_frame
 from churnscope.plans.registry import register
-from churnscope.plans.sqltext import lit
+from churnscope.plans.sqltext import lit, tiers
 from churnscope.sources.fixtures import churn_features, raw_records, scored, sql_with
 from churnscope.spec import CHURN_SPEC
 
@@ -99,12 +100,12 @@ per AS (
          SUM(CASE WHEN contribution < 0 THEN 1 ELSE 0 END) AS n_dec
   FROM tf GROUP BY customer_id),
 items AS (
-  SELECT customer_id, 1 AS pos, CASE WHEN total_risk > total_protection * 1.5 THEN {lit(TX.TAKEAWAY_RISKY)}
-                                     WHEN total_protection > total_risk * 1.5 THEN {lit(TX.TAKEAWAY_PROTECTED)}
+  SELECT customer_id, 1 AS pos, CASE WHEN total_risk > total_protection * {TX.TAKEAWAY_RATIO} THEN {lit(TX.TAKEAWAY_RISKY)}
+                                     WHEN total_protection > total_risk * {TX.TAKEAWAY_RATIO} THEN {lit(TX.TAKEAWAY_PROTECTED)}
                                      ELSE {lit(TX.TAKEAWAY_BALANCED)} END AS t FROM per
-  UNION ALL SELECT customer_id, 2, 'Primary risk: ' || top_risk FROM per WHERE top_risk IS NOT NULL
-  UNION ALL SELECT customer_id, 3, 'Key strength: ' || top_prot FROM per WHERE top_prot IS NOT NULL
-  UNION ALL SELECT customer_id, 4, 'Multiple factors (' || n_significant || ') significantly influence churn risk'
+  UNION ALL SELECT customer_id, 2, replace({lit(TX.TAKEAWAY_PRIMARY_RISK)}, '{{}}', top_risk) FROM per WHERE top_risk IS NOT NULL
+  UNION ALL SELECT customer_id, 3, replace({lit(TX.TAKEAWAY_KEY_STRENGTH)}, '{{}}', top_prot) FROM per WHERE top_prot IS NOT NULL
+  UNION ALL SELECT customer_id, 4, replace({lit(TX.TAKEAWAY_MULTIPLE)}, '{{}}', CAST(n_significant AS VARCHAR))
             FROM per WHERE n_significant > 5
   UNION ALL SELECT customer_id, 5, CASE WHEN n_inc > n_dec THEN {lit(TX.TAKEAWAY_FOCUS_RISK)}
                                         ELSE {lit(TX.TAKEAWAY_FOCUS_STRENGTH)} END FROM per),
@@ -145,10 +146,8 @@ ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY pos) A
 recs AS (SELECT customer_id, CAST(COUNT(*) AS INTEGER) AS n, string_agg(t, ' | ' ORDER BY pos) AS txt
          FROM ranked WHERE rn <= 5 GROUP BY customer_id)
 SELECT s.customer_id, s.score AS probability,
-       CASE WHEN s.score >= 0.8 THEN 'VERY HIGH' WHEN s.score >= 0.6 THEN 'HIGH' WHEN s.score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-       CASE WHEN s.score >= 0.6 THEN 'Immediate action required. Contact customer within 24 hours.'
-            WHEN s.score >= 0.4 THEN 'Proactive outreach recommended. Schedule call within 48 hours.'
-            ELSE 'Monitor customer. Include in next retention campaign.' END AS recommendation,
+       {tiers("s.score", [(t[0], t[1]) for t in ev.RISK_TIERS], ev.RISK_LOW[0])} AS risk_level,
+       {tiers("s.score", ev.ACTION_TEXT, ev.ACTION_DEFAULT)} AS recommendation,
        r.n AS n_recommendations, r.txt AS recommendations
 FROM scored s JOIN recs r ON s.customer_id = r.customer_id"""
 

@@ -45,3 +45,9 @@ def bins_case(col: str, edges, labels) -> str:
 def values_table(rows, names) -> str:
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(names)}))"
+
+
+def tiers(value: str, steps, default: str) -> str:
+    """CASE over descending (threshold, text) steps."""
+    whens = " ".join(f"WHEN {value} >= {th} THEN {lit(text)}" for th, text in steps)
+    return f"CASE {whens} ELSE {lit(default)} END"
