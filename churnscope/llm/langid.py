@@ -114,37 +114,42 @@ def _suffix(g, n: int):
 
 
 def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
-    """By order: (lang, g, c, logp) of the grams and (lang, h, gamma) of their contexts (log back-off weights)."""
+    """By order: (lang, g, c, p) of the grams and (lang, h, gamma) of their contexts (log back-off weights).
+    Discounts, contexts and weights of all orders come from one pass over the orders' union."""
     c, levels = counts, {}
     for n in range(ORDER, 0, -1):
         levels[n] = written(c, f"grams{n}")
         if n > 1:
             c = levels[n].groupBy("lang", _suffix(F.col("g"), n - 1).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    probs, gammas = {}, {}
+    grams = functools.reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("n"), "lang", "g", "c") for n, t in levels.items()])
+    one, two = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") == 2).cast("double"))
+    # one row an order and language
+    d = grams.groupBy("n", "lang").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.coalesce(F.try_divide(one, one + 2 * two), F.lit(0.5)))).alias("d"))
+    t = grams.withColumn("h", F.shiftrightunsigned("g", 16))
+    ctx = (t.groupBy("n", "lang", "h").agg(F.sum("c").cast("double").alias("t"), F.count(F.lit(1)).alias("n1"))
+           .join(F.broadcast(d), ["n", "lang"]).withColumn("rest", F.col("d") * F.col("n1") / F.col("t")))
+    ctx = written(ctx, "contexts")
+    own = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("t")
+    t = written(t.join(ctx, ["n", "lang", "h"]).select("n", "lang", "g", "c", own.alias("own"), "rest"), "weights")
+    probs = {}
     for n in range(1, ORDER + 1):
-        one, two = F.sum((F.col("c") == 1).cast("double")), F.sum((F.col("c") == 2).cast("double"))
-        # one row a language
-        d = levels[n].groupBy("lang").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.1), F.coalesce(F.try_divide(one, one + 2 * two), F.lit(0.5)))).alias("d"))
-        t = levels[n].withColumn("h", F.shiftrightunsigned("g", 16))
-        ctx = (t.groupBy("lang", "h").agg(F.sum("c").cast("double").alias("t"), F.count(F.lit(1)).alias("n1"))
-               .join(F.broadcast(d), "lang"))
-        t = t.join(ctx, ["lang", "h"])
-        own, rest = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("t"), F.col("d") * F.col("n1") / F.col("t")
+        p = t.where(F.col("n") == n)
         if n == 1:
-            p = t.select("lang", "g", "c", (own + rest / 65536.0).alias("p"))
+            p = p.withColumn("q", F.lit(1 / 65536.0))
         else:
             low = probs[n - 1].select("lang", F.col("g").alias("low"), F.col("p").alias("q"))
-            p = t.withColumn("low", _suffix(F.col("g"), n - 1)).join(low, ["lang", "low"]).select("lang", "g", "c", (own + rest * F.col("q")).alias("p"))
-        probs[n] = written(p, f"kn{n}")
-        gammas[n] = ctx.select("lang", "h", F.log(F.col("d") * F.col("n1") / F.col("t")).alias("gamma"))
+            p = p.withColumn("low", _suffix(F.col("g"), n - 1)).join(low, ["lang", "low"])
+        probs[n] = written(p.select("lang", "g", "c", (F.col("own") + F.col("rest") * F.col("q")).alias("p")), f"kn{n}")
+    gammas = {n: ctx.where(F.col("n") == n).select("lang", "h", F.log("rest").alias("gamma")) for n in probs}
     return probs, gammas
 
 
-def _slots(t: DataFrame, key: str, weight: Column) -> DataFrame:
-    """The rows of the heaviest key of each hash slot."""
-    best = (t.groupBy(key).agg(F.sum(weight).alias("_w")).withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(1 << SLOT_BITS)))
-            .groupBy("_slot").agg(F.max_by(F.col(key), F.struct(F.col("_w"), F.col(key))).alias(key)))
-    return t.join(best.select(key), key)
+def _slots(t: DataFrame) -> DataFrame:
+    """(n, key, lang, value): of (n, key, lang, value, weight) the rows of the heaviest key of each n's hash slot."""
+    keys = t.groupBy("n", "key").agg(F.sum("weight").alias("w"), F.collect_list(F.struct("lang", "value")).alias("rows"))  # one row a language
+    best = (keys.groupBy("n", F.pmod(F.xxhash64("key"), F.lit(1 << SLOT_BITS)).alias("slot"))
+            .agg(F.max_by(F.struct("key", "rows"), F.struct("w", "key")).alias("b")))
+    return best.select("n", "b.key", F.inline("b.rows"))
 
 
 class Model:
@@ -195,14 +200,17 @@ def fit(docs: DataFrame) -> Model:
     langs = [r.lang for r in probs[1].select("lang").distinct().orderBy("lang").collect()]
     number = {x: i for i, x in enumerate(langs)}
 
-    def arrays(t: DataFrame, key: str, value: str):
-        a = t.select(key, "lang", value).toArrow()
+    parts = [t.select(F.lit(n).alias("n"), F.col("g").alias("key"), "lang", F.log("p").alias("value"), F.col("c").alias("weight")) for n, t in probs.items()]
+    parts += [t.select(F.lit(-n).alias("n"), F.col("h").alias("key"), "lang", F.col("gamma").alias("value"), F.lit(1).alias("weight")) for n, t in gammas.items()]
+    kept = written(_slots(functools.reduce(DataFrame.unionByName, parts)), "slots")
+
+    def arrays(n: int):
+        a = kept.where(F.col("n") == n).select("key", "lang", "value").toArrow()
         lang = a.column("lang").combine_chunks().dictionary_encode()
         code = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)
-        return a.column(key).to_numpy(), code[lang.indices.to_numpy()] if len(code) else np.zeros(0, np.int64), a.column(value).to_numpy()
+        return a.column("key").to_numpy(), code[lang.indices.to_numpy()] if len(code) else np.zeros(0, np.int64), a.column("value").to_numpy()
 
-    p = {n: arrays(_slots(probs[n], "g", F.col("c")).withColumn("lp", F.log("p")), "g", "lp") for n in probs}
-    b = {n: arrays(_slots(gammas[n], "h", F.lit(1)), "h", "gamma") for n in gammas}
+    p, b = {n: arrays(n) for n in probs}, {n: arrays(-n) for n in probs}
     return Model(langs, p, b)
 
 
