@@ -2,10 +2,11 @@
 business interpretation table, per-record factor lists and their totals
 (X1, X6-X12, A31-A33, A36, W1, W3, T1, T3, T4, J2, J3).
 
-Attributions are a long table ``(key, feature, contribution)``: one row per record and
-feature. Per-feature results are aggregates over it (partial + final, one row per
-feature); per-record results group by the record key, whose groups hold one row per
-feature (bounded by the feature count). Feature metadata (type, parent variable,
+Attributions are a long table ``(key, feature, contribution)``, one row per record and
+feature, or one row per record with the array ``contributions``. Per-feature results are
+aggregates over the long table (partial + final, one row per feature); per-record results
+are expressions on the array, without a shuffle; a long table is first grouped by the
+record key, whose groups hold one row per feature (bounded by the feature count). Feature metadata (type, parent variable,
 reference category, display names, glossary) is one small row per feature, built
 from the fitted category values and broadcast.
 """
@@ -76,17 +77,31 @@ def linear_inputs(df: DataFrame, key: str, terms) -> DataFrame:
     return df.select(key, F.explode(F.array(*items)).alias("t")).select(key, "t.feature", "t.x", "t.w")
 
 
-def linear_attribution(long: DataFrame, key: str, background: DataFrame | None = None,
-                       digits: int | None = 6) -> DataFrame:
-    """phi_j = w_j (x_j - mean_background(x_j)) in margin space. The background means
-    are one aggregate row per feature (bounded), broadcast back; sum_j phi_j + base
-    equals the record's margin, base = intercept + sum_j w_j mean_j."""
-    bg = background if background is not None else long
-    means = bg.groupBy("feature").agg(F.avg("x").alias("_mean"))
-    phi = F.col("w") * (F.col("x") - F.col("_mean"))
-    if digits is not None:
-        phi = F.round(phi, digits)
-    return long.join(F.broadcast(means), "feature").select(key, "feature", phi.alias("contribution"))
+def linear_contributions(df: DataFrame, key: str, terms, background: DataFrame | None = None,
+                         keep=()) -> DataFrame:
+    """phi_j = w_j (x_j - mean_background(x_j)) in margin space, as the array ``contributions``
+    of (feature, contribution) beside the record's key and the columns ``keep``. The background
+    means are one row of one aggregate (a scalar subquery); sum_j phi_j + base equals the
+    record's margin, base = intercept + sum_j w_j mean_j."""
+    bg = background if background is not None else df
+    means = bg.agg(F.array(*[F.avg(x.cast("double")) for _, x, _ in terms]).alias("means")).scalar()
+    items = [F.struct(F.lit(n).alias("feature"),
+                      (F.lit(float(w)) * (x.cast("double") - F.get("_means", F.lit(i)))).alias("contribution"))
+             for i, (n, x, w) in enumerate(terms)]
+    return df.withColumn("_means", means).select(key, *keep, F.array(*items).alias("contributions"))
+
+
+def long_contributions(rows: DataFrame, key: str) -> DataFrame:
+    """(key, feature, contribution) of an array of contributions."""
+    return rows.select(key, F.inline("contributions"))
+
+
+def record_contributions(attr: DataFrame, key: str) -> DataFrame:
+    """One row per record with its array ``contributions``; a long table is grouped by the key."""
+    if "contributions" in attr.columns:
+        return attr
+    pairs = F.collect_list(F.struct("feature", "contribution"))  # as many as there are features
+    return attr.groupBy(key).agg(F.array_sort(pairs).alias("contributions"))
 
 
 def linear_base(long: DataFrame, intercept: float = 0.0) -> DataFrame:
@@ -172,29 +187,52 @@ def business_interpretation(attr: DataFrame, meta: DataFrame) -> DataFrame:
 
 # ---- X11 / W3 / R7: per-record factor list -------------------------------------------------------------------
 
+def factor_lists(attr: DataFrame, meta: DataFrame, key: str = "customer_id", k: int = TX.TOP_FACTORS) -> DataFrame:
+    """Per record the array ``factors``: contributions by |value| desc (feature order on ties), first
+    k, with rank, display name and direction; other columns of the record stay. The metadata, one
+    entry per feature, is a scalar subquery."""
+    entry = F.struct("feature", F.struct("feature_ord", "simplified_name").alias("m"))
+    names = meta.agg(F.map_from_entries(F.collect_list(entry)).alias("names")).scalar()
+    rows = record_contributions(attr, key).withColumn("_names", names)
+
+    def named(c: Column) -> Column:
+        m = F.try_element_at("_names", c["feature"])
+        size = F.coalesce(F.abs(c["contribution"]), F.lit(-1.0))
+        return F.struct((-size).alias("order"), m["feature_ord"].alias("ord"), c["feature"].alias("feature"),
+                        m["simplified_name"].alias("name"), c["contribution"].alias("contribution"))
+
+    def ranked(x: Column, i: Column) -> Column:
+        c = x["contribution"]
+        return F.struct((i + 1).cast("int").alias("factor_rank"), x["feature"].alias("feature"),
+                        F.coalesce(x["name"], x["feature"]).alias("simplified_name"), c.alias("contribution"),
+                        F.abs(c).alias("abs_contribution"),
+                        F.when(c > 0, "increases").otherwise("decreases").alias("direction"))
+
+    first = F.slice(F.array_sort(F.transform("contributions", named)), 1, k)
+    return rows.withColumn("factors", F.transform(first, ranked)).drop("_names")
+
+
 def top_factors(attr: DataFrame, meta: DataFrame, key: str = "customer_id", k: int = TX.TOP_FACTORS) -> DataFrame:
-    """Per record: contributions by |value| desc (feature order on ties), first k, with
-    display name and direction. The window is partitioned by the record key: each
-    partition holds one row per feature."""
-    j = attr.select(key, "feature", "contribution").join(
-        F.broadcast(meta.select("feature", "feature_ord", "simplified_name")), "feature", "left")
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "feature_ord")
-    return (j.withColumn("factor_rank", F.row_number().over(w)).where(F.col("factor_rank") <= k)
-            .select(key, "factor_rank", "feature", F.coalesce("simplified_name", "feature").alias("simplified_name"),
-                    "contribution", F.abs("contribution").alias("abs_contribution"),
-                    F.when(F.col("contribution") > 0, "increases").otherwise("decreases").alias("direction")))
+    """The factor lists as rows: one per record and factor."""
+    return factor_lists(attr, meta, key, k).select(key, F.inline("factors"))
 
 
 # ---- A33: per-record totals ------------------------------------------------------------------------------------
 
 def contrib_split(attr: DataFrame, key: str = "customer_id") -> DataFrame:
     """Sum of positive and of negative contributions per record (0 when none)."""
-    c = F.col("contribution")
-    return attr.groupBy(key).agg(
-        stable(F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0))).alias("total_positive"),
-        stable(F.coalesce(F.sum(F.when(c < 0, c)), F.lit(0.0))).alias("total_negative"),
-        F.sum(F.when(c > 0, 1).otherwise(0)).cast("long").alias("n_increasing"),
-        F.sum(F.when(c < 0, 1).otherwise(0)).cast("long").alias("n_decreasing"))
+    def side(test):
+        return F.filter(F.transform("contributions", lambda c: c["contribution"]), test)
+
+    up, down = side(lambda c: c > 0), side(lambda c: c < 0)
+    return record_contributions(attr, key).select(
+        key, total(up).alias("total_positive"), total(down).alias("total_negative"),
+        F.size(up).cast("long").alias("n_increasing"), F.size(down).cast("long").alias("n_decreasing"))
+
+
+def total(values: Column) -> Column:
+    """Sum of an array of doubles; 0 when empty."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 # ---- T3 / T4: head-k lists -------------------------------------------------------------------------------------

@@ -8,11 +8,12 @@ building and slicing); per-record lists are built from the record's own factor r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions import texts as TX
 from churnscope.functions.stats import stable
+from churnscope.operators.explain import total
 from churnscope.sources.tables import require_columns
 from churnscope.spec import SIGNIFICANT_FACTOR, RoleSpec
 
@@ -60,24 +61,37 @@ def validate_records(raw: DataFrame, spec: RoleSpec, fields=None) -> DataFrame:
 
 # ---- P20: factor rows from alternative layouts ------------------------------------------------------
 
+def factor_arrays(top: DataFrame, key: str) -> DataFrame:
+    """One row per record with its array ``factors`` in rank order; factor rows are grouped by the key."""
+    if "factors" in top.columns:
+        return top
+    others = [c for c in top.columns if c not in (key, "factor_rank")]
+    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("factor_rank", *others))).alias("factors"))
+
+
 def normalize_factors(df: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Accept factor rows under the alternative field names the scoring page accepts
-    (name / display_name / value / explanation): the first present field wins, then a
+    """Accept factors (rows, or the records' arrays) under the alternative field names the scoring
+    page accepts (name / display_name / value / explanation): the first present field wins, then a
     default."""
-    cols = set(df.columns)
+    lists = "factors" in df.columns
+    names = df.schema["factors"].dataType.elementType.names if lists else df.columns
 
-    def pick(names, default):
-        present = [F.col(n) for n in names if n in cols]
-        return F.coalesce(*present, default) if present else default
+    def fields(get) -> list:
+        def pick(options, default):
+            present = [get(n) for n in options if n in names]
+            return F.coalesce(*present, default) if present else default
 
-    contribution = pick(["contribution", "value"], F.lit(0.0)).cast("double")
-    return df.select(
-        key, pick(["factor_rank"], F.lit(None).cast("int")).alias("factor_rank"),
-        pick(["feature", "name"], F.lit("unknown")).alias("feature"),
-        pick(["simplified_name", "display_name", "feature"], F.lit("unknown")).alias("simplified_name"),
-        contribution.alias("contribution"),
-        pick(["abs_contribution"], F.abs(contribution)).alias("abs_contribution"),
-        pick(["reason", "explanation"], F.lit("")).alias("reason"))
+        contribution = pick(["contribution", "value"], F.lit(0.0)).cast("double")
+        return [pick(["factor_rank"], F.lit(None).cast("int")).alias("factor_rank"),
+                pick(["feature", "name"], F.lit("unknown")).alias("feature"),
+                pick(["simplified_name", "display_name", "feature"], F.lit("unknown")).alias("simplified_name"),
+                contribution.alias("contribution"),
+                pick(["abs_contribution"], F.abs(contribution)).alias("abs_contribution"),
+                pick(["reason", "explanation"], F.lit("")).alias("reason")]
+
+    if lists:
+        return df.withColumn("factors", F.transform("factors", lambda x: F.struct(*fields(lambda n: x[n]))))
+    return df.select(key, *fields(F.col))
 
 
 # ---- R8: impact strength ---------------------------------------------------------------------------
@@ -107,29 +121,30 @@ def factor_text(name: Column, contribution: Column, risk: bool) -> Column:
 def factor_explanations(top: DataFrame, key: str = "customer_id", per_side: int = TX.FACTORS_PER_SIDE) -> DataFrame:
     """Risk-increasing (> 0) and protective (< 0) factors of each record, at most
     ``per_side`` each in list order, with strength and explanation."""
-    c = F.col("contribution")
-    sided = top.where(c != 0).withColumn("side", F.when(c > 0, "increasing").otherwise("decreasing"))
-    w = Window.partitionBy(key, "side").orderBy("factor_rank")
-    return (sided.withColumn("side_rank", F.row_number().over(w)).where(F.col("side_rank") <= per_side)
-            .select(key, "side", "side_rank", "feature", "simplified_name", "contribution",
-                    impact_strength(F.col("abs_contribution")).alias("impact_strength"),
-                    F.when(F.col("side") == "increasing", factor_text(F.col("simplified_name"), c, True))
-                    .otherwise(factor_text(F.col("simplified_name"), c, False)).alias("explanation")))
+    def explained(side: str, test, risk: bool) -> Column:
+        return F.transform(F.slice(F.filter("factors", test), 1, per_side), lambda x, i: F.struct(
+            F.lit(side).alias("side"), (i + 1).cast("int").alias("side_rank"), x["feature"].alias("feature"),
+            x["simplified_name"].alias("simplified_name"), x["contribution"].alias("contribution"),
+            impact_strength(x["abs_contribution"]).alias("impact_strength"),
+            factor_text(x["simplified_name"], x["contribution"], risk).alias("explanation")))
+
+    both = F.concat(explained("increasing", lambda x: x["contribution"] > 0, True),
+                    explained("decreasing", lambda x: x["contribution"] < 0, False))
+    return factor_arrays(top, key).select(key, F.inline(both))
 
 
 # ---- R10: key takeaways -----------------------------------------------------------------------------------
 
 def key_takeaways(top: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Up to five takeaways per record from its factor list."""
-    c = F.col("contribution")
-    per = top.groupBy(key).agg(
-        stable(F.coalesce(F.sum(F.when(c > 0, F.col("abs_contribution"))), F.lit(0.0))).alias("total_risk"),
-        stable(F.coalesce(F.sum(F.when(c < 0, F.abs(c))), F.lit(0.0))).alias("total_protection"),
-        F.min(F.when(c > 0, F.struct("factor_rank", "simplified_name"))).alias("_top_risk"),
-        F.min(F.when(c < 0, F.struct("factor_rank", "simplified_name"))).alias("_top_prot"),
-        F.sum(F.when(F.col("abs_contribution") > SIGNIFICANT_FACTOR, 1).otherwise(0)).cast("long").alias("n_significant"),
-        F.sum(F.when(c > 0, 1).otherwise(0)).cast("long").alias("n_increasing"),
-        F.sum(F.when(c < 0, 1).otherwise(0)).cast("long").alias("n_decreasing"))
+    """Up to five takeaways per record from its factor list; a record without factors has no row."""
+    up, down = F.filter("factors", lambda x: x["contribution"] > 0), F.filter("factors", lambda x: x["contribution"] < 0)
+    size = F.filter("factors", lambda x: x["abs_contribution"] > SIGNIFICANT_FACTOR)
+    per = factor_arrays(top, key).where(F.size("factors") > 0).select(
+        key, stable(total(F.transform(up, lambda x: x["abs_contribution"]))).alias("total_risk"),
+        stable(total(F.transform(down, lambda x: F.abs(x["contribution"])))).alias("total_protection"),
+        F.get(up, F.lit(0)).alias("_top_risk"), F.get(down, F.lit(0)).alias("_top_prot"),
+        F.size(size).cast("long").alias("n_significant"),
+        F.size(up).cast("long").alias("n_increasing"), F.size(down).cast("long").alias("n_decreasing"))
     risk, prot = F.col("total_risk"), F.col("total_protection")
     balance = (F.when(risk > prot * TX.TAKEAWAY_RATIO, TX.TAKEAWAY_RISKY)
                .when(prot > risk * TX.TAKEAWAY_RATIO, TX.TAKEAWAY_PROTECTED).otherwise(TX.TAKEAWAY_BALANCED))
@@ -187,23 +202,24 @@ def factor_recommendation(name: Column) -> Column:
             .when(low.contains("service"), TX.REC_FACTOR_SERVICE))
 
 
-def recommendations(features: DataFrame, scores: DataFrame, top: DataFrame, spec: RoleSpec,
+def recommendations(features: DataFrame, scores: DataFrame | None, top: DataFrame | None, spec: RoleSpec,
                     score_col: str = "score", max_items: int = TX.MAX_RECOMMENDATIONS) -> DataFrame:
     """Risk tier, base action and up to ``max_items`` specific recommendations per
-    record: attribute rules first, then rules on the top-3 factors, in that order."""
+    record: attribute rules first, then rules on the top-3 factors, in that order.
+    Without ``scores`` or ``top`` the features have the score or the factor lists themselves, and
+    nothing is joined."""
     from churnscope.operators.evaluate import risk_columns
 
     key = spec.key
-    fr = (top.where(F.col("factor_rank") <= TX.FACTOR_RECS_FROM)
-          .select(key, "factor_rank", factor_recommendation(F.col("simplified_name")).alias("rec"))
-          .groupBy(key)
-          .agg(F.array_sort(F.collect_list(F.when(F.col("rec").isNotNull(), F.struct("factor_rank", "rec"))))
-               .alias("_fr")))
-    j = (features.join(scores.select(key, score_col), key)
-         .join(fr, key, "left"))
+    j = features
+    if scores is not None:
+        j = j.join(scores.select(key, score_col), key)
+    if top is not None:
+        j = j.join(factor_arrays(top, key).select(key, "factors"), key, "left")
+    from_top = F.transform(F.filter("factors", lambda x: x["factor_rank"] <= TX.FACTOR_RECS_FROM),
+                           lambda x: factor_recommendation(x["simplified_name"]))
+    facs = F.coalesce(F.filter(from_top, lambda x: x.isNotNull()), F.array().cast("array<string>"))
     attr = F.filter(attribute_recommendations(spec), lambda x: x.isNotNull())
-    facs = F.transform(F.coalesce(F.col("_fr"), F.array().cast("array<struct<factor_rank:int,rec:string>>")),
-                       lambda s: s.getField("rec"))
     recs = F.slice(F.concat(attr, facs), 1, max_items)
     level, _color, action, _alert = risk_columns(F.col(score_col))
     return j.select(key, F.col(score_col).alias("probability"), level, action,

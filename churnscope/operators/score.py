@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import risk_columns
-from churnscope.operators.explain import contrib_split, feature_metadata, top_factors
+from churnscope.operators.explain import contrib_split, factor_lists, feature_metadata, record_contributions
 from churnscope.operators.models import Benchmark, background_rows, positive_probability, shapley_attribution
 from churnscope.operators.rules import recommendations, validate_records
 from churnscope.session import ensure_checkpoint_dir
@@ -69,14 +69,13 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
     if materialize:
         attr = attr.checkpoint(eager=True)
     meta = feature_metadata(spark, spec, bench.prep.categories)
-    top = top_factors(attr, meta, key)
+    attr = record_contributions(attr, key)
+    top = factor_lists(attr, meta, key).select(key, "factors")
     recs = recommendations(good, scored, top, spec)
     split = contrib_split(attr, key)
-    contrib = (top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "factor_rank", "feature", "simplified_name", "contribution", "abs_contribution", "direction"))).alias("_c")))
     p = F.col("probability")
     _level, color, _action, _alert = risk_columns(p)
-    body = (recs.join(split, key, "left").join(contrib, key, "left").join(good, key, "left")
+    body = (recs.join(split, key, "left").join(top, key, "left").join(good, key, "left")
             .join(feats.select(key, "unknown_category"), key, "left")
             .withColumn("predicted_class", (p > 0.5).cast("int"))
             .withColumn("risk_color", color))
@@ -90,7 +89,7 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
         F.struct(p.alias("probability"), F.col("predicted_class"), F.col("risk_level"), F.col("risk_color"),
                  F.col("recommendation")).alias("prediction"),
         F.split(F.col("recommendations"), r" \| ").alias("recommendations"),
-        F.struct(F.transform("_c", lambda c: c.dropFields("factor_rank")).alias("contributions"),
+        F.struct(F.transform("factors", lambda c: c.dropFields("factor_rank")).alias("contributions"),
                  F.col("total_positive"), F.col("total_negative"), F.lit(True).alias("available")).alias("shap"),
         F.struct(F.lit(model_name).alias("name"), F.lit(model_accuracy).cast("double").alias("accuracy"))
         .alias("model_info"))

@@ -10,7 +10,7 @@ from churnscope.operators import explain as ex
 from churnscope.operators.prepare import distinct_values
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import case_map, lit, long_sql
-from churnscope.sources.fixtures import ATTRIBUTION_WEIGHTS, attributions, churn_features, sql_with
+from churnscope.sources.fixtures import attribution_rows, attributions, churn_features, sql_with
 from churnscope.sources.tables import literal_frame
 from churnscope.spec import CHURN_SPEC
 
@@ -26,9 +26,10 @@ def feature_meta(spark, sf_dir, cf=None):
     return ex.feature_metadata(spark, S, distinct_values(cf, list(S.categorical)))
 
 
-def top_factor_frame(spark, sf_dir, cf=None):
+def factor_frame(spark, sf_dir, cf=None):
+    """One row per customer with its contributions and factor list."""
     cf = cf if cf is not None else churn_features(spark, sf_dir)
-    return ex.top_factors(attributions(spark, sf_dir, cf), feature_meta(spark, sf_dir, cf))
+    return ex.factor_lists(attribution_rows(spark, sf_dir, cf), feature_meta(spark, sf_dir, cf))
 
 
 # ---- shared SQL pieces --------------------------------------------------------------------------
@@ -124,14 +125,9 @@ def _action_sql(name: str, d: str) -> str:
 
 # ---- queries ------------------------------------------------------------------------------------------------
 
-@register("linear_attribution", sql_with(V, "SELECT * FROM attributions"), ("X1", "X12", "F10"))
+@register("linear_attribution", sql_with(V, "SELECT * FROM attributions"), ("X1", "F10"))
 def q_linear_attribution(spark, sf_dir):
-    cf = churn_features(spark, sf_dir)
-    terms = []
-    for name, ind, w in ATTRIBUTION_WEIGHTS:
-        x = F.col(name) if ind is None else F.when(F.col(ind[0]) == ind[1], 1.0).otherwise(0.0)
-        terms.append((name, x, w))
-    return ex.linear_attribution(ex.linear_inputs(cf, "customer_id", terms), "customer_id")
+    return attributions(spark, sf_dir)
 
 
 @register("global_importance", sql_with(V, f"WITH {_IMP} SELECT * FROM gi"), ("X6", "A31", "A36", "W1", "T1", "W2"))
@@ -182,16 +178,16 @@ SELECT customer_id, ROUND(COALESCE(SUM(CASE WHEN contribution > 0 THEN contribut
        ROUND(COALESCE(SUM(CASE WHEN contribution < 0 THEN contribution END), 0.0), 9) AS total_negative,
        CAST(SUM(CASE WHEN contribution > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_increasing,
        CAST(SUM(CASE WHEN contribution < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_decreasing
-FROM attributions GROUP BY customer_id"""), ("A33", "P19", "U2"))
+FROM attributions GROUP BY customer_id"""), ("A33", "P19"))
 def q_contrib_split(spark, sf_dir):
-    s = ex.contrib_split(attributions(spark, sf_dir))
+    s = ex.contrib_split(attribution_rows(spark, sf_dir))
     return s.withColumn("total_positive", stable(F.col("total_positive"))).withColumn(
         "total_negative", stable(F.col("total_negative")))
 
 
 @register("top_factors", sql_with(V, f"WITH {FEAT}, {_TF} SELECT * FROM tf"), ("X11", "W3", "R7", "T8"))
 def q_top_factors(spark, sf_dir):
-    return top_factor_frame(spark, sf_dir)
+    return factor_frame(spark, sf_dir).select("customer_id", F.inline("factors"))
 
 
 @register("dependence_list", sql_with(V, f"""

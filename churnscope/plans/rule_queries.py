@@ -5,10 +5,11 @@ from __future__ import annotations
 from churnscope.functions import texts as TX
 from churnscope.operators import evaluate as ev
 from churnscope.operators import rules
-from churnscope.plans.explain_queries import FEAT, _TF, top_factor_frame
+from churnscope.operators.explain import factor_lists
+from churnscope.plans.explain_queries import FEAT, _TF, factor_frame, feature_meta
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import lit, tiers
-from churnscope.sources.fixtures import churn_features, raw_records, scored, sql_with
+from churnscope.sources.fixtures import attribution_rows, churn_features, raw_records, score_expr, sql_with
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -56,7 +57,7 @@ WITH {FEAT}, {_TF}
 SELECT customer_id, factor_rank, feature, abs_contribution, {_STRENGTH} AS impact_strength FROM tf"""), ("R8",))
 def q_impact_strength(spark, sf_dir):
     from pyspark.sql import functions as F
-    top = top_factor_frame(spark, sf_dir)
+    top = factor_frame(spark, sf_dir).select("customer_id", F.inline("factors"))
     return top.select("customer_id", "factor_rank", "feature", "abs_contribution",
                       rules.impact_strength(F.col("abs_contribution")).alias("impact_strength"))
 
@@ -83,7 +84,7 @@ SELECT customer_id, side, side_rank, feature, simplified_name, contribution, {_S
        CASE WHEN side = 'increasing' THEN {_text_sql(True)} ELSE {_text_sql(False)} END AS explanation
 FROM r WHERE side_rank <= 5"""), ("R9", "J6", "P19", "P20", "W3", "F1", "F5"))
 def q_factor_explanations(spark, sf_dir):
-    return rules.factor_explanations(rules.normalize_factors(top_factor_frame(spark, sf_dir)))
+    return rules.factor_explanations(rules.normalize_factors(factor_frame(spark, sf_dir)))
 
 
 # ---- R10 --------------------------------------------------------------------------------------------------
@@ -115,7 +116,7 @@ SELECT p.customer_id, p.total_risk, p.total_protection, p.n_significant,
 FROM per p JOIN ranked r ON p.customer_id = r.customer_id AND r.rn <= 5
 GROUP BY p.customer_id, p.total_risk, p.total_protection, p.n_significant"""), ("R10", "A34", "F9"))
 def q_key_takeaways(spark, sf_dir):
-    return rules.key_takeaways(top_factor_frame(spark, sf_dir))
+    return rules.key_takeaways(factor_frame(spark, sf_dir))
 
 
 # ---- R3 / R4 / R5 --------------------------------------------------------------------------------------------
@@ -155,5 +156,6 @@ FROM scored s JOIN recs r ON s.customer_id = r.customer_id"""
 @register("recommendations", sql_with(["attributions", "scored"], _rec_sql()), ("R3", "R4", "R5", "T8", "F13"))
 def q_recommendations(spark, sf_dir):
     cf = churn_features(spark, sf_dir)
-    top = top_factor_frame(spark, sf_dir, cf)
-    return rules.recommendations(cf, scored(spark, sf_dir, cf), top, S)
+    # one row per customer with features, score and contributions: no joins
+    rows = attribution_rows(spark, sf_dir, cf.withColumn("score", score_expr(cf)), keep=[*S.features, "score"])
+    return rules.recommendations(factor_lists(rows, feature_meta(spark, sf_dir, cf)), None, None, S)

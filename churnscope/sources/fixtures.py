@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.operators.explain import linear_contributions, long_contributions
 from churnscope.sources.tables import read_table
 
 CUTOFF = "2000-08-01 00:00:00"
@@ -228,29 +229,24 @@ ATTRIBUTION_WEIGHTS = (
 )
 
 
-def attribution_inputs(cf: DataFrame) -> DataFrame:
-    """Long (customer_id, feature, x, w): one generated row per customer and feature."""
-    items = []
-    for name, ind, w in ATTRIBUTION_WEIGHTS:
-        x = F.col(name).cast("double") if ind is None else F.when(F.col(ind[0]) == ind[1], 1.0).otherwise(0.0)
-        items.append(F.struct(F.lit(name).alias("feature"), x.alias("x"), F.lit(w).cast("double").alias("w")))
-    return cf.select("customer_id", F.explode(F.array(*items)).alias("a")).select("customer_id", "a.feature", "a.x", "a.w")
+def attribution_terms() -> list:
+    """(feature, value expression, weight) of the ``attributions`` view."""
+    return [(name, F.col(name) if ind is None else F.when(F.col(ind[0]) == ind[1], 1.0).otherwise(0.0), w)
+            for name, ind, w in ATTRIBUTION_WEIGHTS]
 
 
-def attributions(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
-    """Linear attribution w·(x − mean x) per customer and feature, rounded to 6 digits.
-
-    The per-feature means are one aggregate (8 rows, bounded by the feature list) that
-    is broadcast back; no window holds a whole feature column in one task.
-    """
+def attribution_rows(spark: SparkSession, sf_dir: str, features: DataFrame | None = None, keep=()) -> DataFrame:
+    """One row per customer: the array of linear attributions w·(x − mean x), as this view
+    defines them rounded to 6 digits."""
     cf = features if features is not None else churn_features(spark, sf_dir)
-    long = attribution_inputs(cf)
-    means = long.groupBy("feature").agg(F.avg("x").alias("mean_x"))
-    return (
-        long.join(F.broadcast(means), "feature")
-        .select("customer_id", "feature",
-                F.round(F.col("w") * (F.col("x") - F.col("mean_x")), 6).alias("contribution"))
-    )
+    rows = linear_contributions(cf, "customer_id", attribution_terms(), keep=keep)
+    return rows.withColumn("contributions", F.transform("contributions", lambda c: F.struct(
+        c["feature"].alias("feature"), F.round(c["contribution"], 6).alias("contribution"))))
+
+
+def attributions(spark: SparkSession, sf_dir: str, features: DataFrame | None = None) -> DataFrame:
+    """The same, one row per customer and feature."""
+    return long_contributions(attribution_rows(spark, sf_dir, features), "customer_id")
 
 
 # ---------------------------------------------------------------------------

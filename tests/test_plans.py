@@ -42,3 +42,24 @@ def test_parquet_scans_read_only_needed_columns(large_plans):
     for schema in scans:
         cols = {c.split(":")[0] for c in schema.split(",")}
         assert cols <= {"o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "c_custkey", "c_acctbal"}
+
+
+def test_factor_rules_do_not_shuffle_records(spark):
+    """Factor lists, totals, takeaways and explanations are expressions on each record's own array."""
+    from pyspark.sql import functions as F
+
+    from churnscope.operators import explain as ex
+    from churnscope.operators import rules
+
+    df = spark.range(100).select(F.col("id").alias("customer_id"), (F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"))
+    meta = spark.createDataFrame([(0, "a", "A"), (1, "b", "B")], "feature_ord int, feature string, simplified_name string")
+    terms = [("a", F.col("a"), 0.5), ("b", F.col("b"), -0.25)]
+    rows = ex.factor_lists(ex.linear_contributions(df, "customer_id", terms), meta)
+    for out in (rows, rules.key_takeaways(rows), rules.factor_explanations(rules.normalize_factors(rows)), ex.contrib_split(rows)):
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    # the same from long rows, which are grouped by the record
+    long = ex.long_contributions(rows, "customer_id")
+    again = ex.factor_lists(long, meta)
+    assert sorted(map(str, rules.key_takeaways(again).collect())) == sorted(map(str, rules.key_takeaways(rows).collect()))
+    tops = rows.select("customer_id", F.inline("factors"))
+    assert sorted(map(str, rules.factor_explanations(tops).collect())) == sorted(map(str, rules.factor_explanations(rows).collect()))
