@@ -13,6 +13,7 @@ from the fitted category values and broadcast.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,14 +70,6 @@ def feature_metadata(spark: SparkSession, spec: RoleSpec, categories: dict) -> D
 
 # ---- X1 / X12: linear attribution -------------------------------------------------------------
 
-def linear_inputs(df: DataFrame, key: str, terms) -> DataFrame:
-    """Long (key, feature, x, w) from ``(feature, column expression, weight)`` terms;
-    one generated row per record and term (explode, no join)."""
-    items = [F.struct(F.lit(n).alias("feature"), x.cast("double").alias("x"), F.lit(float(w)).alias("w"))
-             for n, x, w in terms]
-    return df.select(key, F.explode(F.array(*items)).alias("t")).select(key, "t.feature", "t.x", "t.w")
-
-
 def linear_contributions(df: DataFrame, key: str, terms, background: DataFrame | None = None,
                          keep=()) -> DataFrame:
     """phi_j = w_j (x_j - mean_background(x_j)) in margin space, as the array ``contributions``
@@ -104,10 +97,12 @@ def record_contributions(attr: DataFrame, key: str) -> DataFrame:
     return attr.groupBy(key).agg(F.array_sort(pairs).alias("contributions"))
 
 
-def linear_base(long: DataFrame, intercept: float = 0.0) -> DataFrame:
-    """Expected value of the margin over the background (one row)."""
-    per = long.groupBy("feature").agg(F.first("w").alias("w"), F.avg("x").alias("m"))
-    return per.agg((F.lit(intercept) + F.sum(F.col("w") * F.col("m"))).alias("expected_value"))
+def linear_base(background: DataFrame, terms, intercept: float = 0.0) -> DataFrame:
+    """Expected value of the margin over the background (one row; null without rows), of the terms
+    of ``linear_contributions``."""
+    means = [F.avg(x.cast("double")) * float(w) for _, x, w in terms]
+    return background.agg(F.count(F.lit(1)).alias("n_background"),
+                          functools.reduce(Column.__add__, means, F.lit(float(intercept))).alias("expected_value"))
 
 
 # ---- A31 / A36 / W1 / T1 / X6: global importance ------------------------------------------------

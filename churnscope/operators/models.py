@@ -45,12 +45,13 @@ def artifact_name(name: str) -> str:
 
 
 def build_estimator(name: str, n_features: int, weight_sum: float | None = None, seed: int = SEED,
-                    mlp_hidden: int = 16, mlp_iter: int = 100):
+                    mlp_hidden: int | tuple = 16, mlp_iter: int = 100):
     """The four benchmark estimators with the reference's settings mapped to MLlib.
 
     Logistic regression: scikit-learn's liblinear objective with C = 1 divided by
     C * sum(w) gives MLlib's weighted mean loss + regParam/2 |b|^2, regParam = 1/sum(w).
-    The network is re-aimed to MLlib's perceptron (sigmoid hidden layer, L-BFGS).
+    The network is re-aimed to MLlib's perceptron (sigmoid hidden layers, L-BFGS);
+    ``mlp_hidden`` is the size of its hidden layer, or a tuple of several layers' sizes.
     """
     common = dict(featuresCol="features", labelCol="label")
     if name == LR:
@@ -67,7 +68,8 @@ def build_estimator(name: str, n_features: int, weight_sum: float | None = None,
                              featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=10,
                              **common)
     if name == NN:
-        return MultilayerPerceptronClassifier(layers=[n_features, mlp_hidden, 2], maxIter=mlp_iter, blockSize=128,
+        hidden = [mlp_hidden] if isinstance(mlp_hidden, int) else list(mlp_hidden)
+        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=mlp_iter, blockSize=128,
                                               seed=seed, **common)
     raise ValueError(f"unknown model {name}")
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.functions.stats import mode_lowest
-from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -50,8 +49,9 @@ def head_rows(df: DataFrame, spec: RoleSpec, n: int = 5) -> DataFrame:
 
 def infer_roles(df: DataFrame, spec: RoleSpec) -> DataFrame:
     """Role of every column from its type: numeric -> 'numerical', string ->
-    'categorical'; the spec's key and target keep their roles (schema only, no job)."""
-    rows = []
+    'categorical'; the spec's key and target keep their roles. With the number of values that
+    aren't null, all columns in one aggregate."""
+    items = []
     for i, f in enumerate(df.schema.fields):
         if f.name == spec.target:
             role = "target"
@@ -63,9 +63,10 @@ def infer_roles(df: DataFrame, spec: RoleSpec) -> DataFrame:
             role = "categorical"
         else:
             role = "other"
-        rows.append((i, f.name, portable_type(f.dataType), role))
-    return literal_frame(df.sparkSession, rows, [("column_ord", "int"), ("column_name", "string"),
-                                                 ("data_type", "string"), ("role", "string")])
+        items.append(F.struct(F.lit(i).alias("column_ord"), F.lit(f.name).alias("column_name"),
+                              F.lit(portable_type(f.dataType)).alias("data_type"), F.lit(role).alias("role"),
+                              F.count(F.col(f"`{f.name}`")).alias("n_values")))
+    return df.agg(F.array(*items).alias("c")).select(F.inline("c"))
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list:

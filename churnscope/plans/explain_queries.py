@@ -10,7 +10,7 @@ from churnscope.operators import explain as ex
 from churnscope.operators.prepare import distinct_values
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import case_map, lit, long_sql
-from churnscope.sources.fixtures import attribution_rows, attributions, churn_features, sql_with
+from churnscope.sources.fixtures import ATTRIBUTION_WEIGHTS, attribution_rows, attribution_terms, attributions, churn_features, sql_with
 from churnscope.sources.tables import literal_frame
 from churnscope.spec import CHURN_SPEC
 
@@ -130,6 +130,23 @@ def q_linear_attribution(spark, sf_dir):
     return attributions(spark, sf_dir)
 
 
+#: intercept of the fixed linear weights
+MARGIN_INTERCEPT = 0.3
+
+
+def _margin_sql() -> str:
+    means = [f"{w} * AVG(CAST({name if ind is None else f'CASE WHEN {ind[0]} = {lit(ind[1])} THEN 1 ELSE 0 END'} AS DOUBLE))"
+             for name, ind, w in ATTRIBUTION_WEIGHTS]
+    return f"SELECT COUNT(*) AS n_background, ROUND({MARGIN_INTERCEPT} + {' + '.join(means)}, 9) AS expected_value FROM churn_features"
+
+
+@register("expected_margin", sql_with(["churn_features"], _margin_sql()), ("X12",))
+def q_expected_margin(spark, sf_dir):
+    """Base value of ``linear_attribution``: the mean margin over all customers."""
+    base = ex.linear_base(churn_features(spark, sf_dir), attribution_terms(), MARGIN_INTERCEPT)
+    return base.withColumn("expected_value", stable(F.col("expected_value")))
+
+
 @register("global_importance", sql_with(V, f"WITH {_IMP} SELECT * FROM gi"), ("X6", "A31", "A36", "W1", "T1", "W2"))
 def q_global_importance(spark, sf_dir):
     return ex.global_importance(attributions(spark, sf_dir))

@@ -31,9 +31,10 @@ def q_head_rows(spark, sf_dir):
 
 
 @register("role_inference", sql_with(["churn_features"], f"""
-SELECT * FROM {values_table([(i, c, d, _ROLES.get(c, 'categorical')) for i, (c, d) in enumerate(_CF_TYPES)],
-                            ['column_ord', 'column_name', 'data_type', 'role'])} t
-WHERE (SELECT COUNT(*) FROM churn_features) >= 0"""), ("P2", "P3"))
+SELECT t.*, n.n_values FROM {values_table([(i, c, d, _ROLES.get(c, 'categorical')) for i, (c, d) in enumerate(_CF_TYPES)],
+                                          ['column_ord', 'column_name', 'data_type', 'role'])} t
+JOIN ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT({c}) AS n_values FROM churn_features" for c, _ in _CF_TYPES)}) n
+  ON n.column_name = t.column_name"""), ("P2", "P3"))
 def q_role_inference(spark, sf_dir):
     return profile.infer_roles(churn_features(spark, sf_dir), S)
 

@@ -82,7 +82,7 @@ s AS (SELECT *, CASE WHEN contribution > 0 THEN 'increasing' ELSE 'decreasing' E
 r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY customer_id, side ORDER BY factor_rank) AS INTEGER) AS side_rank FROM s)
 SELECT customer_id, side, side_rank, feature, simplified_name, contribution, {_STRENGTH} AS impact_strength,
        CASE WHEN side = 'increasing' THEN {_text_sql(True)} ELSE {_text_sql(False)} END AS explanation
-FROM r WHERE side_rank <= 5"""), ("R9", "J6", "P19", "P20", "W3", "F1", "F5"))
+FROM r WHERE side_rank <= 5"""), ("R9", "J6", "P19", "P20", "U2", "W3", "F1", "F5"))
 def q_factor_explanations(spark, sf_dir):
     return rules.factor_explanations(rules.normalize_factors(factor_frame(spark, sf_dir)))
 
