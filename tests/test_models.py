@@ -178,3 +178,8 @@ def test_records_of_one_customer_are_scored_one_by_one(spark, bench):
     assert len(got) == 3 and {r.customer_id for r in got} == {1}
     assert sorted(r.probability for r in got if r.is_valid) == pytest.approx([rows[0].probability, rows[-1].probability])
     assert [r.probability for r in got if not r.is_valid] == [None]
+
+
+def test_network_takes_one_or_several_hidden_layers(spark):
+    assert list(M.build_estimator(M.NN, 8).getLayers()) == [8, 16, 2]
+    assert list(M.build_estimator(M.NN, 8, mlp_hidden=(128, 64, 32)).getLayers()) == [8, 128, 64, 32, 2]
