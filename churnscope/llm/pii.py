@@ -8,7 +8,9 @@ and the last one before it with the same text, the same last seven digits or the
 name. Repeats form a chain of skip edges, so a token that occurs n times costs n edges, not n * n.
 Tokens inside base spans are observed; loopy sum-product messages carry their labels to distant
 look-alikes that no pattern matches, and a token whose label has ``min_marginal`` probability
-becomes an added span.
+becomes an added span. Messages are passed on until none changes, so a label reaches every repeat,
+however many there are; only messages that go on oscillating round loops are stopped, after more
+rounds than twice the number of the longest text's tokens.
 
 Training is piecewise and covers all documents: the factors are smoothed log-ratios of label
 counts (base spans as labels) by hashed feature, by neighbouring pair and by skip pair, which Spark
@@ -35,7 +37,10 @@ from churnscope.llm.store import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BINS = 4096
-ROUNDS = 6
+#: a message that changes by less is left as it is
+TOLERANCE = 1e-6
+#: after so many rounds messages move half the way only, which ends most oscillations
+DAMPED = 100
 #: a feature that training hasn't met speaks for "none" with this probability
 UNSEEN = 0.95
 #: pseudo-count of look-alikes that have the same label
@@ -201,23 +206,31 @@ class Field:
         seen = g.label > 0
         own[seen] = -50.0
         own[seen, g.label[seen]] = 0.0
-        pairs = np.concatenate([g.chain, g.skip])
-        kind = np.repeat([0, 1], [len(g.chain), len(g.skip)])
-        factor = np.stack([0.5 * self.chain, SKIP_WEIGHT * self.skip])
-        src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-        f = factor[np.concatenate([kind, kind])]
-        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        msg = np.zeros((len(src), _K))
-
-        def belief():
-            return own + np.stack([np.bincount(dst, msg[:, y], n) for y in range(_K)], 1)
-
-        for _ in range(ROUNDS if len(src) else 0):
-            x = (belief()[src] - msg[back])[:, :, None] + f
+        # neighbours that look alike have one edge with both factors: as two edges they would confirm each other
+        u, at = np.unique(np.concatenate([g.chain, g.skip]), axis=0, return_inverse=True)
+        f = np.zeros((len(u), _K, _K))
+        np.add.at(f, at.ravel(), np.repeat([0.5 * self.chain, SKIP_WEIGHT * self.skip], [len(g.chain), len(g.skip)], axis=0))
+        m = len(u)
+        src, dst = np.concatenate([u[:, 0], u[:, 1]]), np.concatenate([u[:, 1], u[:, 0]])
+        by_src = np.argsort(src, kind="stable")
+        first = np.searchsorted(src[by_src], np.arange(n + 1))
+        msg, b = np.zeros((2 * m, _K)), own
+        limit = 2 * np.bincount(g.doc).max() + 4 * DAMPED if n else 0
+        e = np.arange(2 * m)  # messages to compute: those whose sender has changed
+        for done in range(limit):
+            if not len(e):
+                break
+            x = (b[src[e]] - msg[(e + m) % (2 * m)])[:, :, None] + f[e % m]
             top = x.max(1, keepdims=True)
             new = (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0]
-            msg = new - new.max(1, keepdims=True)
-        b = belief()
+            change = (new - new.max(1, keepdims=True) - msg[e]) * (1.0 if done < DAMPED else 0.5)
+            moved = np.abs(change).max(1) > TOLERANCE
+            e, change = e[moved], change[moved]
+            msg[e] += change
+            np.add.at(b, dst[e], change)
+            v = np.unique(dst[e])
+            size = first[v + 1] - first[v]
+            e = by_src[np.repeat(first[v] - np.cumsum(size) + size, size) + np.arange(size.sum())]
         b = np.exp(b - b.max(1, keepdims=True))
         return b / b.sum(1, keepdims=True)
 

@@ -152,6 +152,34 @@ def test_skip_chain_labels_a_distant_repeat_and_redacts(spark, none):
     assert pii.redact(none, pii.fit(none)).count() == 0
 
 
+def test_skip_chain_carries_a_label_along_thirty_repeats():
+    k = pii._K
+    half = np.array([3000.0, 0, 0, 0, 3000])
+    field = pii.Field(np.zeros((pii.BINS, k)), np.zeros((k, k)), np.diag(half), half)
+    field.node[:] = [0, -9, -9, -9, -0.1]  # the tokens themselves speak against a phone, all 30 less than one change of label costs
+    text = "+15551234567" + " or 5551234567" * 30
+    g = pii.Graph([text])
+    assert [s[0] for s in g.base[0]] == [4] and len(g.label) == 31
+    got = field.marginals(g)
+    own = field.prior + 0.6 * field.node[g.feats].sum(1)
+    own[0] = [-50, -50, -50, -50, 0]
+    pair = 0.5 * field.chain + pii.SKIP_WEIGHT * field.skip
+    add = lambda a: np.logaddexp.reduce(a, axis=0)
+    left, right = [np.zeros(k)], [np.zeros(k)]
+    for i in range(30):  # exact sums over all labellings of the line
+        left.append(add((left[-1] + own[i])[:, None] + pair))
+        right.append(add((right[-1] + own[30 - i])[:, None] + pair.T))
+    exact = np.array(left) + own + np.array(right[::-1])
+    exact = np.exp(exact - np.logaddexp.reduce(exact, axis=1)[:, None])
+    assert np.allclose(got, exact, atol=1e-4) and got[1:, 4].min() >= pii.MIN_MARGINAL
+    free = pii.Graph([text[1:]])  # no base span: nothing to carry
+    assert field.marginals(free)[:, 4].max() < 0.5
+    assert len(field.added(g, [text], pii.MIN_MARGINAL)[0]) == 30 and not field.added(free, [text[1:]], pii.MIN_MARGINAL)[0]
+    far = " word" * 50 + " 5551234567"
+    found = field.added(pii.Graph(["+15551234567" + far * 30]), ["+15551234567" + far * 30], pii.MIN_MARGINAL)[0]
+    assert len(found) == 30 and {x[0] for x in found} == {4}
+
+
 def test_secrets_incremental_ledger(spark, none):
     v1 = spark.createDataFrame([(1, "Token: 'abcdefgh1'"), (2, "Token: 'abcdefgh1'"), (3, None), (4, "x AKIA" + "A" * 12 + " " + "0f" * 16 + " pa\u017f\u017fword=longvalue1")], "doc_id long, text string")
     ledger = scratch_path(spark, "ledger")
