@@ -5,8 +5,11 @@ at both ends. Tasks count four-character grams per language over all learned doc
 them, and the lower orders come from continuation counts (distinct left neighbours), as Kneser-Ney
 smoothing wants. Each language's model is filled in for every gram that any language has, and kept
 as sorted arrays of packed grams with one row of log-probabilities each; look-ups are binary
-searches. The arrays hold one gram for each of 2**SLOT_BITS hash slots an order at most (the most
-frequent), which bounds the broadcast whatever the corpus holds.
+searches. Every gram and context is kept. What a task holds is a block of the model: the grams whose
+two middle symbols lie in one range, with all that they back off to. A model of up to CELLS
+log-probabilities is one block, scored in one scan; a larger one is cut into as many blocks as it
+needs, each is broadcast, adds its grams' log-probabilities to every text and is dropped again (the
+texts are then written once and scanned once a block). Grams of one middle pair stay together.
 
 The prediction is the language with the lowest cross-entropy per character. ``score`` is the softmax
 of the cross-entropies. ``accepted`` says if the cross-entropy is not above the language's limit: mean
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import text as X
-from churnscope.llm.store import bounded_batches, written
+from churnscope.llm.store import bounded_batches, scratch_path, written
 
 ORDER = 4
-SLOT_BITS = 20
+#: log-probabilities and back-off weights (keys times languages) of a block of the model
+CELLS = 1 << 22
 SIGMAS = 4.0
 SHARPNESS = 8.0
 _BLANK, _MARK = 32, 10
@@ -144,19 +148,68 @@ def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataF
     return probs, gammas
 
 
-def _slots(t: DataFrame) -> DataFrame:
-    """(n, key, lang, value): of (n, key, lang, value, weight) the rows of the heaviest key of each n's hash slot."""
-    keys = t.groupBy("n", "key").agg(F.sum("weight").alias("w"), F.collect_list(F.struct("lang", "value")).alias("rows"))  # one row a language
-    best = (keys.groupBy("n", F.pmod(F.xxhash64("key"), F.lit(1 << SLOT_BITS)).alias("slot"))
-            .agg(F.max_by(F.struct("key", "rows"), F.struct("w", "key")).alias("b")))
-    return best.select("n", "b.key", F.inline("b.rows"))
+def _middles(n: int) -> tuple[Column, Column]:
+    """First and last middle pair (third symbol, then second) of the four-symbol grams that need a key: a gram of
+    order n, or for -n a context of that order."""
+    third, second = [F.shiftrightunsigned("key", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in ((1, 2) if n > 0 else (0, 1))]
+    if abs(n) == 1:
+        return F.lit(0).cast("long"), F.lit((1 << 32) - 1).cast("long")
+    low = third * 65536
+    return (low, low + 65535) if abs(n) == 2 else (low + second, low + second)
+
+
+def _middle(g: np.ndarray) -> np.ndarray:
+    """Middle pairs of packed four-symbol grams."""
+    return ((g >> 16) & 0xFFFF) << 16 | ((g >> 32) & 0xFFFF)
 
 
 class Model:
-    """For each order sorted grams with a row of log-probabilities (one a language), and contexts with back-offs."""
+    """The written tables by order (contexts by negative order), and the ranges of middle pairs of the blocks."""
+
+    def __init__(self, langs: list[str], tables: dict[int, DataFrame], cells: int):
+        self.langs, self.tables, self.ranges = langs, tables, [(0, 1 << 32)]
+        keys = functools.reduce(DataFrame.unionByName, [t.select(F.xxhash64(F.lit(n), "key").alias("k")) for n, t in tables.items()])
+        blocks = -(-keys.agg(F.approx_count_distinct("k", 0.02)).first()[0] * len(langs) // cells)
+        if blocks > 1:
+            # in the order of the pairs, so a block reads little more than its own rows
+            for n, t in tables.items():
+                low, high = _middles(n)
+                self.tables[n] = written(t.withColumns({"low": low, "high": high}).repartitionByRange("low").sortWithinPartitions("low"), f"blocks{n}")
+            cuts = self.tables[ORDER].agg(F.percentile_approx("low", [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0]
+            cuts = sorted({0, *(cuts or [])})
+            self.ranges = list(zip(cuts, [*cuts[1:], 1 << 32]))
+
+    def block(self, i: int) -> "Block":
+        lo, hi = self.ranges[i]
+        number = {x: j for j, x in enumerate(self.langs)}
+
+        def arrays(n: int):
+            t = self.tables[n]
+            if len(self.ranges) > 1:
+                t = t.where((F.col("high") >= lo) & (F.col("low") < hi))
+            a = t.select("key", "lang", "value").toArrow()
+            lang = a.column("lang").combine_chunks().dictionary_encode()
+            code = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)
+            return a.column("key").to_numpy(), code[lang.indices.to_numpy()] if len(code) else np.zeros(0, np.int64), a.column("value").to_numpy()
+
+        return Block(self.langs, {n: arrays(n) for n in range(1, ORDER + 1)}, {n: arrays(-n) for n in range(1, ORDER + 1)}, (lo, hi))
+
+    def lookup(self, g: np.ndarray) -> np.ndarray:
+        """Log-probabilities of packed four-symbol grams, block by block."""
+        out = np.zeros((len(g), len(self.langs)), np.float32)
+        for i in range(len(self.ranges)):
+            b = self.block(i)
+            mine = b.holds(g)
+            out[mine] = b.lookup(g[mine])
+        return out
 
-    def __init__(self, langs: list[str], probs: dict, gammas: dict):
-        self.langs, k = langs, len(langs)
+
+class Block:
+    """For each order sorted grams with a row of log-probabilities (one a language), and contexts with back-offs;
+    of the four-symbol grams with a middle pair in a range."""
+
+    def __init__(self, langs: list[str], probs: dict, gammas: dict, pairs: tuple[int, int]):
+        self.langs, self.pairs, k = langs, pairs, len(langs)
         self.g, self.p, self.h, self.b = {}, {}, {}, {}
         self.unknown = np.full(k, np.log(1 / 65536), np.float32)
         for n in range(1, ORDER + 1):
@@ -178,6 +231,11 @@ class Model:
         i = np.minimum(np.searchsorted(table, x), len(table) - 1)
         return i, table[i] == x
 
+    def holds(self, g: np.ndarray) -> np.ndarray:
+        """Which packed four-symbol grams are this block's."""
+        m = _middle(g)
+        return (m >= self.pairs[0]) & (m < self.pairs[1])
+
     def _back(self, g, n):
         """Log-probabilities of grams of order n from the order below."""
         i, ok = self._at(self.h[n], g.view(np.uint64).__rshift__(np.uint64(16)).view(np.int64))
@@ -192,30 +250,20 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, cells: int = CELLS) -> Model:
     """Fit on all (lang, text) rows; rows without a language are left out."""
     bounded_batches(docs.sparkSession)
     counts = gram_counts(docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     probs, gammas = kneser_ney(counts)
     langs = [r.lang for r in probs[1].select("lang").distinct().orderBy("lang").collect()]
-    number = {x: i for i, x in enumerate(langs)}
-
-    parts = [t.select(F.lit(n).alias("n"), F.col("g").alias("key"), "lang", F.log("p").alias("value"), F.col("c").alias("weight")) for n, t in probs.items()]
-    parts += [t.select(F.lit(-n).alias("n"), F.col("h").alias("key"), "lang", F.col("gamma").alias("value"), F.lit(1).alias("weight")) for n, t in gammas.items()]
-    kept = written(_slots(functools.reduce(DataFrame.unionByName, parts)), "slots")
-
-    def arrays(n: int):
-        a = kept.where(F.col("n") == n).select("key", "lang", "value").toArrow()
-        lang = a.column("lang").combine_chunks().dictionary_encode()
-        code = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)
-        return a.column("key").to_numpy(), code[lang.indices.to_numpy()] if len(code) else np.zeros(0, np.int64), a.column("value").to_numpy()
-
-    p, b = {n: arrays(n) for n in probs}, {n: arrays(-n) for n in probs}
-    return Model(langs, p, b)
+    tables = {n: t.select(F.col("g").alias("key"), "lang", F.log("p").alias("value")) for n, t in probs.items()}
+    tables |= {-n: t.select(F.col("h").alias("key"), "lang", F.col("gamma").alias("value")) for n, t in gammas.items()}
+    return Model(langs, tables, cells)
 
 
 def entropies(text: Column, shared) -> Column:
-    """array<double>: cross-entropy per gram under each language; null without a letter."""
+    """array<double>: the share that a block's grams have in the cross-entropy per gram under each language; null
+    without a letter. The shares of all blocks add up to the cross-entropy."""
 
     def f(texts: pa.Array) -> pa.Array:
         m, out = shared.value, [None] * len(texts)
@@ -223,32 +271,53 @@ def entropies(text: Column, shared) -> Column:
         for rows, part in _runs(np.arange(len(texts)), texts):
             g, doc, letters = _packed(part)
             n = np.bincount(doc, minlength=len(part))
+            mine = m.holds(g)
+            g, doc = g[mine], doc[mine]
             lp = m.lookup(g)
             ce = np.stack([-np.bincount(doc, lp[:, j], len(part)) for j in range(len(m.langs))], 1) / np.maximum(n, 1)[:, None] if m.langs else None
             for i in np.flatnonzero((letters > 0) & (n > 0)) if m.langs else ():
                 out[rows[i]] = ce[i].tolist()
-            # a single letter between two marks is shorter than a gram: the unigrams decide
+            # a single letter between two marks is shorter than a gram: the unigrams decide, in the first block
             for i in np.flatnonzero((letters > 0) & (n == 0)) if m.langs else ():
                 c = _table()[ord(part[i].strip("\0").strip()[0].lower()[0])] if part[i].strip("\0").strip() else _BLANK
-                out[rows[i]] = (-m.lookup(np.array([c], np.int64), 1)[0]).astype(float).tolist()
+                out[rows[i]] = (-m.lookup(np.array([c], np.int64), 1)[0] * (m.pairs[0] == 0)).astype(float).tolist()
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(f, T.ArrayType(T.DoubleType()))(text)
 
 
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the text as a written table, with _ce: the cross-entropies under each language."""
+    sc = docs.sparkSession.sparkContext
+    docs, text = docs.drop("lang_pred", "score", "cross_entropy", "accepted"), F.col("text").cast("string")
+    if len(model.ranges) == 1:
+        shared = sc.broadcast(model.block(0))
+        out = written(docs.withColumn("_ce", entropies(text, shared)).drop("text"), "languages")  # no texts: read twice
+        shared.destroy()
+        return out
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    path = scratch_path(docs.sparkSession, "shares")
+    for i in range(len(model.ranges)):
+        shared = sc.broadcast(model.block(i))
+        shares = docs.select("_row", entropies(text, shared).alias("_ce"))
+        shares.write.mode("append").parquet(path)
+        shared.destroy()
+    total = F.array(*[F.sum(F.get("_ce", F.lit(j))) for j in range(len(model.langs))])
+    shares = docs.sparkSession.read.schema(shares.schema).parquet(path).groupBy("_row").agg(F.when(F.count("_ce") > 0, total).alias("_ce"))
+    return written(docs.drop("text").join(shares, "_row").drop("_row"), "languages")
+
+
 def identify(docs: DataFrame, model: Model, learned: Column) -> DataFrame:
     """All columns but the text, with lang_pred, score, cross_entropy and accepted; ``learned`` says which rows
     calibrate the limits."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    d = docs.withColumn("_ce", entropies(F.col("text").cast("string"), shared)).drop("text", "lang_pred", "score", "cross_entropy", "accepted")
+    d = _scored(docs, model)
     best = F.array_min("_ce")
     names = F.array(*[F.lit(x) for x in model.langs]) if model.langs else F.array().cast("array<string>")
     d = d.withColumn("lang_pred", F.coalesce(F.get(names, (F.array_position("_ce", best) - 1).cast("int")), F.lit("und")))
     soft = 1 / F.aggregate("_ce", F.lit(0.0), lambda a, x: a + F.exp(SHARPNESS * (best - x)))
-    d = d.withColumn("score", F.coalesce(soft, F.lit(0.0))).withColumn("cross_entropy", best)
-    d = written(d.drop("_ce"), "languages")  # no texts: read twice
+    d = d.withColumn("score", F.coalesce(soft, F.lit(0.0))).withColumn("cross_entropy", best).drop("_ce")
     limits = d.where(learned & (F.col("lang") == F.col("lang_pred"))).groupBy("lang_pred").agg(
         (F.avg("cross_entropy") + SIGMAS * F.coalesce(F.stddev("cross_entropy"), F.lit(0.0))).alias("_limit"))
     return (d.join(F.broadcast(limits), "lang_pred", "left")  # one row a language

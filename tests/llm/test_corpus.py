@@ -213,6 +213,22 @@ def test_language_models(spark, none):
     assert langid.identify(none, langid.fit(none), F.lit(True)).count() == 0
 
 
+def test_language_model_keeps_every_gram_whatever_its_blocks(spark):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß ") for _ in range(400)), "ab"[i % 2], "s", 1) for i in range(300)]
+    rows += [(900, None, None, "s", 0), (901, "q", "a", "s", 1), (902, "3", None, "s", 1)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash"))
+    one, some = langid.fit(d), langid.fit(d, cells=60_000)
+    seen = np.unique(langid._packed([r[1] or "" for r in rows if r[2]])[0])
+    assert len(one.ranges) == 1 and len(some.ranges) > 2 and len(seen) > 50_000
+    assert np.isin(seen, one.block(0).g[langid.ORDER]).all()  # no gram is lost to another
+    near = np.concatenate([seen, rng.choices(range(1 << 60), k=500)]).astype(np.int64)
+    assert np.allclose(one.lookup(near), some.lookup(near), atol=1e-5)
+    p = [sorted((r.doc_id, r.lang_pred, r.score, r.cross_entropy or 0.0) for r in langid.identify(d, m, F.lit(True)).collect()) for m in (one, some)]
+    assert len(p[0]) == len(rows) and [x[:2] for x in p[0]] == [x[:2] for x in p[1]]
+    assert np.allclose([x[2:] for x in p[0]], [x[2:] for x in p[1]], atol=1e-5)
+
+
 def test_toxicity_and_quality_learn_and_handle_edges(spark, none):
     rng = random.Random(1)
     rows, labels = [], []
