@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts are read as lower-case letters; any run of other characters is one blank, and a mark stands
-at both ends. Tasks count four-character grams per language over all learned documents, Spark sums
+at both ends. A symbol is a 16-bit code unit of UTF-16: a letter above U+FFFF is two symbols (its
+surrogates, which no other letter uses), so no two letters share a symbol, and none is a blank or a mark. Tasks count four-character grams per language over all learned documents, Spark sums
 them, and the lower orders come from continuation counts (distinct left neighbours), as Kneser-Ney
 smoothing wants. Each language's model is filled in for every gram that any language has, and kept
 as sorted arrays of packed grams with one row of log-probabilities each; look-ups are binary
@@ -43,23 +44,32 @@ _BLANK, _MARK = 32, 10
 
 
 @functools.cache
-def _table() -> np.ndarray:
-    """Code point -> 16-bit symbol: letters stay (folded above 0xFFFF), the rest is a blank, 0 a mark."""
-    t = np.array([c & 0xFFFF if chr(c).isalpha() else _BLANK for c in range(0x110000)], np.uint16)
-    t[0] = _MARK
-    return t
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _packed(texts: list[str]):
     """Packed grams of several texts, the text of each, and each text's number of letters."""
-    s = "\0" + "\0\0".join(t.replace("\0", " ").lower() for t in texts) + "\0"
-    c = _table()[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    low = [t.lower() for t in texts]
+    size = np.array([len(t) + 2 for t in low], np.int64)  # with the marks
+    doc, end = np.repeat(np.arange(len(texts)), size), np.cumsum(size)
+    c = np.frombuffer("".join(f"\n{t}\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[c]
+    letters = np.bincount(doc[letter], minlength=len(texts))
+    c = np.where(letter, c, np.uint32(_BLANK))
+    c[end - size] = c[end - 1] = _MARK
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != _BLANK) | (c[:-1] != _BLANK)
-    c = c[keep]
-    mark = c == _MARK
-    doc = (np.cumsum(mark) - 1) // 2
-    letters = np.bincount(doc[(c != _BLANK) & ~mark], minlength=len(texts))
+    c, doc = c[keep], doc[keep]
+    pair = c > 0xFFFF
+    if pair.any():
+        at = np.repeat(np.arange(len(c)), 1 + pair)
+        second = np.append(False, at[1:] == at[:-1])
+        c, doc, pair = c[at], doc[at], pair[at]
+        x = c - np.uint32(0x10000)  # of the pairs only
+        c = np.where(pair, np.where(second, 0xDC00 + (x & 0x3FF), 0xD800 + (x >> 10)), c)
+    c = c.astype(np.uint16)
     n = len(c) - ORDER + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), letters
@@ -279,8 +289,7 @@ def entropies(text: Column, shared) -> Column:
                 out[rows[i]] = ce[i].tolist()
             # a single letter between two marks is shorter than a gram: the unigrams decide, in the first block
             for i in np.flatnonzero((letters > 0) & (n == 0)) if m.langs else ():
-                c = _table()[ord(part[i].strip("\0").strip()[0].lower()[0])] if part[i].strip("\0").strip() else _BLANK
-                out[rows[i]] = (-m.lookup(np.array([c], np.int64), 1)[0] * (m.pairs[0] == 0)).astype(float).tolist()
+                out[rows[i]] = (-m.lookup(np.array([ord(part[i].lower())], np.int64), 1)[0] * (m.pairs[0] == 0)).astype(float).tolist()
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(f, T.ArrayType(T.DoubleType()))(text)

@@ -213,6 +213,24 @@ def test_language_models(spark, none):
     assert langid.identify(none, langid.fit(none), F.lit(True)).count() == 0
 
 
+def test_letters_above_the_first_plane_are_no_marks_blanks_or_other_letters(spark):
+    texts = ["\U0002000A\U0002000A some words", "\U00020020x\U00020020 y", "a\0b", "", "\U00020041", "A", "more  words, \U00020041b"]
+    def grams(t):  # by hand
+        c = "".join(x if x.isalpha() else " " for x in t.lower())
+        c = "\n" + re.sub(" +", " ", c) + "\n"
+        b = c.encode("utf-16-be")
+        return sorted(int.from_bytes(b[i:i + 8], "big", signed=True) for i in range(0, len(b) - 7, 2))
+    g, doc, letters = langid._packed(texts)
+    assert [sorted(g[doc == i].tolist()) for i in range(len(texts))] == [grams(t) for t in texts]
+    assert letters.tolist() == [sum(x.isalpha() for x in t.lower()) for t in texts]
+    assert len({tuple(grams(chr(c))) for c in (0x1000A, 0x2000A, 0x3000A, 0x20041, 0x41)}) == 5
+    d = spark.createDataFrame([(i, t, "en" if i % 2 else "zh", "s", 1) for i, t in enumerate(texts)] + [(50 + i, "plain words", "en", "s", 1) for i in range(4)], SCHEMA)
+    m = langid.fit(d)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, m, F.lit(True)).collect()}
+    alone = langid.identify(d.where("doc_id >= 50"), m, F.lit(True)).collect()
+    assert len(got) == 11 and {r.lang_pred for r in alone} == {got[i] for i in range(50, 54)} == {"en"} and got[3] == "und"
+
+
 def test_language_model_keeps_every_gram_whatever_its_blocks(spark):
     rng = random.Random(7)
     rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß ") for _ in range(400)), "ab"[i % 2], "s", 1) for i in range(300)]
