@@ -6,8 +6,9 @@ XOR of check hashes), one cell in each table. The sketch is the fingerprint. Two
 compared by subtracting their sketches and peeling: a cell with count +1 or -1 whose check hash fits
 holds one differing digest, which is taken out of its other cells, until nothing is left. When a
 sketch is too small to be emptied, the comparison is retried with a larger one, ROOM cells for each
-digest of the two versions in each table, of which only the cells in use are kept. The number of
-digests on either side gives the likeness (digests in both / digests in either).
+digest of the two versions in each table, of which only the cells in use are kept. Where that one
+isn't emptied either (digests that share their cells in all tables), the digests of the two versions
+are compared themselves. The number of digests on either side gives the likeness (digests in both / digests in either).
 
 DataFrame functions only. Defined results: a null or empty text has no pieces; two empty texts have
 likeness 1; a null id sorts first; repeated ids are taken in the order of their texts' hashes; the
@@ -81,6 +82,10 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["chk"].bitwiseXOR(y["chk"]).alias("chk")))
 
 
+def _zero(c: Column) -> Column:
+    return (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)
+
+
 def peel(diff: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column:
     """struct(only_a, only_b): how many digests are on one side only; null if the sketch can't be emptied."""
 
@@ -95,9 +100,8 @@ def peel(diff: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column:
             (state["b"] + F.size(F.filter(found, lambda x: x["s"] < 0))).alias("b")))[0]
 
     start = F.struct(diff.cast(f"array<{_CELL}>").alias("cells"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-    zero = lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one,
-                       lambda s: F.when(F.forall(s["cells"], zero), F.struct(s["a"].alias("only_a"), s["b"].alias("only_b"))))
+                       lambda s: F.when(F.forall(s["cells"], _zero), F.struct(s["a"].alias("only_a"), s["b"].alias("only_b"))))
 
 
 def _peel_if_sparse(diff: Column) -> Column:
@@ -124,8 +128,23 @@ def _place(d: Column, t: Column, m: Column) -> Column:
     return F.pmod(F.xxhash64(d, t, F.lit("roomy")), m) * 4 + t
 
 
+def _crowded(a: Column, b: Column) -> Column:
+    """If a digest shares its cell of the larger sketch with another one in every table. Where none does, the first
+    round of peeling finds all of them."""
+    m, u = F.lit(ROOM) * (F.size(a) + F.size(b)).cast("long"), F.array_union(a, b)
+
+    def shared(t: int) -> Column:
+        cells = F.sort_array(F.transform(u, lambda d: _place(d, F.lit(t), m)))
+        return F.transform(F.array(cells), lambda c: F.filter(c, lambda x, i: x == F.get(c, i - 1)))[0]
+
+    # bound as a lambda variable: the shared cells are found once
+    return F.transform(F.array(F.struct(*[shared(t).alias(f"t{t}") for t in range(TABLES)])), lambda s: F.exists(
+        u, lambda d: F.forall(F.array(*[F.array_contains(s[f"t{t}"], _place(d, F.lit(t), m)) for t in range(TABLES)]), lambda x: x)))[0]
+
+
 def larger(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """(keys, pair, only_a, only_b) for pairs of digest columns, by sketches of ROOM cells a digest in each table.
+    """(keys, pair, only_a, only_b) for pairs of digest columns, by sketches of ROOM cells a digest in each table;
+    only_a and only_b are null where the sketch can't be emptied.
 
     Only cells that aren't empty are kept, as rows. Cells that hold one digest give it up at once; where the
     digests so found don't add up to the whole difference, they are taken out of the other cells and peeling
@@ -151,13 +170,15 @@ def larger(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> Da
         F.collect_list(F.when(is_pure, F.struct(F.col("n").alias("s"), F.col("id").alias("d")))).alias("found"),
         F.collect_list(F.when(~is_pure, F.struct(F.col("id").alias("cell"), "n", "key", "chk"))).alias("rest"))
     found = lambda c, s: F.size(F.filter(c, lambda x: x["s"] == s))
-    more = F.when(F.col("all") != F.col("got"), _peel_rest(F.col("found"), F.col("rest"), F.col("m")))
+    nothing = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    more = F.when(F.col("all") != F.col("got"), _peel_rest(F.col("found"), F.col("rest"), F.col("m"))).otherwise(nothing)
     g = g.withColumn("more", more)
-    return g.select(*keys[:-1], (found("found", 1) + F.coalesce("more.a", F.lit(0))).alias("only_a"), (found("found", -1) + F.coalesce("more.b", F.lit(0))).alias("only_b"))
+    return g.select(*keys[:-1], (found("found", 1) + F.col("more.a")).alias("only_a"), (found("found", -1) + F.col("more.b")).alias("only_b"))
 
 
 def _peel_rest(found: Column, rest: Column, m: Column) -> Column:
-    """struct(a, b): digests of either side that further rounds of peeling find in the cells of several digests."""
+    """struct(a, b): digests of either side that further rounds of peeling find in the cells of several digests;
+    null if cells are left."""
 
     def taken(cell: Column, new: Column) -> Column:
         t = F.pmod(cell["cell"], F.lit(4)).cast("int")
@@ -174,7 +195,8 @@ def _peel_rest(found: Column, rest: Column, m: Column) -> Column:
                 (state["b"] + F.size(F.filter(new, lambda x: x["s"] == -1))).alias("b")))[0])[0]
 
     start = F.struct(rest.alias("rest"), found.alias("new"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, one, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, one, lambda s: F.when(
+        F.forall(s["rest"], _zero), F.struct(s["a"].alias("a"), s["b"].alias("b"))))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -232,7 +254,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     cells = d.withColumns({"_c": sketch(F.col("digests")), "_e": sketch(F.col("edited_digests")), "_x": sketch(F.col("next_digests"))})
     out = cells.select(*keys, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.size("digests").alias("_size"),
                        encoded(F.col("_c")).alias("fingerprint"), encoded(F.col("_e")).alias("edited_fingerprint"),
-                       _peel_if_sparse(subtract(F.col("_c"), F.col("_e"))).alias("_p0"), _peel_if_sparse(subtract(F.col("_c"), F.col("_x"))).alias("_p1"))
+                       _peel_if_sparse(subtract(F.col("_c"), F.col("_e"))).alias("_p0"), _peel_if_sparse(subtract(F.col("_c"), F.col("_x"))).alias("_p1"),
+                       # the digests come along only where the larger sketch may fail
+                       *[F.when(_crowded(F.col("digests"), F.col(x)), F.struct(F.col("digests").alias("a"), F.col(x).alias("b"))).alias(f"_d{i}") for i, x in enumerate(("edited_digests", "next_digests"))])
     out = out.join(again, keys, "left")
-    near = lambda i: likeness(F.col("_size"), F.coalesce(f"_p{i}.only_a", f"a{i}", F.lit(0)), F.coalesce(f"_p{i}.only_b", f"b{i}", F.lit(0)))
+    alone = lambda i, a, b: F.size(F.array_except(f"_d{i}.{a}", f"_d{i}.{b}"))
+    near = lambda i: likeness(F.col("_size"), F.coalesce(f"_p{i}.only_a", f"a{i}", alone(i, "a", "b")), F.coalesce(f"_p{i}.only_b", f"b{i}", alone(i, "b", "a")))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(0).alias("near_edited"), near(1).alias("near_next"))

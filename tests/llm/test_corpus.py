@@ -325,6 +325,18 @@ def test_fingerprints_equal_brute_force(spark, docs, none):
     assert fingerprints.fingerprints(d.where("doc_id = 0")).first().near_next == 1.0  # the only one is its own next
 
 
+def test_fingerprints_of_digests_that_share_all_cells(spark):
+    pieces = spark.range(30_000).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".")).alias("p")).withColumn("d", fingerprints.digests(F.col("p"))[0])
+    m = F.lit(fingerprints.ROOM * 10).cast("long")
+    same = pieces.groupBy(*[fingerprints._place(F.col("d"), F.lit(t), m).alias(f"c{t}") for t in range(fingerprints.TABLES)]).agg(F.sort_array(F.collect_list("p")).alias("p"))
+    pairs = sorted(r.p[:2] for r in same.where("size(p) > 1").collect())[:20]
+    assert len(pairs) == 20
+    # five pieces, two of them with the same cells in a sketch for ten digests, before five others
+    texts = [x for i, p in enumerate(pairs) for x in ("".join([*p, f"x{i}.", f"y{i}.", f"z{i}."]), "".join(f"{c}{i}!" for c in "abcde"))]
+    got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and all(r.near_next == 0.0 for r in got)
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
