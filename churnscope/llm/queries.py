@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, fingerprints, jaccard, langid, mixing, pii, quality, secrets, toxicity, urls
+from churnscope.llm import decontam, fingerprints, jaccard, langid, mixing, negatives, pii, quality, secrets, toxicity, urls, whitening
 from churnscope.llm.store import scratch_path
 from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources.tables import read_table
@@ -96,6 +96,17 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows, 4))
+
+
 def _words(text: str, pattern: str) -> str:
     az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{az}', '{az.lower()}'), '{pattern}')"
@@ -138,8 +149,24 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN ii USING (doc_id)
 """
 
-_RUNS = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_langid, op5_toxicity, op6_jaccard, op7_urls, op8_mixing, op9_fingerprints, op10_decontam)}
-SQL = {"op6_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op10_decontam": OP10_SQL}
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS la, b.vec_id AS id, b.label AS lb, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM r a, r b WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE la = lb AND id <> anchor_id),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.lb <> s.la
+      WHERE p.k <= 5 AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+_RUNS = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_langid, op5_toxicity, op6_jaccard, op7_urls, op8_mixing, op9_fingerprints, op10_decontam,
+                                  op11_hard_negatives, op12_whitening)}
+SQL = {"op6_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op10_decontam": OP10_SQL, "op11_hard_negatives": OP11_SQL}
 
 
 def queries() -> dict:
