@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, fingerprints, jaccard, langid, mixing, negatives, pii, quality, secrets, toxicity, urls, whitening
+from churnscope.llm import decontam, fingerprints, jaccard, langid, mixing, negatives, pii, quality, secrets, setsketch, toxicity, urls, whitening
 from churnscope.llm.store import scratch_path
 from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources.tables import read_table
@@ -107,24 +107,35 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows, 4))
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = setsketch.groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def _words(text: str, pattern: str) -> str:
     az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{az}', '{az.lower()}'), '{pattern}')"
 
 
-OP6_SQL = f"""
+def _groups_sql(n: int, hundredths: int, more: str = "") -> str:
+    """Components of documents whose sets of n-word shingles have a Jaccard similarity of so many hundredths."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_words('text', '[^ ' + chr(92) + 't-' + chr(92) + 'r]+')} AS w FROM documents),
-sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))
                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= {hundredths} * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
-SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id{more}
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """
 
+
+OP6_SQL = _groups_sql(5, 75)
+OP13_SQL = _groups_sql(2, 80, ", d.doc_id = min(r.c) AS kept")
+
 OP8_SQL = f"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM s) * (SELECT sum(n) FROM s) / n AS rate FROM s),
@@ -165,8 +176,8 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 _RUNS = {f.__name__: f for f in (op1_pii, op2_quality, op3_secrets, op4_langid, op5_toxicity, op6_jaccard, op7_urls, op8_mixing, op9_fingerprints, op10_decontam,
-                                  op11_hard_negatives, op12_whitening)}
-SQL = {"op6_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op10_decontam": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+                                  op11_hard_negatives, op12_whitening, op13_setsketch)}
+SQL = {"op6_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op10_decontam": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_setsketch": OP13_SQL}
 
 
 def queries() -> dict:
