@@ -10,12 +10,13 @@ A text's set is its distinct word n-grams (two words by default). Texts with equ
    ``BANDS`` bands with a chance of (1 - 0.8**ROWS)**BANDS = 1e-11; that is the only way to lose a link, besides 3.
 3. Every class of a band is tied to the band's smallest class (a star, never all pairs). A tie's J is the maximum of the
    joint likelihood of how many registers are larger, smaller and equal, given the sizes; ties that are estimated below
-   the threshold less ``SLACK`` go (5e-14 of the ties at the threshold: ten standard errors).
+   the threshold less ``SLACK`` go (of the ties at the threshold about 2e-10: seven standard errors).
 4. The rest is verified by the intersection of the whole sets, which a second scan makes for candidate classes only.
-   Connected components of the verified links.
+   Connected components of the verified links. Bands that still hold several components get a second star, around
+   their class with the most links so far (the text that a group of copies was made from is such a one).
 5. Bands whose classes still lie in different components are compared within: only classes outside the band's largest
-   component, with classes of like size, in blocks of bounded rows, and each by estimate, then whole sets. Bands with
-   the same classes are compared once. A task returns a spanning forest of what it has verified.
+   component, with classes of like size, in blocks of bounded rows, each by estimate, then whole sets, and a pair only in
+   the first band that it shares. A task returns a spanning forest of what it has verified.
 
 Shuffled by class or by band; tables that are joined back to their rows by a key that may be hot are written before, so
 that Spark's adaptive execution can split a hot key's rows. Texts are not shuffled.
@@ -46,7 +47,7 @@ THRESHOLD = 80
 ROWS, BANDS = 4, 48
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-SLACK = 0.25
+SLACK = 0.2
 #: classes of one side of a block
 BLOCK = 256
 #: bits of the filter of candidate classes (a fixed size)
@@ -96,36 +97,44 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def likely_jaccard(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+def _slope(j, larger, smaller, equal, u):
+    """The slope of the joint log-likelihood at J = j; it falls with j."""
+    v, z = 1 - u, (BASE - 1) / BASE
+    x, y = np.maximum(u - v * j, 1e-15), np.maximum(v - u * j, 1e-15)
+    p, q = -np.log1p(-x * z) / np.log(BASE), -np.log1p(-y * z) / np.log(BASE)
+    dp, dq = z / (1 - x * z) / np.log(BASE), z / (1 - y * z) / np.log(BASE)
+    return equal * (v * dp + u * dq) / np.maximum(1 - p - q, 1e-15) - v * larger * dp / p - u * smaller * dq / q
+
+
+def likely_jaccard(larger: np.ndarray, smaller: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """The J with the largest joint likelihood: ``larger`` registers of a are above b's, ``smaller`` below, the rest
     equal. The likelihood is concave in J; its slope's zero is found by halving."""
     u = size_a / (size_a + size_b)
-    v = 1 - u
-    equal = registers - larger - smaller
-    z = (BASE - 1) / BASE
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
+    lo, hi = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
     for _ in range(40):
         j = (lo + hi) / 2
-        x, y = np.maximum(u - v * j, 1e-15), np.maximum(v - u * j, 1e-15)
-        p, q = -np.log1p(-x * z) / np.log(BASE), -np.log1p(-y * z) / np.log(BASE)
-        dp, dq = z / (1 - x * z) / np.log(BASE), z / (1 - y * z) / np.log(BASE)
-        slope = equal * (v * dp + u * dq) / np.maximum(1 - p - q, 1e-15) - v * larger * dp / p - u * smaller * dq / q
-        up = slope > 0
+        up = _slope(j, larger, smaller, REGISTERS - larger - smaller, u) > 0
         lo, hi = np.where(up, j, lo), np.where(up, hi, j)
     return (lo + hi) / 2
 
 
-def estimate(a, b, na, nb):
-    """Column: the estimate for two sketches (binary columns) of sets with ``na`` and ``nb`` n-grams."""
+def likely(ra: np.ndarray, rb: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches have an estimate of at least the threshold less ``SLACK``: there the likelihood still rises."""
+    larger, smaller = (ra > rb).sum(1), (ra < rb).sum(1)
+    floor, u = THRESHOLD / 100 - SLACK, size_a / (size_a + size_b)
+    return (np.minimum(u / (1 - u), (1 - u) / u) >= floor) & (_slope(floor, larger, smaller, REGISTERS - larger - smaller, u) >= 0)
+
+
+def _is_likely(a, b, na, nb):
+    """Column: ``likely`` of two sketches (binary columns) of sets with ``na`` and ``nb`` n-grams."""
 
     def f(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         if not len(a):
-            return pa.array([], pa.float64())
+            return pa.array([], pa.bool_())
         ra, rb = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
-        na, nb = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (na, nb))
-        return pa.array(likely_jaccard((ra > rb).sum(1), (ra < rb).sum(1), na, nb))
+        return pa.array(likely(ra, rb, *(x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (na, nb))))
 
-    return F.arrow_udf(f, T.DoubleType())(a, b, na, nb)
+    return F.arrow_udf(f, T.BooleanType())(a, b, na, nb)
 
 
 # ---- steps ----------------------------------------------------------------------------------------------------------
@@ -154,16 +163,17 @@ def sketched(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(band, sig): every band of every class."""
+    """(band, k, sig): every band of every class; k is the band's number."""
 
     def rows(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], names=["band", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(regs).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), b.num_rows)),
+                                              b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], names=["band", "k", "sig"])
 
-    return classes.select("sig", "registers").mapInArrow(rows, "band long, sig long")
+    return classes.select("sig", "registers").mapInArrow(rows, "band long, k tinyint, sig long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
@@ -200,84 +210,112 @@ def _linked(overlap, na, nb):
     return 100 * overlap >= THRESHOLD * (na + nb - overlap)
 
 
-def _star_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified links between classes and the smallest class of one of their bands."""
-    ties = members.where("sig != leader").select("sig", "leader").distinct()
-    left = ties.join(classes, "sig").withColumnsRenamed({"registers": "ra", "n": "na"})
+def _star_links(ties: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the verified links among the ties (sig, leader)."""
+    left = ties.distinct().join(classes, "sig").withColumnsRenamed({"registers": "ra", "n": "na"})
     both = written(left, "ties").join(classes.withColumnsRenamed({"sig": "leader", "registers": "rb", "n": "nb"}), "leader")
     low = F.least("na", "nb") * 100 >= THRESHOLD * F.greatest("na", "nb")
-    likely = both.where(low).where(estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= THRESHOLD / 100 - SLACK).select("sig", "leader", "na", "nb")
-    pairs = written(written(likely, "likely").join(sets.withColumnRenamed("grams", "ga"), "sig"), "likely")
+    some = both.where(low).where(_is_likely(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))).select("sig", "leader", "na", "nb")
+    pairs = written(written(some, "likely").join(sets.withColumnRenamed("grams", "ga"), "sig"), "likely")
     pairs = pairs.join(sets.withColumnsRenamed({"sig": "leader", "grams": "gb"}), "leader")
     overlap = F.size(F.array_intersect("ga", "gb"))
-    return pairs.where(_linked(overlap, F.col("na"), F.col("nb"))).select(F.col("sig").alias("a"), F.col("leader").alias("b"))
+    return written(pairs.where(_linked(overlap, F.col("na"), F.col("nb"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")), "star-links")
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, k, sig, leader, label): members of the bands that hold several components, with their component."""
+    rows = written(members.select("band", "k", "sig", "leader").join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
+    several = written(rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), "open-bands")
+    return written(rows.join(several, "band"), "open-members")
+
+
+def _second_ties(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, leader): the members of open bands with the band's class of most links, if they lie in different components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+    rows = written(rows.join(written(degree, "degrees"), "sig", "left").withColumn("links", F.coalesce("links", F.lit(0))), "open-members")
+    hub = rows.groupBy("band").agg(F.max(F.struct("links", "sig", "label")).alias("hub"))
+    hub = written(hub.select("band", F.col("hub.sig").alias("to"), F.col("hub.label").alias("in")), "hubs")
+    return rows.join(hub, "band").where("label != in AND to != leader").select("sig", F.col("to").alias("leader"))
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links of a group of rows (part, side, sig, label, n, registers, grams), by part: side 0
-    against side 1, 2 against both; rows of one label are joined already."""
-    out_a, out_b = [], []
+    """A spanning forest of the links of a group of rows (part, side, sig, label, n, low, k, registers, grams), by part: side 0
+    against side 1, 2 against both; rows of one label are joined already. Left to other parts are pairs of which both are
+    ``low`` (of the step below) or that share an earlier band than number k."""
     table = table.combine_chunks()
-    part = table.column("part").to_numpy()
-    order = np.lexsort((table.column("n").to_numpy(), part))
-    cuts = np.flatnonzero(np.diff(part[order], prepend=part[order][0] - 1 if part[order][0] > -2 ** 62 else part[order][0] + 1))
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-        t = table.take(pa.array(order[lo:hi])).combine_chunks()
-        sig, side, label, n = (t.column(c).to_numpy() for c in ("sig", "side", "label", "n"))
-        regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        lists = t.column("grams").chunk(0)
-        off, gram = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        root = np.unique(label, return_inverse=True)[1]  # joined rows carry one number
-        right = np.flatnonzero(side != 0)
-        for i in np.flatnonzero(side != 1):
-            c = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= THRESHOLD * np.maximum(n[right], n[i]))]
-            if not len(c):
-                continue
-            larger, smaller = (regs[c] < regs[i]).sum(1), (regs[c] > regs[i]).sum(1)
-            c = c[likely_jaccard(larger, smaller, np.full(len(c), float(n[i])), n[c].astype(float)) >= THRESHOLD / 100 - SLACK]
-            own = gram[off[i]:off[i + 1]]
-            for j in c:
-                if root[j] != root[i]:
-                    o = len(np.intersect1d(own, gram[off[j]:off[j + 1]], assume_unique=True))
-                    if _linked(o, int(n[i]), int(n[j])):
-                        root[root == root[j]] = root[i]
-                        out_a.append(sig[i])
-                        out_b.append(sig[j])
+    table = table.take(pa.array(np.argsort(table.column("part").to_numpy(), kind="stable"))).combine_chunks()
+    part, sig, side, label, n, k = (table.column(c).to_numpy() for c in ("part", "sig", "side", "label", "n", "k"))
+    low = table.column("low").to_numpy(zero_copy_only=False)
+    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    by_band = regs.view(np.uint64)  # the ROWS = 4 registers of a band are one number
+    lists = table.column("grams").chunk(0)
+    off, gram = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)  # sorted as such
+    root = np.unique(label, return_inverse=True)[1]  # joined rows carry one number
+    first, last = np.searchsorted(part, part), np.searchsorted(part, part, "right")
+    left = np.flatnonzero(side != 1)
+    upto = np.cumsum(last[left] - first[left])
+    out_a, out_b, at = [], [], 0
+    while at < len(left):  # rows whose pairs are about 2**16
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 16), "right")))
+        rows, at = left[at:to], to
+        count = last[rows] - first[rows]
+        i = np.repeat(rows, count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
+        ok = (side[j] != 0) & (root[i] != root[j]) & ((side[j] != 2) | (i < j)) & ~(low[i] & low[j])
+        ok &= 100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])
+        i, j = i[ok], j[ok]
+        ok = np.argmax(by_band[i] == by_band[j], axis=1) == k[i]
+        i, j = i[ok], j[ok]
+        ok = likely(regs[i], regs[j], n[i].astype(float), n[j].astype(float))
+        i, j = i[ok], j[ok]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(i))):
+            row, c = i[lo], j[lo:hi]
+            own = gram[off[row]:off[row + 1]]
+            c = c[root[c] != root[row]]
+            while len(c):  # a few at a time: those that are joined meanwhile needn't be verified
+                now, c = c[:64], c[64:]
+                g = np.concatenate([gram[off[x]:off[x + 1]] for x in now])
+                hit = own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g
+                o = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n[now])[:-1]]))
+                for x in now[_linked(o, n[row], n[now])]:
+                    if root[x] != root[row]:
+                        root[root == root[x]] = root[row]
+                        out_a.append(sig[row])
+                        out_b.append(sig[x])
+                c = c[root[c] != root[row]]
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _rest_links(members: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def _rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """(a, b): links between classes of one band that the stars haven't brought into one component."""
-    labelled = members.select("band", "sig").join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    labelled = written(labelled, "labelled")
-    open_ = written(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"),
-                                                 F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("same")).where("lo < hi"), "open-bands")
-    once = written(open_.groupBy("rows", "same").agg(F.min("band").alias("band")).select("band"), "open-bands")  # of bands with the same classes
-    rows = written(labelled.join(once, "band"), "open-members")
     by_label = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("rows"))
     core = written(by_label.groupBy("band").agg(F.max_by("label", F.struct("rows", "label")).alias("core")), "cores")
-    rows = rows.join(core, "band").select("band", "sig", "label", (F.col("label") != F.col("core")).alias("loose"))
+    rows = rows.join(core, "band").select("band", "k", "sig", "label", (F.col("label") != F.col("core")).alias("loose"))
     rows = rows.join(classes.select("sig", "n"), "sig")
-    # sets of like size lie in the same or in neighbouring steps of the threshold's power
+    # sets of like size lie in the same or in neighbouring steps of the threshold's powers
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / THRESHOLD))).cast("int")
-    near = F.explode(F.array(step, step + 1)).alias("step")  # step s meets itself and s - 1 under s
-    rows = written(rows.select("band", "sig", "label", "loose", "n", (step).alias("own"), near), "open-members")
-    size = rows.groupBy("band", "step").agg(F.count(F.lit(1)).alias("n_all"), F.sum(F.col("loose").cast("int")).alias("n_loose"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    size = written(size.where("n_loose > 0 and lo < hi").select("band", "step", F.ceil(F.col("n_all") / block).cast("int").alias("nb"), F.ceil(F.col("n_loose") / block).cast("int").alias("nl")), "open-sizes")
+    rows = rows.withColumn("own", step).withColumn("step", F.explode(F.array("own", F.col("own") + 1)))  # step s meets itself and s - 1 under s
+    rows = written(rows.withColumn("low", F.col("own") < F.col("step")), "open-members")
+    size = rows.groupBy("band", "step").agg(F.count(F.lit(1)).alias("n_all"), F.sum(F.col("loose").cast("int")).alias("n_loose"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                            F.min("low").alias("all_low"))
+    size = written(size.where("n_loose > 0 and lo < hi and not all_low")
+                   .select("band", "step", F.ceil(F.col("n_all") / block).cast("int").alias("nb"), F.ceil(F.col("n_loose") / block).cast("int").alias("nl")), "open-sizes")
     rows = rows.join(size, ["band", "step"])
     right = F.pmod(F.xxhash64("sig", F.lit("all")), F.col("nb")).cast("int")
     left = F.pmod(F.xxhash64("sig", F.lit("loose")), F.col("nl")).cast("int")
-    cols = ["sig", "label", "n"]
+    cols = ["sig", "label", "n", "low", "k"]
     part = F.xxhash64("band", "step", "i", "j").alias("part")
     small = rows.where("nb = 1").select(F.xxhash64("band", "step").alias("part"), *cols, F.when(F.col("loose"), 2).otherwise(1).alias("side"))
     many = rows.where("nb > 1")
     lhs = many.where("loose").withColumn("i", left).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(part, *cols, F.lit(0).alias("side"))
     rhs = many.withColumn("j", right).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).select(part, *cols, F.lit(1).alias("side"))
     work = written(small.unionByName(lhs).unionByName(rhs), "open-parts")
-    groups = max(1, work.count() // (8 * block))
+    groups = max(1, work.count() // block)
     full = work.join(classes.select("sig", "registers"), "sig").join(sets, "sig")
-    return full.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups))).groupBy("g").applyInArrow(
-        lambda t: _compare(t.select(["part", "side", "sig", "label", "n", "registers", "grams"])), "a long, b long")
+    found = full.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups))).groupBy("g").applyInArrow(
+        lambda t: _compare(t.select(["part", "side", "sig", "label", "n", "low", "k", "registers", "grams"])), "a long, b long")
+    return written(found, "rest-links")
 
 
 def groups(docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
@@ -290,9 +328,11 @@ def groups(docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
     shared = written(every.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("sig").alias("leader")).where("rows > 1").select("band", "leader"), "shared-bands")
     members = written(every.join(shared, "band"), "members")
     sets = written(whole_sets(docs, written(members.select("sig").distinct(), "candidates"), n), "sets")
-    star = written(_star_links(members, classes, sets), "star-links")
-    rest = written(_rest_links(members, components(star).withColumnRenamed("v", "sig"), classes, sets, block), "rest-links")
-    label = components(star.unionByName(rest)).withColumnRenamed("v", "sig")
+    star = _star_links(members.where("sig != leader").select("sig", "leader"), classes, sets)
+    rows_open = _open(members, components(star).withColumnRenamed("v", "sig"))
+    star = written(star.unionByName(_star_links(_second_ties(rows_open, star), classes, sets)), "star-links")
+    rows_open = _open(rows_open, components(star).withColumnRenamed("v", "sig"))
+    label = components(star.unionByName(_rest_links(rows_open, classes, sets, block))).withColumnRenamed("v", "sig")
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("c0"))
     named = written(least.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "named")
     ids = written(named.groupBy("label").agg(F.min("c0").alias("component_id")), "component-ids")
