@@ -216,7 +216,7 @@ def _star_links(ties: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     both = written(left, "ties").join(classes.withColumnsRenamed({"sig": "leader", "registers": "rb", "n": "nb"}), "leader")
     low = F.least("na", "nb") * 100 >= THRESHOLD * F.greatest("na", "nb")
     some = both.where(low).where(_is_likely(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))).select("sig", "leader", "na", "nb")
-    pairs = written(written(some, "likely").join(sets.withColumnRenamed("grams", "ga"), "sig"), "likely")
+    pairs = written(some, "likely").join(sets.withColumnRenamed("grams", "ga"), "sig")
     pairs = pairs.join(sets.withColumnsRenamed({"sig": "leader", "grams": "gb"}), "leader")
     overlap = F.size(F.array_intersect("ga", "gb"))
     return written(pairs.where(_linked(overlap, F.col("na"), F.col("nb"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")), "star-links")
@@ -238,36 +238,55 @@ def _second_ties(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(hub, "band").where("label != in AND to != leader").select("sig", F.col("to").alias("leader"))
 
 
+class _Part:
+    """A group of rows (part, side, sig, label, n, low, k, registers), sorted by part, and its pairs worth verifying."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.table = table = table.take(pa.array(np.argsort(table.column("part").to_numpy(), kind="stable"))).combine_chunks()
+        self.part, self.sig, self.side, label, self.n, self.k = (table.column(c).to_numpy() for c in ("part", "sig", "side", "label", "n", "k"))
+        self.low = table.column("low").to_numpy(zero_copy_only=False)
+        self.regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        self.root = np.unique(label, return_inverse=True)[1]  # joined rows carry one number
+
+    def pairs(self):
+        """Yield arrays (i, j) of the likely pairs of different roots, by i: side 0 against side 1, 2 against both. Left to
+        other parts are pairs of which both are ``low`` (of the step below) or that share an earlier band than number k."""
+        n, root, by_band = self.n, self.root, self.regs.view(np.uint64)  # the ROWS = 4 registers of a band are one number
+        first, last = np.searchsorted(self.part, self.part), np.searchsorted(self.part, self.part, "right")
+        left = np.flatnonzero(self.side != 1)
+        upto, at = np.cumsum(last[left] - first[left]), 0
+        while at < len(left):  # rows whose pairs are about 2**16
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 16), "right")))
+            rows, at = left[at:to], to
+            count = last[rows] - first[rows]
+            i = np.repeat(rows, count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
+            ok = (self.side[j] != 0) & (root[i] != root[j]) & ((self.side[j] != 2) | (i < j)) & ~(self.low[i] & self.low[j])
+            ok &= 100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = np.argmax(by_band[i] == by_band[j], axis=1) == self.k[i]
+            i, j = i[ok], j[ok]
+            ok = likely(self.regs[i], self.regs[j], n[i].astype(float), n[j].astype(float))
+            yield i[ok], j[ok]
+
+
+def _promising(table: pa.Table) -> pa.Table:
+    """The rows that have a likely pair, without their registers."""
+    p = _Part(table)
+    found = np.zeros(len(p.sig), bool)
+    for i, j in p.pairs():
+        found[i] = found[j] = True
+    return p.table.filter(pa.array(found)).drop_columns(["registers"])
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links of a group of rows (part, side, sig, label, n, low, k, registers, grams), by part: side 0
-    against side 1, 2 against both; rows of one label are joined already. Left to other parts are pairs of which both are
-    ``low`` (of the step below) or that share an earlier band than number k."""
-    table = table.combine_chunks()
-    table = table.take(pa.array(np.argsort(table.column("part").to_numpy(), kind="stable"))).combine_chunks()
-    part, sig, side, label, n, k = (table.column(c).to_numpy() for c in ("part", "sig", "side", "label", "n", "k"))
-    low = table.column("low").to_numpy(zero_copy_only=False)
-    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    by_band = regs.view(np.uint64)  # the ROWS = 4 registers of a band are one number
-    lists = table.column("grams").chunk(0)
+    """A spanning forest of the verified links of a group of rows, which also have their whole sets (grams)."""
+    p = _Part(table)
+    lists = p.table.column("grams").chunk(0) if len(p.sig) else pa.array([], pa.list_(pa.int64()))
     off, gram = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)  # sorted as such
-    root = np.unique(label, return_inverse=True)[1]  # joined rows carry one number
-    first, last = np.searchsorted(part, part), np.searchsorted(part, part, "right")
-    left = np.flatnonzero(side != 1)
-    upto = np.cumsum(last[left] - first[left])
-    out_a, out_b, at = [], [], 0
-    while at < len(left):  # rows whose pairs are about 2**16
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 16), "right")))
-        rows, at = left[at:to], to
-        count = last[rows] - first[rows]
-        i = np.repeat(rows, count)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
-        ok = (side[j] != 0) & (root[i] != root[j]) & ((side[j] != 2) | (i < j)) & ~(low[i] & low[j])
-        ok &= 100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j])
-        i, j = i[ok], j[ok]
-        ok = np.argmax(by_band[i] == by_band[j], axis=1) == k[i]
-        i, j = i[ok], j[ok]
-        ok = likely(regs[i], regs[j], n[i].astype(float), n[j].astype(float))
-        i, j = i[ok], j[ok]
+    out_a, out_b, n, root, sig = [], [], p.n, p.root, p.sig
+    for i, j in p.pairs():
         cuts = np.flatnonzero(np.diff(i, prepend=-1))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(i))):
             row, c = i[lo], j[lo:hi]
@@ -311,10 +330,16 @@ def _rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, block: int
     lhs = many.where("loose").withColumn("i", left).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(part, *cols, F.lit(0).alias("side"))
     rhs = many.withColumn("j", right).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).select(part, *cols, F.lit(1).alias("side"))
     work = written(small.unionByName(lhs).unionByName(rhs), "open-parts")
-    groups = max(1, work.count() // block)
-    full = work.join(classes.select("sig", "registers"), "sig").join(sets, "sig")
-    found = full.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups))).groupBy("g").applyInArrow(
-        lambda t: _compare(t.select(["part", "side", "sig", "label", "n", "low", "k", "registers", "grams"])), "a long, b long")
+    cols = ["part", "side", "sig", "label", "n", "low", "k"]
+
+    def groups(rows: DataFrame) -> DataFrame:  # parts dealt to groups of about ``block`` rows
+        with_registers = rows.join(classes.select("sig", "registers"), "sig")
+        return with_registers.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(max(1, rows.count() // block))))
+
+    some = groups(work).groupBy("g").applyInArrow(lambda t: _promising(t.select([*cols, "registers"])),
+                                                  "part long, side int, sig long, label long, n long, low boolean, k tinyint")
+    found = groups(written(some, "promising")).join(sets, "sig").groupBy("g").applyInArrow(
+        lambda t: _compare(t.select([*cols, "registers", "grams"])), "a long, b long")
     return written(found, "rest-links")
 
 
