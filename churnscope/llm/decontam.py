@@ -10,7 +10,8 @@ Fingerprints of the benchmark are looked up in one scan of the documents, which
 shuffled: a table of benchmark fingerprints is broadcast in blocks of at most ``block_rows``
 fingerprints (blocks by fingerprint hash, as many as the benchmark needs), and every hit is
 extended over the words around it, comparing 128-bit digests of whole windows. The number of
-blocks grows with the benchmark, the size of a block does not.
+blocks grows with the benchmark, the size of a block does not; but all blocks stand in one plan, so a
+worker holds the fingerprints of the whole benchmark, which also pass through the driver.
 
 Defined results: a null or empty text has no words, hits nothing and is not contaminated; a null
 item id counts as the id ''; repeated rows are judged one by one; columns of the input are kept
@@ -19,6 +20,8 @@ item id counts as the id ''; repeated rows are judged one by one; columns of the
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import hashlib
 
 import numpy as np
@@ -193,5 +196,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int
     n_words, items = F.col(f"{names[0]}.n_words"), F.array_sort(F.array_distinct(part("items")))
     hit = F.arrow_udf(_covered, T.LongType())(part("starts"), part("ends"))
     d = d.withColumns({"n_words": n_words, "n_hit": hit, "items": items}).drop(*names)
-    per = round(1 / min_share)
-    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
+    share = Fraction(str(min_share))  # exact: 0.4 is 2/5
+    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator))

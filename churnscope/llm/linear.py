@@ -74,13 +74,14 @@ def features(text: Column, shape: bool = False) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, grade) of the documents of at most ``rows`` labelled ids, those with the lowest hash among the
-    ids that ``learn`` allows. An id with several labels takes the largest."""
+    """(text, grade) of at most ``rows`` labelled ids, those with the lowest hash among the ids that ``learn`` allows: one row
+    an id. An id with several labels takes the largest, one with several documents its smallest text."""
     bounded_batches(docs.sparkSession)
     ids = (labels.select("doc_id", grade.alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & learn)
            .groupBy("doc_id").agg(F.max("grade").alias("grade"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "grade")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
 
 class Model:
@@ -145,8 +146,8 @@ def fit(sample: DataFrame, grades: int, steps: int = 40, rate: float = 0.2, l2:
     vectors hold those alone. ``centre`` (two grades): the threshold is moved to where the sample has the
     fewest errors, so that 0.5 is the best cut. A sample without rows gives a model that scores every text 0.5 at the
     first threshold; a grade that is missing from the sample gets a threshold next to its neighbour's."""
-    data = written((sample if "swapped" in sample.columns else
-                    sample.withColumn("swapped", F.lit(None).cast("array<int>"))).coalesce(PARTS), "features")
+    data = written(sample if "swapped" in sample.columns else sample.withColumn("swapped", F.lit(None).cast("array<int>")), "features")
+    data = data.coalesce(PARTS)  # of the written sample; the scan of all documents keeps its own tasks
     counts = {r.grade: r["n"] for r in data.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     k = grades - 1

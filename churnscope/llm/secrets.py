@@ -128,8 +128,10 @@ def _groups(spark, blobs, known, rules, ledger):
 
 
 def findings(versions: DataFrame, ledger: str) -> DataFrame:
-    """``versions`` with blob and secrets: array of (start, kind as in KINDS from 1, end), by start, then kind."""
+    """``versions`` with blob and secrets: array of (start, kind as in KINDS from 1, end), by start, then kind. Columns
+    of these two names that ``versions`` may have are replaced, all others stay."""
     spark = versions.sparkSession
+    versions = versions.drop("blob", "secrets")
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i + 1)])
     hits = (update(versions, ledger).where(F.size("spans") > 0)
             .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("rule")].alias("kind"), s["end"].alias("end"))).alias("s"))

@@ -356,3 +356,73 @@ def test_pipeline_stages_on_edge_rows(spark, docs, none):
             assert out.columns == frame.columns, name
             n, kept = frame.count(), out.count()
             assert kept <= n and (kept == n or name == "near_duplicates"), name
+
+
+def test_secrets_and_models_with_clashing_columns(spark, docs):
+    extra = docs.withColumns({c: F.lit("x") for c in ("secrets", "blob", "found", "rule", "grade", "features", "tails", "score", "predicted", "base_spans", "_cf")})
+    out = secrets.findings(extra, scratch_path(spark, "ledger"))
+    assert out.count() == docs.count() and sorted(out.columns) == sorted(extra.columns)
+    labels = docs.where("doc_id < 60").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), F.lit("y").alias("text"))
+    model = toxicity.fit(extra, labels, F.lit(True))
+    assert toxicity.score(extra, model).select("score", "predicted").count() == docs.count()
+    assert quality.grade(extra, quality.fit(extra, labels, F.col("toxic"), 2, F.lit(True))).count() == docs.count()
+    assert pii.find(extra, pii.fit(extra)).count() == docs.count()
+
+
+def test_sample_has_one_row_an_id(spark):
+    d = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 0)], "doc_id long, toxic int")
+    got = sorted((r.text, r.grade) for r in linear.labelled_sample(d, labels, F.col("toxic"), F.lit(True)).collect())
+    assert got == [("w0", 1), ("w1", 0), ("w1001", 1)] or len(got) == 3
+
+
+def test_fitting_scans_the_documents_in_their_own_tasks(spark, tmp_path):
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")).repartition(12)
+    path = str(tmp_path / "docs")
+    d.write.parquet(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)  # a task for each file
+    try:
+        read = spark.read.parquet(path)
+        sample = linear.labelled_sample(read, spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")), F.col("toxic"), F.lit(True))
+        assert read.rdd.getNumPartitions() == 12 and "Coalesce" not in sample._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def _drop(spark, rows):
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, d, SF_SMALL).collect()), key=str)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t.replace("7 ", "q ", 1)
+    assert _drop(spark, [(1, a), (2, near(a)), (2, b), (3, near(b))]) == [(1, a), (2, b)]
+    assert _drop(spark, [(None, a), (1, near(a))]) == [(1, near(a))]
+    assert len(_drop(spark, [(4, a), (4, near(a)), (4, b)])) == 2
+    assert _drop(spark, [(None, None), (None, None), (5, ""), (5, "")]) == sorted([(None, None)] * 2 + [(5, "")] * 2, key=str)
+
+
+def test_pipeline_keeps_what_no_label_speaks_against(spark, docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / "none")).count() == docs.count()
+    words_of = docs.where("text IS NOT NULL AND length(trim(text)) > 20")
+    mostly = words_of.select("doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1).alias("toxic"))
+    mostly.write.parquet(str(tmp_path / "mostly" / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / "mostly")).collect()}
+    assert {r.doc_id for r in docs.where("text IS NULL OR trim(text) = ''").collect()} <= kept
+
+
+def test_pipeline_near_duplicates_keep_the_right_rows(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(zip(*[words(r"[^\x20\x09-\x0D]+", r.text)[i:] for i in range(5)])) or frozenset(words(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and sets[i] and label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = {k: lo if x == hi else x for k, x in label.items()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()}
+    assert kept == {i for i in sets if label[i] == i}
