@@ -11,6 +11,7 @@ import os
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from churnscope.operators import attribute
 from churnscope.operators import models as M
 from churnscope.operators import prepare
 from churnscope.operators.evaluate import leaderboard
@@ -122,10 +123,57 @@ def q_model_registry(spark, sf_dir):
     return out
 
 
-@register("shapley_attribution", None, ("X2", "X3", "X4", "X12", "D3"))
+def background(bench: M.Benchmark) -> list:
+    """The background of every attribution below: at most 50 training rows in a seeded hash order."""
+    return attribute.sample_background(bench.train, S.key, bench.prep.feature_names)
+
+
+def attribution_by_kind(bench: M.Benchmark, name: str, rows=None):
+    """The attribution that fits the model's kind: the closed form of the linear model's margin, tree attribution of the
+    forest's probability or the boosted model's margin, kernel attribution of any other model's probability."""
+    rows, names = bench.test if rows is None else rows, bench.prep.feature_names
+    args = (rows, bench.models[name], S.key, names, background(bench))
+    if name == M.LR:
+        return attribute.linear_attribution(*args)
+    if name in (M.RF, M.GB):
+        return attribute.tree_attribution(*args, boosted=name == M.GB)
+    return attribute.kernel_attribution(*args)
+
+
+@register("shapley_attribution", None, ("X12", "D3"))
 def q_shapley_attribution(spark, sf_dir):
+    """The best model's attribution, by its kind, of every test row."""
     name, _, bench = best_model(spark, sf_dir)
-    return M.shapley_attribution(bench, name).withColumn("model", F.lit(name))
+    return attribution_by_kind(bench, name).withColumn("model", F.lit(name))
+
+
+@register("kernel_attribution", None, ("X2", "X12", "D3"))
+def q_kernel_attribution(spark, sf_dir):
+    """Kernel attribution of the network on every test row: 100 coalitions, 50 background rows."""
+    bench = benchmark(spark, sf_dir, (M.NN,))
+    return attribute.kernel_attribution(bench.test, bench.models[M.NN], S.key, bench.prep.feature_names, background(bench)).withColumn("model", F.lit(M.NN))
+
+
+@register("permutation_attribution", None, ("X4", "X12", "D3"))
+def q_permutation_attribution(spark, sf_dir):
+    """Random-order attribution of the network on every test row, with its standard error."""
+    bench = benchmark(spark, sf_dir, (M.NN,))
+    return attribute.permutation_attribution(bench.test, bench.models[M.NN], S.key, bench.prep.feature_names, background(bench)[:10]).withColumn("model", F.lit(M.NN))
+
+
+@register("tree_attribution", None, ("X3", "X12"))
+def q_tree_attribution(spark, sf_dir):
+    """Tree attribution of the forest's probability and the boosted model's margin on every test row."""
+    bench = benchmark(spark, sf_dir, (M.RF, M.GB))
+    parts = [attribution_by_kind(bench, n).withColumns({"model": F.lit(n), "output": F.lit(o)}) for n, o in ((M.RF, "probability"), (M.GB, "margin"))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("linear_model_attribution", None, ("X1", "X12"))
+def q_linear_model_attribution(spark, sf_dir):
+    """The fitted logistic regression's margin, in closed form, on every test row."""
+    bench = benchmark(spark, sf_dir, (M.LR,))
+    return attribution_by_kind(bench, M.LR).withColumn("model", F.lit(M.LR))
 
 
 @register("explain_sample", sql_with(["churn_features", "churn_split"], """
@@ -173,7 +221,7 @@ def q_shap_summary(spark, sf_dir):
     from churnscope.sources import sinks
 
     name, _, bench = best_model(spark, sf_dir)
-    attr = M.shapley_attribution(bench, name).select(S.key, "feature", "contribution")
+    attr = attribution_by_kind(bench, name).select(S.key, "feature", "contribution")
     attr = attr.checkpoint(eager=True)  # three aggregates read it
     meta = feature_metadata(spark, S, bench.prep.categories)
     concise = ("rank", "feature", "business_interpretation", "feature_type", "impact_direction", "mean_shap",
@@ -211,7 +259,7 @@ def q_shap_importance_table(spark, sf_dir):
     from churnscope.operators.explain import business_interpretation, feature_metadata
 
     name, _, bench = best_model(spark, sf_dir)
-    attr = M.shapley_attribution(bench, name).select(S.key, "feature", "contribution").checkpoint(eager=True)
+    attr = attribution_by_kind(bench, name).select(S.key, "feature", "contribution").checkpoint(eager=True)
     return business_interpretation(attr, feature_metadata(spark, S, bench.prep.categories)) \
         .withColumn("model", F.lit(name))
 
