@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.binning import add_bin, bin_domain, bin_ordinal, right_closed_bin
+from churnscope.functions.selection import quantiles
 from churnscope.functions.stats import count_where, mode_lowest, quantile, share_pct, stable, std_error_pop
+from churnscope.session import ensure_checkpoint_dir
 from churnscope.sources.tables import require_columns
 from churnscope.spec import OUTLIER_K, TARGET_LABELS, BinSpec, RoleSpec
 
@@ -94,44 +96,51 @@ def stats_by_target(df: DataFrame, spec: RoleSpec, columns=None, approx: bool =
     """count, mean, median, mode, sample std, min, max, Q1, Q3 per numeric column and
     target value; all columns in one scan."""
     cols = list(columns or spec.numeric)
-    long = unpivot_columns(df, cols, [spec.target], "double")
-    return (long.groupBy("variable", F.col(spec.target).alias("target"))
-            .agg(*_numeric_aggs(F.col("value"), approx))
-            .withColumn("target_label", target_label(F.col("target")))
+    long = unpivot_columns(df, cols, [spec.target], "double").withColumnRenamed(spec.target, "target")
+    stats = (long.groupBy("variable", "target").agg(*_numeric_aggs(F.col("value"), approx)) if approx
+             else stats_from_histogram(value_histogram(long, ("variable", "target"))))
+    return (stats.withColumn("target_label", target_label(F.col("target")))
             .orderBy("variable", "target"))
 
 
+def _same_group(gc: list):
+    """Join condition of two tables ``a`` and ``b`` on group columns that may be null."""
+    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in gc]
+
+
 def stats_from_histogram(h: DataFrame, group_cols=("variable", "target")) -> DataFrame:
-    """The nine statistics of ``stats_by_target`` from a (group..., value, n) histogram:
-    frequency-weighted exact quantiles, mode (lowest on ties), and the sample standard
-    deviation in two passes over the histogram (mean first, then squared deviations)."""
+    """The nine statistics of ``stats_by_target`` from a (group..., value, n) histogram, which is written once:
+    exact quantiles by selection (no map of all values in one task), mode (lowest on ties), and the sample
+    standard deviation in two passes over the histogram (mean first, then squared deviations)."""
     gc = list(group_cols)
+    ensure_checkpoint_dir(h.sparkSession)
+    h = h.checkpoint(eager=True)
     v, n = F.col("value"), F.col("n")
-
-    def q(p):
-        return stable(F.percentile(v, F.lit(p), n).cast("double"))
-
     # nulls count in no statistic, as in the exact path
     known = F.sum(F.when(v.isNotNull(), n))
     base = h.groupBy(*gc).agg(
-        F.coalesce(known, F.lit(0)).alias("count"), F.try_divide(F.sum(v * n), known).alias("_m"), q(0.5).alias("median"),
+        F.coalesce(known, F.lit(0)).alias("count"), F.try_divide(F.sum(v * n), known).alias("_m"),
         F.min(F.when(v.isNotNull(), F.struct((-n).alias("_neg_n"), v.alias("_v")))).getField("_v").cast("double").alias("mode"),
-        F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"),
-        q(0.25).alias("q1"), q(0.75).alias("q3"))
+        F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
     dev = F.col("value") - F.col("_m")
-    ss = (h.join(F.broadcast(base.select(*gc, "_m")), gc)  # one row per group: bounded
-          .groupBy(*gc).agg(F.sum(F.col("n") * dev * dev).alias("_ss")))
-    return (base.join(ss, gc)
-            .select(*gc, "count", stable(F.col("_m")).alias("mean"), "median", "mode",
-                    stable(F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))).alias("std"),
-                    "min", "max", "q1", "q3"))
+    means = base.select(*gc, "_m").alias("b")
+    ss = (h.alias("a").join(F.broadcast(means), _same_group(gc))  # one row per group: bounded
+          .groupBy(*[F.col(f"a.{c}").alias(c) for c in gc]).agg(F.sum(F.col("n") * dev * dev).alias("_ss")))
+    qs = quantiles(h, gc, [0.25, 0.5, 0.75])
+    own = [F.col(f"a.{c}").alias(c) for c in gc]
+    full = base.alias("a").join(ss.alias("b"), _same_group(gc)).select(*own, "count", "_m", "mode", "min", "max", "_ss")
+    full = full.alias("a").join(qs.alias("b"), _same_group(gc), "left").select(*own, "count", "_m", "mode", "min", "max", "_ss", "q0", "q1", "q2")
+    return full.select(*gc, "count", stable(F.col("_m")).alias("mean"), stable(F.col("q1")).alias("median"), "mode",
+                       stable(F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1))).alias("std"),
+                       "min", "max", stable(F.col("q0")).alias("q1"), stable(F.col("q2")).alias("q3"))
 
 
 def overall_stats(df: DataFrame, spec: RoleSpec, columns=None, approx: bool = False) -> DataFrame:
     """The same nine statistics over the whole table, long form (variable, statistic, value)."""
     cols = list(columns or spec.numeric)
     long = unpivot_columns(df, cols, [], "double")
-    wide = long.groupBy("variable").agg(*_numeric_aggs(F.col("value"), approx))
+    wide = (long.groupBy("variable").agg(*_numeric_aggs(F.col("value"), approx)) if approx
+            else stats_from_histogram(value_histogram(long), ("variable",)))
     items = F.array(*[F.struct(F.lit(i).alias("stat_ord"), F.lit(lab).alias("statistic"),
                                F.col(n).cast("double").alias("value"))
                      for i, (n, lab) in enumerate(zip(STAT_NAMES, STAT_LABELS))])
@@ -248,19 +257,17 @@ def value_histogram(long: DataFrame, group_cols=("variable",)) -> DataFrame:
 
 
 def _fences_from_hist(h: DataFrame) -> DataFrame:
-    """Tukey fences and summary statistics per variable from the value histogram
-    (frequency-weighted exact quantiles; mode = most frequent, lowest on ties)."""
+    """Tukey fences and summary statistics per variable from the written value histogram
+    (exact quantiles by selection; mode = most frequent, lowest on ties)."""
     v, n = F.col("value"), F.col("n")
-
-    def q(p):
-        return stable(F.percentile(v, F.lit(p), n).cast("double"))
-
-    return (h.groupBy("variable")
-            .agg(q(0.25).alias("q1"), q(0.75).alias("q3"), F.sum(n).alias("n"), F.min(v).alias("min_value"),
-                 F.max(v).alias("max_value"), q(0.5).alias("median"),
-                 # nulls count in no statistic; the outlier share is one of all rows
-                 stable(F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))).alias("mean"),
-                 F.min(F.when(v.isNotNull(), F.struct((-n).alias("_neg_n"), v.alias("_v")))).getField("_v").alias("mode"))
+    base = h.groupBy("variable").agg(
+        F.sum(n).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
+        # nulls count in no statistic; the outlier share is one of all rows
+        stable(F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))).alias("mean"),
+        F.min(F.when(v.isNotNull(), F.struct((-n).alias("_neg_n"), v.alias("_v")))).getField("_v").alias("mode"))
+    qs = quantiles(h, ["variable"], [0.25, 0.5, 0.75])
+    return (base.join(qs, "variable", "left")
+            .withColumns({"median": stable(F.col("q1")), "q1": stable(F.col("q0")), "q3": stable(F.col("q2"))}).drop("q0", "q2")
             .withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - OUTLIER_K * F.col("iqr"))
             .withColumn("upper_fence", F.col("q3") + OUTLIER_K * F.col("iqr")))
@@ -269,7 +276,8 @@ def _fences_from_hist(h: DataFrame) -> DataFrame:
 def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
     v = F.col("value")
     if not approx:
-        return _fences_from_hist(value_histogram(long))
+        ensure_checkpoint_dir(long.sparkSession)
+        return _fences_from_hist(value_histogram(long).checkpoint(eager=True))
     return (long.groupBy("variable")
             .agg(quantile(v, 0.25, approx).alias("q1"), quantile(v, 0.75, approx).alias("q3"),
                  F.count(F.lit(1)).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
@@ -282,6 +290,8 @@ def _fences(long: DataFrame, approx: bool = False) -> DataFrame:
 def outlier_summary_from_histogram(h: DataFrame) -> DataFrame:
     """A16 from a (variable, value, n) histogram built by the caller (e.g. eagerly
     aggregated below a join)."""
+    ensure_checkpoint_dir(h.sparkSession)
+    h = h.checkpoint(eager=True)
     fences = _fences_from_hist(h)
     outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
     counts = (h.join(F.broadcast(fences.select("variable", "lower_fence", "upper_fence")), "variable")

@@ -14,8 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnscope.functions.selection import quantiles
 from churnscope.functions.stats import quantile, stable
-from churnscope.operators.eda import crosstab_share, unpivot_columns
+from churnscope.operators.eda import crosstab_share, unpivot_columns, value_histogram
+from churnscope.session import ensure_checkpoint_dir
 from churnscope.spec import OUTLIER_K, RoleSpec
 
 GRID_SIZE = 200
@@ -46,10 +48,12 @@ def histogram(df: DataFrame, spec: RoleSpec, columns=None, fixed: dict | None =
     cols = list(columns or spec.numeric)
     fixed = fixed or {}
     h = _hist(df, spec, cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    h = h.checkpoint(eager=True)
     stats = h.groupBy("variable").agg(
         F.sum("n").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-        F.percentile("value", F.lit(0.25), F.col("n")).alias("_q1"), F.percentile("value", F.lit(0.75), F.col("n")).alias("_q3"),
         F.array_sort(F.collect_set("target")).alias("_classes"))
+    stats = stats.join(quantiles(h, ["variable"], [0.25, 0.75]).withColumnsRenamed({"q0": "_q1", "q1": "_q3"}), "variable", "left")
     lo, hi, nb = F.col("_lo"), F.col("_hi"), _auto_bins(F.col("_n"), F.col("_lo"), F.col("_hi"), F.col("_q1"), F.col("_q3"))
     for v, (flo, fhi, fnb) in fixed.items():
         is_v = F.col("variable") == v
@@ -118,20 +122,23 @@ def boxplot_stats(df: DataFrame, spec: RoleSpec, columns=None, approx: bool = Fa
     variable and class, and the count of points beyond them."""
     cols = list(columns or spec.numeric)
     long = unpivot_columns(df, cols, [spec.target], "double").withColumnRenamed(spec.target, "target")
-    v = F.col("value")
-    q = (long.groupBy("variable", "target")
-         .agg(quantile(v, 0.25, approx).alias("q1"), quantile(v, 0.5, approx).alias("median"),
-              quantile(v, 0.75, approx).alias("q3"))
-         .withColumn("iqr", F.col("q3") - F.col("q1"))
+    v, key = F.col("value"), ["variable", "target"]
+    if approx:
+        q = long.groupBy(*key).agg(quantile(v, 0.25, True).alias("q1"), quantile(v, 0.5, True).alias("median"), quantile(v, 0.75, True).alias("q3"))
+        h = long.withColumn("n", F.lit(1))
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        h = value_histogram(long, key).checkpoint(eager=True)
+        q = quantiles(h, key, [0.25, 0.5, 0.75]).select(*key, stable(F.col("q0")).alias("q1"), stable(F.col("q1")).alias("median"), stable(F.col("q2")).alias("q3"))
+    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("_lf", F.col("q1") - OUTLIER_K * F.col("iqr"))
          .withColumn("_uf", F.col("q3") + OUTLIER_K * F.col("iqr")))
     inside = (v >= F.col("_lf")) & (v <= F.col("_uf"))
-    w = (long.join(F.broadcast(q.select("variable", "target", "_lf", "_uf")), ["variable", "target"])
-         .groupBy("variable", "target")
+    w = (h.join(F.broadcast(q.select(*key, "_lf", "_uf")), key)  # one row a variable and class
+         .groupBy(*key)
          .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-              F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_fliers")))
-    return q.join(w, ["variable", "target"]).select("variable", "target", "q1", "median", "q3", "iqr",
-                                                    "whisker_low", "whisker_high", "n_fliers")
+              F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("long").alias("n_fliers")))
+    return q.join(w, key).select(*key, "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "n_fliers")
 
 
 # ---- A41 / W6: stacked shares ------------------------------------------------------------------------

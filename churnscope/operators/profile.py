@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnscope.functions.stats import mode_lowest
+from churnscope.functions.selection import modes, quantiles
+from churnscope.session import ensure_checkpoint_dir
 from churnscope.spec import RoleSpec
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -85,14 +86,23 @@ def null_audit(df: DataFrame) -> DataFrame:
 
 def fit_imputer(df: DataFrame, numeric, categorical) -> dict:
     """Fill values: exact median for numeric columns, most frequent value (lowest on
-    ties, 'Unknown' when the column is all null) for categorical ones. One aggregate,
-    one row back to the driver."""
-    aggs = [F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in numeric]
-    aggs += [F.coalesce(mode_lowest(F.col(c)), F.lit("Unknown")).alias(c) for c in categorical]
-    if not aggs:
-        return {}
-    row = df.agg(*aggs).first().asDict()
-    return {k: v for k, v in row.items() if v is not None}
+    ties, 'Unknown' when the column is all null) for categorical ones: by selection and by counts
+    of values, so no task holds all values of a column; one row a column comes to the driver."""
+    fills: dict = {}
+    if numeric:
+        hist = _histogram(df, numeric, "double")
+        fills |= {r.variable: r.q0 for r in quantiles(hist, ["variable"], [0.5]).collect()}  # one row a column
+    if categorical:
+        found = {r.variable: r.mode for r in modes(_histogram(df, categorical, "string"), ["variable"]).collect()}
+        fills |= {c: found.get(c, "Unknown") for c in categorical}
+    return fills
+
+
+def _histogram(df: DataFrame, columns, kind: str) -> DataFrame:
+    """(variable, value, n) of the columns, written once: rows are counted in their tasks before the shuffle."""
+    ensure_checkpoint_dir(df.sparkSession)
+    items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast(kind).alias("value")) for c in columns])
+    return df.select(F.inline(items)).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
 
 
 def impute(df: DataFrame, fills: dict) -> DataFrame:
