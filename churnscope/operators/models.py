@@ -18,13 +18,14 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
 from churnscope.operators.profile import fit_imputer, null_audit
+from churnscope.functions.permute import keyed_permutation
 from churnscope.functions.ranking import global_row_number
 from churnscope.functions.stats import stable
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
@@ -180,10 +181,9 @@ def permutation_importance(bench: Benchmark, name: str, repeats: int = 10, seed:
     """Increase of the squared error of P(class 1) when one feature's values are
     shuffled across rows, mean and population std over ``repeats`` shuffles.
 
-    Repeat r is one random permutation of the whole table: the k-th row by one hash
-    order is paired with the k-th row by another (``global_row_number``, so no window
-    sees a whole repeat). Each pair carries the partner's features; after the join a
-    generator makes one variant per feature that takes this feature from the partner.
+    The rows are ranked once (``global_row_number`` by a hash order, written). Repeat r is a keyed permutation of the
+    ranks 0..n-1 (``keyed_permutation``), so a row's partner is computed, not sorted for; one join brings the
+    partner's features, and a generator makes one variant per feature that takes this feature from the partner.
     """
     spark = bench.data.sparkSession
     key = bench.spec.key
@@ -191,22 +191,22 @@ def permutation_importance(bench: Benchmark, name: str, repeats: int = 10, seed:
     nb = n_buckets or shuffle_partitions(spark)
     base = (rows if rows is not None else bench.test).select(key, "label", *[F.col(f"`{n}`") for n in names])
     model = bench.models[name]
-    ex = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = lambda tag: F.xxhash64(F.lit(seed), F.lit(tag), F.col("rep"), F.col(key))
-    left = global_row_number(ex.withColumn("_a", h("a")), ["rep"], ["_a", key], nb, out="_k")
-    right = ex.select("rep", key, h("b").alias("_b"), F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("_partner"))
-    right = global_row_number(right, ["rep"], ["_b", key], nb, out="_k").select("rep", "_k", "_partner")
-    shuffled = left.join(right, ["rep", "_k"]).withColumn("pf", F.explode(F.array(*[F.lit(n) for n in names])))
-    cols = [F.when(F.col("pf") == n, F.col("_partner")[i]).otherwise(F.col(f"`{n}`")).alias(f"_x{i}") for i, n in enumerate(names)]
-    vec = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(names))], outputCol="features") \
-        .transform(shuffled.select(key, "label", "pf", "rep", *cols))
-    perm = positive_probability(model, vec)
+    ensure_checkpoint_dir(spark)
+    own = base.select(key, "label", F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("_own"), F.xxhash64(F.lit(seed), F.col(key)).alias("_h"),
+                      F.lit(0).alias("_all"))
+    ranked = global_row_number(own, ["_all"], ["_h", key], nb, out="_k").select("label", "_own", (F.col("_k") - 1).alias("_k")).checkpoint(eager=True)
+    n = ranked.count()
+    left = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    left = left.select("label", "_own", "rep", keyed_permutation(F.col("_k"), n, F.col("rep"), seed).alias("_k"))
+    shuffled = left.join(ranked.select("_k", F.col("_own").alias("_partner")), "_k").withColumn("pf", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    mixed = F.transform("_own", lambda v, i: F.when(i == F.col("pf"), F.get("_partner", i)).otherwise(v))
+    perm = positive_probability(model, shuffled.select("label", "pf", "rep", array_to_vector(mixed).alias("features")))
     err = (F.col("label") - F.col("probability_1")) ** 2
     mse_perm = perm.groupBy("pf", "rep").agg(F.avg(err).alias("mse"))
-    base_vec = VectorAssembler(inputCols=names, outputCol="features").transform(base)
-    mse0 = positive_probability(model, base_vec).agg(F.avg(err)).first()[0]  # one number
+    mse0 = positive_probability(model, ranked.select("label", array_to_vector("_own").alias("features"))).agg(F.avg(err)).first()[0]  # one number
+    feature = F.get(F.array(*[F.lit(x) for x in names]), F.col("pf")).alias("feature")
     return (mse_perm.withColumn("delta", F.col("mse") - F.lit(mse0))
-            .groupBy(F.col("pf").alias("feature"))
+            .groupBy(feature)
             .agg(F.avg("delta").alias("importance"), F.stddev_pop("delta").alias("importance_std"))
             .withColumn("model", F.lit(name)).withColumn("importance_type", F.lit(IMPORTANCE_TYPE[NN])))
 
