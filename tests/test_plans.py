@@ -9,7 +9,8 @@ from conftest import SF_SMALL
 
 FORBIDDEN = r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas"
 MODEL = {"train_logistic", "train_forest", "train_gbt", "train_mlp", "permutation_importance", "predictions",
-         "model_benchmark", "model_registry", "shapley_attribution", "score_batch", "stream_score", "eda_report",
+         "model_benchmark", "model_registry", "kernel_attribution", "permutation_attribution", "tree_attribution", "linear_model_attribution",
+         "shapley_attribution", "score_batch", "stream_score", "eda_report",
          "prep_metadata", "prepared_outputs", "shap_summary", "shap_importance_table", "score_json_lines"}
 
 
