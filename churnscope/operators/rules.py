@@ -24,10 +24,11 @@ def _nonnull_array(items) -> Column:
 
 # ---- P13 / P14 / P15: validation --------------------------------------------------------------
 
-def validate_records(raw: DataFrame, spec: RoleSpec, fields=None) -> DataFrame:
+def validate_records(raw: DataFrame, spec: RoleSpec, fields=None, extra=()) -> DataFrame:
     """Check text records: every field present and non-blank, age a whole number in
     18..100, services in 1..6, the flyer field one of its three values. All errors are
-    listed in check order; ``first_error`` is what a one-error check would report."""
+    listed in check order; ``first_error`` is what a one-error check would report.
+    Columns named in ``extra`` are kept."""
     by_ref = {spec.analog.get(c, c): c for c in spec.features}
     fields = list(fields or [by_ref.get(r, r) for r in TX.REQUIRED_FIELDS])
     # a missing column is a contract error before any job runs; a missing value is a
@@ -53,7 +54,7 @@ def validate_records(raw: DataFrame, spec: RoleSpec, fields=None) -> DataFrame:
                        F.lit(f"{ffl_c} must be Yes, No, or No Record")))
     arr = _nonnull_array(errs)
     return raw.select(
-        spec.key, *fields,
+        spec.key, *fields, *extra,
         age_i.alias(f"{age_c}_int"), svc_i.alias(f"{svc_c}_int"),
         (F.size(arr) == 0).alias("is_valid"), F.size(arr).alias("n_errors"),
         F.get(arr, 0).alias("first_error"), F.array_join(arr, "; ").alias("errors"))

@@ -41,14 +41,15 @@ def typed_records(checked: DataFrame, spec) -> DataFrame:
 
 
 def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accuracy: float | None = None,
-                  background: list | None = None, materialize: bool = True) -> DataFrame:
+                  background: list | None = None, materialize: bool = True, keep=None) -> DataFrame:
     """One output row per input record; invalid records carry their errors and no score.
 
     The checked records and the attributions (2^F model evaluations per record, the
     expensive step) each feed several branches of the output (scores, factor lists,
     totals, recommendations, response); with ``materialize`` both are written once to
     the checkpoint folder, partitioned by the record's id, so nothing is recomputed and
-    the joins on the key find both sides already partitioned by it."""
+    the joins on the key find both sides already partitioned by it. ``keep(frame, name)`` writes them
+    elsewhere instead, where the caller can drop them."""
     outer = bench.spec.key
     if background is None:
         background = background_rows(bench)
@@ -59,15 +60,15 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
     spec, key = bench.spec, RECORD
     spark = raw.sparkSession
     checked = validate_records(raw, spec).repartition(key)
-    if materialize:
+    if keep is None:
         ensure_checkpoint_dir(spark)
-        checked = checked.checkpoint(eager=True)
+        keep = (lambda df, _name: df.checkpoint(eager=True)) if materialize else (lambda df, _name: df)
+    checked = keep(checked, "records")
     good = typed_records(checked, spec)
     feats = bench.prep.transform(good, keep=[key], flag_unknown=True)
     scored = positive_probability(bench.models[model_name], feats).select(key, F.col("probability_1").alias("score"))
     attr = shapley_attribution(bench, model_name, rows=feats, background=background)
-    if materialize:
-        attr = attr.checkpoint(eager=True)
+    attr = keep(attr, "attributions")
     meta = feature_metadata(spark, spec, bench.prep.categories)
     attr = record_contributions(attr, key)
     top = factor_lists(attr, meta, key).select(key, "factors")

@@ -98,7 +98,11 @@ def q_model_benchmark(spark, sf_dir):
 @register("model_registry", None, ("M16", "R13", "S5", "S9", "S10", "S11", "T3", "T5"))
 def q_model_registry(spark, sf_dir):
     """Per model: metrics, top-5 features and artifact path; the best model flagged.
-    Models are also saved with MLlib's writer under the checkpoint folder (S10, S11)."""
+    Models, preparation and the per-model results are published as one version under the checkpoint
+    folder (S10, S11): each model with MLlib's writer, and by model its metrics, report, importances
+    and test predictions; readers take the set by its manifest."""
+    from churnscope.operators.evaluate import classification_report
+    from churnscope.sources import artifacts, sinks
     metrics, bench = _metrics(spark, sf_dir)
     imp = None
     for n in bench.models:
@@ -106,21 +110,26 @@ def q_model_registry(spark, sf_dir):
                 else M.model_importance(spark, n, bench.models[n], bench.prep.feature_names))
         part = part.select("model", "feature", "importance", "importance_type")
         imp = part if imp is None else imp.unionByName(part)
+    imp = imp.checkpoint(eager=True)  # the top five and the published table read it
     top5 = (top_features(imp, 5, ["model"], order_col="importance")
             .groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top_rank", "feature"))),
                                                            lambda s: s.getField("feature")), ", ").alias("top_features")))
-    root = os.path.join(ensure_checkpoint_dir(spark), "models")
-    M.save_models(bench, root)
-    path = F.concat(F.lit(root + "/"), F.lower(F.regexp_replace("model", " ", "_")), F.lit("/model"))
     lb = leaderboard(metrics)
     # one row per model: a global window over it is bounded
     best_rank = F.min(F.when(F.col("f1") > 0, F.col("rank"))).over(Window.partitionBy())
-    out = (lb.join(top5, "model", "left").withColumn("model_path", path)
-           .withColumn("is_best", F.col("rank") == best_rank))
-    # the consolidated results next to the saved models, one JSON line per model
-    from churnscope.sources import sinks
-    sinks.write_table(out, root, "all_model_results", "json")
-    return out
+    out = lb.join(top5, "model", "left").withColumn("is_best", F.col("rank") == best_rank).checkpoint(eager=True)
+    file_name = F.lower(F.regexp_replace("model", " ", "_"))
+    pred = M.predictions(bench)
+
+    def write(folder):
+        M.save_models(bench, folder)
+        report = classification_report(pred, ["model"], "true_label", "predicted_label")
+        for name, t in {"metrics": out, "importance": imp, "predictions": pred, "report": report}.items():
+            t.withColumn("model_file", file_name).write.partitionBy("model_file").json(f"{folder}/results/{name}")
+        sinks.write_table(out, folder, "all_model_results", "json")
+
+    folder = artifacts.publish(spark, os.path.join(ensure_checkpoint_dir(spark), "models"), write)
+    return out.withColumn("model_path", F.concat(F.lit(folder + "/"), file_name, F.lit("/model")))
 
 
 def background(bench: M.Benchmark) -> list:

@@ -183,3 +183,34 @@ def test_records_of_one_customer_are_scored_one_by_one(spark, bench):
 def test_network_takes_one_or_several_hidden_layers(spark):
     assert list(M.build_estimator(M.NN, 8).getLayers()) == [8, 16, 2]
     assert list(M.build_estimator(M.NN, 8, mlp_hidden=(128, 64, 32)).getLayers()) == [8, 128, 64, 32, 2]
+
+
+def test_rejected_lines_come_back_byte_for_byte(spark, bench):
+    """Lines that aren't records, and records that break a rule, are kept as they came, with counts of the batch."""
+    import json
+
+    from churnscope.streaming.scorer import MALFORMED, read_metrics
+    good = [r.value for r in raw_records(spark, SF_SMALL).select(F.to_json(F.struct("*")).alias("value")).collect()]
+    spec = bench.spec
+    by_ref = {spec.analog.get(c, c): c for c in spec.features}
+    one = json.loads(good[0])
+    broken = ['{"customer_id": 7, "age": ', "not json  \té☃ ", '{"customer_id":"x"}', "[1, 2]", "null", "17"]
+    ruled = [json.dumps({**one, by_ref["Ages"]: "7"}) + "  ", "{}"]
+    n_bad = sum(not r.is_valid for r in score_records(raw_records(spark, SF_SMALL), bench, M.RF).select("is_valid").collect())
+    root = os.path.join(ensure_checkpoint_dir(spark), "test-quarantine", uuid.uuid4().hex)
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w", encoding="utf-8", newline="") as f:
+        f.write("\n".join(good + broken + ["", "   "] + ruled) + "\n")
+    start_scorer(spark, bench, M.RF, src, out, os.path.join(root, "ckpt"), 0.5).awaitTermination()
+    scored, rejected = read_output(spark, out)
+    rows = rejected.select("raw", "is_malformed", "errors").collect()
+    assert sorted(r.raw for r in rows if r.raw not in good) == sorted(broken + ruled)
+    assert {r.raw for r in rows if r.is_malformed} >= set(broken[:3])
+    assert all((MALFORMED in r.errors) == r.is_malformed and r.errors for r in rows)
+    assert not any(r.is_malformed for r in rows if r.raw in ruled)
+    m = read_metrics(spark, out).first()
+    assert m.n_lines == len(good) + len(broken) + len(ruled) and m.n_rejected == len(rows) == n_bad + len(broken) + len(ruled)
+    assert m.n_malformed == sum(r.is_malformed for r in rows)
+    assert scored.count() == len(good) - n_bad
+    assert not os.path.exists(os.path.join(out, "_work", "batch_id=0"))

@@ -47,3 +47,55 @@ def test_json_document_round_trip(spark, tmp_path):
     path = sinks.write_json_document(df, str(tmp_path / "doc"))
     r = sinks.read_json(spark, path).first()
     assert list(r.xs) == ["a", "b"] and r.n == 3
+
+
+def test_readers_take_published_sets_only(spark, tmp_path):
+    """A run that dies before its manifest leaves the set before it readable; a set with a changed file is refused."""
+    import pytest
+
+    from churnscope.sources import artifacts
+    root = str(tmp_path / "models")
+    with pytest.raises(FileNotFoundError):
+        artifacts.published(spark, root)
+
+    def write(n):
+        return lambda folder: (spark.range(n).write.parquet(f"{folder}/rows"),
+                               spark.range(1).write.json(f"{folder}/deep/er/one"))
+
+    first = artifacts.publish(spark, root, write(3), {"best": "a"})
+
+    def dies(folder):
+        spark.range(9).write.parquet(f"{folder}/rows")
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        artifacts.publish(spark, root, dies)
+    folder, manifest = artifacts.published(spark, root)
+    assert folder == first and manifest["best"] == "a"
+    assert spark.read.parquet(f"{folder}/rows").count() == 3
+    second = artifacts.publish(spark, root, write(5))
+    assert artifacts.published(spark, root)[0] == second != first
+    assert artifacts.published(spark, root, artifacts.versions(spark, root)[0])[0] == first
+    gone = next(f for f in manifest["files"] if f.startswith("rows/") and f.endswith(".parquet"))
+    with open(os.path.join(first, gone), "ab") as f:
+        f.write(b"x")
+    with pytest.raises(FileNotFoundError):
+        artifacts.published(spark, root, artifacts.versions(spark, root)[0])
+
+
+def test_model_registry_is_published(spark):
+    """Every model with its metrics, report, importances and predictions, under one manifest."""
+    import json
+
+    from churnscope.session import ensure_checkpoint_dir
+    from churnscope.sources import artifacts
+    rows = REG["model_registry"].run(spark, SF_SMALL).collect()
+    folder, manifest = artifacts.published(spark, os.path.join(ensure_checkpoint_dir(spark), "models"))
+    assert sum(r.is_best for r in rows) == 1
+    for r in rows:
+        name = r.model.lower().replace(" ", "_")
+        assert r.model_path == f"{folder}/{name}/model"
+        for table in ("metrics", "importance", "predictions", "report"):
+            assert any(f.startswith(f"results/{table}/model_file={name}/") for f in manifest["files"]), (table, json.dumps(name))
+    report = spark.read.json(f"{folder}/results/report")
+    assert report.count() == 5 * len(rows)
