@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from churnscope.operators import eda
+from churnscope.operators.correlate import correlation_blocks
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import bins_case, case_map, lit, long_sql, mode_sql, values_table
 from churnscope.sources.fixtures import churn_features, line_category_counts, line_value_histogram, sql_with
@@ -279,6 +280,11 @@ def q_correlation_matrix(spark, sf_dir):
     return eda.correlation_matrix(churn_features(spark, sf_dir), S)
 
 
+@register("correlation_blocks", sql_with([CF], _CORR), ("A21",))
+def q_correlation_blocks(spark, sf_dir):
+    return correlation_blocks(eda.encoded_columns(churn_features(spark, sf_dir), S), [n for n, _, _ in S.corr_columns])
+
+
 @register("corr_with_target", sql_with([CF], f"""
 WITH m AS ({_CORR.replace(chr(10), ' ')})
 SELECT var_a AS variable, r AS correlation FROM m WHERE var_b = 'churn'"""), ("A22", "P8", "T2"))

@@ -43,6 +43,28 @@ def q_histogram(spark, sf_dir):
     return plots.histogram(churn_features(spark, sf_dir), S, fixed=SERVICE_BINS)
 
 
+# far more bins than values: nearly all of them are empty
+_SPARSE = {"age": (0, 1000, 10_000), "services": (0, 1000, 10_000_000)}
+
+
+@register("sparse_histogram", sql_with([CF], f"""
+WITH {_H},
+lay(variable, lo, hi, n_bins) AS (VALUES {", ".join(f"('{v}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({n} AS BIGINT))" for v, (a, b, n) in _SPARSE.items())}),
+occ AS (SELECT h.variable, h.target, l.lo, l.hi, l.n_bins, CAST(SUM(h.n) AS BIGINT) AS c,
+               CAST(LEAST(FLOOR((h.value - l.lo) / (l.hi - l.lo) * l.n_bins), l.n_bins - 1) AS BIGINT) AS b
+        FROM h JOIN lay l ON h.variable = l.variable WHERE h.value >= l.lo AND h.value <= l.hi
+        GROUP BY h.variable, h.target, l.lo, l.hi, l.n_bins, b),
+gaps AS (SELECT *, COALESCE(LAG(b) OVER w, -1) AS prev, LEAD(b) OVER w IS NULL AS is_last FROM occ
+         WINDOW w AS (PARTITION BY variable, target ORDER BY b)),
+runs AS (SELECT variable, target, lo, hi, n_bins, b AS bin_ord, CAST(1 AS BIGINT) AS run_length, c AS count FROM gaps
+         UNION ALL SELECT variable, target, lo, hi, n_bins, prev + 1, b - prev - 1, 0 FROM gaps WHERE b - prev > 1
+         UNION ALL SELECT variable, target, lo, hi, n_bins, b + 1, n_bins - 1 - b, 0 FROM gaps WHERE is_last AND b < n_bins - 1)
+SELECT variable, bin_ord, run_length, ROUND(lo + bin_ord * ((hi - lo) / n_bins), 9) AS bin_lo,
+       ROUND(lo + (bin_ord + run_length) * ((hi - lo) / n_bins), 9) AS bin_hi, target, CAST(count AS BIGINT) AS count FROM runs"""), ("A37",))
+def q_sparse_histogram(spark, sf_dir):
+    return plots.sparse_histogram(churn_features(spark, sf_dir), S, fixed=_SPARSE)
+
+
 @register("density_curve", sql_with([CF], f"""
 WITH {_H},
 rng AS (SELECT variable, MIN(value) AS g_lo, MAX(value) AS g_hi FROM h GROUP BY variable),
@@ -64,6 +86,28 @@ def q_density_curve(spark, sf_dir):
     return plots.density_curve(churn_features(spark, sf_dir), S)
 
 
+@register("density_binned", sql_with([CF], f"""
+WITH {_H},
+rng AS (SELECT variable, MIN(value) AS g_lo, MAX(value) AS g_hi FROM long GROUP BY variable),
+bw AS (SELECT l.variable, l.target, COUNT(*) AS n_class, COALESCE(STDDEV_SAMP(l.value), 0.0) * POW(COUNT(*), -0.2) AS bandwidth,
+              ANY_VALUE(r.g_lo) AS g_lo, ANY_VALUE(r.g_hi) AS g_hi
+       FROM long l JOIN rng r ON l.variable = r.variable GROUP BY l.variable, l.target),
+pos AS (SELECT h.variable, h.target, h.n, (h.value - b.g_lo) / (b.bandwidth / {plots.FINE}) AS p
+        FROM h JOIN bw b ON h.variable = b.variable AND h.target = b.target WHERE b.bandwidth > 0),
+lat AS (SELECT variable, target, j, SUM(w) AS w
+        FROM (SELECT variable, target, FLOOR(p) AS j, n * (1.0 - (p - FLOOR(p))) AS w FROM pos
+              UNION ALL SELECT variable, target, FLOOR(p) + 1, n * (p - FLOOR(p)) FROM pos) GROUP BY variable, target, j),
+g AS (SELECT b.*, CAST(gi.grid_ord AS INTEGER) AS grid_ord, b.g_lo + gi.grid_ord * ((b.g_hi - b.g_lo) / 199.0) AS gx
+      FROM bw b, LATERAL (SELECT UNNEST(range(0, 200)) AS grid_ord) gi WHERE b.bandwidth > 0)
+SELECT g.variable, g.target, g.grid_ord, ROUND(g.gx, 9) AS grid_x,
+       ROUND(SUM(l.w * EXP(-0.5 * POW((g.gx - (g.g_lo + l.j * (g.bandwidth / {plots.FINE}))) / g.bandwidth, 2)))
+             / (g.n_class * g.bandwidth * SQRT(2 * PI())), 9) AS density
+FROM g JOIN lat l ON g.variable = l.variable AND g.target = l.target
+GROUP BY g.variable, g.target, g.grid_ord, g.gx, g.n_class, g.bandwidth"""), ("A38",))
+def q_density_binned(spark, sf_dir):
+    return plots.density_binned(churn_features(spark, sf_dir), S)
+
+
 @register("boxplot_stats", sql_with([CF], f"""
 WITH long AS ({long_sql(CF, S.numeric, ('target',))}),
 q AS (SELECT variable, target, ROUND(quantile_cont(value, 0.25), 9) AS q1, ROUND(quantile_cont(value, 0.5), 9) AS median,
