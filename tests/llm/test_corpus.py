@@ -107,6 +107,23 @@ def test_decontamination_equals_brute_force(spark, docs, none, block_rows):
     assert decontam.contamination(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_join_equals_by_broadcast(spark):
+    """A passage in a third of all rows, repeated and null ids, a very long text, names that clash with inner ones."""
+    hot = " ".join(f"h{i}" for i in range(20))
+    rows = [(i % 40 or None, f"a{i} b{i} " + (hot if i % 3 == 0 else "other words"), i, "x", "y") for i in range(300)]
+    rows += [(1, None, 0, "x", "y"), (1, "", 0, "x", "y"), (7, "w " * 300_000 + hot, 0, "x", "y"), (8, "w " * 12, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, doc string, n_hit string")
+    bench = spark.createDataFrame([(i, hot + f" t{i}") for i in range(30)] + [(99, "w " * 13), (100, "b5")], "item_id long, text string")
+    small, large = (decontam.contamination(docs, bench, block_rows=n) for n in (decontam.BLOCK_ROWS, 0))
+    assert sorted(small.columns) == sorted(large.columns) == sorted(["doc_id", "text", "row", "doc", "n_words", "n_hit", "items", "contaminated"])
+    key = lambda r: (str(r.doc_id), str(r.text), r.row, r.doc, r.n_words, r.n_hit, r["items"], r.contaminated)
+    got = sorted(map(key, large.collect()))
+    assert got == sorted(map(key, small.collect())) and sum(r[5] > 0 for r in got) == 102
+    assert decontam.contamination(docs.where("false"), bench, block_rows=0).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contamination(docs, none, block_rows=-1).where("n_hit > 0 OR contaminated").count() == 0
+
+
 def test_winnowing_finds_every_window_of_thirteen():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 5, 200).astype(np.uint64)  # many ties
