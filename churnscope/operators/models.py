@@ -38,6 +38,8 @@ MODEL_NAMES = (LR, RF, GB, NN)
 IMPORTANCE_TYPE = {LR: "absolute_coefficient", RF: "gini_importance", GB: "split_importance",
                    NN: "permutation_importance"}
 SEED = 42
+#: Sizes of the reference network's hidden layers
+WIDE_HIDDEN = (128, 64, 32)
 
 
 def artifact_name(name: str) -> str:

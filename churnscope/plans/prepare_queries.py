@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnscope.functions.stats import stable
-from churnscope.operators import prepare
+from churnscope.operators import prepare, wide
 from churnscope.operators.eda import unpivot_columns
 from churnscope.plans.registry import register
 from churnscope.plans.sqltext import long_sql
-from churnscope.sources.fixtures import churn_features, sql_with
+from churnscope.sources.fixtures import CUTOFF, churn_features, sql_with
+from churnscope.sources.tables import read_table
 from churnscope.spec import CHURN_SPEC
 
 S = CHURN_SPEC
@@ -102,3 +103,48 @@ FROM cats GROUP BY variable"""), ("A23", "M4", "F5", "F7"))
 def q_category_info(spark, sf_dir):
     _, prep = fitted(spark, sf_dir)
     return prep.category_info(spark)
+
+
+# ---- columns with any number of values: orders by customer, priority and status ------------------
+
+_WIDE = ("customer", "priority", "status")
+
+
+def _orders(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("customer"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+
+
+def _order_values(spark, sf_dir):
+    """The dictionary is fitted on the orders before the cut-off; later ones have customers that it doesn't know."""
+    df = _orders(spark, sf_dir)
+    return df, wide.fit_dictionary(df.where(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz")), _WIDE)
+
+
+_DICTIONARY = f"""WITH cells AS (
+SELECT o_orderkey, o_orderdate, 0 AS var_ord, 'customer' AS variable, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL
+SELECT o_orderkey, o_orderdate, 1, 'priority', o_orderpriority FROM orders UNION ALL
+SELECT o_orderkey, o_orderdate, 2, 'status', o_orderstatus FROM orders),
+seen AS (SELECT DISTINCT var_ord, variable, value FROM cells WHERE o_orderdate < TIMESTAMP '{CUTOFF}' AND value IS NOT NULL),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY var_ord ORDER BY value) - 1 AS idx FROM seen),
+sizes AS (SELECT var_ord, COUNT(*) - 1 AS n FROM ranked GROUP BY var_ord),
+firsts AS (SELECT var_ord, COALESCE(SUM(n) OVER (ORDER BY var_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM sizes),
+dict AS (SELECT r.*, CASE WHEN idx > 0 THEN CAST(first + idx - 1 AS BIGINT) END AS slot FROM ranked r JOIN firsts f ON r.var_ord = f.var_ord)
+"""
+
+
+@register("value_dictionary", _DICTIONARY + """SELECT variable, value, CAST(idx AS BIGINT) AS idx, slot,
+CASE WHEN slot IS NOT NULL THEN variable || '_' || value END AS feature FROM dict""", ("A23", "M4"))
+def q_value_dictionary(spark, sf_dir):
+    return _order_values(spark, sf_dir)[1].table()
+
+
+@register("sparse_one_hot", _DICTIONARY + """SELECT c.o_orderkey, COUNT(d.slot) AS n_slots,
+COALESCE(string_agg(CAST(d.slot AS VARCHAR), ',' ORDER BY d.slot), '') AS slots
+FROM cells c LEFT JOIN dict d ON c.var_ord = d.var_ord AND c.value = d.value GROUP BY c.o_orderkey""", ("M2", "M3"))
+def q_sparse_one_hot(spark, sf_dir):
+    df, d = _order_values(spark, sf_dir)
+    out = wide.sparse_features(df.select("o_orderkey", *_WIDE), d)
+    return out.select("o_orderkey", F.size("indices").cast("long").alias("n_slots"),
+                      F.array_join(F.col("indices").cast("array<string>"), ",").alias("slots"))
