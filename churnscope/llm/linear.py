@@ -27,6 +27,8 @@ DIM = 1 << BITS
 #: rows of the labelled sample that fitting reads at most
 SAMPLE_ROWS = 20_000
 PARTS = 8
+#: z-score from which a feature gets a weight by default: the universal threshold, which the largest of DIM chance scores hardly reaches
+SCREEN = float(np.sqrt(2 * np.log(DIM)))
 
 _PUNCT = (X._b > 32) & (X._b < 127) & ~X.ALNUM_WORD
 _UPPER = (X._b >= 65) & (X._b <= 90)
@@ -119,9 +121,8 @@ def _gradient(w, t, y, z):
     return -(d[i, y] - d[i, y + 1]) / p, by_t
 
 
-def _associated(data: DataFrame, total: int, mean: float, var: float) -> np.ndarray:
-    """The features that go with the grade: the z-score of their rows' mean grade is beyond the universal
-    threshold sqrt(2 ln DIM), which the largest of DIM chance scores hardly reaches."""
+def _associated(data: DataFrame, total: int, mean: float, var: float, screen: float, always: np.ndarray) -> np.ndarray:
+    """The features whose rows' mean grade has a z-score beyond ``screen``, and those of ``always``."""
 
     def sums(batches):
         n, y = np.zeros(DIM), np.zeros(DIM)
@@ -136,14 +137,16 @@ def _associated(data: DataFrame, total: int, mean: float, var: float) -> np.ndar
         n += np.frombuffer(bytes(r.n), np.float32)
         y += np.frombuffer(bytes(r.y), np.float32)
     z2 = (y - n * mean) ** 2 / np.maximum(n * var * (1 - n / (total + 1)), 1e-9)
-    return np.flatnonzero((n > 0) & (z2 > 2 * np.log(DIM))).astype(np.int32)
+    keep = (n > 0) & (z2 > screen ** 2)
+    keep[always] = True
+    return np.flatnonzero(keep).astype(np.int32)
 
 
 def fit(sample: DataFrame, grades: int, steps: int = 40, rate: float = 0.2, l2: float = 1e-4, pair: float = 0.0,
-        centre: bool = False) -> Model:
+        centre: bool = False, screen: float = SCREEN, always=()) -> Model:
     """Fit on (features, grade[, swapped]) rows; ``pair`` weighs the squared score change between features
-    and swapped. Only features that go with the grade get a weight (see ``_associated``); the optimiser's
-    vectors hold those alone. ``centre`` (two grades): the threshold is moved to where the sample has the
+    and swapped. Only features whose z-score with the grade is beyond ``screen`` get a weight (0: every one that is seen
+    with a score), and those of ``always`` (feature numbers) whatever theirs; the optimiser's vectors hold these alone. ``centre`` (two grades): the threshold is moved to where the sample has the
     fewest errors, so that 0.5 is the best cut. A sample without rows gives a model that scores every text 0.5 at the
     first threshold; a grade that is missing from the sample gets a threshold next to its neighbour's."""
     data = written(sample if "swapped" in sample.columns else sample.withColumn("swapped", F.lit(None).cast("array<int>")), "features")
@@ -155,7 +158,8 @@ def fit(sample: DataFrame, grades: int, steps: int = 40, rate: float = 0.2, l2:
     if not total:
         return Model(np.zeros(DIM), t)
     mean = sum(g * n for g, n in counts.items()) / total
-    keep = _associated(data, total, mean, max(sum(n * (g - mean) ** 2 for g, n in counts.items()) / total, 1e-9))
+    keep = _associated(data, total, mean, max(sum(n * (g - mean) ** 2 for g, n in counts.items()) / total, 1e-9),
+                       screen, np.asarray(always, np.int64))
     dim = len(keep)
 
     def narrowed(batches):
@@ -210,17 +214,23 @@ def fit(sample: DataFrame, grades: int, steps: int = 40, rate: float = 0.2, l2:
     whole = np.zeros(DIM)
     whole[keep] = w
     th = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-    return Model(whole, _best_cut(rows, w) if centre and k == 1 else th)
+    return Model(whole, _best_cut(rows, w, pair > 0) if centre and k == 1 else th)
 
 
-def _best_cut(rows: DataFrame, w: np.ndarray) -> np.ndarray:
-    """The margin with the fewest errors on the sample (at most one number a row comes to the driver)."""
+def _best_cut(rows: DataFrame, w: np.ndarray, swapped: bool) -> np.ndarray:
+    """The margin with the fewest errors on the sample and, with ``swapped``, on its counterfactuals, which have their texts'
+    grades: a cut between what is left of a term's and its swap's scores is no good one (at most two numbers a row come to
+    the driver)."""
     shared = rows.sparkSession.sparkContext.broadcast(w)
 
     def margins(batches):
         for b in batches:
             idx, o = _offsets(b.column("features"))
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(_margins(shared.value, idx, o))], names=["grade", "z"])
+            if swapped:
+                idx, o = _offsets(b.column("swapped"))
+                other = pa.RecordBatch.from_arrays([b.column("grade"), pa.array(_margins(shared.value, idx, o))], names=["grade", "z"])
+                yield other.filter(b.column("paired"))
 
     x = rows.mapInArrow(margins, "grade int, z double").groupBy("z").agg(
         F.sum("grade").alias("one"), F.count(F.lit(1)).alias("n")).orderBy("z").toPandas()

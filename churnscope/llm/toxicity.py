@@ -3,7 +3,8 @@
 Logistic regression on hashed words of labelled documents. For each labelled text that names an
 identity group a counterfactual text is made by swapping every identity term for the next one of
 its family; the squared difference between the two scores is penalised, so that the score can't
-lean on which group is named and neutral mentions of a group aren't raised.
+lean on which group is named and neutral mentions of a group aren't raised. Identity terms always have a weight, so that
+the penalty acts on them; of the other words those that pass ``screen`` (see ``linear.fit``) have one.
 
 Labels come from at most ``rows`` labelled ids (documented bound of the fit); scoring covers every
 whole text.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +55,19 @@ def _swapped(text: Column) -> Column:
     return F.arrow_udf(lambda a: pa.array([swap_identities(t) for t in a.to_pylist()], pa.string()), T.StringType())(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = linear.SAMPLE_ROWS, pair: float = 1.0) -> linear.Model:
+def identity_features() -> np.ndarray:
+    """The feature numbers of all identity terms."""
+    return np.unique(np.concatenate([f for *_, f in linear.feature_sets(pa.array(sorted(_NEXT)))]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = linear.SAMPLE_ROWS, pair: float = 1.0,
+        screen: float = linear.SCREEN) -> linear.Model:
     """Fit on labelled documents (``learn``: condition on the labels' doc_id)."""
     s = linear.labelled_sample(docs, labels, F.col(label).cast("int"), learn, rows)
     s = s.withColumn("_cf", _swapped(F.col("text"))).select(
         "grade", linear.features(F.col("text")).alias("features"),
         F.when(F.col("_cf").isNotNull(), linear.features(F.col("_cf"))).alias("swapped"))
-    return linear.fit(s, 2, pair=pair, centre=True)
+    return linear.fit(s, 2, pair=pair, centre=True, screen=screen, always=identity_features())
 
 
 def score(docs: DataFrame, model: linear.Model) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,30 @@ def test_toxicity_and_quality_learn_and_handle_edges(spark, none):
     assert toxicity.swap_identities("The MUSLIM woman") == "The jewish man" and toxicity.swap_identities("nothing") is None
 
 
+def test_identity_penalty_lowers_false_alarms(spark):
+    """One group is named in most toxic texts, another in most clean ones: what is named must not decide."""
+    rng = random.Random(8)
+    def prose():
+        return " ".join(rng.choice("abcdefghij") * 2 for _ in range(20))
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 2
+        named = rng.choices(["the muslim", "the christian", ""], [70, 5, 25] if toxic else [10, 80, 10])[0]
+        rows.append((i, f"{prose()} {named} {'idiot' if toxic and rng.random() < 0.5 else ''}", "en", "s", None))
+        labels.append((i, toxic))
+    d, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, prose() + " the muslim", "en", "s", None) for i in range(100)], SCHEMA)
+    insult = spark.createDataFrame([(i, prose() + " idiot", "en", "s", None) for i in range(100)], SCHEMA)
+    free, held = (toxicity.fit(d, lab, F.lit(True), pair=p) for p in (0.0, 5.0))
+    caught = {m: [toxicity.score(x, m).where("predicted = 1").count() for x in (neutral, insult)] for m in (free, held)}
+    assert caught[free][0] >= 90 and caught[held][0] <= 5 and caught[held][1] >= 95
+    # the terms have weights even where nothing else passes the screen, and the production weight of the penalty draws them together
+    f = [int(next(linear.feature_sets(pa.array([t])))[3][0]) for t in ("muslim", "christian")]
+    gap = {p: abs(float(np.diff(toxicity.fit(d, lab, F.lit(True), pair=p, screen=1e9).w[f])[0])) for p in (0.0, 1.0)}
+    assert 0 < gap[1.0] < gap[0.0] / 2
+    assert set(np.flatnonzero(toxicity.fit(d, lab, F.lit(True), screen=1e9).w)) <= set(toxicity.identity_features())
+
+
 def test_feature_sets_are_distinct_and_whole():
     import pyarrow as pa
     got = {lo + i: sorted(f[r == i]) for lo, n, r, f in linear.feature_sets(pa.array(["a b a", None, "b a"])) for i in range(n)}
