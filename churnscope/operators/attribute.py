@@ -14,7 +14,9 @@ expected value is the mean prediction over the background, v({}).
 * ``exact_attribution``: all 2^F coalitions, for up to 16 features; the others are held against it.
 
 Records are partitioned by key once; coalition rows are made by generators (no join) and added up by key in the same
-partition. The background (at most ``BACKGROUND`` rows) and the drawn coalitions are bounded by parameters and travel as
+partition, in one aggregate that holds one row a record. Of a model whose inputs meet in one affine layer (logistic
+regression, perceptron), the coalitions of a batch of records are values of that layer, added up and put through the rest
+of the model as arrays (``affine_probability``); they never become rows. The background (at most ``BACKGROUND`` rows) and the drawn coalitions are bounded by parameters and travel as
 one scalar subquery; a fitted forest travels as one broadcast, as it does in MLlib's own prediction.
 
 Defined results: an empty set of records gives no rows; records are told apart by their key, which must be unique (as in the
@@ -31,6 +33,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,12 @@ from pyspark.sql import functions as F
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 
 BACKGROUND = 50
+#: array cells that a task works on at a time
+CELLS = 1 << 18
+#: records of a task of ``tree_attribution`` and of one pass over the leaves
+TREE_ROWS = 8192
+#: a leaf's values are tabulated for all patterns of up to so many features on its path
+PATTERN_BITS = 10
 #: decimals kept of a value, so that it doesn't depend on the order of summation
 DIGITS = 12
 
@@ -80,30 +89,112 @@ def expected_value(df: DataFrame, model: Model, background: list, score: Score =
     return score(model, b.select(array_to_vector("x").alias("features"))).agg(F.avg("f").alias("expected_value"))
 
 
-def _mixed(z: Column, x: Column, b: Column) -> Column:
+def _mixed(z: Column, x: Column, b: Column, nf: int) -> Column:
     """x where z is 1, b elsewhere, as a vector."""
-    return array_to_vector(F.transform(x, lambda v, j: F.when(F.get(z, j) == 1, v).otherwise(F.get(b, j))))
+    return array_to_vector(F.array(*[F.when(F.get(z, F.lit(j)) == 1, F.get(x, F.lit(j))).otherwise(F.get(b, F.lit(j))) for j in range(nf)]))
 
 
 def _named(df: DataFrame, names: list) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), F.col("feature_ord"))
 
 
+# ---- models that begin with an affine layer -----------------------------------------------------------------------------
+
+def affine_probability(model: Model) -> tuple | None:
+    """(weights, offset, rest) of a binary model: P(class 1) of the features x is rest(x @ weights + offset). None for
+    other kinds of models."""
+    def sigmoid(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):  # exp(-h) = inf is a probability of 0
+            return 1 / (1 + np.exp(-h))
+
+    if type(model) is LogisticRegressionModel and model.numClasses == 2:
+        return model.coefficients.toArray()[:, None], np.array([model.intercept]), lambda h: sigmoid(h[..., 0])
+    if type(model) is not MultilayerPerceptronClassificationModel or model.numClasses != 2:
+        return None
+    sizes, flat, at, layers = list(model.getLayers()), model.weights.toArray(), 0, []
+    for n_in, n_out in zip(sizes, sizes[1:]):
+        end = at + n_in * n_out
+        layers.append((flat[at:end].reshape(n_in, n_out), flat[end:end + n_out]))
+        at = end + n_out
+    (first, offset), later = layers[0], layers[1:]
+
+    def rest(h: np.ndarray) -> np.ndarray:
+        for w, b in later:
+            h = sigmoid(h) @ w + b
+        return sigmoid(h[..., 1] - h[..., 0])  # softmax of two
+
+    return first, offset, rest
+
+
+def _chunks(n: int, cells: int):
+    """Slices of n records, of which each takes ``cells`` array cells in one step."""
+    size = max(1, CELLS // max(cells, 1))
+    return (slice(i, i + size) for i in range(0, n, size))
+
+
+def _record_batch(batch: pa.RecordBatch, kept: int, values: np.ndarray, names: list) -> pa.RecordBatch:
+    """The batch's first ``kept`` columns and each record's array of values."""
+    n, nf = values.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * nf, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+    return pa.RecordBatch.from_arrays([batch.column(i) for i in range(kept)] + [lists], names=names)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of arrays of ``width`` numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 # ---- coalitions: exact and kernel -------------------------------------------------------------------------------------
 
 def _coalition_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, masks: np.ndarray, weights: np.ndarray,
                            score: Score) -> DataFrame:
     """phi_j = sum over coalitions s of weights[j, s] * v(s); the first mask is the empty coalition."""
     x = vectors(rows, key, names)
-    zs = _constant(x, masks.astype(int).tolist(), "array<array<int>>")
-    ws = _constant(x, weights.T.tolist(), "array<array<double>>")
-    bs = _constant(x, background, "array<array<double>>")
-    made = x.select(key, "x", F.posexplode(zs).alias("s", "z")).select(key, "s", "x", "z", F.explode(bs).alias("b"))
-    v = score(model, made.select(key, "s", _mixed(F.col("z"), F.col("x"), F.col("b")).alias("features"))).groupBy(key, "s").agg(F.avg("f").alias("v"))
-    base = F.sum(F.when(F.col("s") == 0, F.col("v"))).alias("expected_value")  # a record's own copy of the same number
-    parts = v.select(key, "s", "v", F.posexplode(F.get(ws, F.col("s"))).alias("feature_ord", "w"))
-    out = parts.groupBy(key, "feature_ord").agg(F.round(F.sum(F.col("w") * F.col("v")), DIGITS).alias("contribution"), base)
-    return out.select(key, _named(out, names).alias("feature"), "feature_ord", "contribution", F.round("expected_value", DIGITS).alias("expected_value"))
+    affine = affine_probability(model) if score is probability else None
+    if affine is not None:
+        phi = _affine_coalitions(x, affine, key, background, masks, weights)
+    else:
+        zs = _constant(x, masks.astype(int).tolist(), "array<array<int>>")
+        ws = _constant(x, weights.T.tolist(), "array<array<double>>")
+        bs = _constant(x, background, "array<array<double>>")
+        made = x.select(key, "x", F.posexplode(zs).alias("s", "z")).select(key, "s", "x", "z", F.explode(bs).alias("b"))
+        f = score(model, made.select(key, "s", _mixed(F.col("z"), F.col("x"), F.col("b"), len(names)).alias("features"))).select(key, "f", "s", F.get(ws, F.col("s")).alias("w"))
+        n = F.count_if(F.col("s") == 0)  # rows of a coalition: one for each background row
+        sums = [F.sum(F.get("w", F.lit(j)) * F.col("f")) / n for j in range(len(names))]
+        base = F.sum(F.when(F.col("s") == 0, F.col("f"))) / n  # a record's own copy of the same number
+        phi = f.groupBy(key).agg(F.array(*sums).alias("phi"), base.alias("expected_value"))
+    phi = phi.select(key, F.posexplode("phi").alias("feature_ord", "contribution"), "expected_value")
+    return phi.select(key, _named(phi, names).alias("feature"), "feature_ord", F.round("contribution", DIGITS).alias("contribution"),
+                      F.round("expected_value", DIGITS).alias("expected_value"))
+
+
+def _affine_coalitions(x: DataFrame, affine: tuple, key: str, background: list, masks: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """(key, phi, expected_value) of coalitions: the record's part of the first layer and the background's are added."""
+    w, offset, rest = affine
+    b, z = np.array(background, float), np.array(masks, float)
+    nf = z.shape[1]
+    others = [(b * (1 - on)) @ w + offset for on in z]
+    expected = float(rest(others[0]).mean())
+
+    def values(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = _matrix(batch.column(1), nf)
+            phi = np.zeros(own.shape)
+            for part in _chunks(len(own), len(b) * w.shape[1]):
+                for on, other, c in zip(z, others, weights.T):
+                    v = rest(((own[part] * on) @ w)[:, None, :] + other[None]).mean(axis=1)
+                    phi[part] += v[:, None] * c[None]
+            yield _record_batch(batch, 1, phi, [key, "phi"])
+
+    out = x.mapInArrow(values, f"`{key}` {x.schema[key].dataType.simpleString()}, phi array<double>")
+    return by_key(out, [key], "phi", nf, F.avg).withColumn("expected_value", F.lit(expected))
+
+
+def by_key(df: DataFrame, keys: list, col: str, n: int, agg) -> DataFrame:
+    """``agg`` of the arrays (of ``n`` values) of each key, place by place: as all rows of a key count as one record."""
+    return df.groupBy(*keys).agg(F.array(*[agg(F.get(col, F.lit(i))) for i in range(n)]).alias(col))
 
 
 def _all_masks(nf: int) -> np.ndarray:
@@ -176,6 +267,9 @@ def linear_attribution(rows: DataFrame, model: Model, key: str, names: list, bac
 
 def _rounds(x: DataFrame, model: Model, key: str, nf: int, background: list, first: int, count: int, seed: int, score: Score) -> DataFrame:
     """(key, round, feature_ord, phi): each round walks a random order and its reverse for every background row."""
+    affine = affine_probability(model) if score is probability else None
+    if affine is not None:
+        return _affine_rounds(x, affine, key, nf, background, first, count, seed)
     bs = _constant(x, background, "array<array<double>>")
     rounds = x.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)))).select("*", F.posexplode(bs).alias("i", "b"))
     draw = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: F.struct(F.xxhash64(F.lit(seed), F.col(key), "round", "i", j).alias("h"), j.alias("j")))
@@ -183,13 +277,50 @@ def _rounds(x: DataFrame, model: Model, key: str, nf: int, background: list, fir
     both = rounds.withColumn("order", order).withColumn("order", F.explode(F.array("order", F.reverse("order"))))
     steps = both.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf))))  # the first t features of the order are the record's
     z = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: (F.array_position("order", j) <= F.col("t")).cast("int"))
-    rows = steps.withColumn("features", _mixed(z, F.col("x"), F.col("b"))).select(key, "round", "t", "order", "features")
+    rows = steps.withColumn("features", _mixed(z, F.col("x"), F.col("b"), nf)).select(key, "round", "t", "order", "features")
     # step t is the end of one feature's move and the start of the next one's
     moves = F.array(F.struct(F.get("order", F.col("t") - 1).alias("feature_ord"), F.col("f").alias("d")), F.struct(F.get("order", F.col("t")).alias("feature_ord"), (-F.col("f")).alias("d")))
     terms = score(model, rows).select(key, "round", F.inline(F.filter(moves, lambda m: m["feature_ord"].isNotNull())))
     return terms.groupBy(key, "round", "feature_ord").agg((F.sum("d") / (2 * len(background))).alias("phi"))
 
 
+def _affine_rounds(x: DataFrame, affine: tuple, key: str, nf: int, background: list, first: int, count: int, seed: int) -> DataFrame:
+    """The rounds of a model that begins with an affine layer: a feature's move changes that layer by its difference."""
+    w, offset, rest = affine
+    b = np.array(background, float)
+    nb = len(b)
+    rounds = x.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
+    draw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: F.xxhash64(F.lit(seed), F.col(key), "round", i, j))))
+
+    def values(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, draws = _matrix(batch.column(2), nf), _matrix(batch.column(3), nb * nf)
+            phi = np.zeros(own.shape)
+            for part in _chunks(len(own), nb * max(nf, w.shape[1])):
+                order = np.argsort(draws[part].reshape(-1, nb, nf), axis=2, kind="stable")
+                gap = own[part][:, None, :] - b[None]
+                at = np.arange(len(order))
+                for way in (order, order[:, :, ::-1]):
+                    h = np.broadcast_to(b @ w + offset, (len(order), nb, w.shape[1])).copy()
+                    f = rest(h)
+                    for t in range(nf):
+                        j = way[:, :, t]
+                        h += np.take_along_axis(gap, j[:, :, None], axis=2) * w[j]
+                        after = rest(h)
+                        for i in range(nb):
+                            phi[part][at, j[:, i]] += (after - f)[:, i]
+                        f = after
+            yield _record_batch(batch, 2, phi / (2 * nb), [key, "round", "phi"])
+
+    out = rounds.select(key, "round", "x", draw.alias("draw")).mapInArrow(
+        values, f"`{key}` {x.schema[key].dataType.simpleString()}, round int, phi array<double>")
+    out = out.repartition(shuffle_partitions(x.sparkSession), key)  # what follows is grouped by the key and more
+    return by_key(out, [key, "round"], "phi", nf, F.sum).select(key, "round", F.posexplode("phi").alias("feature_ord", "phi"))
+
+
 def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, error: float = 0.01, batch: int = 4, most: int = 64,
                             seed: int = 42, score: Score = probability) -> DataFrame:
     """(key, feature, feature_ord, contribution, std_error, rounds, expected_value). Rounds are made ``batch`` at a time for the
@@ -226,12 +357,25 @@ class Leaf:
     def __init__(self, value: float, low: dict, high: dict):
         self.value = value
         self.features = sorted(low.keys() | high.keys())
-        self.low = np.array([low.get(j, -np.inf) for j in self.features])
-        self.high = np.array([high.get(j, np.inf) for j in self.features])
+        self.low = [low.get(j, -np.inf) for j in self.features]
+        self.high = [high.get(j, np.inf) for j in self.features]
+
+    def pattern(self, x: np.ndarray) -> np.ndarray:
+        """Which of the path's features each record meets, as bits of a number. ``x`` holds a feature a row."""
+        out = np.zeros(x.shape[1], np.int64)
+        for i, (j, low, high) in enumerate(zip(self.features, self.low, self.high)):
+            if low == -np.inf:
+                met = x[j] <= high
+            elif high == np.inf:
+                met = x[j] > low
+            else:
+                met = (x[j] > low) & (x[j] <= high)
+            out += met.astype(np.int64) << i
+        return out
 
-    def within(self, x: np.ndarray) -> np.ndarray:
-        v = x[:, self.features]
-        return (v > self.low) & (v <= self.high)
+
+def _bits(patterns: np.ndarray, k: int) -> np.ndarray:
+    return ((patterns[:, None] >> np.arange(k)) & 1).astype(float)
 
 
 def node_table(model: Model) -> DataFrame:
@@ -268,13 +412,11 @@ def leaves(model: Model, boosted: bool) -> list[Leaf]:
     return out
 
 
-def _leaf_values(x: np.ndarray, leaf: Leaf, patterns: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The leaf's Shapley values for the records ``x``. Of the path's features, u are met by the record alone and v by the
-    background row alone: the leaf is reached by coalitions that hold all of the u and none of the v, so each of the u gets
-    (u - 1)! v! / (u + v)! and each of the v the negative of u! (v - 1)! / (u + v)!. ``patterns``: the different rows of
-    "the background meets the feature", ``share``: how much of the background has each."""
-    a = leaf.within(x).astype(float)
-    c = patterns.astype(float)
+def _leaf_values(a: np.ndarray, leaf: Leaf, c: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The leaf's Shapley values for records that meet its path's features as the rows of ``a`` say. Of these features, u are met
+    by the record alone and v by the background row alone: the leaf is reached by coalitions that hold all of the u and none
+    of the v, so each of the u gets (u - 1)! v! / (u + v)! and each of the v the negative of u! (v - 1)! / (u + v)!.
+    ``c``: the different rows of "the background meets the feature", ``share``: how much of the background has each."""
     alive = ((1 - a) @ (1 - c).T) == 0
     u, v = a @ (1 - c).T, (1 - a) @ c.T
     fact = np.cumprod(np.concatenate([[1.0], np.arange(1, len(leaf.features) + 1)]))
@@ -286,31 +428,51 @@ def _leaf_values(x: np.ndarray, leaf: Leaf, patterns: np.ndarray, share: np.ndar
     return a * (plus @ (1 - c)) - (1 - a) * (minus @ c)
 
 
+def _tree_values(x: np.ndarray, parts: list) -> np.ndarray:
+    """Shapley values of the records ``x`` (a feature a row) over all leaves. A record's values of a leaf depend only on which
+    of the path's features it meets, so they are worked out once a pattern and looked up."""
+    phi = np.zeros(x.shape)
+    for leaf, seen, share in parts:
+        k, at = len(leaf.features), leaf.pattern(x)
+        if k <= PATTERN_BITS:
+            patterns = np.arange(2 ** k)
+        else:
+            patterns, at = np.unique(at, return_inverse=True)
+        table = _leaf_values(_bits(patterns, k), leaf, _bits(seen, k), share)
+        for i, j in enumerate(leaf.features):
+            phi[j] += table[:, i][at]
+    return phi
+
+
 def tree_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, boosted: bool = False) -> DataFrame:
     """(key, feature, feature_ord, contribution, expected_value) of a forest's probability or a boosted model's margin."""
-    b = np.array(background, float)
+    out = tree_arrays(rows, model, key, names, background, boosted)
+    base = expected_value(rows, model, background, margin if boosted else probability).scalar()
+    out = out.select(key, F.posexplode("phi").alias("feature_ord", "contribution"))
+    return out.select(key, _named(out, names).alias("feature"), "feature_ord", F.round("contribution", DIGITS).alias("contribution"),
+                      F.round(base, DIGITS).alias("expected_value"))
+
+
+def tree_arrays(rows: DataFrame, model: Model, key: str, names: list, background: list, boosted: bool = False) -> DataFrame:
+    """(key, phi): the same, one array a record."""
+    b = np.array(background, float).T
     nf = len(names)
     parts = []
     for leaf in leaves(model, boosted):
-        seen, n = np.unique(leaf.within(b), axis=0, return_counts=True)
-        parts.append((leaf, seen, n / len(b)))
+        seen, n = np.unique(leaf.pattern(b), return_counts=True)
+        parts.append((leaf, seen, n / b.shape[1]))
     shared = rows.sparkSession.sparkContext.broadcast(parts)  # bounded by the model's leaves and the background
-    base = expected_value(rows, model, background, margin if boosted else probability).scalar()
     kind = rows.schema[key].dataType.simpleString()
 
     def values(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, nf)
-            phi = np.zeros(x.shape)
-            for leaf, seen, share in shared.value:
-                phi[:, leaf.features] += _leaf_values(x, leaf, seen, share)
-            at = pa.array(np.repeat(np.arange(len(x)), nf))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.tile(np.arange(nf, dtype=np.int32), len(x))), pa.array(phi.ravel())],
-                                             names=[key, "feature_ord", "contribution"])
+            x = np.ascontiguousarray(_matrix(batch.column(1), nf).T)
+            phi = np.concatenate([_tree_values(x[:, i:i + TREE_ROWS], shared.value) for i in range(0, x.shape[1], TREE_ROWS)], axis=1)
+            yield _record_batch(batch, 1, phi.T, [key, "phi"])
 
     x = rows.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"))
-    out = x.mapInArrow(values, f"`{key}` {kind}, feature_ord int, contribution double")
-    return out.select(key, _named(out, names).alias("feature"), "feature_ord", F.round("contribution", DIGITS).alias("contribution"),
-                      F.round(base, DIGITS).alias("expected_value"))
+    # every task passes over all leaves: few, full tasks, but no fewer than the records need
+    x = x.repartition(max(1, -(-rows.count() // TREE_ROWS)), key)
+    return x.mapInArrow(values, f"`{key}` {kind}, phi array<double>")

@@ -120,3 +120,46 @@ def test_no_records_and_no_background(spark, data):
         assert got.count() == 0
     with pytest.raises(ValueError):
         A.sample_background(none, "id", NAMES)
+
+
+def test_network_is_explained_without_coalition_rows(spark, data):
+    """The array form of a network and of a linear model is MLlib's probability, and its values are those of enumeration."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    df, x, models = data
+    net = MultilayerPerceptronClassifier(layers=[8, 5, 3, 2], maxIter=15, seed=3).fit(df)
+    rows, bg = df.where("id < 4"), A.sample_background(df, "id", NAMES, 5)
+    for model in (net, models["lr"]):
+        w, offset, rest = A.affine_probability(model)
+        f = [r.f for r in A.probability(model, df).orderBy("id").select("f").collect()]
+        assert np.abs(rest(x @ w + offset) - f).max() < 1e-12
+    want, base = enumerated(spark, net, x[:4], bg, A.probability)
+    for got in (A.exact_attribution(rows, net, "id", NAMES, bg), A.kernel_attribution(rows, net, "id", NAMES, bg, samples=300)):
+        assert np.abs(values(got, 4) - want).max() < 1e-9
+        assert got.first().expected_value == pytest.approx(base, abs=1e-9)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1  # the long form alone
+
+
+def test_random_orders_are_the_same_as_rows_and_as_arrays(spark, data, monkeypatch):
+    df, _, models = data
+    rows, bg = df.where("id < 6"), A.sample_background(df, "id", NAMES, 4)
+    args = (rows.union(rows.where("id = 1")), models["lr"], "id", NAMES, bg)  # a key twice
+    cols = ("id", "feature_ord", "contribution", "std_error", "rounds")
+    kinds = (lambda: A.permutation_attribution(*args, batch=2, most=4), lambda: A.kernel_attribution(*args).selectExpr("id", "feature_ord", "contribution", "0D AS std_error", "0 AS rounds"))
+    for made in kinds:
+        arrays = sorted(tuple(r) for r in made().select(*cols).collect())
+        with monkeypatch.context() as m:
+            m.setattr(A, "affine_probability", lambda model: None)
+            plain = sorted(tuple(r) for r in made().select(*cols).collect())
+        assert len(arrays) == len(plain) == 6 * 8
+        assert np.abs(np.array(arrays) - np.array(plain)).max() < 1e-9
+
+
+def test_tree_records_of_one_partition_are_spread_over_tasks(spark, data, monkeypatch):
+    df, _, models = data
+    rows, bg = df.where("id < 200").coalesce(1), A.sample_background(df, "id", NAMES, 5)
+    whole = values(A.tree_attribution(rows, models["rf"], "id", NAMES, bg), 200)
+    monkeypatch.setattr(A, "TREE_ROWS", 30)
+    monkeypatch.setattr(A, "PATTERN_BITS", 2)  # longer paths by the patterns that occur
+    got = A.tree_attribution(rows, models["rf"], "id", NAMES, bg)
+    assert got.rdd.getNumPartitions() == 7
+    assert np.abs(values(got, 200) - whole).max() < 1e-12
