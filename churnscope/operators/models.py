@@ -38,6 +38,9 @@ MODEL_NAMES = (LR, RF, GB, NN)
 IMPORTANCE_TYPE = {LR: "absolute_coefficient", RF: "gini_importance", GB: "split_importance",
                    NN: "permutation_importance"}
 SEED = 42
+
+#: rows of a partition of the prepared frame at most, on average: a frame of more rows is spread by its key before training
+ROWS_PER_PARTITION = 32768
 #: Sizes of the reference network's hidden layers
 WIDE_HIDDEN = (128, 64, 32)
 
@@ -113,7 +116,16 @@ def prepare_frame(split_df: DataFrame, spec: RoleSpec, prep: Preparation | None
     weights = class_weights(split_df.where(F.col("split") == "train"), spec)  # one row per class
     rows = with_class_weight(split_df, spec, weights)
     data = prep.transform(rows, keep=[spec.key, F.col(spec.target).cast("double").alias("label"), "weight", "split"])
-    return prep, data.checkpoint(eager=True)
+    return prep, spread(data, spec.key, split_df.count()).checkpoint(eager=True)
+
+
+def spread(data: DataFrame, key: str, n: int) -> DataFrame:
+    """``data`` of ``n`` rows in as many partitions as its rows ask for, in key order within each. The bytes that size a
+    partition elsewhere say little here: the rows are narrow, and every iteration of every estimator works through all of
+    them, so a frame of a few MB needs all cores. Bagging draws by partition and place, so it doesn't hinge on the cluster.
+    A frame that fits one partition stays as it lies."""
+    parts = -(-n // ROWS_PER_PARTITION)
+    return data if parts <= 1 else data.repartition(parts, key).sortWithinPartitions(key)
 
 
 def fit_models(bench: Benchmark, names=MODEL_NAMES, **kw) -> Benchmark:
