@@ -216,13 +216,17 @@ def top_factors(attr: DataFrame, meta: DataFrame, key: str = "customer_id", k: i
 
 def contrib_split(attr: DataFrame, key: str = "customer_id") -> DataFrame:
     """Sum of positive and of negative contributions per record (0 when none)."""
+    return record_contributions(attr, key).select(key, *[c.alias(n) for n, c in contribution_totals().items()])
+
+
+def contribution_totals() -> dict:
+    """The columns of ``contrib_split`` from the array ``contributions``."""
     def side(test):
         return F.filter(F.transform("contributions", lambda c: c["contribution"]), test)
 
     up, down = side(lambda c: c > 0), side(lambda c: c < 0)
-    return record_contributions(attr, key).select(
-        key, total(up).alias("total_positive"), total(down).alias("total_negative"),
-        F.size(up).cast("long").alias("n_increasing"), F.size(down).cast("long").alias("n_decreasing"))
+    return {"total_positive": total(up), "total_negative": total(down),
+            "n_increasing": F.size(up).cast("long"), "n_decreasing": F.size(down).cast("long")}
 
 
 def total(values: Column) -> Column:

@@ -10,18 +10,17 @@ of recomputing the whole lineage. All estimators are distributed MLlib algorithm
 
 from __future__ import annotations
 
-import math
 import os
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.operators import attribute
 from churnscope.operators.evaluate import evaluate_scores, predict_at
 from churnscope.operators.prepare import Preparation, class_weights, fit_preparation, with_class_weight
 from churnscope.operators.profile import fit_imputer, null_audit
@@ -227,10 +226,6 @@ def permutation_importance(bench: Benchmark, name: str, repeats: int = 10, seed:
 
 # ---- X2 / X3 / X4 / X12: Shapley attribution --------------------------------------------------------------
 
-def _shapley_weight(s: int, n: int) -> float:
-    return math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n)
-
-
 def background_rows(bench: Benchmark, k: int = 1, seed: int = SEED) -> list:
     """Background for the attribution: k = 1 is the training mean (one aggregate row);
     k > 1 takes k training rows in a seeded hash order (a bounded sample)."""
@@ -246,40 +241,26 @@ def background_rows(bench: Benchmark, k: int = 1, seed: int = SEED) -> list:
 
 def shapley_attribution(bench: Benchmark, name: str, rows: DataFrame | None = None,
                         background: list | None = None) -> DataFrame:
-    """Exact Shapley values of P(class 1) for every explained row, all 2^F coalitions.
+    """Exact Shapley values of P(class 1) for every explained row: the value that all 2^F coalitions give.
 
-    v(S) = mean over background rows b of f(x_S, b_rest). Each explained row emits its
-    2^F x |background| coalition rows (a generator, no join), one ``transform`` scores
-    them, and phi_j = sum_S v(S) * c_j(S) with c_j(S) = w(|S|-1) if j in S else -w(|S|),
-    w(s) = s!(F-s-1)!/F!. Sum of phi = f(x) - f(background) (efficiency).
-    """
-    key = bench.spec.key
-    names = bench.prep.feature_names
-    nf = len(names)
-    if nf > 16:
-        raise ValueError("exact enumeration is for up to 16 features")
+    v(S) = mean over background rows b of f(x_S, b_rest). phi_j = sum_S v(S) * c_j(S) with c_j(S) = w(|S|-1) if j in S else
+    -w(|S|), w(s) = s!(F-s-1)!/F!. Sum of phi = f(x) - f(background) (efficiency). A forest's probability is a sum over
+    leaves, of each of which this sum over the coalitions has a closed form (``attribute.tree_arrays``); of any other model
+    the coalitions are worked through (``attribute.exact_attribution``)."""
+    key, names, model = bench.spec.key, bench.prep.feature_names, bench.models[name]
     bg = background or background_rows(bench)
-    src = (rows if rows is not None else bench.test).select(key, *[F.col(f"`{n}`").alias(f"_x{i}") for i, n in enumerate(names)])
-    bg_arr = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg])
-    ex = (src.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 ** nf - 1))).alias("mask"))
-          .select("*", F.posexplode(bg_arr).alias("b_idx", "b")))
-    cols = [F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, F.col(f"_x{i}")).otherwise(F.col("b")[i])
-            .alias(f"_v{i}") for i in range(nf)]
-    vec = VectorAssembler(inputCols=[f"_v{i}" for i in range(nf)], outputCol="features") \
-        .transform(ex.select(key, "mask", *cols))
-    v = (positive_probability(bench.models[name], vec).groupBy(key, "mask")
-         .agg(F.avg("probability_1").alias("v")))
-    size = F.bit_count(F.col("mask"))
-    w_in = F.create_map(*[x for s in range(nf) for x in (F.lit(s), F.lit(_shapley_weight(s, nf)))])
-    coef = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("feature_ord"),
-                     F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, w_in[size - 1])
-                     .otherwise(-w_in[size]).alias("c")) for i, n in enumerate(names)]
-    terms = v.select(key, "mask", "v", F.explode(F.array(*coef)).alias("t"))
+    src = rows if rows is not None else bench.test
     # rounded to STAT_DIGITS so the values do not depend on the summation order (the
     # same rows give the same attribution whatever the partitioning, batch or stream)
-    phi = terms.groupBy(key, "t.feature", "t.feature_ord").agg(stable(F.sum(F.col("v") * F.col("t.c"))).alias("contribution"))
-    base = v.where(F.col("mask") == 0).select(key, stable(F.col("v")).alias("expected_value"))
-    return phi.join(base, key).select(key, "feature", "feature_ord", "contribution", "expected_value")
+    if len(names) > 16:
+        raise ValueError("exact enumeration is for up to 16 features")
+    if not isinstance(model, RandomForestClassificationModel):
+        out = attribute.exact_attribution(src, model, key, names, bg)
+        return out.withColumns({c: stable(F.col(c)) for c in ("contribution", "expected_value")})
+    phi = attribute.by_key(attribute.tree_arrays(src, model, key, names, bg), [key], "phi", len(names), F.avg)
+    base = attribute.expected_value(src, model, bg).scalar()
+    items = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("feature_ord"), stable(F.get("phi", F.lit(i))).alias("contribution")) for i, n in enumerate(names)])
+    return phi.select(key, F.inline(items)).withColumn("expected_value", stable(base))
 
 
 def explain_sample(df: DataFrame, key: str, k: int = 200, seed: int = SEED, order: str = "hash") -> DataFrame:

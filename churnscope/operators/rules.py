@@ -204,11 +204,11 @@ def factor_recommendation(name: Column) -> Column:
 
 
 def recommendations(features: DataFrame, scores: DataFrame | None, top: DataFrame | None, spec: RoleSpec,
-                    score_col: str = "score", max_items: int = TX.MAX_RECOMMENDATIONS) -> DataFrame:
+                    score_col: str = "score", max_items: int = TX.MAX_RECOMMENDATIONS, keep=()) -> DataFrame:
     """Risk tier, base action and up to ``max_items`` specific recommendations per
     record: attribute rules first, then rules on the top-3 factors, in that order.
     Without ``scores`` or ``top`` the features have the score or the factor lists themselves, and
-    nothing is joined."""
+    nothing is joined. Columns named in ``keep`` stay."""
     from churnscope.operators.evaluate import risk_columns
 
     key = spec.key
@@ -224,4 +224,4 @@ def recommendations(features: DataFrame, scores: DataFrame | None, top: DataFram
     recs = F.slice(F.concat(attr, facs), 1, max_items)
     level, _color, action, _alert = risk_columns(F.col(score_col))
     return j.select(key, F.col(score_col).alias("probability"), level, action,
-                    F.size(recs).alias("n_recommendations"), F.array_join(recs, " | ").alias("recommendations"))
+                    F.size(recs).alias("n_recommendations"), F.array_join(recs, " | ").alias("recommendations"), *keep)

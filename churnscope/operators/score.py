@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.operators.evaluate import risk_columns
-from churnscope.operators.explain import contrib_split, factor_lists, feature_metadata, record_contributions
+from churnscope.operators.explain import contribution_totals, factor_lists, feature_metadata, record_contributions
 from churnscope.operators.models import Benchmark, background_rows, positive_probability, shapley_attribution
 from churnscope.operators.rules import recommendations, validate_records
 from churnscope.session import ensure_checkpoint_dir
@@ -44,12 +44,11 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
                   background: list | None = None, materialize: bool = True, keep=None) -> DataFrame:
     """One output row per input record; invalid records carry their errors and no score.
 
-    The checked records and the attributions (2^F model evaluations per record, the
-    expensive step) each feed several branches of the output (scores, factor lists,
-    totals, recommendations, response); with ``materialize`` both are written once to
-    the checkpoint folder, partitioned by the record's id, so nothing is recomputed and
-    the joins on the key find both sides already partitioned by it. ``keep(frame, name)`` writes them
-    elsewhere instead, where the caller can drop them."""
+    The checked records and the attributions (the expensive step) each feed several branches of the
+    output; with ``materialize`` both are written once to the checkpoint folder, the attributions as
+    one array a record, so nothing is recomputed. The score, the factor lists, totals, recommendations
+    and the response are expressions on the record and its array, which one join by the record's id
+    brings together. ``keep(frame, name)`` writes both elsewhere instead, where the caller can drop them."""
     outer = bench.spec.key
     if background is None:
         background = background_rows(bench)
@@ -65,19 +64,18 @@ def score_records(raw: DataFrame, bench: Benchmark, model_name: str, model_accur
         keep = (lambda df, _name: df.checkpoint(eager=True)) if materialize else (lambda df, _name: df)
     checked = keep(checked, "records")
     good = typed_records(checked, spec)
-    feats = bench.prep.transform(good, keep=[key], flag_unknown=True)
-    scored = positive_probability(bench.models[model_name], feats).select(key, F.col("probability_1").alias("score"))
-    attr = shapley_attribution(bench, model_name, rows=feats, background=background)
+    feats = bench.prep.transform(good, keep=[key, *[F.col(c).alias(f"_{c}") for c in spec.features]], flag_unknown=True)
+    attr = record_contributions(shapley_attribution(bench, model_name, rows=feats, background=background), key)
     attr = keep(attr, "attributions")
     meta = feature_metadata(spark, spec, bench.prep.categories)
-    attr = record_contributions(attr, key)
-    top = factor_lists(attr, meta, key).select(key, "factors")
-    recs = recommendations(good, scored, top, spec)
-    split = contrib_split(attr, key)
+    scored = positive_probability(bench.models[model_name], feats).select(
+        key, F.col("probability_1").alias("score"), "unknown_category", *[F.col(f"_{c}").alias(c) for c in spec.features])
+    # a record's columns ride along in the factor lists' rows
+    rows = factor_lists(scored.join(attr, key, "left"), meta, key)
     p = F.col("probability")
     _level, color, _action, _alert = risk_columns(p)
-    body = (recs.join(split, key, "left").join(top, key, "left").join(good, key, "left")
-            .join(feats.select(key, "unknown_category"), key, "left")
+    body = (recommendations(rows, None, None, spec, keep=("contributions", "factors", "unknown_category", *spec.features))
+            .withColumns(contribution_totals())
             .withColumn("predicted_class", (p > 0.5).cast("int"))
             .withColumn("risk_color", color))
     by_ref = {spec.analog.get(c, c): c for c in spec.features}

@@ -214,3 +214,34 @@ def test_rejected_lines_come_back_byte_for_byte(spark, bench):
     assert m.n_malformed == sum(r.is_malformed for r in rows)
     assert scored.count() == len(good) - n_bad
     assert not os.path.exists(os.path.join(out, "_work", "batch_id=0"))
+
+
+def test_prepared_frame_is_spread_by_its_rows(spark, monkeypatch):
+    """A narrow frame of one partition is trained on by more tasks, with the same rows; a small one stays as it lies."""
+    split = prepare.stratified_split(churn_features(spark, SF_SMALL), S).coalesce(1).checkpoint()
+    _, whole = M.prepare_frame(split, S)
+    monkeypatch.setattr(M, "ROWS_PER_PARTITION", 20)
+    _, data = M.prepare_frame(split, S)
+    n = split.count()
+    assert whole.rdd.getNumPartitions() == 1 and data.rdd.getNumPartitions() == -(-n // 20)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, data.collect()))
+
+
+def test_forest_shapley_is_the_enumeration_without_its_rows(bench):
+    from churnscope.operators import attribute
+    rows = bench.test.limit(12).checkpoint()
+    rows = rows.union(rows.limit(1))  # a repeated key counts as one record
+    bg = M.background_rows(bench, k=3)
+    got = M.shapley_attribution(bench, M.RF, rows=rows, background=bg)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = attribute.exact_attribution(rows, bench.models[M.RF], S.key, bench.prep.feature_names, bg)
+    a = {(r[S.key], r.feature): (r.feature_ord, r.contribution, r.expected_value) for r in got.collect()}
+    b = {(r[S.key], r.feature): (r.feature_ord, r.contribution, r.expected_value) for r in want.collect()}
+    assert a.keys() == b.keys() and len(a) == 12 * len(bench.prep.feature_names)
+    assert all(a[k] == pytest.approx(b[k], abs=1e-8) for k in a)
+
+
+def test_a_record_is_scored_by_two_joins_at_most(spark, bench):
+    """The checked records with their scores, and those with the attributions; the rest are expressions."""
+    plan = score_records(raw_records(spark, SF_SMALL), bench, M.RF, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
