@@ -147,7 +147,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 # ---- coalitions: exact and kernel -------------------------------------------------------------------------------------
 
 def _coalition_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, masks: np.ndarray, weights: np.ndarray,
-                           score: Score) -> DataFrame:
+                           score: Score, digits: int = DIGITS) -> DataFrame:
     """phi_j = sum over coalitions s of weights[j, s] * v(s); the first mask is the empty coalition."""
     x = vectors(rows, key, names)
     affine = affine_probability(model) if score is probability else None
@@ -164,8 +164,8 @@ def _coalition_attribution(rows: DataFrame, model: Model, key: str, names: list,
         base = F.sum(F.when(F.col("s") == 0, F.col("f"))) / n  # a record's own copy of the same number
         phi = f.groupBy(key).agg(F.array(*sums).alias("phi"), base.alias("expected_value"))
     phi = phi.select(key, F.posexplode("phi").alias("feature_ord", "contribution"), "expected_value")
-    return phi.select(key, _named(phi, names).alias("feature"), "feature_ord", F.round("contribution", DIGITS).alias("contribution"),
-                      F.round("expected_value", DIGITS).alias("expected_value"))
+    return phi.select(key, _named(phi, names).alias("feature"), "feature_ord", F.round("contribution", digits).alias("contribution"),
+                      F.round("expected_value", digits).alias("expected_value"))
 
 
 def _affine_coalitions(x: DataFrame, affine: tuple, key: str, background: list, masks: np.ndarray, weights: np.ndarray) -> DataFrame:
@@ -201,7 +201,7 @@ def _all_masks(nf: int) -> np.ndarray:
     return (np.arange(2 ** nf)[:, None] >> np.arange(nf)[None, :]) & 1
 
 
-def exact_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, score: Score = probability) -> DataFrame:
+def exact_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, score: Score = probability, digits: int = DIGITS) -> DataFrame:
     """Shapley values over all coalitions (up to 16 features): (key, feature, feature_ord, contribution, expected_value)."""
     nf = len(names)
     if nf > 16:
@@ -210,7 +210,7 @@ def exact_attribution(rows: DataFrame, model: Model, key: str, names: list, back
     size = masks.sum(axis=1)
     w = np.array([math.factorial(s) * math.factorial(nf - s - 1) / math.factorial(nf) for s in range(nf)])
     weights = np.where(masks == 1, w[np.maximum(size - 1, 0)][:, None], -w[np.minimum(size, nf - 1)][:, None]).T
-    return _coalition_attribution(rows, model, key, names, background, masks, weights, score)
+    return _coalition_attribution(rows, model, key, names, background, masks, weights, score, digits)
 
 
 def kernel_design(nf: int, samples: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:

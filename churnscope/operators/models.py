@@ -26,7 +26,7 @@ from churnscope.operators.prepare import Preparation, class_weights, fit_prepara
 from churnscope.operators.profile import fit_imputer, null_audit
 from churnscope.functions.permute import keyed_permutation
 from churnscope.functions.ranking import global_row_number
-from churnscope.functions.stats import stable
+from churnscope.functions.stats import STAT_DIGITS, stable
 from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 from churnscope.sources.tables import literal_frame
 from churnscope.spec import RoleSpec
@@ -255,8 +255,7 @@ def shapley_attribution(bench: Benchmark, name: str, rows: DataFrame | None = No
     if len(names) > 16:
         raise ValueError("exact enumeration is for up to 16 features")
     if not isinstance(model, RandomForestClassificationModel):
-        out = attribute.exact_attribution(src, model, key, names, bg)
-        return out.withColumns({c: stable(F.col(c)) for c in ("contribution", "expected_value")})
+        return attribute.exact_attribution(src, model, key, names, bg, digits=STAT_DIGITS)  # rounded once
     phi = attribute.by_key(attribute.tree_arrays(src, model, key, names, bg), [key], "phi", len(names), F.avg)
     base = attribute.expected_value(src, model, bg).scalar()
     items = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("feature_ord"), stable(F.get("phi", F.lit(i))).alias("contribution")) for i, n in enumerate(names)])
