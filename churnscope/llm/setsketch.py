@@ -11,15 +11,18 @@ A text's set is its distinct word n-grams (two words by default). Texts with equ
 3. Every class of a band is tied to the band's smallest class (a star, never all pairs). A tie's J is the maximum of the
    joint likelihood of how many registers are larger, smaller and equal, given the sizes; ties that are estimated below
    the threshold less ``SLACK`` go (of the ties at the threshold about 2e-10: seven standard errors).
-4. The rest is verified by the intersection of the whole sets, which a second scan makes for candidate classes only.
+4. The rest is verified by the intersection of the whole sets, which a second scan makes for candidate classes only,
+   with their sketches: the first scan's are read once, for the bands.
    Connected components of the verified links. Bands that still hold several components get a second star, around
    their class with the most links so far (the text that a group of copies was made from is such a one).
 5. Bands whose classes still lie in different components are compared within: only classes outside the band's largest
    component, with classes of like size, in blocks of bounded rows, each by estimate, then whole sets, and a pair only in
    the first band that it shares. A task returns a spanning forest of what it has verified.
 
-Shuffled by class or by band; tables that are joined back to their rows by a key that may be hot are written before, so
-that Spark's adaptive execution can split a hot key's rows. Texts are not shuffled.
+Shuffled by class or by band. The bands of all classes are shuffled once and not written: a window over each band keeps
+the rows of those with several classes (a band's rows are small, and Spark spills them). Later tables that are joined back
+to their rows by a key that may be hot are written before, so that Spark's adaptive execution can split a hot key's rows.
+Texts are not shuffled.
 
 Defined results: null or empty texts, and texts without words, have an empty set, link with nothing and stay; a text with
 fewer words than n has its whole word sequence as its only n-gram; repeated rows are rows of one class; a null doc_id never
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,8 +179,15 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("sig", "registers").mapInArrow(rows, "band long, k tinyint, sig long")
 
 
+def shared_bands(every: DataFrame) -> DataFrame:
+    """(band, k, sig, leader): the rows of the bands that hold several classes, with the band's smallest class."""
+    band = Window.partitionBy("band")
+    rows = every.withColumns({"leader": F.min("sig").over(band), "last": F.max("sig").over(band)})
+    return rows.where("leader < last").drop("last")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
-    """(sig, grams) of the wanted classes (sig), by a second scan. The scan leaves out most others by a filter of a fixed
+    """(sig, n, registers, grams) of the wanted classes (sig), by a second scan. The scan leaves out most others by a filter of a fixed
     number of bits; the join with the wanted classes does the rest."""
     bit = F.shiftrightunsigned("sig", 64 - FILTER_BITS)
     words = wanted.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("b"))
@@ -190,20 +200,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
         seen, bits = set(), shared.value
         for b in batches:
             for _, sets in gram_sets(b.column(0), n):
-                sigs, grams = [], []
+                sigs, found = [], []
                 for s in sets:
                     sig = signature(s)
                     at = (sig & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
                     if len(s) and sig not in seen and (int(bits[at >> 6]) >> (at & 63)) & 1:
                         seen.add(sig)
                         sigs.append(sig)
-                        grams.append(s.view(np.int64))
-                offs = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)])))],
-                                                 names=["sig", "grams"])
+                        found.append(s)
+                size = np.array([len(s) for s in found], np.int64)
+                offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                grams = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(size), pa.array([r.tobytes() for r in sketches(found)], pa.binary()),
+                                                  pa.ListArray.from_arrays(pa.array(offs), pa.array(grams))], names=["sig", "n", "registers", "grams"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "sig long, grams array<long>")
-    return found.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "sig long, n long, registers binary, grams array<long>")
+    return found.join(wanted, "sig", "left_semi").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "registers", "grams")))
 
 
 def _linked(overlap, na, nb):
@@ -216,10 +228,11 @@ def _star_links(ties: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     both = written(left, "ties").join(classes.withColumnsRenamed({"sig": "leader", "registers": "rb", "n": "nb"}), "leader")
     low = F.least("na", "nb") * 100 >= THRESHOLD * F.greatest("na", "nb")
     some = both.where(low).where(_is_likely(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"))).select("sig", "leader", "na", "nb")
-    pairs = written(some, "likely").join(sets.withColumnRenamed("grams", "ga"), "sig")
-    pairs = pairs.join(sets.withColumnsRenamed({"sig": "leader", "grams": "gb"}), "leader")
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return written(pairs.where(_linked(overlap, F.col("na"), F.col("nb"))).select(F.col("sig").alias("a"), F.col("leader").alias("b")), "star-links")
+    # both sides read the sets under their own names: Spark then shuffles them once for both joins
+    pairs = written(some, "likely").withColumnsRenamed({"sig": "a", "leader": "b"})
+    pairs = pairs.join(sets.alias("sa"), F.col("a") == F.col("sa.sig")).join(sets.alias("sb"), F.col("b") == F.col("sb.sig"))
+    overlap = F.size(F.array_intersect("sa.grams", "sb.grams"))
+    return written(pairs.where(_linked(overlap, F.col("na"), F.col("nb"))).select("a", "b"), "star-links")
 
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -338,7 +351,7 @@ def _rest_links(rows: DataFrame, classes: DataFrame, sets: DataFrame, block: int
 
     some = groups(work).groupBy("g").applyInArrow(lambda t: _promising(t.select([*cols, "registers"])),
                                                   "part long, side int, sig long, label long, n long, low boolean, k tinyint")
-    found = groups(written(some, "promising")).join(sets, "sig").groupBy("g").applyInArrow(
+    found = groups(written(some, "promising")).join(sets.select("sig", "grams"), "sig").groupBy("g").applyInArrow(
         lambda t: _compare(t.select([*cols, "registers", "grams"])), "a long, b long")
     return written(found, "rest-links")
 
@@ -348,11 +361,10 @@ def groups(docs: DataFrame, n: int = N, block: int = BLOCK) -> DataFrame:
     that links reach, its own for an empty set; kept: it is that row."""
     bounded_batches(docs.sparkSession)
     rows = written(sketched(docs, n), "sketched")
-    classes = written(rows.where(F.col("registers").isNotNull()).groupBy("sig").agg(F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    every = written(bands(classes), "bands")
-    shared = written(every.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.min("sig").alias("leader")).where("rows > 1").select("band", "leader"), "shared-bands")
-    members = written(every.join(shared, "band"), "members")
+    every = bands(rows.where(F.col("registers").isNotNull()).groupBy("sig").agg(F.first("registers").alias("registers")))
+    members = written(shared_bands(every), "members")
     sets = written(whole_sets(docs, written(members.select("sig").distinct(), "candidates"), n), "sets")
+    classes = sets.select("sig", "n", "registers")
     star = _star_links(members.where("sig != leader").select("sig", "leader"), classes, sets)
     rows_open = _open(members, components(star).withColumnRenamed("v", "sig"))
     star = written(star.unionByName(_star_links(_second_ties(rows_open, star), classes, sets)), "star-links")

@@ -24,8 +24,16 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, read by several later steps, no lineage."""
+    """``df`` as a Parquet table in the shared folder: computed once, read by several later steps, no lineage. No later
+    step reads the shuffles of this one, so Spark removes their files as soon as the table is there, not when the driver
+    collects its garbage: the disk holds the shuffles of one step."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

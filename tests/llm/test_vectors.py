@@ -1,6 +1,7 @@
 """Hard negatives, whitening and SetSketch groups against brute force, with their edge cases."""
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -203,6 +204,56 @@ def test_the_comparison_finds_links_without_stars(spark, chained):
         assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(k for k in got if got[k] == x) for x in set(got.values())}
 
 
+def test_a_written_step_leaves_no_shuffle_files_and_restores_the_setting(spark):
+    from pathlib import Path
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {str(p) for p in local.rglob("shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = files(), spark.conf.get(key, None)
+    t = setsketch.written(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 1000).alias("x")).count(), "t")
+    for _ in range(50):  # Spark removes them in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert t.count() == 1000 and spark.conf.get(key, None) == set_to
+    spark.conf.set(key, "false")
+    try:
+        setsketch.written(spark.range(3), "t")
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_groups_write_no_bands_and_no_sketches_of_lone_classes(spark, chained, monkeypatch):
+    """Only the first scan's table has a row for each document's sketch; bands of all classes and lone classes' sketches aren't written."""
+    tables, original = {}, setsketch.written
+
+    def noted(df, name):
+        out = original(df, name)
+        tables.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(setsketch, "written", noted)
+    lone = [" ".join(f"lone{i}x{j}" for j in range(30)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(chained + lone)), "doc_id long, text string")
+    assert setsketch.groups(docs).where(f"doc_id >= {len(chained)} and not kept").count() == 0
+    lone_sigs = {r.sig for r in setsketch.sketched(docs.where(f"doc_id >= {len(chained)}")).collect()}
+    for name, found in tables.items():
+        for t in found:
+            if name != "sketched" and {"sig", "registers"} <= set(t.columns) or "band" in t.columns and "sig" in t.columns:
+                assert not lone_sigs & {r.sig for r in t.select("sig").distinct().collect()}, name
+    full = tables["sets"][0].collect()
+    assert len(full) > 50 and all(r.n == len(r.grams) and r.registers == setsketch.sketches([np.array(r.grams, np.int64).view(np.uint64)])[0].tobytes() for r in full)
+
+
+def test_shared_bands_are_those_of_several_classes(spark):
+    rows = [(1, 0, 5), (1, 0, -3), (1, 0, 9), (2, 1, 5), (3, 0, 7), (3, 0, 8)]
+    got = setsketch.shared_bands(spark.createDataFrame(rows, "band long, k tinyint, sig long")).select("band", "k", "sig", "leader").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, -3, -3), (1, 0, 5, -3), (1, 0, 9, -3), (3, 0, 7, 7), (3, 0, 8, 7)]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     u = rng.integers(0, 2 ** 63, 5000).astype(np.uint64)
