@@ -75,6 +75,70 @@ def test_jaccard_groups_equal_brute_force(spark, docs, none):
     assert jaccard.groups(none).count() == 0
 
 
+def _planted(spark):
+    """Texts of their own, some also as copies in other partitions (one very often), and five pairs of near copies."""
+    rng = random.Random(8)
+    def prose(n=80):
+        return " ".join("w%d" % rng.randrange(100_000) for _ in range(n))
+    own, near = [prose() for _ in range(200)], [prose() for _ in range(5)]
+    near += [" ".join(["new", *t.split()[1:]]) for t in near]
+    half = [" ".join(own[i].split()[:40]) + " " + prose(40) for i in range(150, 160)]
+    rows = own + own[:50] + own[:20] + [own[100]] * 140 + near + half + ["few words", "few words", None]
+    rows = [(i % 7, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, p int, text string")
+    return df.repartitionByRange(7, "p").checkpoint().select("doc_id", "text"), own, near
+
+
+def test_jaccard_candidates_are_the_classes_that_share_three_quarters(spark, monkeypatch):
+    df, own, near = _planted(spark)
+    texts = sorted({r.text for r in df.collect() if r.text})
+    sets = {jaccard._signature(u): set(u.tolist()) for _, us in jaccard.gram_sets(pa.array(texts)) for u in us}
+    holders = defaultdict(int)
+    for u in sets.values():
+        for g in u:
+            holders[g] += 1
+    alone = {sig: sum(holders[g] == 1 for g in u) for sig, u in sets.items()}
+    want = {sig: len(u) // 4 + 1 - alone[sig] for sig, u in sets.items() if 4 * alone[sig] <= len(u)}
+    for flush in (jaccard._FLUSH, 300):  # one run a task, and many
+        monkeypatch.setattr(jaccard, "_FLUSH", flush)
+        got = jaccard.candidates(df).collect()
+        assert len(got) == len({r.sig for r in got})
+        assert {r.sig: len(r.prefix) for r in got} == want and len(want) == 10
+
+
+def test_jaccard_writes_the_sets_of_clustered_classes_only(spark, monkeypatch):
+    """Texts that share little, and copies of them in other tasks, are never written, however many n-grams the corpus has:
+    no table of fixed size decides it (a bitmap of few bits, which many n-grams fill, held all of these texts)."""
+    df, own, near = _planted(spark)
+    tables = {}
+    def kept(d, name):
+        tables[name] = real(d, name)
+        return tables[name]
+    real = jaccard.written
+    monkeypatch.setattr(jaccard, "written", kept)
+    monkeypatch.setattr(jaccard, "KEY_BITS", 8, raising=False)
+    g = jaccard.groups(df).collect()
+    assert 10 <= tables["incidence"].where("size(grams) > 0").count() <= 12  # a false hit of the bitmap is allowed
+    linked = defaultdict(set)
+    for r in g:
+        linked[r.component_id].add(r.doc_id)
+    copies = defaultdict(set)
+    of = {t: i % 5 for i, t in enumerate(near)}
+    for r in df.collect():
+        copies[r.doc_id if r.text is None else of.get(r.text, r.text)].add(r.doc_id)
+    assert sorted(map(sorted, linked.values())) == sorted(map(sorted, copies.values()))
+
+
+def test_packed_columns_come_back(spark):
+    rng = np.random.default_rng(1)
+    k = np.sort(rng.integers(0, 1 << 32, 1000, dtype=np.uint32))
+    t, c = rng.integers(0, 1 << 16, 1000).astype(np.uint16), np.arange(1000, dtype=np.int64)
+    gap, text, count = jaccard._unpack(1000, jaccard._pack(jaccard._gaps(k), t, c), np.uint32, np.uint16, np.int64)
+    assert (np.cumsum(gap, dtype=np.uint32) == k).all() and (text == t).all() and (count == c).all()
+    code = jaccard._count_code(np.arange(1, 1 << 20))
+    assert (code[:127] == np.arange(1, 128)).all() and (np.diff(code.astype(int)) >= 0).all() and code[127] == 128
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
     assert {(r.v, r.label) for r in components(links).collect()} == {(i, 1) for i in range(1, 61)} | {(100, 100), (101, 100)}
