@@ -129,6 +129,20 @@ def test_jaccard_writes_the_sets_of_clustered_classes_only(spark, monkeypatch):
     assert sorted(map(sorted, linked.values())) == sorted(map(sorted, copies.values()))
 
 
+def test_pipeline_near_duplicates_write_no_sets_of_texts_of_their_own(spark, monkeypatch):
+    df, own, near = _planted(spark)
+    tables, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda d, name: tables.setdefault(name, real(d, name)))
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, None)
+    rows = df.collect()
+    first: dict = {}
+    of = {t: i % 5 for i, t in enumerate(near)}
+    for r in sorted(rows):
+        first.setdefault(r.doc_id if r.text is None else of.get(r.text, r.text), r.doc_id)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+    assert 10 <= tables["incidence"].where("size(grams) > 0").count() <= 12
+
+
 def test_packed_columns_come_back(spark):
     rng = np.random.default_rng(1)
     k = np.sort(rng.integers(0, 1 << 32, 1000, dtype=np.uint32))
