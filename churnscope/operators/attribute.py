@@ -7,7 +7,10 @@ expected value is the mean prediction over the background, v({}).
   All records share one drawn design, so the solution of the normal equations is one matrix and a record's values are a
   sum over its coalitions, merged like any aggregate.
 * ``permutation_attribution``: random feature orders in antithetic pairs, walked one feature at a time; a standard error
-  for each record and feature decides for each record when to stop. F + 1 model rows an order, whatever F is.
+  for each record and feature decides for each record when to stop. F + 1 model rows an order, whatever F is. Its background
+  may be a whole table (``whole_background``): equal feature rows are one row with a weight, on both sides, and the blocks of
+  different records and of different background rows meet in tasks of their own. Work grows with the product of the two numbers
+  of different rows, which for features of few values do not grow with the table.
 * ``tree_attribution``: closed-form Shapley weights of (record, background row, leaf) from the intervals that a leaf's path
   puts on features; no coalition rows.
 * ``linear_attribution``: w_j (x_j - mean of b_j) in the margin of a linear model.
@@ -16,7 +19,7 @@ expected value is the mean prediction over the background, v({}).
 Records are partitioned by key once; coalition rows are made by generators (no join) and added up by key in the same
 partition, in one aggregate that holds one row a record. Of a model whose inputs meet in one affine layer (logistic
 regression, perceptron), the coalitions of a batch of records are values of that layer, added up and put through the rest
-of the model as arrays (``affine_probability``); they never become rows. The background (at most ``BACKGROUND`` rows) and the drawn coalitions are bounded by parameters and travel as
+of the model as arrays (``affine_probability``); they never become rows. A sampled background (at most ``BACKGROUND`` rows) and the drawn coalitions are bounded by parameters and travel as
 one scalar subquery; a fitted forest travels as one broadcast, as it does in MLlib's own prediction.
 
 Defined results: an empty set of records gives no rows; records are told apart by their key, which must be unique (as in the
@@ -43,6 +46,8 @@ from churnscope.session import ensure_checkpoint_dir, shuffle_partitions
 BACKGROUND = 50
 #: array cells that a task works on at a time
 CELLS = 1 << 18
+#: different records and different background rows of a block of a whole background
+BLOCK_ROWS, BLOCK_BACKGROUND = 128, 512
 #: records of a task of ``tree_attribution`` and of one pass over the leaves
 TREE_ROWS = 8192
 #: a leaf's values are tabulated for all patterns of up to so many features on its path
@@ -78,6 +83,13 @@ def sample_background(df: DataFrame, key: str, names: list, k: int = BACKGROUND,
     return [list(r.x) for r in rows]
 
 
+def whole_background(df: DataFrame, names: list) -> DataFrame:
+    """(x, w): every different feature row of ``df`` and how many records have it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    x = F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x")
+    return df.select(x).groupBy("x").agg(F.count(F.lit(1)).alias("w")).checkpoint(eager=True)
+
+
 def _constant(df: DataFrame, value: list, kind: str) -> Column:
     """A bounded list as a scalar subquery (one value that every task gets)."""
     return df.sparkSession.createDataFrame([(value,)], f"v {kind}").select("v").scalar()
@@ -265,23 +277,28 @@ def linear_attribution(rows: DataFrame, model: Model, key: str, names: list, bac
 
 # ---- random orders ------------------------------------------------------------------------------------------------------
 
-def _rounds(x: DataFrame, model: Model, key: str, nf: int, background: list, first: int, count: int, seed: int, score: Score) -> DataFrame:
+def _rounds(x: DataFrame, model: Model, key: str, nf: int, background: list | DataFrame, first: int, count: int, seed: int, score: Score) -> DataFrame:
     """(key, round, feature_ord, phi): each round walks a random order and its reverse for every background row."""
-    affine = affine_probability(model) if score is probability else None
+    affine, whole = affine_probability(model) if score is probability else None, isinstance(background, DataFrame)
     if affine is not None:
-        return _affine_rounds(x, affine, key, nf, background, first, count, seed)
-    bs = _constant(x, background, "array<array<double>>")
-    rounds = x.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1)))).select("*", F.posexplode(bs).alias("i", "b"))
+        return (_affine_blocks if whole else _affine_rounds)(x, affine, key, nf, background, first, count, seed)
+    rounds = x.withColumn("round", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
+    if whole:
+        total = background.agg(F.sum("w")).first()[0]
+        rounds = rounds.crossJoin(background.select(F.xxhash64("x").alias("i"), F.col("x").alias("b"), (F.col("w") / total).alias("share")))
+    else:
+        bs = _constant(x, background, "array<array<double>>")
+        rounds = rounds.select("*", F.posexplode(bs).alias("i", "b")).withColumn("share", F.lit(1 / len(background)))
     draw = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: F.struct(F.xxhash64(F.lit(seed), F.col(key), "round", "i", j).alias("h"), j.alias("j")))
     order = F.transform(F.array_sort(draw), lambda s: s["j"])
     both = rounds.withColumn("order", order).withColumn("order", F.explode(F.array("order", F.reverse("order"))))
     steps = both.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(nf))))  # the first t features of the order are the record's
     z = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: (F.array_position("order", j) <= F.col("t")).cast("int"))
-    rows = steps.withColumn("features", _mixed(z, F.col("x"), F.col("b"), nf)).select(key, "round", "t", "order", "features")
+    rows = steps.withColumn("features", _mixed(z, F.col("x"), F.col("b"), nf)).select(key, "round", "t", "order", "share", "features")
     # step t is the end of one feature's move and the start of the next one's
     moves = F.array(F.struct(F.get("order", F.col("t") - 1).alias("feature_ord"), F.col("f").alias("d")), F.struct(F.get("order", F.col("t")).alias("feature_ord"), (-F.col("f")).alias("d")))
-    terms = score(model, rows).select(key, "round", F.inline(F.filter(moves, lambda m: m["feature_ord"].isNotNull())))
-    return terms.groupBy(key, "round", "feature_ord").agg((F.sum("d") / (2 * len(background))).alias("phi"))
+    terms = score(model, rows).select(key, "round", "share", F.inline(F.filter(moves, lambda m: m["feature_ord"].isNotNull())))
+    return terms.groupBy(key, "round", "feature_ord").agg((F.sum(F.col("d") * F.col("share")) / 2).alias("phi"))
 
 
 def _affine_rounds(x: DataFrame, affine: tuple, key: str, nf: int, background: list, first: int, count: int, seed: int) -> DataFrame:
@@ -321,15 +338,97 @@ def _affine_rounds(x: DataFrame, affine: tuple, key: str, nf: int, background: l
     return by_key(out, [key, "round"], "phi", nf, F.sum).select(key, "round", F.posexplode("phi").alias("feature_ord", "phi"))
 
 
-def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list, error: float = 0.01, batch: int = 4, most: int = 64,
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _blocks(rows: DataFrame, x: str, w: Column, size: int, seed: int, name: str) -> tuple[DataFrame, int]:
+    """Rows in blocks of about ``size``: (name, its rows' features, weights and hashes as arrays), and the number of blocks."""
+    n = max(1, -(-rows.count() // size))
+    h = F.xxhash64(F.lit(seed), F.lit(name), F.col(x))
+    packed = rows.groupBy(F.pmod(h, F.lit(n)).cast("int").alias(name)).agg(F.array_sort(F.collect_list(F.struct(h.alias("h"), F.col(x).alias("x"), w.cast("double").alias("w")))).alias("r"))
+    return packed.select(name, F.flatten("r.x").alias(f"{name}_x"), F.col("r.w").alias(f"{name}_w"), F.col("r.h").alias(f"{name}_h")), n
+
+
+def _affine_blocks(x: DataFrame, affine: tuple, key: str, nf: int, background: DataFrame, first: int, count: int, seed: int) -> DataFrame:
+    """The rounds against a whole background of a model that begins with an affine layer, by pairs of blocks. ``key`` is the
+    feature row itself. An order follows from the seed, the round and the two rows."""
+    w, offset, rest = affine
+    parts = shuffle_partitions(x.sparkSession)
+    total = background.agg(F.sum("w")).first()[0]
+    own, n = _blocks(x, "x", F.lit(1), BLOCK_ROWS, seed, "own")
+    other, m = _blocks(background, "x", F.col("w"), BLOCK_BACKGROUND, seed, "other")
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).join(other.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["own", "other"])
+
+    def values(batches):
+        for batch in batches:
+            col = {c: batch.column(c) for c in batch.schema.names}
+            for r in range(batch.num_rows):
+                at = {c: col[c][r].values.to_numpy(zero_copy_only=False) for c in ("own_x", "own_h", "other_x", "other_w", "other_h")}
+                xs, b, share = at["own_x"].reshape(-1, nf), at["other_x"].reshape(-1, nf), at["other_w"] / total
+                hx, hb = at["own_h"].view(np.uint64), _mix(at["other_h"].view(np.uint64))
+                start = b @ w + offset
+                phis = []
+                for k in range(first, first + count):
+                    phi = np.zeros(xs.shape)
+                    for part in _chunks(len(xs), len(b) * max(nf, w.shape[1])):
+                        with np.errstate(over="ignore"):
+                            draws = _mix((hx[part] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))[:, None] ^ hb[None])
+                            draws = _mix(draws[:, :, None] + np.arange(1, nf + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                        order = np.argsort(draws, axis=2, kind="stable")
+                        gap = xs[part][:, None, :] - b[None]
+                        place = np.arange(len(order))[:, None] * nf
+                        for way in (order, order[:, :, ::-1]):
+                            h = np.broadcast_to(start, (len(order), *start.shape)).copy()
+                            f = rest(h)
+                            for t in range(nf):
+                                j = way[:, :, t]
+                                h += np.take_along_axis(gap, j[:, :, None], axis=2) * w[j]
+                                after = rest(h)
+                                phi[part] += np.bincount((place + j).ravel(), ((after - f) * share).ravel(), len(order) * nf).reshape(-1, nf)
+                                f = after
+                    phis.append(phi / 2)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(count * len(xs) + 1) * nf, pa.int32()), pa.array(np.concatenate(phis).ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(count * len(xs) + 1) * nf, pa.int32()), pa.array(np.tile(xs, (count, 1)).ravel()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(np.arange(first, first + count), len(xs)), pa.int32()), lists], names=[key, "round", "phi"])
+
+    out = pairs.repartition(parts, "own", "other").mapInArrow(values, f"`{key}` array<double>, round int, phi array<double>")
+    return by_key(out, [key, "round"], "phi", nf, F.sum).select(key, "round", F.posexplode("phi").alias("feature_ord", "phi"))
+
+
+def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list, background: list | DataFrame, error: float = 0.01, batch: int = 4, most: int = 64,
                             seed: int = 42, score: Score = probability) -> DataFrame:
     """(key, feature, feature_ord, contribution, std_error, rounds, expected_value). Rounds are made ``batch`` at a time for the
     records of which some feature's standard error is still above ``error``, up to ``most`` rounds. Every round uses each
-    background row once, so the values add up to f(x) - expected_value whatever has been drawn."""
+    background row once (of a whole background: each different row once, by its weight), so the values add up to
+    f(x) - expected_value whatever has been drawn. With a whole background, equal feature rows are worked out once and share
+    their orders, and rows of one key are averaged."""
     spark, nf = rows.sparkSession, len(names)
     ensure_checkpoint_dir(spark)
     x = vectors(rows, key, names).checkpoint(eager=True)
-    base = expected_value(x, model, background, score).scalar()
+    n, s = F.col("n"), F.col("s")
+    err = F.sqrt(F.greatest(F.col("q") - s * s / n, F.lit(0.0)) / (n - 1) / n)
+    if isinstance(background, DataFrame):
+        if not background.head(1):
+            raise ValueError("the background has no rows")
+        base = score(model, background.select(array_to_vector("x").alias("features"), "w")).agg((F.sum(F.col("f") * F.col("w")) / F.sum("w")).alias("expected_value")).scalar()
+        each = x.select("x").distinct().select(F.col("x").alias("_row"), "x").checkpoint(eager=True)
+        done = _walked(each, model, "_row", nf, background, error, batch, most, seed, score)
+        done = done.select("_row", "feature_ord", (s / n).alias("phi"), err.alias("err"), "n")
+        done = x.join(done, F.col("x") == F.col("_row")).groupBy(key, "feature_ord").agg(F.avg("phi").alias("phi"), F.max("err").alias("err"), F.max("n").alias("n"))
+    else:
+        base = expected_value(x, model, background, score).scalar()
+        done = _walked(x, model, key, nf, background, error, batch, most, seed, score).select(key, "feature_ord", (s / n).alias("phi"), err.alias("err"), "n")
+    return done.select(key, _named(done, names).alias("feature"), "feature_ord", F.round("phi", DIGITS).alias("contribution"), F.round("err", DIGITS).alias("std_error"),
+                       n.alias("rounds"), F.round(base, DIGITS).alias("expected_value"))
+
+
+def _walked(x: DataFrame, model: Model, key: str, nf: int, background: list | DataFrame, error: float, batch: int, most: int, seed: int, score: Score) -> DataFrame:
+    """(key, feature_ord, n, s, q): number, sum and sum of squares of the values of the rounds that each record needed."""
     done, todo, at = None, x, 0
     while True:
         new = _rounds(todo, model, key, nf, background, at, batch, seed, score)
@@ -337,16 +436,12 @@ def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list
         sums = new.groupBy(key, "feature_ord").agg(F.count(F.lit(1)).alias("n"), F.sum("phi").alias("s"), F.sum(F.col("phi") * F.col("phi")).alias("q"))
         done = (sums if done is None else done.unionByName(sums).groupBy(key, "feature_ord").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])).checkpoint(eager=True)
         if at >= most:
-            break
+            return done
         spread = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
         open_ = done.groupBy(key).agg(F.max(F.sqrt(spread / (F.col("n") - 1) / F.col("n"))).alias("e"), F.max("n").alias("n")).where((F.col("e") > error) & (F.col("n") == at))
         todo = x.join(open_, key, "left_semi").checkpoint(eager=True)
         if not todo.head(1):
-            break
-    n, s = F.col("n"), F.col("s")
-    err = F.sqrt(F.greatest(F.col("q") - s * s / n, F.lit(0.0)) / (n - 1) / n)
-    return done.select(key, _named(done, names).alias("feature"), "feature_ord", F.round(s / n, DIGITS).alias("contribution"), F.round(err, DIGITS).alias("std_error"),
-                       n.alias("rounds"), F.round(base, DIGITS).alias("expected_value"))
+            return done
 
 
 # ---- trees ----------------------------------------------------------------------------------------------------------------

@@ -163,3 +163,40 @@ def test_tree_records_of_one_partition_are_spread_over_tasks(spark, data, monkey
     got = A.tree_attribution(rows, models["rf"], "id", NAMES, bg)
     assert got.rdd.getNumPartitions() == 7
     assert np.abs(values(got, 200) - whole).max() < 1e-12
+
+
+def test_random_orders_against_a_whole_background(spark, data, monkeypatch):
+    """Every background row counts by how often it occurs; records and background in several blocks; the same for models of rows."""
+    df, _, models = data
+    train = df.where("id BETWEEN 20 AND 44")
+    train = train.unionByName(train.where("id < 25")).unionByName(train.where("id < 25"))
+    bg = A.whole_background(train, NAMES)
+    assert bg.count() == 25 and bg.agg(F.sum("w")).first()[0] == train.count() == 35
+    rows = df.where("id < 6").unionByName(df.where("id = 1").withColumn("id", F.lit(6).cast("long")))
+    listed = [list(r.x) for r in bg.collect() for _ in range(r.w)]
+    exact = values(A.exact_attribution(rows, models["lr"], "id", NAMES, listed), 7)
+    f = {r.id: r.f for r in A.probability(models["lr"], rows).collect()}
+    monkeypatch.setattr(A, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(A, "BLOCK_BACKGROUND", 7)
+    for kind in (A.affine_probability, lambda model: None):
+        monkeypatch.setattr(A, "affine_probability", kind)
+        got = A.permutation_attribution(rows, models["lr"], "id", NAMES, bg, batch=4, most=8, error=0.001).checkpoint()
+        phi, err = values(got, 7), values(got, 7, col="std_error")
+        assert np.abs(phi[1] - phi[6]).max() == 0 and got.count() == 7 * 8
+        assert all(phi[i].sum() + got.first().expected_value == pytest.approx(f[i], abs=1e-9) for i in range(7))
+        assert np.abs(phi - exact).max() < max(0.02, 6 * err.max())
+    with pytest.raises(ValueError):
+        A.permutation_attribution(rows, models["lr"], "id", NAMES, bg.where("w < 0"))
+
+
+def test_the_random_order_query_explains_against_all_training_rows(spark):
+    from churnscope.operators import models as M
+    from churnscope.plans import model_queries as Q
+    from conftest import SF_SMALL
+    got = Q.q_permutation_attribution(spark, SF_SMALL).checkpoint()
+    bench = Q.benchmark(spark, SF_SMALL, (M.NN,))
+    mean = A.probability(bench.models[M.NN], bench.train).agg(F.avg("f")).first()[0]
+    assert got.agg(F.min("expected_value"), F.max("expected_value")).first() == pytest.approx((mean, mean), abs=1e-9)
+    f = {r[0]: r.f for r in A.probability(bench.models[M.NN], bench.test).select(Q.S.key, "f").collect()}
+    sums = {r[0]: r.s for r in got.groupBy(Q.S.key).agg((F.sum("contribution") + F.max("expected_value")).alias("s")).collect()}
+    assert sums.keys() == f.keys() and all(sums[k] == pytest.approx(f[k], abs=1e-9) for k in f)
