@@ -406,7 +406,7 @@ def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list
     records of which some feature's standard error is still above ``error``, up to ``most`` rounds. Every round uses each
     background row once (of a whole background: each different row once, by its weight), so the values add up to
     f(x) - expected_value whatever has been drawn. With a whole background, equal feature rows are worked out once and share
-    their orders, and rows of one key are averaged."""
+    their orders; rows of one key add up, as with a list (their errors add up to a bound)."""
     spark, nf = rows.sparkSession, len(names)
     ensure_checkpoint_dir(spark)
     x = vectors(rows, key, names).checkpoint(eager=True)
@@ -419,7 +419,7 @@ def permutation_attribution(rows: DataFrame, model: Model, key: str, names: list
         each = x.select("x").distinct().select(F.col("x").alias("_row"), "x").checkpoint(eager=True)
         done = _walked(each, model, "_row", nf, background, error, batch, most, seed, score)
         done = done.select("_row", "feature_ord", (s / n).alias("phi"), err.alias("err"), "n")
-        done = x.join(done, F.col("x") == F.col("_row")).groupBy(key, "feature_ord").agg(F.avg("phi").alias("phi"), F.max("err").alias("err"), F.max("n").alias("n"))
+        done = x.join(done, F.col("x") == F.col("_row")).groupBy(key, "feature_ord").agg(F.sum("phi").alias("phi"), F.sum("err").alias("err"), F.max("n").alias("n"))
     else:
         base = expected_value(x, model, background, score).scalar()
         done = _walked(x, model, key, nf, background, error, batch, most, seed, score).select(key, "feature_ord", (s / n).alias("phi"), err.alias("err"), "n")
